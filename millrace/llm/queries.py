@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, licenses, mixing, sharding
 from .shared import table
 
 
@@ -31,6 +31,10 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard_no").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixing.apply_mix(docs, mixing.fit_mix(docs))
@@ -67,5 +71,5 @@ SELECT doc_id, size, source_size, target,
 FROM judged
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op7_license_scan": op7_license_scan, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL}
