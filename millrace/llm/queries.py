@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, sharding
-from .shared import table
+from . import exact_dedup, licenses, mixing, sharding, token_codec
+from .shared import scratch, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard_no").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_huffman_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch(spark, "huffman")
+    files = token_codec.encode_documents(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(tokenizer), end_id)
+    return token_codec.read_digests(spark, folder, files)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,5 +79,5 @@ SELECT doc_id, size, source_size, target,
 FROM judged
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op7_license_scan": op7_license_scan, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op5_huffman_tokens": op5_huffman_tokens, "op7_license_scan": op7_license_scan, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL}
