@@ -26,7 +26,7 @@ def whole_file(uri: str) -> Iterator:
     folder = path.rpartition("/")[0]
     fs.create_dir(folder, recursive=True)
     draft = f"{folder}/_draft-{uuid.uuid4().hex}"
-    with fs.open_output_stream(draft) as out:
+    with fs.open_output_stream(draft, compression=None) as out:
         yield out
     fs.move(draft, path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, sharding, token_codec
+from . import exact_dedup, licenses, mixing, sharding, token_codec, warc
 from .shared import scratch, table
 
 
@@ -43,6 +43,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_archives(spark, folder).drop("url")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixing.apply_mix(docs, mixing.fit_mix(docs))
@@ -79,5 +85,5 @@ SELECT doc_id, size, source_size, target,
 FROM judged
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op5_huffman_tokens": op5_huffman_tokens, "op7_license_scan": op7_license_scan, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op5_huffman_tokens": op5_huffman_tokens, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL}

@@ -275,7 +275,7 @@ def encode_documents(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
 def blocks_of(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, bytes, np.ndarray]]:
     fs, path = resolve(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"{uri} isn't a token file")
         lengths = np.frombuffer(zlib.decompress(f.read(struct.unpack("<I", f.read(4))[0])), np.uint8)
