@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .shared import ascii_lower, scratch, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LEAST_PARTITIONS, ROWS_A_PARTITION = 16, 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -35,10 +36,15 @@ def sha256(text: Column) -> Column:
 
 def ingest(
     spark: SparkSession, source: str, state: str, id_col: str = "doc_id", text_col: str = "text",
-    digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None,
+    digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, state_partitions: int | None = None,
 ) -> DataFrame:
     """Runs the stream over all files of source that state hasn't seen; returns the state:
-    digest, keep_id, keep_file, keep_row, group_size."""
+    digest, keep_id, keep_file, keep_row, group_size.
+
+    The number of state partitions is fixed by the first run, as RocksDB takes some 4 MB for each:
+    one for each ROWS_A_PARTITION rows, LEAST_PARTITIONS at least.
+    """
+    partitions = state_partitions or max(LEAST_PARTITIONS, spark.read.parquet(source).count() // ROWS_A_PARTITION)
     stream = spark.readStream.schema(spark.read.parquet(source).select(id_col, text_col).schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
@@ -48,16 +54,16 @@ def ingest(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
     keyed = rows.groupBy("digest").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-    set_before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.internal.stateStore.partitions": str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         query = keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if set_before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", set_before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     held = spark.read.format("statestore").load(state)
     keep, n = (f"value.`{f.name}`" for f in held.schema["value"].dataType.fields)
     return held.select(F.col("key.digest").alias("digest"), F.col(f"{keep}.id").alias("keep_id"), F.col(f"{keep}.file").alias("keep_file"), F.col(f"{keep}.row").alias("keep_row"), F.col(n).alias("group_size"))
