@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, sharding, token_codec, warc
+from . import crf_language, exact_dedup, licenses, mixing, sharding, token_codec, warc
 from .shared import scratch, table
 
 
@@ -31,6 +31,14 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard_no").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = crf_language.fit(docs, ~held_out)
+    # The text stays behind: only what the result needs leaves the workers.
+    return crf_language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op5_huffman_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:
     import public_tokenizers
 
@@ -85,5 +93,5 @@ SELECT doc_id, size, source_size, target,
 FROM judged
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op5_huffman_tokens": op5_huffman_tokens, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op5_huffman_tokens": op5_huffman_tokens, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL}
