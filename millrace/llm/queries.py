@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, exact_dedup, licenses, mixing, sharding, token_codec, warc
+from . import crf_language, decontamination, exact_dedup, licenses, mixing, sharding, token_codec, warc
 from .shared import scratch, table
 
 
@@ -47,6 +47,10 @@ def op5_huffman_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "word_
     return token_codec.read_digests(spark, folder, files)
 
 
+def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -93,5 +97,5 @@ SELECT doc_id, size, source_size, target,
 FROM judged
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op5_huffman_tokens": op5_huffman_tokens, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op5_huffman_tokens": op5_huffman_tokens, "op6_cgk_decontamination": op6_cgk_decontamination, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL}
