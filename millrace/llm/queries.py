@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, decontamination, exact_dedup, licenses, mixing, sharding, token_codec, warc
+from . import crf_language, decontamination, exact_dedup, licenses, mixing, ngram_join, sharding, token_codec, warc
 from .shared import scratch, table
 
 
@@ -61,6 +61,11 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).drop("url")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = ngram_join.NgramJoin(table(spark, sf_dir, "documents"))
+    return join.labelled().withColumnRenamed("id", "doc_id")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixing.apply_mix(docs, mixing.fit_mix(docs))
@@ -97,5 +102,5 @@ SELECT doc_id, size, source_size, target,
 FROM judged
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op5_huffman_tokens": op5_huffman_tokens, "op6_cgk_decontamination": op6_cgk_decontamination, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op5_huffman_tokens": op5_huffman_tokens, "op6_cgk_decontamination": op6_cgk_decontamination, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op9_ngram_join": op9_ngram_join, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL}
