@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, decontamination, exact_dedup, licenses, mixing, ngram_join, sharding, token_codec, warc
+from . import crf_language, decontamination, exact_dedup, lbl_model, licenses, mixing, ngram_join, sharding, token_codec, warc
 from .shared import scratch, table
 
 
@@ -39,6 +39,13 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op4_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    model = lbl_model.fit(docs, ~held_out)
+    return lbl_model.score(docs, model).withColumn("held_out", held_out)
+
+
 def op5_huffman_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:
     import public_tokenizers
 
@@ -102,5 +109,5 @@ SELECT doc_id, size, source_size, target,
 FROM judged
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op5_huffman_tokens": op5_huffman_tokens, "op6_cgk_decontamination": op6_cgk_decontamination, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op9_ngram_join": op9_ngram_join, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op4_lbl_scores": op4_lbl_scores, "op5_huffman_tokens": op5_huffman_tokens, "op6_cgk_decontamination": op6_cgk_decontamination, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op9_ngram_join": op9_ngram_join, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL}
