@@ -8,7 +8,7 @@ compared by grouping on the text itself, which Spark combines on the map side, s
 is one row per task. Should two texts share a digest, each text becomes a group of its own.
 
 Defined results: null counts as empty, and empty texts are equal to one another; of equal texts the
-row with the largest identifier stays; identifiers must not be null, and rows that repeat one count
+row with the largest identifier stays, and null is less than any; rows that repeat an identifier count
 separately; an empty table gives no rows; other columns are not read.
 """
 
@@ -108,7 +108,7 @@ def deduplicate(
     sized = written(groups.select("digest", F.sha2("bytes", 256).alias("text_sha256"), "keep_id", "group_size"), f"{path}/groups")
     texts = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("only_keep"), F.max("group_size").alias("only_size"))
     # The state stands where the bytes bear it out; where a digest has several texts, the texts decide.
-    judged = hits.join(texts, "digest").withColumn("alone", (F.col("texts") == 1) & (F.col("only_keep") == F.col("keep_id")) & (F.col("only_size") == F.col("group_size")))
+    judged = hits.join(texts, "digest").withColumn("alone", (F.col("texts") == 1) & F.col("only_keep").eqNullSafe(F.col("keep_id")) & (F.col("only_size") == F.col("group_size")))
     judged = written(judged, f"{path}/judged")
     text = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"))
@@ -121,4 +121,4 @@ def deduplicate(
         joined = rows.join(shared.select("digest"), "digest", "left_anti").join(fine, "digest", "left").unionByName(
             rows.join(split, ["digest", "text_sha256"]).withColumn("keep_file", F.lit(None).cast("string")).withColumn("keep_row", F.lit(None).cast("long")))
     keep = F.coalesce("keep_id", "id")
-    return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (keep == F.col("id")).alias("kept"), "text_sha256", "keep_file", "keep_row")
+    return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), "text_sha256", "keep_file", "keep_row")

@@ -107,7 +107,8 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, own: Sequence[
         listed(F.when(F.col("is_base"), F.col("label"))).alias("base_labels"), listed(F.col("label")).alias("labels"), F.max("cover").alias("score"))
     by_doc = written(by_doc, scratch(docs.sparkSession, "licenses"))
     n_words = F.coalesce(F.regexp_count(ascii_lower(F.col(text_col)), F.lit(LICENSE_WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), n_words.alias("n_words")).join(by_doc, "id", "left")
+    rows = docs.select(F.col(id_col).alias("doc"), n_words.alias("n_words"))
+    rows = rows.join(by_doc, F.col("doc").eqNullSafe(F.col("id")), "left")
     return rows.select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
+        F.col("doc").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -307,7 +307,9 @@ def marked(docs: DataFrame, wanted: DataFrame, max_bits: int = 1 << 28) -> DataF
 
 
 def one_of_each(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose identifier is the least of its component; of rows that repeat it, one."""
+    """The rows of docs whose identifier is the least of its component; of rows that repeat it, one. Rows without one stay."""
     kept = labelled.filter("id = component_id").select(F.col("id").alias(id_col))
     left = docs.join(kept, id_col, "left_semi")
-    return left.dropDuplicates([id_col]) if not kept.groupBy(id_col).count().filter("count > 1").isEmpty() else left
+    if not kept.groupBy(id_col).count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([id_col])
+    return left.unionByName(docs.filter(F.col(id_col).isNull()))
