@@ -42,7 +42,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, stop_w
     having = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = counts.join(having, "term").crossJoin(F.broadcast(sizes))
     gain = idf(F.col("total"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = part.select("id", "term", gain.alias("gain")).join(asked, "term").groupBy("query_id", "id").agg(F.sum("gain").alias("score"), F.count(F.lit(1)).alias("matched"))
+    scored = part.select("id", "term", gain.alias("gain")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 9).alias("score"), F.count(F.lit(1)).alias("matched"))
     return top_by(scored, ["query_id"], "score", "id", top)
 
 

@@ -206,7 +206,7 @@ sizes AS (SELECT count(*) AS total, avg(len(terms)) AS mean FROM d),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({KEY}) AS term FROM benchmark WHERE item_id < 8),
 tf AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-scored AS (SELECT query_id, doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score, count(*) AS matched
+scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 9) AS score, count(*) AS matched
   FROM tf JOIN df USING (term) JOIN q USING (term), sizes GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, doc_id) AS rank2 FROM scored)"""
 DOT = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
