@@ -7,9 +7,13 @@ one-in-SAMPLE trial come last. Products of rows are summed by pair; a pair goes
 allow the threshold and its summed overlap plus what either row has left reaches the bound that follows
 from the sizes. What goes on is verified on the whole sets.
 
-Groups of near copies would give products of all their pairs. So each column first ties its rows to
-one of them; ties with a large overlap are verified, and rows that these links already join are
-not multiplied with one another again, as no product among them can change a component.
+Groups of near copies would give products of all their pairs. So each column with LARGE rows or more
+first ties them to one of its rows, another in each column; the TIES ties of a row that look closest
+by a sketch are verified, and rows that these links already join are not multiplied with one another
+again, as no product among them can change a component. Frequent columns are kept only by rows made
+of little else, which they gather in clusters; a cluster is multiplied in blocks of ROWS_A_BLOCK by
+ROWS_A_BLOCK rows, whole sets at a time, and a block gives only the links that join components in it.
+Blocks of one component are left out; the work on the others grows with the square of a cluster.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; with
 fewer words than n the whole sequence is the only n-gram; equal sets link; rows that repeat an
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,9 +37,11 @@ from .shared import remove, scratch, written
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: One document in SAMPLE shows which n-grams are frequent: those in two or more of the trial's documents.
 #: The MAX_FREQUENT most frequent are put last; any order gives the same result.
-SAMPLE, MAX_FREQUENT = 32, 1 << 20
-#: A tie is verified at once when it has this part of a row's kept n-grams.
-TIE = 0.3
+SAMPLE, MAX_FREQUENT = 16, 1 << 20
+#: Rows from which a column is large, ties of a row that are verified, and the least similarity by the sketch for that.
+LARGE, TIES, TIE = 12, 4, 0.5
+SKETCH = 64
+ROWS_A_BLOCK, COLUMNS_A_BLOCK = 512, 4096
 SALTS = 64
 CACHE_WORDS = 400_000
 SET_BYTES = 6
@@ -90,7 +96,20 @@ def all_shingles(n: int):
     return run
 
 
-ROWS = "id long, node long, n int, kept array<long>, frequent int"
+ROWS = "id long, node long, n int, kept array<long>, frequent int, sketch binary"
+
+
+def sketched(h: np.ndarray) -> bytes:
+    """A byte of the least hash in each of SKETCH parts of the hash range."""
+    at = np.searchsorted(h, np.arange(SKETCH, dtype=np.uint64) << np.uint64(58))
+    return np.append(h, np.uint64(0))[at].astype(np.uint8).tobytes()
+
+
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, pivot and the share of equal bytes in their sketches."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1) if batch.num_rows else [], pa.float64())], names=["node", "pivot", "alike"])
 
 
 def kept_rows(shared, n: int, num: int, den: int):
@@ -101,7 +120,7 @@ def kept_rows(shared, n: int, num: int, den: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                nodes, sizes, kept, late = [], [], [], []
+                nodes, sizes, kept, late, sketches = [], [], [], [], []
                 for text in binary_texts(some, 1):
                     h = shingles(text, n)
                     sizes.append(len(h))
@@ -115,14 +134,15 @@ def kept_rows(shared, n: int, num: int, den: int):
                         first, last = h[:keep], h[:0]
                     kept.append(np.concatenate([first, last]))
                     late.append(len(last))
-                columns = [some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists(kept), pa.array(late, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "kept", "frequent"])
+                    sketches.append(sketched(h))
+                columns = [some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists(kept), pa.array(late, pa.int32()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "kept", "frequent", "sketch"])
 
     return run
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, salt, node) in that order: those that share h and salt with another, with the first node of their run.
+    """Of rows (h, salt, node), with those of a run together and in an order of its own: those that share h and salt with another, with the first node of their run.
 
     Rows with a salt of 0 or more are part of a column that is dealt over several runs, and all stay.
     The last run of a batch waits for the next only as its key and first row.
@@ -187,6 +207,47 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["a", "b", "overlap"])
 
 
+def block_links(num: int, den: int):
+    """Of each group of rows (side, comp, node, packed): links between components that join them, as few as do."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        side, comp, node = (table.column(k).to_numpy() for k in ("side", "comp", "node"))
+        sets = [unpacked(x) for x in table.column("packed").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        shared = times[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        by = np.argsort(column, kind="stable")
+        owner, column = owner[by], column[by]
+        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS_A_BLOCK):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS_A_BLOCK])
+            dense = np.zeros((len(sets), COLUMNS_A_BLOCK), np.float32)
+            dense[owner[lo:hi], column[lo:hi] - at] = 1
+            overlap += dense[left] @ dense[right].T
+        total = size[left][:, None] + size[right][None, :]
+        a, b = np.nonzero((overlap * (den + num) >= total * num) & (comp[left][:, None] != comp[right][None, :]))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i, j in zip(left[a].tolist(), right[b].tolist(), strict=True):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                root[x] = y
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
 def sizes_allow(na: Column, nb: Column, num: int, den: int) -> Column:
     return F.least(na, nb) * den >= F.greatest(na, nb) * num
 
@@ -209,7 +270,8 @@ class NgramJoin:
         links = self._verified(ties, "ties")
         comps = components(links)
         more = self._verified(self._products(comps), "products")
-        self.links = written(links.unionByName(more), f"{self.path}/links")
+        known = written(links.select("a", "b").unionByName(more.select("a", "b")), f"{self.path}/known")
+        self.links = written(known.unionByName(self._clusters(components(known))), f"{self.path}/links")
         self.node_comps = components(self.links)
 
     def _rows(self) -> None:
@@ -228,8 +290,8 @@ class NgramJoin:
         rows = self.docs.mapInArrow(kept_rows(shared, self.n, self.num, self.den), ROWS)
         self.rows = written(rows, f"{self.path}/rows")
         last = F.struct((F.col("frequent") > 0).alias("f"), F.element_at("kept", -1).alias("h"))
-        some = self.rows.filter("n > 0").select("node", "id", "n", F.size("kept").alias("p"), last.alias("last"))
-        self.nodes = written(some.groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("last").alias("last")), f"{self.path}/nodes")
+        some = self.rows.filter("n > 0").select("node", "id", "n", F.size("kept").alias("p"), last.alias("last"), "sketch")
+        self.nodes = written(some.groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("last").alias("last"), F.first("sketch").alias("sketch")), f"{self.path}/nodes")
 
     def _columns(self) -> None:
         """Entries of columns with two rows or more, each tied to the first row of its run."""
@@ -237,26 +299,34 @@ class NgramJoin:
         entries = self.rows.filter("n > 0").select("node", "frequent", F.size("kept").alias("p"), at)
         # A frequent column may hold a large part of all rows and is dealt over SALTS runs.
         salt = F.when(F.col("pos") >= F.col("p") - F.col("frequent"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(-1)).cast("long")
-        dealt = entries.select("h", salt.alias("salt"), "node").repartition("h", "salt").sortWithinPartitions("h", "salt", "node")
+        dealt = entries.select("h", salt.alias("salt"), "node").repartition("h", "salt").sortWithinPartitions("h", "salt", F.xxhash64("h", "node"))
         self.columns = written(dealt.mapInArrow(runs, "h long, salt long, node long, pivot long"), f"{self.path}/columns")
 
     def _ties(self) -> DataFrame:
-        first = self.columns.select("h", "salt", "pivot").distinct()
+        large = self.columns.groupBy("h").count().filter(F.col("count") >= LARGE).select("h")
+        large = written(self.columns.join(large, "h"), f"{self.path}/large")
+        first = large.select("h", "salt", "pivot").distinct()
         across = first.groupBy("h").agg(F.min("pivot").alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
         heads = first.join(across, "h").select(F.col("pivot").alias("node"), F.col("top").alias("pivot"))
-        ties = self.columns.select("node", "pivot").unionByName(heads).filter("node <> pivot")
-        counted = ties.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        sized = self._sized(counted)
-        return sized.filter(sizes_allow(F.col("na"), F.col("nb"), self.num, self.den) & (F.col("c") >= F.least("pa", "pb") * TIE))
+        ties = large.select("node", "pivot").unionByName(heads).filter("node <> pivot").distinct()
+        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        ties = ties.join(side("node"), "node").join(side("pivot"), "pivot").filter(sizes_allow(F.col("n_node"), F.col("n_pivot"), self.num, self.den))
+        judged = ties.select("node", "pivot", "s_node", "s_pivot").mapInArrow(alike, "node long, pivot long, alike double").filter(F.col("alike") >= TIE)
+        # A row has a tie for each of its kept n-grams at most.
+        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("alike"), "pivot"))
+        chosen = judged.withColumn("best", best).filter(F.col("best") <= TIES)
+        return self._sized(chosen.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
 
     def _sized(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("last").alias(f"last_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
     def _products(self, comps: DataFrame) -> DataFrame:
-        """Pairs of rows in different components whose summed overlap and sizes leave the threshold within reach."""
-        entries = self.columns.select("h", "node").distinct().join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # Columns that were dealt over several runs, or not tied at all, meet here again by h.
+        """Pairs of rows in different components whose summed overlap and sizes leave the threshold within reach.
+
+        Only over columns that aren't frequent: pairs that share a frequent one are in a cluster.
+        """
+        entries = self.columns.filter("salt < 0").select("h", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         entries = written(entries, f"{self.path}/entries")
         groups = entries.select("h", "comp").distinct()
         several = groups.groupBy("h").count().filter("count > 1").select("h")
@@ -272,13 +342,42 @@ class NgramJoin:
         reach = F.col("c") + F.when(equal, F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))).otherwise(left)
         return sized.filter(sizes_allow(F.col("na"), F.col("nb"), self.num, self.den) & enough(reach, F.col("na"), F.col("nb"), self.num, self.den))
 
+    def _clusters(self, comps: DataFrame) -> DataFrame:
+        """a, b of links that join components among the rows that share frequent columns."""
+        held = self.columns.filter("salt >= 0")
+        first = held.select("h", "salt", "pivot").distinct()
+        heads = first.join(first.groupBy("h").agg(F.min("pivot").alias("top")), "h").select(F.col("pivot").alias("a"), F.col("top").alias("b"))
+        clusters = components(held.select(F.col("node").alias("a"), F.col("pivot").alias("b")).unionByName(heads).distinct())
+        rows = clusters.withColumnRenamed("comp", "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # Rows in order of component, in blocks: a place is the sum of smaller components' sizes, and a count within.
+        size = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
+        before = Window.partitionBy("cluster").orderBy(F.desc("k"), "comp").rowsBetween(Window.unboundedPreceding, -1)
+        size = size.withColumn("at", F.coalesce(F.sum("k").over(before), F.lit(0)))
+        several = size.groupBy("cluster").agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        place = F.row_number().over(Window.partitionBy("cluster", "comp").orderBy("node")) - 1
+        placed = rows.withColumn("place", place).join(size.drop("k"), ["cluster", "comp"]).join(several.drop("comps"), "cluster")
+        placed = placed.withColumn("block", F.floor((F.col("at") + F.col("place")) / ROWS_A_BLOCK).cast("int"))
+        placed = written(placed.select("cluster", "comp", "node", "block", F.floor((F.col("rows") - 1) / ROWS_A_BLOCK).cast("int").alias("last")), f"{self.path}/placed")
+        sets = self._sets(placed.select("node").distinct(), "clusters")
+        lone = placed.groupBy("cluster", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        pairs = lone.alias("x").join(lone.alias("y"), "cluster").filter("x.block <= y.block and not (x.lo = y.lo and x.hi = x.lo and y.hi = y.lo)")
+        pairs = pairs.select("cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+        side = F.when(F.col("i") == F.col("j"), 1).when(F.col("block") == F.col("i"), 0).otherwise(2)
+        tasks = placed.join(pairs, "cluster").filter("block = i or block = j").withColumn("side", side).join(sets, "node")
+        tasks = tasks.select("cluster", "i", "j", "side", "comp", "node", "packed")
+        found = tasks.groupBy("cluster", "i", "j").applyInArrow(block_links(self.num, self.den), "a long, b long")
+        return written(found, f"{self.path}/cluster-links")
+
+    def _sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """node, packed: the whole sets of some rows, from their texts."""
+        wanted = written(nodes.join(self.nodes, "node").select("node", F.col("first_id").alias("id")), f"{self.path}/{name}-wanted")
+        texts = marked(self.docs, wanted).join(wanted, "id").groupBy("node").agg(F.first("text").alias("text"))
+        return written(texts.select("node", "text").mapInArrow(packed_sets(self.n), "node long, packed binary"), f"{self.path}/{name}-sets")
+
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """a, b, overlap, na, nb of the pairs that reach the threshold, on whole sets."""
         pairs = written(pairs.select("a", "b", "na", "nb"), f"{self.path}/{name}")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(self.nodes, "node").select("node", F.col("first_id").alias("id"))
-        wanted = written(wanted, f"{self.path}/{name}-wanted")
-        texts = marked(self.docs, wanted).join(wanted, "id").groupBy("node").agg(F.first("text").alias("text"))
-        sets = written(texts.select("node", "text").mapInArrow(packed_sets(self.n), "node long, packed binary"), f"{self.path}/{name}-sets")
+        sets = self._sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), name)
         side = lambda x: sets.select(F.col("node").alias(x), F.col("packed").alias(f"s{x}"))
         found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(overlaps, "a long, b long, overlap long")
         found = written(found.join(pairs, ["a", "b"]).filter(enough(F.col("overlap"), F.col("na"), F.col("nb"), self.num, self.den)), f"{self.path}/{name}-links")
