@@ -12,14 +12,16 @@ HEAD (pieces, tokens, checkpoints and payload bytes as u32), identifiers (i64),
 little-endian; bits are written from the high end of each byte. Files sort by name in the order of
 identifiers. A document may span blocks but not files.
 
-Defined results: null counts as empty; an empty text is the end id alone; rows that repeat an
+Defined results: null counts as empty; null identifiers come first and are read back as null; an empty text is the end id alone; rows that repeat an
 identifier are kept as they are, side by side; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,11 +34,13 @@ from .files import listed, resolve, whole_file
 from .shared import remove, scratch
 
 MAGIC, HEAD, SUFFIX = b"HUFTOK1\n", "<4I", ".huf"
+#: Stands for a null identifier in the files.
+NO_ID = -(1 << 63)
 BLOCK, STRIDE, MAX_BITS = 1 << 16, 256, 18
 #: Tokens a file holds before the next one is begun, between documents.
 FILE_TOKENS = 1 << 28
-#: Entries of a worker's cache of encoded words, and the longest word it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Entries of a generation of a worker's cache of encoded words.
+CACHE_ENTRIES = 500_000
 
 
 # The code
@@ -128,11 +132,51 @@ def unpacked(blocks: list[tuple[int, np.ndarray, bytes]], table: np.ndarray, ste
 # Encoding
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + k) for k, b in enumerate(others)}}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def core(word: str) -> str:
+    """The word in lower case without one full stop or comma behind a letter; the word itself if lower-casing
+    it isn't a matter of one letter for one, in normal form."""
+    plain = word.lower()
+    if not word.isascii() and (len(plain) != len(word) or "\u03a3" in word or not unicodedata.is_normalized("NFC", word)):
+        return word
+    return plain[:-1] if plain[-1:] in (".", ",") and plain[-2:-1].isalpha() else plain
+
+
+class Words(dict):
+    """What words became, in two generations: looking up a new word encodes it."""
+
+    def __init__(self, coder: Encoder, old: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.coder, self.old = coder, old
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            plain = core(word)
+            if plain == word:
+                ids = self.coder.word(word)
+            else:
+                ids = self[plain] + self[word[-1]] if len(plain) < len(word) else self[plain]
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes texts word by word, keeping what frequent words became.
+    """Encodes texts word by word, keeping what words became.
 
-    Cutting at blanks and line ends changes nothing for a tokenizer that drops white space and never
-    joins across it; whole_texts encodes texts whole, for any other.
+    This is for lower-casing byte-level tokenizers that drop white space and never join across it:
+    there, cutting at blanks and line ends changes nothing; nor does cutting off one full stop or
+    comma behind a letter; and a word of lower-case letters goes to the tokenizer's model as it is.
+    whole_texts encodes texts whole, for any other tokenizer.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int, whole_texts: bool = False):
@@ -140,32 +184,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if max(end_id + 1, self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.whole, self.cache = whole_texts, {"": b""}
+        self.pack = struct.Struct("<H" if self.dtype.itemsize == 2 else "<I").pack
+        self.end = self.pack(end_id)
+        self.whole, self.words = whole_texts, Words(self, {})
 
-    def learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            into[w] = np.array(e.ids, self.dtype).tobytes()
+    def word(self, word: str) -> bytes:
+        if word.isalpha() and word.lower() == word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            return b"".join([self.pack(token.id) for token in self.model.tokenize(letters)])
+        return b"".join(map(self.pack, self.tokenizer.encode(word, add_special_tokens=False).ids))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.whole:
-            return [np.array(e.ids, self.dtype).tobytes() + self.end for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        out = []
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            known = self.cache
-            if new := set(words).difference(known):
-                long = [w for w in new if len(w) > CACHE_CHARS]
-                self.learn([w for w in new if len(w) <= CACHE_CHARS], self.cache)
-                if long:
-                    known = dict(zip(long, [b""] * len(long), strict=True))
-                    self.learn(long, known)
-                    known = {w: self.cache.get(w, known.get(w, b"")) for w in set(words)}
-            out.append(b"".join(map(known.__getitem__, words)) + self.end)
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache = {"": b""}
-        return out
+            return [np.array(e.ids, self.dtype).tobytes() + self.end for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if len(self.words) > CACHE_ENTRIES:
+            self.words = Words(self, dict(self.words))
+        known = self.words.__getitem__
+        return [b"".join(map(known, (t or "").replace("\n", " ").split(" "))) + self.end for t in texts]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(tokenizer_path: str, end_id: int, whole_texts: bool) -> Encoder:
+    """One for all tasks that a worker runs."""
+    return Encoder(tokenizer_path, end_id, whole_texts)
 
 
 PIECES = "part int, seq long, ids binary, docs array<long>, lens array<int>, begins array<boolean>, syms array<int>, counts array<long>"
@@ -176,8 +219,8 @@ def encode_pieces(tokenizer_path: str, end_id: int, whole_texts: bool):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer_path, end_id, whole_texts)
-        width = encoder.dtype.itemsize
+        coder = encoder(tokenizer_path, end_id, whole_texts)
+        width = coder.dtype.itemsize
         counts = np.zeros(1 << 16, np.int64)
         seq, held, docs, lens, begins = 0, bytearray(), [], [], []
 
@@ -189,7 +232,7 @@ def encode_pieces(tokenizer_path: str, end_id: int, whole_texts: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist()), strict=True):
                     done, n = 0, len(ids) // width
                     while done < n:
                         take = min(n - done, BLOCK - len(held) // width)
@@ -197,13 +240,13 @@ def encode_pieces(tokenizer_path: str, end_id: int, whole_texts: bool):
                         docs.append(doc), lens.append(take), begins.append(done == 0)
                         done += take
                         if len(held) == BLOCK * width:
-                            seen = np.bincount(np.frombuffer(held, encoder.dtype))
+                            seen = np.bincount(np.frombuffer(held, coder.dtype))
                             counts = np.concatenate([counts, np.zeros(max(0, len(seen) - len(counts)), np.int64)])
                             counts[: len(seen)] += seen
                             yield row(bytes(held))
                             seq, held, docs, lens, begins = seq + 1, bytearray(), [], [], []
         if held:
-            seen = np.bincount(np.frombuffer(held, encoder.dtype))
+            seen = np.bincount(np.frombuffer(held, coder.dtype))
             counts = np.concatenate([counts, np.zeros(max(0, len(seen) - len(counts)), np.int64)])
             counts[: len(seen)] += seen
             yield row(bytes(held))
@@ -254,7 +297,7 @@ def encode_documents(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Writes the files under folder; returns one row per file: file, tokens."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc")
+    ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc")
     ordered.mapInArrow(encode_pieces(tokenizer_path, end_id, whole_texts), PIECES).write.option("compression", "zstd").parquet(path)
     pieces = spark.read.parquet(path)
     # One row per id of the vocabulary comes back, whatever the number of documents.
@@ -328,7 +371,7 @@ def digests(folder: str):
                 yield table(rows)
 
     def table(rows: list[list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array([None if r[k] == NO_ID else r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
