@@ -94,14 +94,14 @@ def compared(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, diges
 
 def deduplicate(
     spark: SparkSession, source: str, id_col: str = "doc_id", text_col: str = "text", state: str | None = None,
-    digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None,
+    digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, state_partitions: int | None = None,
 ) -> DataFrame:
     """Every row of source: id, keep_id, group_size, kept, text_sha256, keep_file, keep_row.
 
     keep_file and keep_row are null where a row stands alone or its digest was shared by other texts.
     """
     path = scratch(spark, "dedup")
-    held = ingest(spark, source, state or f"{path}/state", id_col, text_col, digest, files_per_batch)
+    held = ingest(spark, source, state or f"{path}/state", id_col, text_col, digest, files_per_batch, state_partitions)
     hits = written(held.filter("group_size > 1"), f"{path}/hits")
     docs = spark.read.parquet(source).select(id_col, text_col)
     groups = compared(docs, hits, id_col, text_col, digest)
