@@ -45,11 +45,16 @@ def fallbacks(log: DataFrame, owner: str, at: str, order: str, kind: str) -> Dat
 def token_bucket(log: DataFrame, owner: str, at: str, order: str, capacity: float, a_second: float) -> DataFrame:
     """By row: whether a bucket of its owner that refills a_second and starts full had a token left to take.
 
-    A bucket that is never empty between two events needs no state: events of an owner are folded in
-    order over (tokens, time), and the fold is the one place where an owner's rows meet.
+    A pause in which the bucket fills up leaves nothing of what came before, so an owner's events are cut
+    there into stretches, found by a window that Spark sorts and spills; each stretch is folded in
+    order over (tokens, time).
     """
+    order_ = Window.partitionBy(owner).orderBy(at, order)
+    pause = seconds(F.col(at)) - seconds(F.lag(at).over(order_))
+    cut = log.withColumn("_new", (F.coalesce(pause * a_second >= capacity, F.lit(True))).cast("int"))
+    log = cut.withColumn("_stretch", F.sum("_new").over(order_.rowsBetween(Window.unboundedPreceding, 0)))
     event = F.struct(seconds(F.col(at)).alias("t"), F.col(order).alias("id"))
-    folded = log.groupBy(owner).agg(F.sort_array(F.collect_list(event)).alias("events"))
+    folded = log.groupBy(owner, "_stretch").agg(F.sort_array(F.collect_list(event)).alias("events"))
     start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("t"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out"))
 
     def step(acc: Column, e: Column) -> Column:

@@ -61,9 +61,9 @@ def term_frequencies(spark, sf):
     return each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df >= 20")
 
 
-def item_queries(spark, sf, n: int = 8):
-    """The first benchmark items as queries: query_id, term."""
-    items = table(spark, sf, "benchmark").filter(F.col("item_id") < n)
+def item_queries(spark, sf):
+    """The stated queries, items whose identifier 20 divides: query_id, term."""
+    items = table(spark, sf, "benchmark").filter("item_id % 20 = 0")
     return items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.keywords(F.col("text"), STOP))).alias("term"))
 
 
@@ -73,7 +73,7 @@ def bm25_search(spark, sf):
 
 
 def query_vectors(spark, sf):
-    v = table(spark, sf, "embeddings").filter("vec_id < 5")
+    v = table(spark, sf, "embeddings").filter("vec_id % 20 = 0")
     return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
 
 
@@ -101,7 +101,7 @@ def retrieval_measures(spark, sf):
     """How the passages found for an item do, where relevant ones contain its text."""
     found = retrieval.bm25(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP, 10)
     lists = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
-    items = table(spark, sf, "benchmark").filter("item_id < 8").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    items = table(spark, sf, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     relevant = documents(spark, sf).select("doc_id", "text").join(F.broadcast(items), F.contains("text", "item")).groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("relevant"))
     both = lists.join(relevant, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
     return both.select("query_id", *[F.round(c, 6).alias(name) for name, c in retrieval.measures(F.col("retrieved"), F.col("relevant"), 5).items()])
@@ -137,7 +137,7 @@ def chunks(spark, sf):
 
 
 def section_lines(spark, sf):
-    out = ingest.numbered_sections(documents(spark, sf).filter("doc_id < 50"), "doc_id", "text")
+    out = ingest.numbered_sections(documents(spark, sf), "doc_id", "text")
     return out.select(F.col("id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("heading", F.lit("")).alias("heading"))
 
 
@@ -197,20 +197,76 @@ def long_conversations(spark, sf):
     return out.filter("users >= 4")
 
 
+def similarity_sweep(spark, sf):
+    """Pairs of the stated query vectors with all vectors that reach each threshold, of the same label and of others."""
+    q = query_vectors(spark, sf).withColumnRenamed("label", "query_label")
+    pairs = table(spark, sf, "embeddings").crossJoin(F.broadcast(q)).filter("vec_id <> query_id")
+    score = F.round(retrieval.V.dot(F.col("embedding"), F.col("query_vector")), 6)
+    thresholds = F.explode(F.array(*[F.lit(k / 10) for k in range(11)])).alias("threshold")
+    same = F.col("label") == F.col("query_label")
+    counted = pairs.select(score.alias("score"), same.alias("same"), thresholds).filter("score >= threshold")
+    return counted.groupBy("threshold").agg(F.count_if("same").alias("same"), F.count_if(~F.col("same")).alias("different"))
+
+
+def tokens_by_role(spark, sf):
+    tokens = F.when(F.length("text") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length("text") / 4))).cast("long")
+    price = F.when(F.col("role") == "assistant", 0.6).otherwise(0.15)
+    c = table(spark, sf, "conversations").withColumn("tokens", tokens)
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.round(F.sum(F.col("tokens") / 1e6 * price), 8).alias("cost"))
+
+
+def review_decisions(spark, sf):
+    """Ordered gates: toxic ones are rejected, low quality is reviewed, the rest approved; documents without a label are reviewed."""
+    docs = documents(spark, sf).select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id", "left")
+    decision = F.when(F.col("toxic") == 1, "REJECT").when(F.coalesce("quality", F.lit(0)) == 0, "NEEDS_REVIEW").otherwise("AUTO_APPROVE")
+    return docs.groupBy("source", decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cache_keys(spark, sf):
+    """Messages by the key of an exact cache: the normalised text within its role."""
+    key = F.sha2(F.concat_ws("||", F.lower(T.collapsed(F.col("text"))), "role"), 256)
+    return table(spark, sf, "conversations").groupBy(F.substring(key, 1, 32).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def duplicate_tiers(spark, sf):
+    """Documents seen before: with the same text in the same source, the same text elsewhere, or the same length, source and first words."""
+    d = documents(spark, sf).select("doc_id", "source", F.md5("text").alias("digest"), "n_chars", F.substring("text", 1, 40).alias("head"))
+    first = lambda keys, name: d.groupBy(*keys).agg(F.min("doc_id").alias(name))
+    tiers = [(["source", "digest"], "one"), (["digest"], "two"), (["source", "n_chars", "head"], "three")]
+    for keys, name in tiers:
+        d = d.join(first(keys, name), keys)
+    tier = F.when(F.col("one") < F.col("doc_id"), 1).when(F.col("two") < F.col("doc_id"), 2).when(F.col("three") < F.col("doc_id"), 3)
+    return d.select("doc_id", tier.alias("tier")).filter("tier is not null")
+
+
+def supported_replies(spark, sf):
+    """By conversation: the mean part of the words of replies that stand in what the user wrote in it."""
+    c = table(spark, sf, "conversations").select("conv_id", "role", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"), "turn")
+    asked = c.filter("role = 'user'").select("conv_id", "w").distinct().withColumn("known", F.lit(1))
+    said = c.filter("role = 'assistant'").join(asked, ["conv_id", "w"], "left")
+    return said.groupBy("conv_id").agg(F.round(F.count("known") / F.count(F.lit(1)), 6).alias("support"))
+
+
+def conflicting_labels(spark, sf):
+    """Texts that have labels of different quality: pairs are counted by text, not joined."""
+    d = documents(spark, sf).select("doc_id", F.md5("text").alias("digest")).join(table(spark, sf, "labels"), "doc_id")
+    return d.groupBy("digest").agg(F.min("quality").alias("low"), F.max("quality").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+
+
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 STOPPED = "('" + "', '".join(STOP) + "')"
 KEY = f"list_filter({WORDS}, lambda x: x NOT IN {STOPPED} AND len(x) >= 2)"
 BM25 = f"""
 d AS (SELECT doc_id, {KEY} AS terms FROM documents),
 sizes AS (SELECT count(*) AS total, avg(len(terms)) AS mean FROM d),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({KEY}) AS term FROM benchmark WHERE item_id < 8),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({KEY}) AS term FROM benchmark WHERE item_id % 20 = 0),
 tf AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 9) AS score, count(*) AS matched
   FROM tf JOIN df USING (term) JOIN q USING (term), sizes GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, doc_id) AS rank2 FROM scored)"""
 DOT = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-NEAREST = f"SELECT q.vec_id AS query_id, e.vec_id, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5"
+NEAREST = f"SELECT q.vec_id AS query_id, e.vec_id, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0"
 HTML = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<nav\b.*?</nav\s*>', ' ', 'g'), '(?is)<footer\b.*?</footer\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 HEADING = r"regexp_matches(line, '^#{1,6} \S|^\d+(\.\d+)*\.? [A-Z]') OR (regexp_matches(line, '^[^a-z]*$') AND regexp_matches(line, '[A-Z].*[A-Z].*[A-Z]') AND len(line) <= 70)"
@@ -237,7 +293,7 @@ QUERIES = {
     "pages_by_host": (pages_by_host, "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1"),
     "repeated_lines": (repeated_lines, "SELECT doc_id, sum(len(line)) + count(line) - 1 AS chars FROM (SELECT doc_id, line, n, count(*) OVER (PARTITION BY doc_id, trim(line)) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) WHERE trim(line) = '' OR len(trim(line)) > 70 OR k < 4 GROUP BY 1 UNION ALL SELECT doc_id, 0 FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR len(trim(x)) > 70 OR len(list_filter(string_split(text, chr(10)), lambda y: trim(y) = trim(x))) < 4)) = 0"),
     "chunks": (chunks, None),
-    "section_lines": (section_lines, f"SELECT doc_id, n - 1 AS line_no, coalesce(last_value(CASE WHEN {HEADING} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id < 50)"),
+    "section_lines": (section_lines, f"SELECT doc_id, n - 1 AS line_no, coalesce(last_value(CASE WHEN {HEADING} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"),
     "emails": (emails, r"SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS n FROM documents) WHERE n > 0"),
     "redactions": (redactions, None),
     "numbers_in_texts": (numbers_in_texts, r"SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '-?\d+(?:\.\d+)?')) AS n FROM documents) WHERE n > 0"),
@@ -247,5 +303,12 @@ QUERIES = {
     "turn_counts": (turn_counts, "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS users, max(turn) AS last_turn FROM conversations GROUP BY 1"),
     "recent_turns": (recent_turns, "SELECT conv_id, turn, (u < 2 OR (u = 2 AND role = 'user')) AS is_recent FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u FROM conversations)"),
     "message_intents": (message_intents, f"SELECT conv_id, turn, {LABEL} AS label, {BEST}::DOUBLE AS score FROM conversations WHERE role = 'user'"),
+    "similarity_sweep": (similarity_sweep, f"WITH p AS (SELECT round({DOT}, 6) AS score, e.label = q.label AS same FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) SELECT threshold, count(*) FILTER (same) AS same, count(*) FILTER (NOT same) AS different FROM p, (SELECT unnest(range(11)) / 10.0::DOUBLE AS threshold) WHERE score >= threshold GROUP BY 1"),
+    "tokens_by_role": (tokens_by_role, "SELECT role, count(*) AS n, sum(t)::BIGINT AS tokens, round(sum(t / 1e6 * CASE WHEN role = 'assistant' THEN 0.6::DOUBLE ELSE 0.15::DOUBLE END), 8) AS cost FROM (SELECT role, CASE WHEN len(text) = 0 THEN 0 ELSE greatest(1, len(text) // 4) END AS t FROM conversations) GROUP BY 1"),
+    "review_decisions": (review_decisions, "SELECT source, CASE WHEN toxic = 1 THEN 'REJECT' WHEN coalesce(quality, 0) = 0 THEN 'NEEDS_REVIEW' ELSE 'AUTO_APPROVE' END AS decision, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2"),
+    "cache_keys": (cache_keys, r"SELECT substr(sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) || '||' || role), 1, 32) AS key, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1"),
+    "duplicate_tiers": (duplicate_tiers, "SELECT doc_id, CASE WHEN a < doc_id THEN 1 WHEN b < doc_id THEN 2 WHEN c < doc_id THEN 3 END AS tier FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, text) AS a, min(doc_id) OVER (PARTITION BY text) AS b, min(doc_id) OVER (PARTITION BY source, n_chars, substr(text, 1, 40)) AS c FROM documents) WHERE tier IS NOT NULL"),
+    "supported_replies": (supported_replies, f"WITH c AS (SELECT conv_id, role, turn, unnest(list_distinct({WORDS})) AS w FROM conversations), a AS (SELECT DISTINCT conv_id, w FROM c WHERE role = 'user') SELECT c.conv_id, round(count(a.w) / count(*), 6) AS support FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.w = c.w WHERE role = 'assistant' GROUP BY 1"),
+    "conflicting_labels": (conflicting_labels, "SELECT md5(text) AS digest, min(quality) AS low, max(quality) AS high, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING min(quality) <> max(quality)"),
     "long_conversations": (long_conversations, "SELECT conv_id, count(*) AS users, len(arg_min(text, turn)) AS first_chars FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 4"),
 }
