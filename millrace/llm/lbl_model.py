@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,10 @@ from .shared import scratch, written
 CONTEXT, WIDTH = 2, 16
 INPUTS, OUTPUTS, SHAPES = 4000, 160, 96
 HEAD = 100_000
-NOISE, BATCH, RATE, ROUNDS, FIRST_ROUND = 48, 2048, 0.12, 2, 8
+NOISE, BATCH, RATE, ROUNDS, FIRST_ROUND = 48, 4096, 0.15, 2, 8
 #: Distinct words of a task that are counted or listed together.
 COUNTED = 300_000
-TOKENS_TOGETHER = 1 << 15
+TOKENS_TOGETHER = 1 << 11
 END = b""
 
 
@@ -86,14 +87,6 @@ class Vocabulary:
     class_words: np.ndarray
     noise: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def place(self, word: bytes) -> tuple[int, int, int]:
-        """Input, output, and count (-1: not in the head) of a word."""
-        known = self.head.get(word)
-        if known:
-            return known
-        s = shape(word)
-        return self.inputs + s, self.outputs + s, -1
-
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals by class of word, and the head. counts: word, c, rank by class."""
@@ -148,31 +141,46 @@ class Parameters:
         return Parameters(*out)
 
 
+class Shapes(dict):
+    """Classes by ending."""
+
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = found = zlib.crc32(ending) % SHAPES
+        return found
+
+
+class Ids(dict):
+    """Numbers of the head's words; all other words have the number of their class behind them. Only the head is kept."""
+
+    def __init__(self, head: dict[bytes, tuple[int, int, int]]):
+        super().__init__(zip(head, range(len(head)), strict=True))
+        self.n, self.shapes = len(head), Shapes()
+
+    def __missing__(self, word: bytes) -> int:
+        return self.n + self.shapes[word[-3:]]
+
+
 class Reader:
-    """Turns texts into inputs, outputs and counts, keeping what it knows of words."""
+    """Turns texts into inputs, outputs and counts."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
+        self.ids = Ids(v.head)
+        classes = [(v.inputs + s, v.outputs + s, -1) for s in range(SHAPES)]
+        self.places = np.array([*v.head.values(), *classes], np.int64)
 
-    def read(self, texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-        """Tokens by text, the place of each token (input, output, count), and the lengths."""
+    @staticmethod
+    def of(v: Vocabulary) -> Reader:
+        """One for all tasks that a worker runs with the same vocabulary."""
+        if not hasattr(v, "reader"):
+            v.reader = Reader(v)
+        return v.reader
+
+    def read(self, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """All tokens, the place of each (input, output, count; -1 outside the head), and the texts' lengths."""
         words = [tokens_of(t) for t in texts]
-        if len(self.known) > COUNTED:
-            self.known = {}
-        known = self.known
-        for w in set().union(*words).difference(known):
-            known[w] = len(known)
-            self._row(w)
-        ids = np.fromiter((known[w] for ws in words for w in ws), np.int64)
-        return words, self.rows[ids], np.array([len(ws) for ws in words])
-
-    def _row(self, w: bytes) -> None:
-        n = len(self.known)
-        if n == 1:
-            self.rows = np.zeros((1 << 12, 3), np.int64)
-        elif n > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n - 1] = self.v.place(w)
+        lengths = np.array([len(ws) for ws in words])
+        flat = [*chain.from_iterable(words)]
+        return flat, self.places[np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))], lengths
 
 
 def contexts(inputs: np.ndarray, lengths: np.ndarray, before: int) -> np.ndarray:
@@ -233,7 +241,7 @@ def trainer(shared, seed: int):
         p = Parameters.fresh(v).filled(flat)
         memory = [np.full(x.shape, 1.0, np.float32) for x in (p.inputs, p.moves, p.outputs, p.bias)]
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        reader, cdf, tokens = Reader(v), np.cumsum(v.noise), 0
+        reader, cdf, tokens = Reader.of(v), np.cumsum(v.noise), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 _, places, lengths = reader.read(batch.column(0).slice(at, 64).cast(pa.binary()).to_pylist())
@@ -288,7 +296,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     return Model(v, p.filled(flat), counts)
 
 
-SCORED = "row long, id long, n_tokens long, n_known long, base double, score double, tail array<struct<word:binary,k:int>>"
+SCORED = "row long, id long, n_tokens long, n_known long, base double, score double, tail array<binary>"
 
 
 def scorer(shared):
@@ -296,13 +304,12 @@ def scorer(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = shared.value
-        reader = Reader(v)
+        reader = Reader.of(v)
         log_class = np.log10(v.class_total + v.class_words + 1.0)
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
-                words, places, lengths = reader.read(some.column(2).cast(pa.binary()).to_pylist())
+                flat, places, lengths = reader.read(some.column(2).cast(pa.binary()).to_pylist())
                 first = np.cumsum(lengths) - lengths
                 count = places[:, 2]
                 known = count >= 0
@@ -311,12 +318,10 @@ def scorer(shared):
                 got = log_probabilities(p, contexts(places[:, 0], lengths, len(p.inputs) - 1), places[:, 1])
                 # A class shares its probability among its words by their counts; those of the tail are added later.
                 got += np.where(in_class, log_count * known - log_class[np.where(in_class, places[:, 1] - v.outputs, 0)], 0)
-                tails = []
-                for k, ws in enumerate(words):
-                    out = np.flatnonzero(~known[first[k] : first[k] + lengths[k]])
-                    tails.append([{"word": w, "k": n} for w, n in Counter(ws[i] for i in out.tolist()).items()])
+                out = np.flatnonzero(~known)
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(out, np.append(first, len(flat))), pa.int32()), pa.array([flat[i] for i in out.tolist()], pa.binary()))
                 add = lambda x: np.add.reduceat(x, first)
-                columns = [some.column(0), some.column(1), pa.array(lengths), pa.array(add(known.astype(np.int64))), pa.array(add(log_count * known)), pa.array(add(got)), pa.array(tails, kind)]
+                columns = [some.column(0), some.column(1), pa.array(lengths), pa.array(add(known.astype(np.int64))), pa.array(add(log_count * known)), pa.array(add(got)), tails]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORED.split(", ")])
 
     return run
@@ -325,17 +330,23 @@ def scorer(shared):
 def log_probabilities(p: Parameters, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token's output, normalised over all outputs."""
     moved = [p.inputs @ p.moves[k] for k in range(CONTEXT)]
-    out = np.empty(len(target))
+    reach, top = float(np.sqrt((p.outputs**2).sum(axis=1).max())), float(p.bias.max())
+    # One product gives the scores less a bound of the largest, so that no exponential overflows.
+    wide = np.concatenate([p.outputs, p.bias[:, None], np.ones((len(p.bias), 1), np.float32)], axis=1).T.copy()
+    ones, out = np.ones(len(p.bias), np.float32), np.empty(len(target))
     for at in range(0, len(target), TOKENS_TOGETHER):
         block = slice(at, at + TOKENS_TOGETHER)
-        r = sum(moved[k][ctx[k, block]] for k in range(CONTEXT))
-        scores = r @ p.outputs.T
-        scores += p.bias
-        own = scores[np.arange(len(r)), target[block]].astype(np.float64)
-        top = scores.max(axis=1, keepdims=True)
-        scores -= top
+        r = moved[0][ctx[0, block]]
+        for k in range(1, CONTEXT):
+            r += moved[k][ctx[k, block]]
+        y = target[block]
+        bound = np.sqrt(np.einsum("ij,ij->i", r, r)) * reach + top
+        scores = np.concatenate([r, np.ones((len(r), 1), np.float32), -bound[:, None]], axis=1) @ wide
         np.exp(scores, out=scores)
-        out[block] = own - top[:, 0] - np.log(scores.sum(axis=1))
+        total = (scores @ ones).astype(np.float64)
+        for i in np.flatnonzero(total < 1e-25):  # the bound was far above all scores
+            total[i] = np.exp((r[i].astype(np.float64) @ p.outputs.T + p.bias) - bound[i]).sum()
+        out[block] = np.einsum("ij,ij->i", r, p.outputs[y]) + p.bias[y] - bound - np.log(total)
     return out / np.log(10)
 
 
@@ -347,9 +358,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     path = scratch(spark, "scores")
     scored = written(rows.mapInArrow(scorer(shared), SCORED), path)
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k")
+    tail = scored.select("row", F.explode("tail").alias("word"))
     found = tail.join(model.counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("known"))
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("more"), F.count("c").alias("known"))
     joined = scored.drop("tail").join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     below = float(np.log10(v.total + v.distinct + 1.0))
