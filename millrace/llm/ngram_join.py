@@ -46,6 +46,8 @@ SALTS = 64
 CACHE_WORDS = 400_000
 SET_BYTES = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes are ordered as unsigned, but stored as signed numbers; with this bit flipped those compare in the same order.
+TOP_BIT = -(1 << 63)
 
 _known: dict[bytes, int] = {}
 
@@ -289,7 +291,7 @@ class NgramJoin:
         shared = self.spark.sparkContext.broadcast(frequent)
         rows = self.docs.mapInArrow(kept_rows(shared, self.n, self.num, self.den), ROWS)
         self.rows = written(rows, f"{self.path}/rows")
-        last = F.struct((F.col("frequent") > 0).alias("f"), F.element_at("kept", -1).alias("h"))
+        last = F.struct((F.col("frequent") > 0).alias("f"), F.element_at("kept", -1).bitwiseXOR(F.lit(TOP_BIT)).alias("h"))
         some = self.rows.filter("n > 0").select("node", "id", "n", F.size("kept").alias("p"), last.alias("last"), "sketch")
         self.nodes = written(some.groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("last").alias("last"), F.first("sketch").alias("sketch")), f"{self.path}/nodes")
 

@@ -391,6 +391,22 @@ def test_ngram_join(spark, monkeypatch, sample):
     assert ngram_join.NgramJoin(docs.limit(0)).labelled().count() == 0
 
 
+def test_ngram_join_of_short_texts_and_half_boilerplate(spark):
+    """The bound by the last kept n-grams holds on either side of the middle of the hash range."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(150):
+        words = prose(rng, rng.choice([9, 9, 10])).split()
+        texts += [" ".join(words), " ".join(words[:-1])]
+    passage = prose(rng, 32)
+    for k in range(40):
+        own = prose(rng, 52).split()
+        texts += [f"{' '.join(own)} {passage}", f"{' '.join(own[: -(k % 5) - 4])} {prose(rng, 3 + k % 5)} {passage}"]
+    rows = [(k, t, None, None) for k, t in enumerate(texts)]
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.NgramJoin(documents(spark, rows)).labelled().collect()}
+    assert got == jaccard_components(rows)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
