@@ -16,9 +16,9 @@ ROWS_A_BLOCK rows, whole sets at a time, and a block gives only the links that j
 Blocks of one component are left out; the work on the others grows with the square of a cluster.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; with
-fewer words than n the whole sequence is the only n-gram; equal sets link; rows that repeat an
-identifier are one document with its first set kept for each row; an empty table gives no rows; other
-columns are not read.
+fewer words than n the whole sequence is the only n-gram; equal sets link; each row has its own set,
+also where an identifier repeats or is null, and a component is named by the least identifier in it, or
+by null; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def all_shingles(n: int):
     return run
 
 
-ROWS = "id long, node long, n int, kept array<long>, frequent int, sketch binary"
+ROWS = "id long, key long, node long, n int, kept array<long>, frequent int, sketch binary"
 
 
 def sketched(h: np.ndarray) -> bytes:
@@ -115,7 +115,7 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_rows(shared, n: int, num: int, den: int):
-    """Identifier, row of the matrix, size of the set, and its kept n-grams, the last `frequent` of which are frequent ones."""
+    """Identifier, locator, row of the matrix, size of the set, and its kept n-grams, the last `frequent` of which are frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -137,8 +137,8 @@ def kept_rows(shared, n: int, num: int, den: int):
                     kept.append(np.concatenate([first, last]))
                     late.append(len(last))
                     sketches.append(sketched(h))
-                columns = [some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists(kept), pa.array(late, pa.int32()), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "kept", "frequent", "sketch"])
+                columns = [some.column(0), some.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists(kept), pa.array(late, pa.int32()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "node", "n", "kept", "frequent", "sketch"])
 
     return run
 
@@ -250,6 +250,11 @@ def block_links(num: int, den: int):
     return run
 
 
+def locator(id_: Column, text: Column) -> Column:
+    """A hash that rows share only if both identifier and text are equal, nulls included."""
+    return F.xxhash64(id_, F.coalesce(text, F.lit("")), id_.isNull())
+
+
 def sizes_allow(na: Column, nb: Column, num: int, den: int) -> Column:
     return F.least(na, nb) * den >= F.greatest(na, nb) * num
 
@@ -265,7 +270,8 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: tuple[int, int] = (NUMERATOR, DENOMINATOR)):
         self.spark, self.n, (self.num, self.den) = docs.sparkSession, n, threshold
         self.path = scratch(self.spark, "ngrams")
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        id_ = F.col(id_col).cast("long")
+        self.docs = docs.select(id_.alias("id"), F.col(text_col).alias("text"), locator(id_, F.col(text_col)).alias("key"))
         self._rows()
         self._columns()
         ties = self._ties()
@@ -292,8 +298,9 @@ class NgramJoin:
         rows = self.docs.mapInArrow(kept_rows(shared, self.n, self.num, self.den), ROWS)
         self.rows = written(rows, f"{self.path}/rows")
         last = F.struct((F.col("frequent") > 0).alias("f"), F.element_at("kept", -1).bitwiseXOR(F.lit(TOP_BIT)).alias("h"))
-        some = self.rows.filter("n > 0").select("node", "id", "n", F.size("kept").alias("p"), last.alias("last"), "sketch")
-        self.nodes = written(some.groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("last").alias("last"), F.first("sketch").alias("sketch")), f"{self.path}/nodes")
+        some = self.rows.filter("n > 0").select("node", "id", "key", "n", F.size("kept").alias("p"), last.alias("last"), "sketch")
+        least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("least")
+        self.nodes = written(some.groupBy("node").agg(least, F.min("key").alias("key"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("last").alias("last"), F.first("sketch").alias("sketch")), f"{self.path}/nodes")
 
     def _columns(self) -> None:
         """Entries of columns with two rows or more, each tied to the first row of its run."""
@@ -372,8 +379,9 @@ class NgramJoin:
 
     def _sets(self, nodes: DataFrame, name: str) -> DataFrame:
         """node, packed: the whole sets of some rows, from their texts."""
-        wanted = written(nodes.join(self.nodes, "node").select("node", F.col("first_id").alias("id")), f"{self.path}/{name}-wanted")
-        texts = marked(self.docs, wanted).join(wanted, "id").groupBy("node").agg(F.first("text").alias("text"))
+        wanted = written(nodes.join(self.nodes, "node").select("node", "key"), f"{self.path}/{name}-wanted")
+        # Rows with equal keys have the same text and are brought together before they meet the rows of the matrix.
+        texts = marked(self.docs, wanted).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
         return written(texts.select("node", "text").mapInArrow(packed_sets(self.n), "node long, packed binary"), f"{self.path}/{name}-sets")
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -387,30 +395,34 @@ class NgramJoin:
         return found
 
     def labelled(self) -> DataFrame:
-        """id, n_shingles, component_id for every row of the table."""
+        """id, n_shingles, component_id for every row of the table, its key, and whether it stands for its component."""
         named = self.nodes.join(self.node_comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-        by_node = written(named.join(least, "comp").select("node", "component_id"), f"{self.path}/by_node")
-        out = self.rows.select("id", "node", "n").join(by_node, "node", "left")
-        return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        least = named.groupBy("comp").agg(F.min("least").alias("head"))
+        by_node = written(named.join(least, "comp").select("node", "head"), f"{self.path}/by_node")
+        out = self.rows.select("id", "key", "node", "n").join(by_node, "node", "left")
+        stands = (F.col("n") == 0) | F.coalesce(F.col("key") == F.col("head.key"), F.lit(False))
+        return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("head.id", "id").alias("component_id"), "key", stands.alias("stands"))
 
 
 def marked(docs: DataFrame, wanted: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
-    """docs without most of the rows whose id isn't wanted: a bitmap of hashed ids is broadcast, 32 MB at most."""
+    """docs without most of the rows whose key isn't wanted: a bitmap of hashed keys is broadcast, 32 MB at most."""
     n, bits = wanted.count(), 1 << 16
     while bits < min(8 * n, max_bits):
         bits *= 2
-    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    spot = F.pmod(F.xxhash64("key"), F.lit(bits))
     bitmap = wanted.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bitmap"))
     placed = docs.withColumn("bucket", F.bitmap_bucket_number(spot)).withColumn("bit", F.bitmap_bit_position(spot)).join(F.broadcast(bitmap), "bucket")
     byte = "cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
     return placed.filter(F.expr(f"shiftright({byte}, cast(bit % 8 as int)) % 2 = 1")).select(*docs.columns)
 
 
-def one_of_each(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose identifier is the least of its component; of rows that repeat it, one. Rows without one stay."""
-    kept = labelled.filter("id = component_id").select(F.col("id").alias(id_col))
-    left = docs.join(kept, id_col, "left_semi")
-    if not kept.groupBy(id_col).count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates([id_col])
-    return left.unionByName(docs.filter(F.col(id_col).isNull()))
+def one_of_each(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component, with its least identifier. Rows without words, or without an identifier, stay."""
+    key = locator(F.col(id_col).cast("long"), F.col(text_col))
+    # Of rows with words that are equal in identifier and text, one stands for the others.
+    once = (F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)
+    kept = labelled.filter("stands and id is not null").groupBy(F.col("key").alias("__key")).agg(once.alias("__once"))
+    left = docs.withColumn("__key", key).join(kept, "__key")
+    if not kept.filter("__once").isEmpty():
+        left = left.filter(~F.col("__once")).unionByName(left.filter("__once").dropDuplicates(["__key"]))
+    return left.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -70,7 +70,7 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = ngram_join.NgramJoin(table(spark, sf_dir, "documents"))
-    return join.labelled().withColumnRenamed("id", "doc_id")
+    return join.labelled().select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

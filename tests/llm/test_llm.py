@@ -407,6 +407,25 @@ def test_ngram_join_of_short_texts_and_half_boilerplate(spark):
     assert got == jaccard_components(rows)
 
 
+def test_ngram_join_of_repeated_and_null_identifiers(spark):
+    """Each row has its own set; a row without an identifier bridges two; rows that only share an identifier stay."""
+    rng = random.Random(33)
+    a, b, c, d, bridge = (prose(rng, 40).split() for _ in range(5))
+    near = lambda words, k, by: " ".join([*words[:k], *[f"{w}{by}" for w in words[k:]]])
+    rows = [(1, near(a, 40, "")), (1, near(b, 40, "")), (7, near(a, 38, "z")), (8, near(b, 38, "z")), (9, near(c, 40, "")), (9, near(d, 40, "")), (9, near(d, 40, ""))]
+    # 20 and 30 are each within reach of the row without an identifier, but not of each other.
+    rows += [(20, near(bridge, 37, "x")), (None, near(bridge, 40, "")), (30, " ".join([*[f"{w}y" for w in bridge[:3]], *bridge[3:]]))]
+    rows += [(40, None), (40, ""), (41, "only once"), (None, "nothing else")]
+    docs = spark.createDataFrame([(i, t, None, None, k) for k, (i, t) in enumerate(rows)], DOCS)
+    got = collections.Counter((r["id"], r["n_shingles"], r["component_id"]) for r in ngram_join.NgramJoin(docs).labelled().collect())
+    whole = lambda i, comp: (i, 36, comp)
+    want = [whole(1, 1), whole(1, 1), whole(7, 1), whole(8, 1), whole(9, 9), whole(9, 9), whole(9, 9), whole(20, 20), whole(None, 20), whole(30, 20)]
+    assert got == collections.Counter([*want, (40, 0, 40), (40, 0, 40), (41, 1, 41), (None, 1, None)])
+    kept = ngram_join.one_of_each(docs, ngram_join.NgramJoin(docs).labelled())
+    left = sorted(r["n_chars"] for r in kept.collect())
+    assert kept.columns == docs.columns and left in ([0, 1, 4, x, 7, 8, 10, 11, 12, 13] for x in (5, 6))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
