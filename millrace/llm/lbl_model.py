@@ -108,7 +108,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if k >= n_out:
             class_total[s] -= minus
             class_words[s] += 1
-    tail = counts.filter(F.col("c") < least).select((F.crc32(F.expr("right(word, 3)")) % SHAPES).alias("s"), "c")
+    tail = counts.filter(F.col("c") < least).select((F.crc32(F.substring("word", -3, 3)) % SHAPES).alias("s"), "c")
     for r in tail.groupBy("s").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).collect():
         class_total[r["s"]] += r["c"]
         class_words[r["s"]] += r["k"]

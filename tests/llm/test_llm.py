@@ -199,6 +199,23 @@ def test_model_probabilities_sum_to_one_and_counts_are_exact(spark):
     assert lbl_model.score(docs.limit(0), lbl_model.fit(docs.limit(0), F.lit(True))).count() == 0
 
 
+def test_model_classes_of_words_outside_the_head(spark, monkeypatch):
+    """Totals of classes are summed by the bytes that scoring looks at, also for letters of several bytes and short words."""
+    monkeypatch.setattr(lbl_model, "HEAD", 5)
+    rng = random.Random(8)
+    endings = ["é", "ü", "ñ", "für", "où", "ß", "a", "ab", "año", "été", "straße", "größe", "中文", "😀", "plain"]
+    rows = [(k, " ".join(rng.choice(endings + [f"w{rng.randrange(30)}{rng.choice(endings)}"]) for _ in range(40)), None, None) for k in range(40)]
+    v = lbl_model.fit(documents(spark, rows), F.lit(True)).vocabulary
+    counts = collections.Counter(w for _, t, *_ in rows for w in [*t.encode().lower().split(), b""])
+    total, words = np.zeros(lbl_model.SHAPES, np.int64), np.zeros(lbl_model.SHAPES, np.int64)
+    for w, c in counts.items():
+        place = lbl_model.Reader(v).places[lbl_model.Reader(v).ids[w]][1] - v.outputs
+        if place >= 0:
+            total[place] += c
+            words[place] += 1
+    assert len(v.head) <= 5 and np.array_equal(v.class_total, total) and np.array_equal(v.class_words, words)
+
+
 # Token files
 
 
