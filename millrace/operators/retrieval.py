@@ -30,8 +30,8 @@ def idf(total: Column, having: Column) -> Column:
     return F.when(having <= 0, 0.0).otherwise(F.log1p((total - having + 0.5) / (having + 0.5)))
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, stop_words: Sequence[str] = (), top: int = 10) -> DataFrame:
-    """query_id, id, score, rank of the top documents of each query (query_id, term rows).
+def bm25_scores(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
+    """query_id, id, score, matched of all documents with a term of each query (query_id, term rows).
 
     Only terms of queries are counted by document; the query terms are broadcast by Spark when small.
     """
@@ -42,8 +42,12 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, stop_w
     having = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = counts.join(having, "term").crossJoin(F.broadcast(sizes))
     gain = idf(F.col("total"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = part.select("id", "term", gain.alias("gain")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 9).alias("score"), F.count(F.lit(1)).alias("matched"))
-    return top_by(scored, ["query_id"], "score", "id", top)
+    return part.select("id", "term", gain.alias("gain")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 9).alias("score"), F.count(F.lit(1)).alias("matched"))
+
+
+def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, stop_words: Sequence[str] = (), top: int = 10) -> DataFrame:
+    """query_id, id, score, matched, rank of the top documents of each query by their scores."""
+    return top_by(bm25_scores(docs, id_col, text_col, queries, stop_words), ["query_id"], "score", "id", top)
 
 
 def top_by(scored: DataFrame, keys: list[str], score: str, tie: str, top: int) -> DataFrame:

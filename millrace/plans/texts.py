@@ -90,10 +90,11 @@ def scoped_vector_match(spark, sf):
 
 def hybrid_search(spark, sf):
     """Fusion of two rankings of documents by query: BM25, and the number of matched terms."""
-    docs, q = documents(spark, sf), item_queries(spark, sf)
-    scored = retrieval.bm25(docs, "doc_id", "text", q, STOP, 20)
-    by_match = retrieval.top_by(retrieval.bm25(docs, "doc_id", "text", q, STOP, 1_000_000).drop("rank"), ["query_id"], "matched", "id", 20)
-    fused = retrieval.fused(scored, by_match)
+    scores = retrieval.bm25_scores(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP)
+    # Both rankings in one pass over the scores: a row for each.
+    values = F.posexplode(F.array("score", F.col("matched").cast("double"))).alias("ranking", "value")
+    ranked = retrieval.top_by(scores.select("query_id", "id", values), ["query_id", "ranking"], "value", "id", 20)
+    fused = ranked.groupBy("query_id", "id").agg(F.sum(1 / (retrieval.FUSION + F.col("rank"))).alias("score"))
     return retrieval.top_by(fused, ["query_id"], "score", "id", 5).select("query_id", F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 

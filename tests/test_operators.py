@@ -9,7 +9,7 @@ from millrace.functions import stats
 from millrace.functions import text as T
 from millrace.functions import vector as V
 from millrace.operators import conversations, ingest, retrieval, traces, workflow
-from millrace.plans import guard
+from millrace.plans import guard, texts
 from millrace.sources import files
 from millrace.streaming import logs as stream
 
@@ -122,6 +122,16 @@ def test_fusion_keeps_items_of_one_ranking(spark):
     assert abs(got["y"] - (1 / 62 + 1 / 61)) < 1e-12 and abs(got["x"] - 1 / 61) < 1e-12 and len(got) == 3
 
 
+def test_fusion_ranks_all_documents_by_matched_terms(spark, tmp_path):
+    """A long document that matches all terms stands behind a million shorter ones by score, and is first by matches."""
+    short = spark.range(1, 1_000_011).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "alpha").otherwise("beta").alias("text"))
+    long = spark.createDataFrame([(2_000_000, "alpha beta " + "gamma " * 5000)], "doc_id long, text string")
+    short.unionByName(long).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(20, "alpha beta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = texts.hybrid_search(spark, str(tmp_path)).collect()
+    assert max(r["score"] for r in got) == round(1 / 61 + 1 / 62, 9)
+
+
 def test_tags_deny_and_sources_allow(spark):
     df = spark.createDataFrame([("public", "s")], "tag string, source string")
     assert retrieval.allowed(df, "tag", []).count() == 0
