@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round gives a node the least label among its neighbours, then the label of its label, so
     chains shorten by halves. A node with many neighbours is a group of a minimum, which Spark
-    combines on the map side.
+    combines on the map side. Labels of labels are looked up once for each distinct label, and only those
+    that lead further are joined back, so that a component with most of the nodes is no hot key there.
     """
     spark = edges.sparkSession
     path = scratch(spark, "components")
@@ -24,9 +25,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         turn += 1
         near = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = stepped.select(F.col("x").alias("label"), F.col("label").alias("further"))
-        fresh = written(stepped.join(jump, "label").select("x", "old", F.least("label", "further").alias("label")), f"{path}/{turn}")
+        stepped = written(labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "near").alias("label")), f"{path}/step{turn}")
+        used = stepped.select("label").distinct()
+        leads = used.join(stepped.select(F.col("x").alias("label"), F.col("label").alias("further")), "label").filter("further < label")
+        fresh = written(stepped.join(leads, "label", "left").select("x", "old", F.coalesce("further", "label").alias("label")), f"{path}/{turn}")
         if fresh.filter("label <> old").isEmpty():
             break
         labels = fresh.select("x", "label")

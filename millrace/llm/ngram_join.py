@@ -8,12 +8,13 @@ allow the threshold and its summed overlap plus what either row has left reaches
 from the sizes. What goes on is verified on the whole sets.
 
 Groups of near copies would give products of all their pairs. So each column with LARGE rows or more
-first ties them to one of its rows, another in each column; the TIES ties of a row that look closest
-by a sketch are verified, and rows that these links already join are not multiplied with one another
-again, as no product among them can change a component. Frequent columns are kept only by rows made
-of little else, which they gather in clusters; a cluster is multiplied in blocks of ROWS_A_BLOCK by
-ROWS_A_BLOCK rows, whole sets at a time, and a block gives only the links that join components in it.
-Blocks of one component are left out; the work on the others grows with the square of a cluster.
+first ties them to one of its rows, the first in one of ORDERS orders; the TIES ties of a row that look
+closest by a sketch are verified, and rows that these links already join are not multiplied with one
+another again, as no product among them can change a component. Frequent columns are kept only by rows
+made of little else, which they gather in clusters; a cluster is multiplied in blocks of about
+ROWS_A_BLOCK rows or SHINGLES_A_BLOCK n-grams, whole sets at a time, and a block gives only the links
+that join components in it. Blocks of one component, and of sizes too far apart, are left out; the work on
+the others grows with the square of a cluster. Sets count as equal if 64-bit sums over their n-grams are.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; with
 fewer words than n the whole sequence is the only n-gram; equal sets link; each row has its own set,
@@ -23,7 +24,9 @@ by null; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import remove, scratch, written
+from .shared import released, remove, scratch, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: One document in SAMPLE shows which n-grams are frequent: those in two or more of the trial's documents.
@@ -40,10 +43,10 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SAMPLE, MAX_FREQUENT = 16, 1 << 20
 #: Rows from which a column is large, ties of a row that are verified, and the least similarity by the sketch for that.
 LARGE, TIES, TIE = 12, 4, 0.5
-SKETCH = 64
-ROWS_A_BLOCK, COLUMNS_A_BLOCK = 512, 4096
+SKETCH, ORDERS = 64, 4
+ROWS_A_BLOCK, SHINGLES_A_BLOCK, COLUMNS_A_BLOCK = 512, 200_000, 4096
 SALTS = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 SET_BYTES = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes are ordered as unsigned, but stored as signed numbers; with this bit flipped those compare in the same order.
@@ -95,7 +98,7 @@ def all_shingles(n: int):
                 sets = [shingles(t, n) for t in binary_texts(batch.slice(at, 500), 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    return run
+    return released(run, _known)
 
 
 ROWS = "id long, key long, node long, n int, kept array<long>, frequent int, sketch binary"
@@ -140,47 +143,36 @@ def kept_rows(shared, n: int, num: int, den: int):
                 columns = [some.column(0), some.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists(kept), pa.array(late, pa.int32()), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "node", "n", "kept", "frequent", "sketch"])
 
-    return run
+    return released(run, _known)
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, salt, node), with those of a run together and in an order of its own: those that share h and salt with another, with the first node of their run.
+    """Of rows (h, salt, node), with those of a run together and in an order of its own: those that share h and salt with another, with the first node of their run, and whether the run is large.
 
-    Rows with a salt of 0 or more are part of a column that is dealt over several runs, and all stay.
-    The last run of a batch waits for the next only as its key and first row.
+    Rows with a salt of 0 or more are part of a column that is dealt over several runs, which is large, and all stay.
+    Fewer than LARGE rows of the last run of a batch wait for the next; of a large run only its key and first node.
     """
-    tail: tuple[int, int, int, bool] | None = None  # h, salt, first node, whether the first row has gone out
-    last: tuple[int, int, int] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, salt, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        # A row that several partitions held stays once.
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
-        fresh[0] = last != (int(h[0]), int(salt[0]), int(node[0]))
-        last = (int(h[-1]), int(salt[-1]), int(node[-1]))
-        h, salt, node = h[fresh], salt[fresh], node[fresh]
+    held = [np.zeros(0, np.int64)] * 3
+    known: tuple[int, int, int] | None = None  # h, salt and first node of the last run, once it is large
+    for batch in chain(batches, [None]):
+        fresh = held if batch is None else [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
+        h, salt, node = fresh
         if not len(h):
             continue
         begins = np.ones(len(h), bool)
         begins[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
-        carried = tail is not None and (tail[0], tail[1]) == (int(h[0]), int(salt[0]))
         start = np.flatnonzero(begins)
         size = np.diff(np.append(start, len(h)))
-        pivot = np.repeat(node[start], size)
-        alone = np.repeat(size == 1, size)
-        more = []
-        if carried:
-            pivot[: size[0]] = tail[2]
-            alone[: size[0]] = False
-            if not tail[3]:
-                more = [(tail[0], tail[1], tail[2], tail[2])]
-        dealt = salt >= 0
-        keep = ~alone | dealt
-        out = [np.concatenate([np.array([m[k] for m in more], np.int64), x[keep].astype(np.int64)]) for k, x in enumerate((h, salt, node, pivot))]
-        tail = (int(h[-1]), int(salt[-1]), int(pivot[-1]), bool(keep[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h", "salt", "node", "pivot"])
+        pivot, seen = node[start], size.copy()
+        if known is not None and known[:2] == (int(h[0]), int(salt[0])):
+            pivot[0], seen[0] = known[2], LARGE
+        large = (seen >= LARGE) | (salt[start] >= 0)
+        upto = len(h) if batch is None or large[-1] else int(start[-1])
+        held = [x[upto:] for x in fresh]
+        known = (int(h[-1]), int(salt[-1]), int(pivot[-1])) if large[-1] else None
+        keep = np.repeat(large | (size > 1), size)[:upto]
+        columns = (h[:upto], salt[:upto], node[:upto], np.repeat(pivot, size)[:upto], np.repeat(large, size)[:upto])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["h", "salt", "node", "pivot", "large"])
 
 
 def packed_sets(n: int):
@@ -189,7 +181,7 @@ def packed_sets(n: int):
             sets = [shingles(t, n).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for t in binary_texts(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "packed"])
 
-    return run
+    return released(run, _known)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -298,26 +290,25 @@ class NgramJoin:
         rows = self.docs.mapInArrow(kept_rows(shared, self.n, self.num, self.den), ROWS)
         self.rows = written(rows, f"{self.path}/rows")
         last = F.struct((F.col("frequent") > 0).alias("f"), F.element_at("kept", -1).bitwiseXOR(F.lit(TOP_BIT)).alias("h"))
-        some = self.rows.filter("n > 0").select("node", "id", "key", "n", F.size("kept").alias("p"), last.alias("last"), "sketch")
+        some = self.rows.filter("n > 0").select("node", "id", "key", "n", F.size("kept").alias("p"), last.alias("last"), "sketch", "kept", "frequent")
         least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("least")
-        self.nodes = written(some.groupBy("node").agg(least, F.min("key").alias("key"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("last").alias("last"), F.first("sketch").alias("sketch")), f"{self.path}/nodes")
+        # Copies are one row from here on; Spark combines them on the map side.
+        same = [F.first(c).alias(c) for c in ("n", "p", "last", "sketch", "kept", "frequent")]
+        self.nodes = written(some.groupBy("node").agg(least, F.min("key").alias("key"), *same), f"{self.path}/nodes")
 
     def _columns(self) -> None:
         """Entries of columns with two rows or more, each tied to the first row of its run."""
         at = F.posexplode("kept").alias("pos", "h")
-        entries = self.rows.filter("n > 0").select("node", "frequent", F.size("kept").alias("p"), at)
+        entries = self.nodes.select("node", "frequent", "p", at)
         # A frequent column may hold a large part of all rows and is dealt over SALTS runs.
         salt = F.when(F.col("pos") >= F.col("p") - F.col("frequent"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(-1)).cast("long")
-        dealt = entries.select("h", salt.alias("salt"), "node").repartition("h", "salt").sortWithinPartitions("h", "salt", F.xxhash64("h", "node"))
-        self.columns = written(dealt.mapInArrow(runs, "h long, salt long, node long, pivot long"), f"{self.path}/columns")
+        # Rows with much in common come first in the same columns: such ties are few, and their number tells.
+        first = F.xxhash64("node", F.pmod("h", F.lit(ORDERS)))
+        dealt = entries.select("h", salt.alias("salt"), "node").repartition("h", "salt").sortWithinPartitions("h", "salt", first)
+        self.columns = written(dealt.mapInArrow(runs, "h long, salt long, node long, pivot long, large boolean"), f"{self.path}/columns")
 
     def _ties(self) -> DataFrame:
-        large = self.columns.groupBy("h").count().filter(F.col("count") >= LARGE).select("h")
-        large = written(self.columns.join(large, "h"), f"{self.path}/large")
-        first = large.select("h", "salt", "pivot").distinct()
-        across = first.groupBy("h").agg(F.min("pivot").alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        heads = first.join(across, "h").select(F.col("pivot").alias("node"), F.col("top").alias("pivot"))
-        ties = large.select("node", "pivot").unionByName(heads).filter("node <> pivot").distinct()
+        ties = self.columns.filter("large and node <> pivot").select("node", "pivot").unionByName(self._heads()).distinct()
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
         ties = ties.join(side("node"), "node").join(side("pivot"), "pivot").filter(sizes_allow(F.col("n_node"), F.col("n_pivot"), self.num, self.den))
         judged = ties.select("node", "pivot", "s_node", "s_pivot").mapInArrow(alike, "node long, pivot long, alike double").filter(F.col("alike") >= TIE)
@@ -326,6 +317,12 @@ class NgramJoin:
         chosen = judged.withColumn("best", best).filter(F.col("best") <= TIES)
         return self._sized(chosen.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
 
+    def _heads(self) -> DataFrame:
+        """node, pivot: the first rows of the runs of a column that is dealt over several, tied to the least of them."""
+        first = self.columns.filter("salt >= 0").select("h", "salt", "pivot").distinct()
+        least = first.groupBy("h").agg(F.min("pivot").alias("least"))
+        return first.join(least, "h").filter("pivot <> least").select(F.col("pivot").alias("node"), F.col("least").alias("pivot")).distinct()
+
     def _sized(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("last").alias(f"last_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b")
@@ -353,27 +350,33 @@ class NgramJoin:
 
     def _clusters(self, comps: DataFrame) -> DataFrame:
         """a, b of links that join components among the rows that share frequent columns."""
-        held = self.columns.filter("salt >= 0")
-        first = held.select("h", "salt", "pivot").distinct()
-        heads = first.join(first.groupBy("h").agg(F.min("pivot").alias("top")), "h").select(F.col("pivot").alias("a"), F.col("top").alias("b"))
-        clusters = components(held.select(F.col("node").alias("a"), F.col("pivot").alias("b")).unionByName(heads).distinct())
-        rows = clusters.withColumnRenamed("comp", "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # Rows in order of component, in blocks: a place is the sum of smaller components' sizes, and a count within.
-        size = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
-        before = Window.partitionBy("cluster").orderBy(F.desc("k"), "comp").rowsBetween(Window.unboundedPreceding, -1)
-        size = size.withColumn("at", F.coalesce(F.sum("k").over(before), F.lit(0)))
-        several = size.groupBy("cluster").agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        place = F.row_number().over(Window.partitionBy("cluster", "comp").orderBy("node")) - 1
-        placed = rows.withColumn("place", place).join(size.drop("k"), ["cluster", "comp"]).join(several.drop("comps"), "cluster")
-        placed = placed.withColumn("block", F.floor((F.col("at") + F.col("place")) / ROWS_A_BLOCK).cast("int"))
-        placed = written(placed.select("cluster", "comp", "node", "block", F.floor((F.col("rows") - 1) / ROWS_A_BLOCK).cast("int").alias("last")), f"{self.path}/placed")
+        ties = self.columns.filter("salt >= 0 and node <> pivot").select("node", "pivot").unionByName(self._heads())
+        clusters = components(ties.distinct(), "node", "pivot").withColumnRenamed("comp", "cluster")
+        rows = clusters.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = rows.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster")
+        # A row's part of a block; sizes of one class may reach the threshold, as may those of neighbouring ones.
+        part = F.greatest(F.lit(1 / ROWS_A_BLOCK), F.col("n") / SHINGLES_A_BLOCK).alias("part")
+        class_ = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num)).alias("class")
+        rows = rows.join(several, "cluster").join(self.nodes.select("node", "n", part, class_), "node")
+        rows = written(rows.select("cluster", "comp", "node", "n", "part", "class"), f"{self.path}/clustered")
+        # Components of a block or more have blocks of their own; the others share blocks by class of size.
+        large = rows.groupBy("cluster", "comp").agg(F.ceil(F.sum("part")).alias("blocks")).filter("blocks > 1")
+        dealt = rows.join(large, ["cluster", "comp"], "left")
+        own = F.when(F.col("blocks").isNotNull(), F.col("comp"))
+        shared = dealt.filter("blocks is null").groupBy("cluster", "class").agg(F.ceil(F.sum("part")).alias("shared"))
+        number = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.pmod(F.xxhash64("comp"), "shared"))
+        block = F.xxhash64(own, F.when(own.isNull(), F.col("class")), number, own.isNull())
+        placed = dealt.join(shared, ["cluster", "class"], "left").select("cluster", "comp", "node", "n", block.alias("block"))
+        placed = written(placed, f"{self.path}/placed")
         sets = self._sets(placed.select("node").distinct(), "clusters")
-        lone = placed.groupBy("cluster", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        pairs = lone.alias("x").join(lone.alias("y"), "cluster").filter("x.block <= y.block and not (x.lo = y.lo and x.hi = x.lo and y.hi = y.lo)")
+        blocks = placed.groupBy("cluster", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+        near = f"x.most * {self.den} >= y.least * {self.num} and y.most * {self.den} >= x.least * {self.num}"
+        pairs = blocks.alias("x").join(blocks.alias("y"), "cluster").filter(f"x.block <= y.block and not (x.lo = y.lo and x.hi = x.lo and y.hi = y.lo) and {near}")
         pairs = pairs.select("cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-        side = F.when(F.col("i") == F.col("j"), 1).when(F.col("block") == F.col("i"), 0).otherwise(2)
-        tasks = placed.join(pairs, "cluster").filter("block = i or block = j").withColumn("side", side).join(sets, "node")
-        tasks = tasks.select("cluster", "i", "j", "side", "comp", "node", "packed")
+        sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(1).alias("side")))).otherwise(
+            F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(2).alias("side"))))
+        needed = pairs.select("cluster", "i", "j", F.inline(sides))
+        tasks = placed.join(sets, "node").join(needed, ["cluster", "block"]).select("cluster", "i", "j", "side", "comp", "node", "packed")
         found = tasks.groupBy("cluster", "i", "j").applyInArrow(block_links(self.num, self.den), "a long, b long")
         return written(found, f"{self.path}/cluster-links")
 
