@@ -2,22 +2,25 @@
 
 A text is a sequence of word hashes. The embedding walks along a window: at each step it puts out the
 word it stands on and moves on if a bit of that word, another for each step, is set. Walks over windows
-at a small edit distance fall into step again after an edit, so the walks differ in few places. Each
-of TABLES keys takes the words of SAMPLES places of the walk; a window of a document that agrees with
-a window of an item in any key is a candidate, is compared in all places of the walk, and is verified
-by the exact edit distance, in words, between the item and the best stretch of the document near it.
-
-Windows begin at every word of every document. They are as long as the items: an item shorter than
-LONGEST words takes the largest of SIZES that fits, at its start and at its end; a longer one is
-covered by windows of LONGEST words. Key places are chosen such that a window with one word in eight
-edited is a candidate with probability 0.9 or more (tests measure it).
-
-Items are held in blocks of ITEMS_A_BLOCK, each block taking a pass over the documents, so that
-memory doesn't grow with the benchmark. No rows are shuffled.
-
-Defined results: texts and items without words, or null, match nothing; rows that repeat an identifier
-are searched one by one; items with equal words are all reported; empty tables give no rows; other
-columns are not read.
+at a small edit distance fall into step again after an edit, so the walks differ in few places. A
+table samples ARITY places of the walk that lie close together, as places agree together where the
+walks are in step, and the tables lie one behind the other along the walk. A window of a document that
+agrees with a window of an item in any table is a candidate, is compared in all places of the walk,
+and is verified by the exact edit distance, in words, between the item and the best stretch of the
+document near it.
+
+Windows begin at every word of every document, and in every item at every STRIDE-th word. A walk goes on
+to the item's end, or for LONGEST words, so a window is as long as what it is compared with: tables are
+the same for all lengths, and an item uses those whose places its walk reaches. Items of few words are
+sampled in fewer places. Chosen such that of items with MAX_EDITS of their words put in, left out or
+changed 0.9 or more are found, whatever their length (tests measure it).
+
+Items are held in blocks of ITEMS_A_BLOCK items or WORDS_A_BLOCK words, each block taking a pass over the
+documents, so that memory doesn't grow with the benchmark. No rows are shuffled.
+
+Defined results: texts and items without words, or null, match nothing; rows that repeat an identifier,
+or have none, are searched one by one; items with equal words are all reported; empty tables give no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,59 +34,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released
+
 WORDS = re.compile(r"[^\W_]+")
-SIZES, LONGEST = (1, 2, 3, 4, 6, 8, 10, 12, 15, 19, 24), 24
-TABLES, SAMPLES, SEED = 8, 3, 11
-#: Part of an item's words that may be edited, and places of the walk that may differ before the edit distance is taken.
-MAX_EDITS, MAX_DIFFER = 0.25, 0.65
-ITEMS_A_BLOCK = 5000
+#: Words that a walk covers at most, steps between tables, places by length of item, and words between an item's windows.
+LONGEST, APART, SEED = 24, 2, 11
+ARITY = ((5, 1), (9, 2), (1 << 30, 3))
+STRIDE = 1
+#: Part of an item's words that may be edited, and places of the walk that agree at least before the edit distance is taken.
+MAX_EDITS, LEAST_AGREE = 0.25, 0.15
+ITEMS_A_BLOCK, WORDS_A_BLOCK = 5000, 500_000
 WINDOWS_TOGETHER = 1 << 16
-CACHE_WORDS = 400_000
-MIX = np.uint32(0x9E3779B1)
+CACHE_WORDS = 200_000
+MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def places(size: int) -> list[list[int]]:
-    """Steps of the walk that each table takes, for windows of a size; a walk has two steps a word."""
-    rng = np.random.default_rng(SEED + size)
-    steps = 2 * size
-    return [sorted(rng.choice(steps, min(SAMPLES, steps), replace=False).tolist()) for _ in range(TABLES)]
+def tables(arity: int) -> list[list[int]]:
+    """Steps of the walk that each table samples: arity places, two to four steps apart."""
+    rng = np.random.default_rng(SEED + arity)
+    out = [np.cumsum([first, *rng.integers(2, 5, arity - 1)]).tolist() for first in range(0, 2 * LONGEST, APART)]
+    return [steps for steps in out if steps[-1] < 2 * LONGEST]
 
 
-def walked(sym: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The words that the walks put out; 0 behind the window's end. Steps by windows."""
-    at, out = starts.copy(), np.empty((2 * size, len(starts)), np.uint32)
-    for step in range(2 * size):
+def walk(sym: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place and word of each step of the walks from starts."""
+    at = starts.copy()
+    for step in range(2 * LONGEST):
         word = sym[at]
-        out[step] = np.where(at - starts < size, word, 0)
-        at += ((word >> np.uint32(step & 31)) & np.uint32(1)).astype(at.dtype)
-    return out
+        yield at, word
+        at = at + ((word >> np.uint32(step & 31)) & np.uint32(1)).astype(at.dtype)
 
 
-def keys(sym: np.ndarray, starts: np.ndarray, sizes: list[int]) -> dict[int, list[np.ndarray]]:
-    """The keys of windows at starts for every size, from one walk."""
-    at = starts.copy()
-    found = {s: [np.zeros(len(starts), np.uint32) for _ in range(TABLES)] for s in sizes}
-    due: dict[int, list[tuple[int, int]]] = {}
-    for s in sizes:
-        for t, steps in enumerate(places(s)):
-            for step in steps:
-                due.setdefault(step, []).append((s, t))
-    for step in range(max(due) + 1):
-        word = sym[at]
-        masked: dict[int, np.ndarray] = {}
-        for s, t in due.get(step, ()):
-            if s not in masked:
-                masked[s] = np.where(at - starts < s, word, np.uint32(0)) if step >= s else word
-            key = found[s][t]
-            key *= MIX
-            key += masked[s]
-            key ^= key >> np.uint32(15)
-        at += ((word >> np.uint32(step & 31)) & np.uint32(1)).astype(at.dtype)
-    return found
+def keys(words: list[np.ndarray]) -> np.ndarray:
+    """One number of the sampled words."""
+    key = words[0] * MIX[0]
+    for word, mix in zip(words[1:], MIX[1:], strict=False):
+        key += word * mix
+    return key ^ (key >> np.uint32(15))
 
 
 def edit_search(item: list[int], stretch: list[int]) -> tuple[int, int]:
@@ -117,48 +108,63 @@ class Items:
             if words := [*hashed(words_of(text))]:
                 self.ids.append(item)
                 self.words.append(words)
-        windows: dict[int, list[tuple[int, int]]] = {}
-        for n, words in enumerate(self.words):
-            size = max(s for s in SIZES if s <= len(words))
-            for at in sorted({*range(0, len(words) - size + 1, size), len(words) - size}):
-                windows.setdefault(size, []).append((n, at))
-        self.sizes = sorted(windows)
-        self.windows = {s: np.array(w) for s, w in windows.items()}
-        self.walks, self.maps, self.tables = {}, {}, {}
-        for s in self.sizes:
-            sym = np.array([x for n, at in windows[s] for x in [*self.words[n][at : at + s], *[0] * s]], np.uint32)
-            starts = np.arange(len(windows[s])) * 2 * s
-            self.walks[s] = walked(sym, starts, s)
-            for t, key in enumerate(keys(sym, starts, [s])[s]):
-                seen = np.zeros(1 << 16, bool)
-                seen[key >> np.uint32(16)] = True
-                by = np.argsort(key, kind="stable")
-                self.maps[s, t], self.tables[s, t] = seen, (key[by], by)
-
-    def candidates(self, sym: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, place of its window, place in sym) wherever windows agree in a key and their walks differ little."""
-        out = set()
-        found = keys(sym, starts, self.sizes)
-        for s in self.sizes:
-            pairs = []
-            for t in range(TABLES):
-                key = found[s][t]
-                hit = np.flatnonzero(self.maps[s, t][key >> np.uint32(16)])
-                ordered, by = self.tables[s, t]
+        pad = [0] * (2 * LONGEST + 1)
+        self.sym = np.array([x for words in self.words for x in (*words, *pad)], np.uint32)
+        length = np.array([len(words) for words in self.words], np.int64)
+        first = np.cumsum(length + len(pad)) - length - len(pad)
+        windows = [(n, at) for n, words in enumerate(self.words) for at in range(0, len(words), STRIDE)]
+        self.windows = np.array(windows, np.int64).reshape(-1, 2)
+        self.starts = first[self.windows[:, 0]] + self.windows[:, 1]
+        arity = np.array([next(a for most, a in ARITY if n <= most) for n in length.tolist()], np.int64)[self.windows[:, 0]]
+        steps = [*walk(self.sym, self.starts)]
+        #: (steps, 16 leading bits of keys that occur, keys in order, their windows)
+        self.tables: list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in sorted(set(arity.tolist())):
+            for places in tables(a):
+                # Places of different words, all inside the item.
+                fit = (arity == a) & (steps[places[-1]][1] != 0)
+                for p, q in zip(places, places[1:], strict=False):
+                    fit &= steps[p][0] < steps[q][0]
+                fit = np.flatnonzero(fit)
+                if len(fit):
+                    key = keys([steps[p][1][fit] for p in places])
+                    seen = np.zeros(1 << 16, bool)
+                    seen[key >> np.uint32(16)] = True
+                    by = np.argsort(key, kind="stable")
+                    self.tables.append((places, seen, key[by], fit[by]))
+
+    def candidates(self, sym: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct (place in sym, window) that agree in a table and in LEAST_AGREE of the item's places."""
+        pairs, held, due = [], {}, {}
+        for table in self.tables:
+            due.setdefault(table[0][-1], []).append(table)
+        last = max(due, default=-1)
+        for step, (_, word) in enumerate(walk(sym, starts)):
+            held[step] = word
+            held.pop(step - 12, None)
+            for places, seen, ordered, window in due.get(step, ()):
+                key = keys([held[p] for p in places])
+                hit = np.flatnonzero(seen[key >> np.uint32(16)])
                 lo, hi = np.searchsorted(ordered, key[hit], "left"), np.searchsorted(ordered, key[hit], "right")
                 n = hi - lo
                 if n.any():
                     at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    pairs.append(np.stack([np.repeat(hit, n), by[at]], axis=1))
-            if not pairs:
-                continue
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            for block in np.array_split(pairs, max(1, len(pairs) >> 14)):
-                differ = (walked(sym, starts[block[:, 0]], s) != self.walks[s][:, block[:, 1]]).mean(axis=0)
-                for start, window in block[differ <= MAX_DIFFER]:
-                    n, at = self.windows[s][window].tolist()
-                    out.add((n, at, int(starts[start])))
-        return out
+                    pairs.append(np.repeat(starts[hit], n) * len(self.starts) + window[at])
+            if step == last:
+                break
+        if not pairs:
+            return np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.concatenate(pairs))
+        found = []
+        for block in np.array_split(pairs, max(1, len(pairs) >> 14)):
+            start, window = np.divmod(block, len(self.starts))
+            inside, agree = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
+            for (_, ours), (_, theirs) in zip(walk(sym, start), walk(self.sym, self.starts[window]), strict=True):
+                inside += theirs != 0
+                agree += (theirs != 0) & (ours == theirs)
+            right = agree >= LEAST_AGREE * inside
+            found.append(np.stack([start[right], window[right]], axis=1))
+        return np.concatenate(found)
 
 
 _known: dict[str, int] = {}
@@ -189,7 +195,7 @@ def found_in(items: Items, texts: list[str | None]) -> Iterator[tuple[int, int,
 
 
 def _searched(items: Items, held: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int]]:
-    pad = np.zeros(2 * LONGEST, np.uint32)
+    pad = np.zeros(2 * LONGEST + 1, np.uint32)
     sym = np.concatenate([x for _, words in held for x in (words, pad)])
     length = np.array([len(words) for _, words in held])
     first = np.cumsum(length + len(pad)) - length - len(pad)
@@ -197,13 +203,14 @@ def _searched(items: Items, held: list[tuple[int, np.ndarray]]) -> Iterator[tupl
     best: dict[tuple[int, int], tuple[int, int]] = {}
     tried = set()
     for block in np.array_split(starts, max(1, len(starts) // WINDOWS_TOGETHER)):
-        for n, at, window in items.candidates(sym, block):
+        found = items.candidates(sym, block)
+        docs = np.searchsorted(first, found[:, 0], "right") - 1
+        for doc, place, (n, at) in zip(docs.tolist(), found[:, 0].tolist(), items.windows[found[:, 1]].tolist(), strict=True):
             size = len(items.words[n])
             slack = int(size * items.max_edits) + 1
-            doc = int(np.searchsorted(first, window, "right")) - 1
-            start = window - at  # may lie before the text: what is left of the item then counts as edits
+            start = place - at  # may lie before the text: what is left of the item then counts as edits
             near = (doc, n, (start - int(first[doc])) // slack)
-            if near in tried:
+            if near in tried or best.get((doc, n), (1, 0))[0] == 0:
                 continue
             tried.add(near)
             lo = max(int(first[doc]), start - 2 * slack)
@@ -219,13 +226,14 @@ FOUND = "item_id long, edits int, near_word long"
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, max_edits: float) -> Iterator:
-    """The benchmark in blocks of ITEMS_A_BLOCK, one at a time on the driver."""
-    held = []
+    """The benchmark in blocks of ITEMS_A_BLOCK items or WORDS_A_BLOCK words, one at a time on the driver."""
+    held, words = [], 0
     for r in benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).toLocalIterator():
         held.append((r[0], r[1]))
-        if len(held) == ITEMS_A_BLOCK:
+        words += (r[1] or "").count(" ") + 1
+        if len(held) == ITEMS_A_BLOCK or words >= WORDS_A_BLOCK:
             yield Items(held, max_edits)
-            held = []
+            held, words = [], 0
     if held:
         yield Items(held, max_edits)
 
@@ -245,11 +253,11 @@ def finder(shared, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out = [(ids[k], *rest) for k, *rest in found_in(shared.value, batch.column(1).to_pylist())] if shared.value.sizes else []
+            out = [(ids[k], *rest) for k, *rest in found_in(shared.value, batch.column(1).to_pylist())] if shared.value.tables else []
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[id_col, "item_id", "edits", "near_word"])
 
-    return run
+    return released(run, _known)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
@@ -260,8 +268,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                hit = {k for k, *_ in found_in(shared.value, texts)} if shared.value.sizes else set()
+                hit = {k for k, *_ in found_in(shared.value, texts)} if shared.value.tables else set()
                 yield batch.filter(pa.array([k not in hit for k in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run, _known), docs.schema)
     return docs
