@@ -8,8 +8,8 @@ compared by grouping on the text itself, which Spark combines on the map side, s
 is one row per task. Should two texts share a digest, each text becomes a group of its own.
 
 Defined results: null counts as empty, and empty texts are equal to one another; of equal texts the
-row with the largest identifier stays, and null is less than any; rows that repeat an identifier count
-separately; an empty table gives no rows; other columns are not read.
+row with the largest identifier stays, null is less than any, and of rows that share it the last by file
+and position; so one row of each group stays; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -80,45 +80,44 @@ def hit_filter(hits: DataFrame, max_bits: int = 1 << 28) -> tuple[DataFrame, int
     return hits.groupBy(F.bitmap_bucket_number(spot).alias("bitmap_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bitmap")), bits
 
 
-def compared(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """Groups of equal bytes among rows whose digest was seen more than once: digest, bytes, keep_id, group_size."""
+def located(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """id, locator (file, row), bytes and digest of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(F.col(text_col)).alias("bytes"))
+    return rows.withColumn("digest", digest(F.col("bytes")))
+
+
+def compared(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Groups of equal bytes among rows whose digest was seen more than once: digest, bytes, keep (id, file, row), group_size."""
     bitmap, bits = hit_filter(hits)
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("bytes")).withColumn("digest", digest(F.col("bytes")))
     spot = F.pmod(F.xxhash64("digest"), F.lit(bits))
     rows = rows.withColumn("bitmap_bucket", F.bitmap_bucket_number(spot)).withColumn("bit", F.bitmap_bit_position(spot)).join(F.broadcast(bitmap), "bitmap_bucket")
     byte = "cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
     maybe = rows.filter(F.expr(f"shiftright({byte}, cast(bit % 8 as int)) % 2 = 1"))
-    return maybe.groupBy("digest", "bytes").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return maybe.groupBy("digest", "bytes").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
 
 
 def deduplicate(
     spark: SparkSession, source: str, id_col: str = "doc_id", text_col: str = "text", state: str | None = None,
     digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, state_partitions: int | None = None,
 ) -> DataFrame:
-    """Every row of source: id, keep_id, group_size, kept, text_sha256, keep_file, keep_row.
-
-    keep_file and keep_row are null where a row stands alone or its digest was shared by other texts.
-    """
+    """Every row of source: id, keep_id, group_size, kept, text_sha256, keep_file, keep_row."""
     path = scratch(spark, "dedup")
     held = ingest(spark, source, state or f"{path}/state", id_col, text_col, digest, files_per_batch, state_partitions)
-    hits = written(held.filter("group_size > 1"), f"{path}/hits")
-    docs = spark.read.parquet(source).select(id_col, text_col)
-    groups = compared(docs, hits, id_col, text_col, digest)
-    sized = written(groups.select("digest", F.sha2("bytes", 256).alias("text_sha256"), "keep_id", "group_size"), f"{path}/groups")
-    texts = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("only_keep"), F.max("group_size").alias("only_size"))
+    keep = F.struct(F.col("keep_id").alias("id"), F.col("keep_file").alias("file"), F.col("keep_row").alias("row"))
+    hits = written(held.filter("group_size > 1").select("digest", keep.alias("keep"), "group_size"), f"{path}/hits")
+    rows = located(spark.read.parquet(source), id_col, text_col, digest)
+    sized = written(compared(rows, hits).select("digest", F.sha2("bytes", 256).alias("text_sha256"), "keep", "group_size"), f"{path}/groups")
+    texts = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep").alias("only_keep"), F.max("group_size").alias("only_size"))
     # The state stands where the bytes bear it out; where a digest has several texts, the texts decide.
-    judged = hits.join(texts, "digest").withColumn("alone", (F.col("texts") == 1) & F.col("only_keep").eqNullSafe(F.col("keep_id")) & (F.col("only_size") == F.col("group_size")))
+    judged = hits.join(texts, "digest").withColumn("alone", (F.col("texts") == 1) & (F.col("only_keep") == F.col("keep")) & (F.col("only_size") == F.col("group_size")))
     judged = written(judged, f"{path}/judged")
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"))
-    shared = judged.filter("not alone")
-    fine = judged.filter("alone").select("digest", "keep_id", "group_size", "keep_file", "keep_row")
-    if shared.isEmpty():
-        joined = rows.join(fine, "digest", "left")
-    else:
-        split = sized.join(shared.select("digest"), "digest", "left_semi").select("digest", F.col("text_sha256"), "keep_id", "group_size")
-        joined = rows.join(shared.select("digest"), "digest", "left_anti").join(fine, "digest", "left").unionByName(
-            rows.join(split, ["digest", "text_sha256"]).withColumn("keep_file", F.lit(None).cast("string")).withColumn("keep_row", F.lit(None).cast("long")))
-    keep = F.coalesce("keep_id", "id")
-    return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), "text_sha256", "keep_file", "keep_row")
+    rows = rows.select("id", "file", "row", "digest", F.sha2("bytes", 256).alias("text_sha256"))
+    shared = judged.filter("not alone").select("digest")
+    joined = rows.join(judged.filter("alone").select("digest", "keep", "group_size"), "digest", "left")
+    if not shared.isEmpty():
+        split = sized.join(shared, "digest", "left_semi")
+        joined = joined.join(shared, "digest", "left_anti").unionByName(rows.join(split, ["digest", "text_sha256"]))
+    at = F.coalesce("keep", F.struct("id", "file", "row"))
+    return joined.select(
+        F.col("id").alias(id_col), at["id"].alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        ((at["file"] == F.col("file")) & (at["row"] == F.col("row"))).alias("kept"), "text_sha256", at["file"].alias("keep_file"), at["row"].alias("keep_row"))
