@@ -10,15 +10,18 @@ A file holds MAGIC, the length of the zlib-compressed code lengths (u32) and the
 HEAD (pieces, tokens, checkpoints and payload bytes as u32), identifiers (i64), tokens of each piece
 (u32), whether it begins its document (u8), checkpoints (u32) and the payload. All numbers are
 little-endian; bits are written from the high end of each byte. Files sort by name in the order of
-identifiers. A document may span blocks but not files.
+identifiers. A document may span blocks, and files where Spark reads the pieces of a partition in several
+splits: a reader takes a file's documents from where they begin, on into the files behind it.
 
-Defined results: null counts as empty; null identifiers come first and are read back as null; an empty text is the end id alone; rows that repeat an
-identifier are kept as they are, side by side; an empty table gives no files and no rows.
+Defined results: null counts as empty; null identifiers come first and are read back as null; an empty text is the
+end id alone; rows that repeat an identifier are kept as they are, side by side; an empty table gives no
+files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import unicodedata
@@ -170,13 +173,34 @@ class Words(dict):
         return ids
 
 
+#: The pieces of words that tokenizers of this kind look for.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_blanks(tokenizer) -> bool:
+    """Whether a tokenizer brings texts into normal form and lower case, blanks for white space, takes letters, digits and
+    marks apart without the blanks, and hands their bytes to a model without prefixes."""
+    config = json.loads(tokenizer.to_str())
+    normal = (config["normalizer"] or {}).get("normalizers", [])
+    pieces = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"]
+        and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+        and [x["type"] for x in pieces] == ["Split", "ByteLevel"]
+        and pieces[0]["pattern"] == {"Regex": WORD_PIECES} and pieces[0]["behavior"] == "Removed" and pieces[0]["invert"]
+        and not pieces[1]["add_prefix_space"] and not pieces[1]["use_regex"]
+        and not config["model"].get("continuing_subword_prefix") and not config["truncation"]
+        and all(t["special"] and not t["normalized"] and " " not in t["content"] and "\n" not in t["content"] for t in config["added_tokens"])
+    )
+
+
 class Encoder:
     """Encodes texts word by word, keeping what words became.
 
-    This is for lower-casing byte-level tokenizers that drop white space and never join across it:
-    there, cutting at blanks and line ends changes nothing; nor does cutting off one full stop or
-    comma behind a letter; and a word of lower-case letters goes to the tokenizer's model as it is.
-    whole_texts encodes texts whole, for any other tokenizer.
+    This is for lower-casing byte-level tokenizers that drop white space and never join across it
+    (cuts_at_blanks): there, cutting at blanks and line ends changes nothing; nor does cutting off one full
+    stop or comma behind a letter; and a word of lower-case letters goes to the tokenizer's model as it is.
+    Any other tokenizer, and each with whole_texts, encodes texts whole.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int, whole_texts: bool = False):
@@ -188,7 +212,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(end_id + 1, self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4")
         self.pack = struct.Struct("<H" if self.dtype.itemsize == 2 else "<I").pack
         self.end = self.pack(end_id)
-        self.whole, self.words = whole_texts, Words(self, {})
+        self.whole, self.words = whole_texts or not cuts_at_blanks(self.tokenizer), Words(self, {})
 
     def word(self, word: str) -> bytes:
         if word.isalpha() and word.lower() == word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
@@ -265,7 +289,7 @@ def write_files(folder: str, lengths: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, _, _ = canonical(lengths)
         squeezed = zlib.compress(lengths.tobytes(), 6)
-        stack, out, last, tokens, name, made = None, None, None, 0, "", []
+        stack, out, last, tokens, name, whole, made = None, None, None, 0, "", True, []
         import contextlib
 
         for batch in batches:
@@ -273,7 +297,8 @@ def write_files(folder: str, lengths: np.ndarray, width: int):
                 if out is None or (r["part"], r["seq"] - 1) != last or (tokens >= FILE_TOKENS and r["begins"][0]):
                     if stack:
                         stack.close()
-                        made.append((name, tokens))
+                        made.append((name, tokens, whole))
+                    whole = r["begins"][0]
                     name, tokens, stack = f"part-{r['part']:07d}-{r['seq']:010d}{SUFFIX}", 0, contextlib.ExitStack()
                     out = stack.enter_context(whole_file(f"{folder}/{name}"))
                     out.write(MAGIC + struct.pack("<I", len(squeezed)) + squeezed)
@@ -287,14 +312,15 @@ def write_files(folder: str, lengths: np.ndarray, width: int):
                 last, tokens = (r["part"], r["seq"]), tokens + len(ids)
         if stack:
             stack.close()
-            made.append((name, tokens))
-        yield pa.RecordBatch.from_pydict({"file": pa.array([m[0] for m in made], pa.string()), "tokens": pa.array([m[1] for m in made], pa.int64())})
+            made.append((name, tokens, whole))
+        kinds = {"file": pa.string(), "tokens": pa.int64(), "whole": pa.bool_()}
+        yield pa.RecordBatch.from_pydict({c: pa.array([m[k] for m in made], kind) for k, (c, kind) in enumerate(kinds.items())})
 
     return run
 
 
 def encode_documents(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", whole_texts: bool = False) -> DataFrame:
-    """Writes the files under folder; returns one row per file: file, tokens."""
+    """Writes the files under folder; returns one row per file: file, tokens, and whether it begins with a document (whole)."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
     ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc")
@@ -308,7 +334,7 @@ def encode_documents(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     width = Encoder(tokenizer_path, end_id, whole_texts).dtype.itemsize
     blocks = pieces.filter("seq >= 0").select("part", "seq", "ids", "docs", "lens", "begins")
     path_made = scratch(spark, "token-files")
-    blocks.mapInArrow(write_files(folder, code_lengths(counts), width), "file string, tokens long").write.parquet(path_made)
+    blocks.mapInArrow(write_files(folder, code_lengths(counts), width), "file string, tokens long, whole boolean").write.parquet(path_made)
     remove(spark, path)
     return spark.read.parquet(path_made)
 
@@ -349,15 +375,34 @@ def decoded(uri: str, together: int = 32) -> Iterator[tuple[int, bool, np.ndarra
         yield from flush()
 
 
+def documents_of(folder: str, names: list[str]) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """Pieces of the documents that begin in the first file; the last of them may go on in the other files.
+
+    What the first file holds of a document before comes first, with None for its identifier.
+    """
+    begun = False
+    for k, name in enumerate(names):
+        for doc, new, ids in decoded(f"{folder}/{name}"):
+            if new and k:
+                return
+            begun |= new
+            yield doc if begun else None, new, ids
+        if not begun:
+            return
+
+
 def digests(folder: str):
     """Per document: identifier, first id's place, number of ids and their CRC-32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for names, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[list[int]] = []
                 at = base
-                for doc, new, ids in decoded(f"{folder}/{name}"):
+                for doc, new, ids in documents_of(folder, names):
+                    if doc is None:
+                        at += len(ids)
+                        continue
                     raw = ids.astype("<u4").tobytes()
                     if new:
                         if len(rows) >= 10_000:
@@ -381,12 +426,17 @@ def read_digests(spark: SparkSession, folder: str, files: DataFrame) -> DataFram
 
     The list of files is small: one row per FILE_TOKENS tokens or partition.
     """
-    tokens = {r["file"]: r["tokens"] for r in files.collect()}
+    made = {r["file"]: r for r in files.collect()}
     base, rows = 0, []
-    for name, _ in listed(folder, SUFFIX):
-        rows.append((name, base))
-        base += tokens[name]
+    names = [name for name, _ in listed(folder, SUFFIX)]
+    for k, name in enumerate(names):
+        # Ids ahead of the first document that begins here belong to one before.
+        following = k + 1
+        while following < len(names) and not made[names[following]]["whole"]:
+            following += 1
+        rows.append((names[k:following], base))
+        base += made[name]["tokens"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(rows, "file string, base long").repartition(len(rows)).mapInArrow(digests(folder), schema)
+    return spark.createDataFrame(rows, "files array<string>, base long").repartition(len(rows)).mapInArrow(digests(folder), schema)
