@@ -1,23 +1,27 @@
 """License scans by diagonal voting.
 
 Every rolling pair of words of a text is joined, by hash, to the places of that pair in the license
-templates. A match votes for the diagonal text place minus template place. Votes are summed by
+templates. A match votes for the diagonal text place minus template place. Votes are gathered by
 diagonal; a diagonal on which every pair of the template votes is an exact place. For templates of
 LONG words or more, neighbouring diagonals are merged, which bridges words put in or left out, and
-the merged span is verified by the part of the template it covers and by its length.
+the merged span is verified by the part of the template's places that its words match, each counted
+once, and by its length.
 
-Defined results: a null text has no words and no licenses; empty labels are ''; rows are told apart
-by their identifier, so rows that repeat one are counted together and returned once each; the
-template table is a bounded parameter and is broadcast; other columns are not read.
+Defined results: a null text has no words and no licenses; empty labels are ''; votes are told apart by
+identifier and text, so rows that repeat an identifier are judged each by its own text, those without
+one too; an empty table gives no rows; the template table is a bounded parameter and is broadcast;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .license_texts import NOTICES
 from .shared import ascii_lower, scratch, written
 
 #: Words after A-Z are lower-cased.
@@ -35,12 +39,7 @@ OWN = [
     ("bsd license", "bsd"),
     ("all rights reserved", "all-rights-reserved"),
     ("creative commons attribution", "cc-by"),
-    ("this work is licensed under the gnu general public license version", "gpl"),
-    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    *NOTICES,
 ]
 LONG = 8
 #: Diagonals this far apart are merged in long templates.
@@ -58,40 +57,48 @@ def template_places(spark, base: Sequence[tuple[str, str]], own: Sequence[tuple[
     """One row per place of a pair of words in a template: pair, tpl, label, is_base, at, pairs."""
     rows = []
     for n, (phrase, label) in enumerate([*base, *own]):
-        words = phrase.split()
+        words = re.findall(LICENSE_WORD, phrase.lower())
         rows += [(f"{a} {b}", n, label, n < len(base), at, len(words) - 1) for at, (a, b) in enumerate(zip(words, words[1:], strict=False))]
     if len(rows) > MAX_TEMPLATE_WORDS:
         raise ValueError("the templates are too large to broadcast")
     return spark.createDataFrame(rows, "pair string, tpl int, label string, is_base boolean, at int, pairs int").withColumn("h", F.xxhash64("pair"))
 
 
+def text_key(id_: Column, text: Column) -> Column:
+    """With the identifier, tells rows apart whose texts differ."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), id_.isNull())
+
+
 def diagonal_votes(docs: DataFrame, templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Votes by document, template and diagonal, with the first and last place in the text."""
-    worded = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    placed = worded.select("id", "words", F.posexplode("words").alias("pos", "w"))
-    pairs = placed.select("id", "pos", F.concat_ws(" ", "w", F.get("words", F.col("pos") + 1)).alias("words_here")).withColumn("h", F.xxhash64("words_here"))
+    """Votes by row, template and diagonal: the template's places that voted, with the first and last place in the text.
+
+    Rows equal in identifier and text vote for the same places, which count once.
+    """
+    words = words_of(F.col(text_col))
+    worded = docs.select(F.col(id_col).alias("id"), text_key(F.col(id_col), F.col(text_col)).alias("key"), words.alias("words"))
+    placed = worded.select("id", "key", "words", F.posexplode("words").alias("pos", "w"))
+    pairs = placed.select("id", "key", "pos", F.concat_ws(" ", "w", F.get("words", F.col("pos") + 1)).alias("words_here")).withColumn("h", F.xxhash64("words_here"))
     votes = pairs.join(F.broadcast(templates), "h").filter(F.col("words_here") == F.col("pair"))
-    return votes.groupBy("id", "tpl", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"),
+    return votes.groupBy("id", "key", "tpl", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+        F.collect_set("at").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"),
         F.first("label").alias("label"), F.first("is_base").alias("is_base"), F.first("pairs").alias("pairs"))
 
 
 def spans(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, own: Sequence[tuple[str, str]] = OWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified spans: id, tpl, label, is_base, start, words (length in the text), cover (0 to 1)."""
+    """Verified spans: id, key, tpl, label, is_base, start, words (length in the text), cover (0 to 1)."""
     votes = diagonal_votes(docs, template_places(docs.sparkSession, base, own), id_col, text_col)
-    # Repeated identifiers may vote for a diagonal more than once.
-    votes = votes.withColumn("votes", F.least("votes", F.col("pairs").cast("long")))
-    order = Window.partitionBy("id", "tpl").orderBy("diagonal")
+    order = Window.partitionBy("id", "key", "tpl").orderBy("diagonal")
     exact = F.col("pairs") + 1 < LONG
+    # Diagonals of a short template are places or nothing, and stay apart.
+    votes = votes.filter(~exact | (F.size("places") == F.col("pairs")))
     begins = F.when(exact | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR), 1).otherwise(0)
     grouped = votes.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = grouped.groupBy("id", "tpl", "run").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + 2 - F.min("first")).alias("words"),
+    merged = grouped.groupBy("id", "key", "tpl", "run").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.min("first").alias("start"), (F.max("last") + 2 - F.min("first")).alias("words"),
         F.first("label").alias("label"), F.first("is_base").alias("is_base"), F.first("pairs").alias("pairs"))
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))
-    length = F.col("pairs") + 1
-    right = F.when(exact, F.col("votes") == F.col("pairs")).otherwise((cover >= COVER) & (F.col("words") <= length * STRETCH))
-    return merged.filter(right).select("id", "tpl", "label", "is_base", "start", "words", cover.alias("cover"))
+    cover = F.col("covered") / F.col("pairs")
+    right = exact | ((cover >= COVER) & (F.col("words") <= (F.col("pairs") + 1) * STRETCH))
+    return merged.filter(right).select("id", "key", "tpl", "label", "is_base", "start", "words", cover.alias("cover"))
 
 
 def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, own: Sequence[tuple[str, str]] = OWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,13 +109,13 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, own: Sequence[
     found = spans(docs, base, own, id_col, text_col)
     at_base = F.when(F.col("is_base"), F.col("start"))
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  of a few labels at most
-    by_doc = found.groupBy("id").agg(
+    by_doc = found.groupBy("id", "key").agg(
         F.count(at_base).alias("n_base"), F.min(at_base).cast("long").alias("first_word"), F.max(at_base).cast("long").alias("last_word"),
         listed(F.when(F.col("is_base"), F.col("label"))).alias("base_labels"), listed(F.col("label")).alias("labels"), F.max("cover").alias("score"))
     by_doc = written(by_doc, scratch(docs.sparkSession, "licenses"))
     n_words = F.coalesce(F.regexp_count(ascii_lower(F.col(text_col)), F.lit(LICENSE_WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc"), n_words.alias("n_words"))
-    rows = rows.join(by_doc, F.col("doc").eqNullSafe(F.col("id")), "left")
+    rows = docs.select(F.col(id_col).alias("doc"), text_key(F.col(id_col), F.col(text_col)).alias("text_key"), n_words.alias("n_words"))
+    rows = rows.join(by_doc, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     return rows.select(
         F.col("doc").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
