@@ -64,8 +64,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
-    warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    return warc.read_archives(spark, folder).drop("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    warc.archive(pages, folder)
+    return warc.look_up(pages, folder).drop("url")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
