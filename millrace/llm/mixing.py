@@ -8,7 +8,9 @@ are nested, since a smaller budget keeps a prefix of the same hash order, and ro
 
 Defined results: a null text has size 0; null sources form a source of their own, last in order;
 rows that repeat an id share its hash and are taken together; an empty table gives no rows. Columns
-other than the three that are named are never read by ``fit_mix`` and pass through ``apply_mix``.
+other than the three that are named are never read by ``fit_mix`` and pass through ``apply_mix``, which
+replaces those that have the names of its own, and unchanged through ``mixed``. Running sums over
+sources, of which there is one row each, are one task.
 """
 
 from __future__ import annotations
@@ -126,19 +128,26 @@ def narrowed(plan: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def apply_mix(docs: DataFrame, thresholds: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_times (copies that the mix takes).
+def measured(docs: DataFrame, thresholds: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """row (all columns of docs), size, source_size, target and times, the copies that the mix takes.
 
     The thresholds have a row per source; Spark broadcasts them while its own size check allows and
     otherwise splits the hot sources of a sort-merge join.
     """
-    t = thresholds.select(F.col("src").alias("mix_src"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("full").alias("mix_full"), F.col("threshold").alias("mix_threshold"))
-    named = docs.withColumn("mix_src", source_key(F.col(source_col))).withColumn("mix_size", word_count(F.col(text_col))).withColumn("mix_hash", hash60(F.col(id_col)))
-    times = F.col("mix_full") + (F.col("mix_hash") <= F.col("mix_threshold")).cast("long")
-    return named.join(t, "mix_src", "left").withColumn("mix_times", times).drop("mix_src", "mix_hash", "mix_full", "mix_threshold")
+    named = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col(source_col)).alias("src"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h"))
+    times = F.col("full") + (F.col("h") <= F.col("threshold")).cast("long")
+    return named.join(thresholds, "src", "left").select("row", "size", "source_size", "target", times.alias("times"))
+
+
+def apply_mix(docs: DataFrame, thresholds: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target, mix_times (copies that the mix takes)."""
+    added = ("size", "source_size", "target", "times")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in {f"mix_{a}" for a in added}]
+    return measured(docs, thresholds, id_col, text_col, source_col).select(*kept, *[F.col(a).alias(f"mix_{a}") for a in added])
 
 
 def mixed(docs: DataFrame, thresholds: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of docs, repeated as often as they are taken, with the columns of docs."""
-    taken = apply_mix(docs, thresholds, id_col, text_col, source_col).filter("mix_times > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times")))).select(*docs.columns)
+    taken = measured(docs, thresholds, id_col, text_col, source_col).filter("times > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")
+    return taken.select("row", copies).select("row.*")
