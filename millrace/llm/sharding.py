@@ -10,8 +10,9 @@ costs no more than the tolerance; a larger group is cut by a hash of the identif
 Defined results: a null text has no bytes and one byte is added for every row, so empty rows count;
 null metadata counts as 0; rows that repeat an identifier may be parted only if all their keys differ;
 an empty table gives no rows. The tree has one node per split, so its size follows the number of
-shards (MAX_LEAVES at most), never that of the rows. Columns beyond those named pass through
-``shard_documents`` unread.
+shards (MAX_LEAVES at most, beyond which a ValueError tells so), never that of the rows; a row finds its
+node by an expression whose size doesn't depend on the tree. Columns beyond those named pass through
+``shard_documents`` unread; one named shard_no is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, remove, scratch, written
 
-MAX_LEAVES = 4096
+MAX_LEAVES = 1 << 17
 #: Order keys have 96 bits in three parts of 32: dimension, text hash, identifier hash.
 PARTS, PART_BITS, DIGIT_BITS = 3, 32, 11
 #: A median may miss its share by this part of the node's bytes, so as to keep equal texts together.
@@ -55,106 +56,113 @@ def coordinates(id_col: str, text_col: str, dims: Sequence[Column]) -> list[Colu
     ]
 
 
-class Node:
-    """A box of the tree: leaves below it, and once split the dimension, the cut and two children."""
+def numbers(values: Sequence[float], kind: str = "bigint") -> Column:
+    """A constant array, which Spark folds to one literal."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
-    def __init__(self, leaves: int, first: int):
-        self.leaves, self.first = leaves, first
-        self.dim: int | None = None
-        self.cut: tuple[int, ...] = ()
-        self.low: Node | None = None
-        self.high: Node | None = None
 
-    def split(self, dim: int, cut: tuple[int, ...]) -> None:
-        self.dim, self.cut = dim, cut
-        left = self.leaves // 2
-        self.low, self.high = Node(left, self.first), Node(self.leaves - left, self.first + left)
+class Tree:
+    """Boxes by number: the leaves below each, its dimension and cut once it is split, and its children; a leaf is its own child."""
 
-    def key(self) -> list[Column]:
-        return [F.col(f"k{self.dim}"), F.col("d1"), F.col("d2")]
+    def __init__(self, leaves: int):
+        self.leaves, self.first, self.depth = [leaves], [0], [0]
+        self.dim, self.cut, self.low, self.high = [0], [(0,) * PARTS], [0], [0]
 
-    def label(self) -> Column:
-        """The first leaf of the node in which a row lies: one branch per split, no join."""
-        if self.dim is None:
-            return F.lit(self.first)
-        below = F.lit(False)
-        for part, at in reversed([*zip(self.key(), self.cut, strict=True)]):
-            below = (part < at) | ((part == at) & below)
-        return F.when(below, self.low.label()).otherwise(self.high.label())
+    def split(self, node: int, dim: int, cut: tuple[int, ...]) -> None:
+        left = self.leaves[node] // 2
+        self.dim[node], self.cut[node] = dim, cut
+        self.low[node], self.high[node] = len(self.leaves), len(self.leaves) + 1
+        for leaves, first in ((left, self.first[node]), (self.leaves[node] - left, self.first[node] + left)):
+            here = len(self.leaves)
+            self.leaves.append(leaves), self.first.append(first), self.depth.append(self.depth[node] + 1)
+            self.dim.append(0), self.cut.append((0,) * PARTS), self.low.append(here), self.high.append(here)
 
-    def open(self) -> list[Node]:
-        if self.dim is not None:
-            return self.low.open() + self.high.open()
-        return [self] if self.leaves > 1 else []
+    def open(self) -> list[int]:
+        return [n for n, leaves in enumerate(self.leaves) if leaves > 1 and self.low[n] == n]
 
+    def node(self, dims: int) -> Column:
+        """The number of the box in which a row lies, found by a walk from the root."""
+        if not max(self.depth):
+            return F.lit(0).cast("long")
+        dim, low, high = numbers(self.dim), numbers(self.low), numbers(self.high)
+        cuts = [numbers([c[k] for c in self.cut]) for k in range(PARTS)]
 
-def grow(rows: DataFrame, leaves: int, dims: int, tolerance: float = TOLERANCE) -> Node:
+        def step(at: Column, _: Column) -> Column:
+            of = lambda values: F.get(values, at.cast("int"))
+            below = F.lit(False)
+            for part, cut in reversed([*zip(order_key(of(dim), dims), cuts, strict=True)]):
+                below = (part < of(cut)) | ((part == of(cut)) & below)
+            return F.when(below, of(low)).otherwise(of(high))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(max(self.depth))), F.lit(0).cast("long"), step)
+
+    def shard(self, dims: int) -> Column:
+        return F.get(numbers(self.first), self.node(dims).cast("int")).cast("int")
+
+
+def order_key(dim: Column, dims: int) -> list[Column]:
+    return [F.get(F.array(*[F.col(f"k{i}") for i in range(dims)]), dim.cast("int")), F.col("d1"), F.col("d2")]
+
+
+def grow(rows: DataFrame, leaves: int, dims: int, tolerance: float = TOLERANCE) -> Tree:
     """The tree over rows of coordinates(). Each level takes one pass for the extents and a few for the medians."""
-    root = Node(leaves, 0)
+    tree = Tree(leaves)
     whole = rows.agg(*[F.min(f"k{i}").alias(f"a{i}") for i in range(dims)], *[F.max(f"k{i}").alias(f"b{i}") for i in range(dims)]).first()
     width = [max(1, (whole[f"b{i}"] or 0) - (whole[f"a{i}"] or 0)) for i in range(dims)]
-    while todo := {n.first: n for n in root.open()}:
-        labelled = rows.withColumn("node", root.label())
-        found = labelled.filter(F.col("node").isin([*todo])).groupBy("node").agg(F.sum("z").alias("z"), *[f(f"k{i}").alias(f"{x}{i}") for x, f in (("a", F.min), ("b", F.max)) for i in range(dims)]).collect()
-        extents = {r["node"]: r for r in found}
-        state = {}
-        for first, node in todo.items():
-            r = extents.get(first)
+    while todo := tree.open():
+        labelled = rows.withColumn("node", tree.node(dims))
+        # One row for each box comes back.
+        found = labelled.groupBy("node").agg(F.sum("z").alias("z"), *[f(f"k{i}").alias(f"{x}{i}") for x, f in (("a", F.min), ("b", F.max)) for i in range(dims)]).collect()
+        extents, state = {r["node"]: r for r in found}, {}
+        for n in todo:
+            r = extents.get(n)
             if r is None:  # no rows: any cut will do
-                node.split(0, (0, 0, 0))
+                tree.split(n, 0, (0,) * PARTS)
                 continue
             dim = max(range(dims), key=lambda i: ((r[f"b{i}"] - r[f"a{i}"]) / width[i], -i))
-            share = node.leaves // 2 / node.leaves
-            state[first] = {"node": node, "dim": dim, "goal": r["z"] * share, "slack": r["z"] * tolerance, "before": 0, "part": 0, "prefix": (), "lo": r[f"a{dim}"], "hi": r[f"b{dim}"], "best": None}
+            share = tree.leaves[n] // 2 / tree.leaves[n]
+            state[n] = {"dim": dim, "goal": r["z"] * share, "slack": r["z"] * tolerance, "before": 0, "part": 0, "prefix": (), "lo": r[f"a{dim}"], "hi": r[f"b{dim}"], "best": None}
+        boxes = len(tree.leaves)
         while state:
-            state = refine(labelled, state)
-    return root
-
-
-def refine(labelled: DataFrame, state: dict[int, dict]) -> dict[int, dict]:
-    """One pass of histograms for all nodes of state; splits those whose median is near enough."""
-    narrow, start, step = F.lit(False), F.lit(0).cast("long"), F.lit(1).cast("long")
-    value = F.lit(0).cast("long")
-    for first, s in state.items():
-        here = F.col("node") == first
-        key = [F.col(f"k{s['dim']}"), F.col("d1"), F.col("d2")]
-        inside = here & key[s["part"]].between(s["lo"], s["hi"])
-        for part, at in zip(key, s["prefix"], strict=False):
-            inside &= part == at
+            state = refine(labelled, tree, state, boxes, dims)
+    return tree
+
+
+def refine(labelled: DataFrame, tree: Tree, state: dict[int, dict], boxes: int, dims: int) -> dict[int, dict]:
+    """One pass of histograms for all boxes of state; splits those whose median is near enough."""
+    for s in state.values():
         s["step"] = max(1, -(-(s["hi"] - s["lo"] + 1) // (1 << DIGIT_BITS)))
-        narrow |= inside
-        value = F.when(here, key[s["part"]]).otherwise(value)
-        start = F.when(here, F.lit(s["lo"])).otherwise(start)
-        step = F.when(here, F.lit(s["step"])).otherwise(step)
-    bucket = F.floor((value - start) / step).cast("int")
-    # At most 2^DIGIT_BITS rows a node come back, whatever the number of documents.
-    counts = labelled.filter(narrow).groupBy("node", bucket.alias("bucket")).agg(F.sum("z").alias("z")).orderBy("node", "bucket").collect()
+        s["p0"], s["p1"] = (*s["prefix"], 0, 0)[:2]
+    of = lambda name, kind="bigint": F.get(numbers([state[n][name] if n in state else 0 for n in range(boxes)], kind), F.col("node").cast("int"))
+    key, part = order_key(of("dim"), dims), of("part")
+    value = F.get(F.array(*key), part.cast("int"))
+    inside = (of("step") > 0) & value.between(of("lo"), of("hi")) & ((part < 1) | (key[0] == of("p0"))) & ((part < 2) | (key[1] == of("p1")))
+    bucket = F.floor((value - of("lo")) / of("step"))
+    counts = labelled.filter(inside).groupBy("node", bucket.alias("bucket")).agg(F.sum("z").alias("z"))
+    # A box has at most 2^DIGIT_BITS buckets, whatever the number of documents; one row for each box comes back.
+    upto = F.sum("z").over(Window.partitionBy("node").orderBy("bucket")) + of("before")
+    at = F.struct("bucket", "z", upto.alias("upto"))
+    judged = counts.select("node", at.alias("at")).withColumn("goal", of("goal", "double"))
+    reached = judged.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("at.upto") > F.col("goal"), F.col("at"))), F.max("at")).alias("at")).collect()
     left = {}
-    for first, s in state.items():
-        sums = [(r["bucket"], r["z"]) for r in counts if r["node"] == first]
-        run, at = s["before"], sums[-1][0]
-        for b, z in sums:
-            if run + z > s["goal"]:
-                at = b
-                break
-            run += z
-        size = dict(sums)[at]
-        s["before"] = run
-        lo = s["lo"] + at * s["step"]
+    for r in reached:
+        s, at = state[r["node"]], r["at"]
+        run = s["before"] = at["upto"] - at["z"]
+        lo = s["lo"] + at["bucket"] * s["step"]
         hi = min(s["hi"], lo + s["step"] - 1)
         pad = (0,) * (PARTS - s["part"] - 1)
-        # A cut before the bucket leaves goal - run too little on the left; one behind it, run + size - goal too much.
-        for miss, edge in ((abs(s["goal"] - run), lo), (abs(run + size - s["goal"]), hi + 1)):
+        # A cut before the bucket leaves goal - run too little on the left; one behind it, upto - goal too much.
+        for miss, edge in ((abs(s["goal"] - run), lo), (abs(at["upto"] - s["goal"]), hi + 1)):
             if s["best"] is None or miss < s["best"][0]:
                 s["best"] = (miss, (*s["prefix"], edge, *pad))
         if s["best"][0] <= s["slack"] or (lo == hi and s["part"] == PARTS - 1):
-            s["node"].split(s["dim"], s["best"][1])
+            tree.split(r["node"], s["dim"], s["best"][1])
             continue
         if lo == hi:
             s |= {"part": s["part"] + 1, "prefix": (*s["prefix"], lo), "lo": 0, "hi": (1 << PART_BITS) - 1}
         else:
             s |= {"lo": lo, "hi": hi}
-        left[first] = s
+        left[r["node"]] = s
     return left
 
 
@@ -172,12 +180,12 @@ def shard_documents(
     if leaves is None:
         leaves = max(1, -(-(rows.agg(F.sum("z")).first()[0] or 0) // target_bytes))
     if leaves > MAX_LEAVES:
-        raise ValueError(f"{leaves} shards; the tree is held on the driver for {MAX_LEAVES} at most")
+        raise ValueError(f"{leaves} shards; the tree is held on the driver, for {MAX_LEAVES} at most")
     tree = grow(rows, leaves, len(dims))
     remove(docs.sparkSession, path)
     kept = [c for c in docs.columns if c != "shard_no"]
     placed = docs.select(F.struct(*kept).alias("row"), *coordinates(id_col, text_col, dims))
-    return placed.select("row.*", tree.label().alias("shard_no"))
+    return placed.select("row", tree.shard(len(dims)).alias("shard_no")).select("row.*", "shard_no")
 
 
 def numbered(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
