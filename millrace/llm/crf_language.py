@@ -5,8 +5,9 @@ for each language. Labels of neighbouring words are tied by learned transitions,
 gives each word's label probabilities over the whole text. Training sequences are windows of words
 of single-language documents, half of them spliced from two languages, so that switches are seen.
 
-Training takes DOCS_A_LABEL documents of each label, picked by a hash of the identifier, and WINDOWS
-windows of WINDOW words of each, spread over the whole text: a bound that doesn't grow with the corpus.
+Training takes DOCS_A_LABEL documents of each of the MAX_LABELS most frequent labels, picked by a hash of
+the identifier, and WINDOWS windows of WINDOW words of each, spread over the whole text: a bound that
+doesn't grow with the corpus.
 Prediction covers every word of every text: features are computed once per distinct word of a worker's
 cache; chains are cut into stretches whose transfer matrices are multiplied, so that stretches of
 many documents advance together and a very long text costs no more a word than a short one.
@@ -27,6 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import released
 
 UNKNOWN = "und"
 DOCS_A_LABEL, WINDOWS, WINDOW = 500, 6, 28
@@ -36,7 +40,7 @@ LEXICON_WORDS, LEXICON_SHARE = 4000, 0.8
 STEPS, RATE, DECAY = 40, 0.25, 1e-5
 #: Words that go through forward-backward together, and those a stretch has.
 TOGETHER, STRETCH = 1 << 17, 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -218,10 +222,10 @@ def pair_sums(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, st
     """Label probabilities of every word, and the expected number of each move, of short chains padded to one length."""
     n, most, k = len(lengths), int(lengths.max()), emit.shape[1]
     there = np.arange(most) < lengths[:, None]
-    grid = np.ones((n, most, k))
+    grid = np.ones((n, most, k), np.float32)
     grid[there] = np.exp(emit - emit.max(axis=1, keepdims=True))
-    step = np.exp(transitions.astype(float))
-    alpha, beta = np.empty((n, most, k)), np.ones((n, most, k))
+    step = np.exp(transitions).astype(np.float32)
+    alpha, beta = np.empty((n, most, k), np.float32), np.ones((n, most, k), np.float32)
     state = np.exp(start - start.max()) * grid[:, 0]
     alpha[:, 0] = state = state / state.sum(axis=1, keepdims=True)
     for s in range(1, most):
@@ -339,6 +343,4 @@ def predict(docs: DataFrame, model: Crf | None, text_col: str = "text", names: t
             fields = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(fields, names=[*batch.schema.names, *names])
 
-    from pyspark.sql import types as T
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return kept.mapInArrow(released(run), T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
