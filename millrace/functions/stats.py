@@ -63,3 +63,33 @@ def pooled_z(successes_a: Column, n_a: Column, successes_b: Column, n_b: Column)
     error = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1.0), n_a) + F.try_divide(F.lit(1.0), n_b)))
     difference = F.try_divide(successes_b, n_b) - F.try_divide(successes_a, n_a)
     return F.coalesce(F.try_divide(difference, error), F.lit(0.0))
+
+
+def normal_quantile(p: float) -> float:
+    """The value below which a standard normal number lies with probability p; -8 and 8 at the ends."""
+    from statistics import NormalDist
+
+    return -8.0 if p <= 0 else 8.0 if p >= 1 else NormalDist().inv_cdf(p)
+
+
+def samples_needed(rate_a: Column, rate_b: Column, confidence: float = 0.95, power: float = 0.8) -> Column:
+    """Samples of each arm that tell two rates apart; 0 where they hardly differ."""
+    reach = (normal_quantile(1 - (1 - confidence) / 2) + normal_quantile(power)) ** 2
+    spread = rate_a * (1 - rate_a) + rate_b * (1 - rate_b)
+    needed = F.ceil(F.lit(reach) * spread / F.pow(rate_b - rate_a, 2))
+    return F.when(F.abs(rate_b - rate_a) < 0.0001, F.lit(0).cast("long")).otherwise(needed)
+
+
+def compared_rates(successes_a: Column, n_a: Column, successes_b: Column, n_b: Column, confidence: float = 0.95) -> Column:
+    """struct(rate_a, rate_b, difference, p_value, interval_low, interval_high, significant, samples_needed); rates of empty arms are null and nothing is significant.
+
+    The test takes the pooled rate, the interval each arm's own.
+    """
+    a, b = F.try_divide(successes_a, n_a), F.try_divide(successes_b, n_b)
+    z = pooled_z(successes_a, n_a, successes_b, n_b)
+    p = F.round(2 * (1 - normal_cdf(F.abs(z))), 5)
+    reach = normal_quantile(1 - (1 - confidence) / 2) * F.sqrt(F.try_divide(a * (1 - a), n_a) + F.try_divide(b * (1 - b), n_b))
+    significant = F.coalesce(p < 1 - confidence, F.lit(False))
+    return F.struct(
+        F.round(a, 4).alias("rate_a"), F.round(b, 4).alias("rate_b"), F.round(b - a, 4).alias("difference"), p.alias("p_value"), F.round(b - a - reach, 4).alias("interval_low"),
+        F.round(b - a + reach, 4).alias("interval_high"), significant.alias("significant"), F.when(significant, F.lit(0).cast("long")).otherwise(samples_needed(a, b)).alias("samples_needed"))

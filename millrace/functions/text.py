@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed a single time however often use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Runs of a-z and 0-9 in the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
@@ -70,12 +75,16 @@ def containment(a: Column, b: Column) -> Column:
 
 def word_windows(text: Column, size: int = 180, overlap: int = 40, least_tail: int = 12) -> Column:
     """Windows of size words, each beginning size - overlap behind the last; a tail of fewer than least_tail new words joins the window before it."""
-    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    n, step = F.size(w), size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(step))
-    kept = F.filter(starts, lambda s: (s == 0) | (n - s - overlap >= least_tail))
-    last = F.element_at(kept, -1)
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(kept, lambda s: F.array_join(F.slice(w, s + 1, F.when(s == last, n).otherwise(F.lit(size))), " ")))
+    step = size - overlap
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(step))
+        kept = F.filter(starts, lambda s: (s == 0) | (n - s - overlap >= least_tail))
+        cut = lambda k: F.transform(kept, lambda s, i: F.array_join(F.slice(w, s + 1, F.when(i == k - 1, n).otherwise(F.lit(size))), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(once(F.size(kept), cut))
+
+    return once(F.filter(F.split(text, r"\s+"), lambda x: x != ""), windows)
 
 
 def html_title(html: Column) -> Column:

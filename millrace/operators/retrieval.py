@@ -90,3 +90,23 @@ def measures(retrieved: Column, relevant: Column, k: int) -> dict[str, Column]:
         "reciprocal_rank": F.coalesce(F.try_divide(F.lit(1.0), F.array_min(where)), F.lit(0.0)),
         "ndcg": F.when(wanted == 0, 1.0).otherwise(gain / best),
     }
+
+
+def counted(hit: Column, rank: Column, k: int) -> list[Column]:
+    """Sums over the found rows of a query: hits, top, first and gain at k."""
+    top = rank <= k
+    return [
+        F.count_if(hit & top).alias("hits"), F.count_if(top).alias("top"), F.min(F.when(hit, rank)).alias("first"),
+        F.coalesce(F.sum(F.when(hit & top, 1 / F.log2(rank + 1))), F.lit(0.0)).alias("gain")]
+
+
+def rates(k: int) -> dict[str, Column]:
+    """The measures of measures(), from counted() and the number of relevant rows (wanted), without a list of these."""
+    wanted = F.col("wanted")
+    best = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(wanted, F.lit(k)).cast("int"))), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return {
+        "recall": F.when(wanted == 0, 1.0).otherwise(F.try_divide("hits", wanted)),
+        "precision": F.coalesce(F.try_divide("hits", "top"), F.lit(0.0)),
+        "reciprocal_rank": F.coalesce(F.try_divide(F.lit(1.0), "first"), F.lit(0.0)),
+        "ndcg": F.when(wanted == 0, 1.0).otherwise(F.col("gain") / best),
+    }

@@ -133,6 +133,8 @@ def event_positions(spark, sf):
 PCT = "SELECT {k} min(CASE WHEN r > round_even((n - 1) * 0.5, 0) THEN value END) AS p50, min(CASE WHEN r > round_even((n - 1) * 0.95, 0) THEN value END) AS p95, max(value) AS most FROM (SELECT {k} value, row_number() OVER ({p} ORDER BY value) AS r, count(*) OVER ({p}) AS n FROM events) {g}"
 UNIT = "('0x' || substr(sha256('{e}|' || {u}::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
 ARMS = f"SELECT CASE WHEN {UNIT.format(e='quality', u='doc_id')} < 0.5 THEN 'a' ELSE 'b' END AS variant, count(*) AS samples, sum(quality)::BIGINT AS successes FROM labels GROUP BY 1"
+BOTH = f"SELECT max(CASE WHEN variant = 'a' THEN successes END) AS sa, max(CASE WHEN variant = 'a' THEN samples END) AS na, max(CASE WHEN variant = 'b' THEN successes END) AS sb, max(CASE WHEN variant = 'b' THEN samples END) AS nb FROM ({ARMS})"
+VERDICT = f"WITH b AS ({BOTH}), z AS (SELECT *, (sb / nb - sa / na) / sqrt((sa + sb) / (na + nb) * (1 - (sa + sb) / (na + nb)) * (1 / na + 1 / nb)) AS z FROM b), t AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM z) SELECT sa, na, sb, nb, round(z, 6) AS z, round(2 * exp(-z * z / 2) / sqrt(6.283185307179586::DOUBLE) * (t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))), 4) AS p FROM t"
 QUERIES = {
     "traces_totals": (traces_totals, "SELECT count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (value > 100) AS large FROM events"),
     "traces_by_model": (traces_by_model, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1"),
@@ -151,7 +153,7 @@ QUERIES = {
     "sessions": (sessions, "SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY 1, 2) GROUP BY 1"),
     "experiment_assignment": (experiment_assignment, f"SELECT user_id, round(f, 9) AS fraction, CASE WHEN f < 0.5 THEN 'control' WHEN f < 0.8 THEN 'short' WHEN f < 1.0 THEN 'long' END AS variant FROM (SELECT DISTINCT user_id, {UNIT.format(e='prompt', u='user_id')} AS f FROM events)"),
     "experiment_arms": (experiment_arms, f"SELECT *, round(successes / samples, 6) AS rate FROM ({ARMS})"),
-    "experiment_verdict": (experiment_verdict, None),
+    "experiment_verdict": (experiment_verdict, VERDICT),
     "workflow_states": (workflow_states, "SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (event_type = 'purchase'), arg_max(event_type, event_id)) AS state, count(*) AS n_events FROM events GROUP BY 1"),
     "first_decisions": (first_decisions, "SELECT user_id, arg_min(event_type, event_id) AS decision FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1"),
     "retry_attempts": (retry_attempts, "SELECT event_id, a AS attempt, a < 3 AS retried, CASE WHEN a < 3 THEN least(60.0, pow(2.0, a - 1)) END AS delay FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events WHERE event_type = 'error')"),

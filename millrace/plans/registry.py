@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import logs, texts, warehouse
+from . import assistant, business, logs, texts, warehouse
 
-ALL = {**logs.QUERIES, **warehouse.QUERIES, **texts.QUERIES}
+ALL = {**logs.QUERIES, **warehouse.QUERIES, **texts.QUERIES, **business.QUERIES, **assistant.QUERIES}
 QUERIES = {name: run for name, (run, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -10,13 +10,7 @@ from ..session import table
 
 #: Words that say little: those of one's own choice, given to every operator as a parameter.
 STOP = ("the", "of", "and", "to", "in", "a", "is", "it", "for", "on")
-#: Lengths of account numbers by country.
-IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "EE": 20,
-    "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22,
-    "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24,
-    "SE": 24, "SI": 19, "SK": 24,
-}
+GRAM = 5
 INTENTS = [
     ("the", [("the", 2), ("that", 1)]),
     ("and", [("and", 2), ("for", 1)]),
@@ -53,7 +47,9 @@ def allowed_documents(spark, sf):
 
 
 def denied_documents(spark, sf):
-    return retrieval.allowed(documents(spark, sf), "lang", []).select("doc_id")
+    """What a caller may not see: the rest of those that are permitted, those without a tag included."""
+    docs = documents(spark, sf)
+    return docs.join(retrieval.allowed(docs, "lang", ["en", "de"], "source", ["src1", "src2", "src3"]).select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
 def term_frequencies(spark, sf):
@@ -99,20 +95,35 @@ def hybrid_search(spark, sf):
 
 
 def retrieval_measures(spark, sf):
-    """How the passages found for an item do, where relevant ones contain its text."""
-    found = retrieval.bm25(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP, 10)
-    lists = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
-    items = table(spark, sf, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    relevant = documents(spark, sf).select("doc_id", "text").join(F.broadcast(items), F.contains("text", "item")).groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("relevant"))
-    both = lists.join(relevant, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
-    return both.select("query_id", *[F.round(c, 6).alias(name) for name, c in retrieval.measures(F.col("retrieved"), F.col("relevant"), 5).items()])
+    """How the ten passages found for an item do, where relevant ones contain its text: counted by item, never listed."""
+    found = retrieval.bm25(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP, 10).select("query_id", F.col("id").alias("doc_id"), "rank")
+    relevant = items_in_documents(spark, sf).filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "doc_id", F.lit(1).alias("hit"))
+    wanted = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    judged = found.join(relevant, ["query_id", "doc_id"], "left").groupBy("query_id").agg(*retrieval.counted(F.col("hit").isNotNull(), F.col("rank"), 5))
+    both = judged.join(wanted, "query_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+    return both.select("query_id", *[F.round(c, 6).alias(name) for name, c in retrieval.rates(5).items()])
 
 
 def items_in_documents(spark, sf):
-    """Quotes that a document contains word for word: the items are a small stated set."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    """Quotes that a document contains word for word.
+
+    Candidates share the item's GRAM words behind its first one, which stand whole in any text that
+    contains it; shorter items share what inner words they have, and those without any are compared with all.
+    """
+    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
+    items = items.withColumn("n", F.least(F.lit(GRAM), F.size("w") - 2)).filter("item is not null")
+    keyed = items.filter("n > 0").select("item_id", "item", "n", F.array_join(F.slice("w", 2, F.col("n")), " ").alias("gram"))
     docs = documents(spark, sf).select("doc_id", "text")
-    return docs.join(F.broadcast(items), F.contains("text", "item")).select("doc_id", "item_id")
+    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # GRAM values at most
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("gram")))
+    found = None
+    if sizes:
+        each = docs.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("g")).select("doc_id", "g.*")
+        pairs = each.join(keyed, ["n", "gram"]).select("doc_id", "item_id", "item").distinct()
+        found = pairs.join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
+    short = docs.join(items.filter("n <= 0").select("item_id", "item"), F.contains("text", "item")).select("doc_id", "item_id")
+    return short if found is None else found.unionByName(short).distinct()
 
 
 def page_titles(spark, sf):
@@ -277,23 +288,23 @@ LABEL = "CASE WHEN " + BEST + " = 0 THEN 'other' " + " ".join(f"WHEN {INTENT(k)}
 
 QUERIES = {
     "documents_by_language": (documents_by_language, "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY 1"),
-    "document_facts": (document_facts, None),
+    "document_facts": (document_facts, rf"SELECT doc_id, len({WORDS}) AS n_words, len(list_distinct({WORDS})) AS n_distinct, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(replace(text, chr(10), ' ')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS n_sentences, greatest(1, len(text) // 4) AS tokens FROM documents"),
     "content_hashes": (content_hashes, r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) || '||' || source) AS hash FROM documents"),
     "first_by_content": (first_by_content, "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source, text"),
     "allowed_documents": (allowed_documents, "SELECT lang, source, count(*) AS n FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3') GROUP BY 1, 2"),
-    "denied_documents": (denied_documents, "SELECT doc_id FROM documents WHERE 1 = 0"),
+    "denied_documents": (denied_documents, "SELECT doc_id FROM documents WHERE NOT coalesce(lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3'), false)"),
     "term_frequencies": (term_frequencies, f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({KEY}) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 20"),
     "bm25_search": (bm25_search, f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10"),
     "vector_search": (vector_search, f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({NEAREST}) QUALIFY rank <= 10"),
     "scoped_vector_match": (scoped_vector_match, f"SELECT * FROM ({NEAREST} AND e.label = q.label) WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 2"),
     "hybrid_search": (hybrid_search, f"WITH {BM25}, f AS (SELECT query_id, doc_id, CASE WHEN rank <= 20 THEN 1.0 / (60 + rank) ELSE 0.0 END + CASE WHEN rank2 <= 20 THEN 1.0 / (60 + rank2) ELSE 0.0 END AS score FROM ranked WHERE rank <= 20 OR rank2 <= 20) SELECT query_id, doc_id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5"),
-    "retrieval_measures": (retrieval_measures, None),
+    "retrieval_measures": (retrieval_measures, f"WITH {BM25}, rel AS (SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)), m AS (SELECT r.query_id, rank, rel.doc_id IS NOT NULL AS hit FROM ranked r LEFT JOIN rel USING (query_id, doc_id) WHERE rank <= 10), c AS (SELECT query_id, count(*) FILTER (hit AND rank <= 5) AS hits, count(*) FILTER (rank <= 5) AS top, coalesce(max(CASE WHEN hit THEN 1.0::DOUBLE / rank END), 0) AS rr, coalesce(sum(CASE WHEN hit AND rank <= 5 THEN 1 / log2(rank + 1) END), 0) AS gain FROM m GROUP BY 1), w AS (SELECT query_id, count(*) AS wanted FROM rel GROUP BY 1), b AS (SELECT c.*, coalesce(wanted, 0) AS wanted FROM c LEFT JOIN w USING (query_id)) SELECT query_id, round(CASE WHEN wanted = 0 THEN 1 ELSE hits / wanted END, 6) AS recall, round(hits / top, 6) AS precision, round(rr, 6) AS reciprocal_rank, round(CASE WHEN wanted = 0 THEN 1 ELSE gain / list_sum(list_transform(range(1, least(wanted, 5) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg FROM b"),
     "items_in_documents": (items_in_documents, "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
     "page_titles": (page_titles, "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages"),
     "page_text": (page_text, f"SELECT page_id, len(t) AS chars, md5(t) AS digest FROM (SELECT page_id, array_to_string({HTML}, chr(10)) AS t FROM pages)"),
     "pages_by_host": (pages_by_host, "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1"),
     "repeated_lines": (repeated_lines, "SELECT doc_id, sum(len(line)) + count(line) - 1 AS chars FROM (SELECT doc_id, line, n, count(*) OVER (PARTITION BY doc_id, trim(line)) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) WHERE trim(line) = '' OR len(trim(line)) > 70 OR k < 4 GROUP BY 1 UNION ALL SELECT doc_id, 0 FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR len(trim(x)) > 70 OR len(list_filter(string_split(text, chr(10)), lambda y: trim(y) = trim(x))) < 4)) = 0"),
-    "chunks": (chunks, None),
+    "chunks": (chunks, f"WITH w AS (SELECT doc_id, len({TOKENS}) AS n FROM documents), s AS (SELECT doc_id, n, unnest(CASE WHEN n = 0 THEN [] ELSE list_filter(range(0, greatest(0, n - 41) + 1, 140), lambda s: s = 0 OR n - s - 40 >= 12) END) AS s FROM w), c AS (SELECT doc_id, CASE WHEN s = max(s) OVER (PARTITION BY doc_id) THEN n - s ELSE 180 END AS k FROM s) SELECT doc_id, count(*) AS n_chunks, sum(k)::BIGINT AS words FROM c WHERE k >= 6 GROUP BY 1"),
     "section_lines": (section_lines, f"SELECT doc_id, n - 1 AS line_no, coalesce(last_value(CASE WHEN {HEADING} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"),
     "emails": (emails, r"SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS n FROM documents) WHERE n > 0"),
     "redactions": (redactions, None),
