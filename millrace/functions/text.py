@@ -167,7 +167,7 @@ def redacted(text: Column) -> Column:
     hidden = F.regexp_replace(hidden, "(?<=\u0002[0-9]{0,30})([0-9])", "\u0004$1")
     out = F.regexp_replace(hidden, EMAIL, "[EMAIL_REDACTED]")
     out = F.regexp_replace(out, IBAN, "[IBAN_REDACTED]")
-    cards = F.array_distinct(F.regexp_extract_all(out, F.lit(CARD), 0))
-    out = F.aggregate(cards, out, lambda acc, c: F.when(luhn_valid(F.trim(c)), F.replace(acc, F.rtrim(c), F.concat(F.lit("[CARD_ENDING_"), F.right(F.regexp_replace(c, r"\D", ""), F.lit(4)), F.lit("]")))).otherwise(acc))
+    card = lambda acc, c: F.when(luhn_valid(F.trim(c)), F.replace(acc, F.rtrim(c), F.concat(F.lit("[CARD_ENDING_"), F.right(F.regexp_replace(c, r"\D", ""), F.lit(4)), F.lit("]")))).otherwise(acc)
+    out = once(out, lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(CARD), 0)), t, card))
     out = F.regexp_replace(out, PHONE, "[PHONE_REDACTED]")
     return F.regexp_replace(F.replace(out, F.lit("\u0004"), F.lit("")), "\u0001(\\w+)\u0002(\\d+)\u0003", "$1-$2")

@@ -15,10 +15,15 @@ def content_hash(text: Column, tag: Column) -> Column:
 
 def without_repeated_lines(docs: DataFrame, id_col: str, text_col: str, least_repeats: int = 4, most_chars: int = 70) -> DataFrame:
     """Text without short lines that stand least_repeats times or more in their document: one row per document, nothing is shuffled."""
-    lines = F.split(F.col(text_col), "\n")
-    bare = F.transform(lines, lambda x: F.trim(x))
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | (F.length(F.trim(x)) > most_chars) | (F.size(F.filter(bare, lambda y: y == F.trim(x))) < least_repeats))
-    return docs.withColumn(text_col, F.array_join(kept, "\n"))
+    short = lambda x: (F.trim(x) != "") & (F.length(F.trim(x)) <= most_chars)
+
+    def without(lines: Column) -> Column:
+        # Sorted, a line that repeats stands at both ends of a stretch of least_repeats.
+        by = lambda keys: F.array_distinct(F.filter(keys, lambda k, i: k == F.get(keys, i + (least_repeats - 1))))
+        keys = F.array_sort(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: short(x)))
+        return T.once(T.once(keys, by), lambda often: F.array_join(F.filter(lines, lambda x: ~(short(x) & F.array_contains(often, F.trim(x)))), "\n"))
+
+    return docs.withColumn(text_col, T.once(F.split(F.col(text_col), "\n"), without))
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 180, overlap: int = 40, least_words: int = 6) -> DataFrame:

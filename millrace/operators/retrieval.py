@@ -11,6 +11,8 @@ from ..functions import text as T
 from ..functions import vector as V
 
 K1, B, FUSION = 1.5, 0.75, 60
+#: Queries that are broadcast together.
+QUERIES_A_BLOCK = 10_000
 
 
 def allowed(df: DataFrame, tag: str, tags: Sequence[str], source: str | None = None, sources: Sequence[str] | None = None) -> DataFrame:
@@ -56,11 +58,21 @@ def top_by(scored: DataFrame, keys: list[str], score: str, tie: str, top: int) -
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
+def with_queries(rows: DataFrame, queries: DataFrame, scope: str | None = None) -> DataFrame:
+    """rows with each query (query_id, ...), of the same scope if one is given. The queries are a stated set and are broadcast in blocks of about QUERIES_A_BLOCK."""
+    blocks = max(1, -(-queries.count() // QUERIES_A_BLOCK))
+    out = None
+    for k in range(blocks):
+        some = F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else queries)
+        pairs = rows.join(some, scope) if scope else rows.crossJoin(some)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def vector_search(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, scope: str | None = None, top: int = 10, least: float | None = None) -> DataFrame:
-    """query_id, id, score, rank. queries: query_id, query_vector and, with a scope, its value. Queries are a stated, small set and are broadcast."""
+    """query_id, id, score, rank. queries: query_id, query_vector and, with a scope, its value."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), *([scope] if scope else []))
-    pairs = rows.join(F.broadcast(queries), scope) if scope else rows.crossJoin(F.broadcast(queries))
-    scored = pairs.withColumn("score", F.round(V.dot(F.col("vector"), F.col("query_vector")), 6))
+    scored = with_queries(rows, queries, scope).withColumn("score", F.round(V.dot(F.col("vector"), F.col("query_vector")), 6))
     if least is not None:
         scored = scored.filter(F.col("score") >= least)
     return top_by(scored.select("query_id", "id", "score"), ["query_id"], "score", "id", top)

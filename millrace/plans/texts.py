@@ -159,9 +159,9 @@ def emails(spark, sf):
 
 
 def redactions(spark, sf):
-    clean = T.redacted(F.col("text"))
-    count = lambda mark: F.size(F.split(clean, mark)).cast("long") - 1
-    return documents(spark, sf).select("doc_id", count(r"\[EMAIL_REDACTED\]").alias("emails"), count(r"\[CARD_ENDING_").alias("cards"), count(r"\[IBAN_REDACTED\]").alias("ibans"), count(r"\[PHONE_REDACTED\]").alias("phones"))
+    count = lambda mark: F.size(F.split("clean", mark)).cast("long") - 1
+    clean = documents(spark, sf).select("doc_id", T.redacted(F.col("text")).alias("clean"))
+    return clean.select("doc_id", count(r"\[EMAIL_REDACTED\]").alias("emails"), count(r"\[CARD_ENDING_").alias("cards"), count(r"\[IBAN_REDACTED\]").alias("ibans"), count(r"\[PHONE_REDACTED\]").alias("phones"))
 
 
 def numbers_in_texts(spark, sf):
@@ -212,7 +212,7 @@ def long_conversations(spark, sf):
 def similarity_sweep(spark, sf):
     """Pairs of the stated query vectors with all vectors that reach each threshold, of the same label and of others."""
     q = query_vectors(spark, sf).withColumnRenamed("label", "query_label")
-    pairs = table(spark, sf, "embeddings").crossJoin(F.broadcast(q)).filter("vec_id <> query_id")
+    pairs = retrieval.with_queries(table(spark, sf, "embeddings"), q).filter("vec_id <> query_id")
     score = F.round(retrieval.V.dot(F.col("embedding"), F.col("query_vector")), 6)
     thresholds = F.explode(F.array(*[F.lit(k / 10) for k in range(11)])).alias("threshold")
     same = F.col("label") == F.col("query_label")
