@@ -270,6 +270,7 @@ class NgramJoin:
         links = self._verified(ties, "ties")
         comps = components(links)
         more = self._verified(self._products(comps), "products")
+        remove(self.spark, f"{self.path}/entries")
         known = written(links.select("a", "b").unionByName(more.select("a", "b")), f"{self.path}/known")
         self.links = written(known.unionByName(self._clusters(components(known))), f"{self.path}/links")
         self.node_comps = components(self.links)
@@ -295,6 +296,8 @@ class NgramJoin:
         # Copies are one row from here on; Spark combines them on the map side.
         same = [F.first(c).alias(c) for c in ("n", "p", "last", "sketch", "kept", "frequent")]
         self.nodes = written(some.groupBy("node").agg(least, F.min("key").alias("key"), *same), f"{self.path}/nodes")
+        self.rows = written(self.rows.select("id", "key", "node", "n"), f"{self.path}/narrow")
+        remove(self.spark, f"{self.path}/rows")
 
     def _columns(self) -> None:
         """Entries of columns with two rows or more, each tied to the first row of its run."""
