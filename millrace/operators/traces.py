@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,26 +48,27 @@ def fallbacks(log: DataFrame, owner: str, at: str, order: str, kind: str) -> Dat
 def token_bucket(log: DataFrame, owner: str, at: str, order: str, capacity: float, a_second: float) -> DataFrame:
     """By row: whether a bucket of its owner that refills a_second and starts full had a token left to take.
 
-    A pause in which the bucket fills up leaves nothing of what came before, so an owner's events are cut
-    there into stretches, found by a window that Spark sorts and spills; each stretch is folded in
-    order over (tokens, time).
+    Owners are dealt over tasks and their rows sorted there, on disk if need be; a task walks through them with
+    the tokens and time of one owner as its only state, so an owner of any size takes no memory. Rows without
+    an owner share a bucket; rows of one time go by order.
     """
-    order_ = Window.partitionBy(owner).orderBy(at, order)
-    pause = seconds(F.col(at)) - seconds(F.lag(at).over(order_))
-    cut = log.withColumn("_new", (F.coalesce(pause * a_second >= capacity, F.lit(True))).cast("int"))
-    log = cut.withColumn("_stretch", F.sum("_new").over(order_.rowsBetween(Window.unboundedPreceding, 0)))
-    event = F.struct(seconds(F.col(at)).alias("t"), F.col(order).alias("id"))
-    folded = log.groupBy(owner, "_stretch").agg(F.sort_array(F.collect_list(event)).alias("events"))
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("t"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        have = F.least(F.lit(float(capacity)), acc["tokens"] + F.coalesce(e["t"] - acc["t"], F.lit(0.0)) * a_second)
-        allowed = have >= 1
-        made = F.struct(e["id"].cast("bigint").alias("id"), allowed.alias("allowed"))
-        return F.struct(F.when(allowed, have - 1).otherwise(have).alias("tokens"), e["t"].alias("t"), F.concat(acc["out"], F.array(made)).alias("out"))
-
-    out = folded.select(owner, F.explode(F.aggregate("events", start, step)["out"]).alias("o"))
-    return out.select(owner, F.col("o.id").alias(order), F.col("o.allowed").alias("allowed"))
+    rows = log.select(F.col(owner).alias("owner"), F.col(order).alias("id"), seconds(F.col(at)).alias("t"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tokens, last = object(), capacity, 0.0
+        for batch in batches:
+            allowed = []
+            for who, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if who != current:
+                    current, tokens, last = who, capacity, t
+                tokens, last = min(capacity, tokens + (t - last) * a_second), t
+                allowed.append(tokens >= 1)
+                tokens -= allowed[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], names=[owner, order, "allowed"])
+
+    kinds = dict(rows.dtypes)
+    dealt = rows.repartition("owner").sortWithinPartitions("owner", "t", "id")
+    return dealt.mapInArrow(walk, f"{owner} {kinds['owner']}, {order} {kinds['id']}, allowed boolean")
 
 
 def cache_hits(log: DataFrame, key: list[str], at: str, order: str, ttl_seconds: float) -> DataFrame:

@@ -135,6 +135,8 @@ UNIT = "('0x' || substr(sha256('{e}|' || {u}::VARCHAR), 1, 12))::BIGINT / 281474
 ARMS = f"SELECT CASE WHEN {UNIT.format(e='quality', u='doc_id')} < 0.5 THEN 'a' ELSE 'b' END AS variant, count(*) AS samples, sum(quality)::BIGINT AS successes FROM labels GROUP BY 1"
 BOTH = f"SELECT max(CASE WHEN variant = 'a' THEN successes END) AS sa, max(CASE WHEN variant = 'a' THEN samples END) AS na, max(CASE WHEN variant = 'b' THEN successes END) AS sb, max(CASE WHEN variant = 'b' THEN samples END) AS nb FROM ({ARMS})"
 VERDICT = f"WITH b AS ({BOTH}), z AS (SELECT *, (sb / nb - sa / na) / sqrt((sa + sb) / (na + nb) * (1 - (sa + sb) / (na + nb)) * (1 / na + 1 / nb)) AS z FROM b), t AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM z) SELECT sa, na, sb, nb, round(z, 6) AS z, round(2 * exp(-z * z / 2) / sqrt(6.283185307179586::DOUBLE) * (t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))), 4) AS p FROM t"
+HAVE = "least(2.0::DOUBLE, b.tokens + (e.t - b.t) * (1::DOUBLE / 86400))"
+BUCKET = f"WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), b AS (SELECT user_id, event_id, n, t, 1.0::DOUBLE AS tokens, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.t, CASE WHEN {HAVE} >= 1 THEN {HAVE} - 1 ELSE {HAVE} END, {HAVE} >= 1 FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1) SELECT user_id, event_id, allowed FROM b"
 QUERIES = {
     "traces_totals": (traces_totals, "SELECT count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (value > 100) AS large FROM events"),
     "traces_by_model": (traces_by_model, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1"),
@@ -144,7 +146,7 @@ QUERIES = {
     "daily_spend": (daily_spend, "SELECT user_id, day::VARCHAR AS day, round(spent, 4) AS spent, round(sum(spent) OVER (PARTITION BY user_id ORDER BY day), 4) AS so_far FROM (SELECT user_id, ts::DATE AS day, sum(value) AS spent FROM events GROUP BY 1, 2)"),
     "over_budget": (over_budget, "SELECT event_id, user_id, round(b, 4) AS spent_before FROM (SELECT *, coalesce(sum(value) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events) WHERE b >= 100"),
     "fallbacks": (fallbacks, "SELECT before, event_type, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before <> event_type GROUP BY 1, 2"),
-    "token_bucket": (token_bucket, None),
+    "token_bucket": (token_bucket, BUCKET),
     "cache_hits": (cache_hits, "SELECT event_type, count(*) FILTER (hit) AS hits, count(*) AS n FROM (SELECT event_type, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type, (props->>'k')::INT ORDER BY ts, event_id)) <= 86400000000, false) AS hit FROM events) GROUP BY 1"),
     "props_by_key": (props_by_key, "SELECT (props->>'k')::INT AS k, count(*) AS n, count(DISTINCT user_id) AS owners FROM events GROUP BY 1"),
     "recent_events": (recent_events, "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 100"),
