@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import claims as C
 from ..functions import stats
 from ..functions import text as T
+from ..operators import retrieval
 from ..session import table
-from .logs import ARMS, UNIT, experiment_arms
-from .texts import STOP
+from .logs import ARMS, experiment_arms
+from .texts import BM25, STOP, documents, item_queries
 
 UNITS = ("percent", "million", "hours", "year")
 GROUNDED = 0.55
@@ -164,6 +165,31 @@ def shortened_messages(spark, sf):
     return conversations(spark, sf).select("conv_id", "turn", F.length(T.shortened(t, 60)).cast("long").alias("short"), F.md5(C.sides(t, 30, 20)).alias("sides"))
 
 
+def word_vectors(spark, sf):
+    """Messages as vectors of hashed words: 256 buckets of counts, of unit length, as rows of the buckets that hold any."""
+    bucket = F.conv(F.substring(F.sha2("w", 256), 1, 8), 16, 10).cast("long") % 256
+    each = conversations(spark, sf).select("conv_id", "turn", F.explode(T.words(F.col("text"))).alias("w"))
+    counts = each.groupBy("conv_id", "turn", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("conv_id", "turn")))
+    return counts.select("conv_id", "turn", "bucket", F.round(F.col("n") / norm, 6).alias("weight"))
+
+
+def weighted_coverage(spark, sf):
+    """Of the ten passages found for an item: the part of its terms' information that they hold, halved where the rarest term is missing; 0.22 is enough, with two terms or more."""
+    docs = documents(spark, sf)
+    found = retrieval.bm25(docs, "doc_id", "text", item_queries(spark, sf), STOP, 10).select("query_id", F.col("id").alias("doc_id"), "matched")
+    asked = item_queries(spark, sf)
+    terms = docs.select("doc_id", F.explode(F.array_distinct(T.keywords(F.col("text"), STOP))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    having = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.log(1 + F.col("total") / (1 + F.coalesce("df", F.lit(0))))
+    weighted = asked.join(having, "term", "left").crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("total")))).select("query_id", "term", F.round(weight, 9).alias("weight"))
+    # Of equally heavy terms the least counts as the rarest.
+    pairs = found.join(weighted, "query_id").join(terms.withColumn("here", F.lit(True)), ["doc_id", "term"], "left")
+    out = pairs.groupBy("query_id", "doc_id", "matched").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("here"), F.col("weight")).otherwise(0.0)).alias("some"), F.min(F.struct((-F.col("weight")).alias("w"), "term", F.coalesce("here", F.lit(False)).alias("here"))).alias("rarest"))
+    coverage = F.round(F.try_divide("some", "all") * F.when(F.col("rarest.here"), 1.0).otherwise(0.5), 6)
+    return out.select("query_id", "doc_id", coverage.alias("coverage"), ((coverage >= 0.22) & (F.col("matched") >= 2)).alias("enough"))
+
+
 W = "regexp_extract_all(lower({t}), '[a-z0-9]+')"
 KW = "list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: w NOT IN ('" + "', '".join(STOP) + "') AND len(w) >= 2)"
 ENDING = "CASE WHEN len({w}) <= 4 THEN {w} WHEN {w} LIKE '%ing' AND len({w}) >= 6 THEN {w}[:-4] WHEN {w} LIKE '%ies' AND len({w}) >= 6 THEN {w}[:-4] || 'y' WHEN {w} LIKE '%ied' AND len({w}) >= 6 THEN {w}[:-4] WHEN {w} LIKE '%es' AND len({w}) >= 5 THEN {w}[:-3] WHEN {w} LIKE '%ed' AND len({w}) >= 5 THEN {w}[:-3] WHEN {w} LIKE '%s' AND len({w}) >= 4 THEN {w}[:-2] ELSE {w} END"
@@ -207,5 +233,7 @@ QUERIES = {
     "cleaned_replies": (cleaned_replies, "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'SELECT ' || c_custkey WHEN 1 THEN 'with t as (select ' || c_custkey || ') select * from t' ELSE 'I can''t tell' END AS sql, CASE WHEN c_custkey % 2 = 0 THEN 'Ann Mary O Neil' || c_custkey ELSE '' END AS name, c_custkey AS k FROM customer"),
     "protected_paths": (protected_paths, "SELECT path, count(*) AS n, contains(path, '/tests/') OR path LIKE 'tests/%' OR regexp_matches(path, '/(test_[^/]*|[^/]*_test\\.py|conftest\\.py)$') OR path LIKE '%/Test\\_%' AS test, regexp_matches(path, '(^|/)tests/') OR path LIKE '%.lock' OR path LIKE '.github/%' OR path LIKE '%conftest.py' AS protected FROM (SELECT ['src/', 'tests/', 'lib/tests/', '.github/', 'a/b.lock/'][o_orderkey % 5 + 1] || ['test_a.py', 'a_test.py', 'conftest.py', 'm.py', 'x.lock', 'Test.txt'][o_orderkey % 6 + 1] AS path FROM orders) GROUP BY 1"),
     "quoted_items": (quoted_items, "SELECT b.item_id, true AS whole, false AS other, false AS none FROM benchmark b JOIN benchmark c ON c.item_id + 1 = b.item_id"),
+    "word_vectors": (word_vectors, f"WITH c AS (SELECT conv_id, turn, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 256 AS bucket, count(*) AS n FROM (SELECT conv_id, turn, unnest({W.format(t='text')}) AS w FROM conversations) GROUP BY 1, 2, 3) SELECT conv_id, turn, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM c"),
+    "weighted_coverage": (weighted_coverage, f"WITH {BM25}, seen AS (SELECT DISTINCT doc_id, unnest(terms) AS term FROM d), h AS (SELECT term, count(*) AS n FROM seen GROUP BY 1), w AS (SELECT query_id, q.term, round(ln(1 + total / (1 + coalesce(h.n, 0))), 9) AS weight FROM q LEFT JOIN h USING (term), sizes), p AS (SELECT r.query_id, r.doc_id, matched, w.term, weight, s.term IS NOT NULL AS here FROM ranked r JOIN w USING (query_id) LEFT JOIN seen s ON s.doc_id = r.doc_id AND s.term = w.term WHERE rank <= 10), c AS (SELECT query_id, doc_id, matched, round(sum(CASE WHEN here THEN weight ELSE 0 END) / sum(weight) * CASE WHEN arg_min(here, (-weight, term)) THEN 1.0 ELSE 0.5 END::DOUBLE, 6) AS coverage FROM p GROUP BY 1, 2, 3) SELECT query_id, doc_id, coverage, coverage >= 0.22 AND matched >= 2 AS enough FROM c"),
     "shortened_messages": (shortened_messages, r"SELECT conv_id, turn, CASE WHEN len(text) <= 60 THEN len(text) ELSE 3 + len(rtrim(CASE WHEN len(regexp_extract(left(text, 60), '(?s)^(.*) ', 1)) > 40 THEN regexp_extract(left(text, 60), '(?s)^(.*) ', 1) ELSE left(text, 60) END)) END AS short, md5(CASE WHEN len(text) <= 50 THEN text ELSE left(text, 30) || chr(10) || '...' || chr(10) || right(text, 20) END) AS sides FROM conversations"),
 }

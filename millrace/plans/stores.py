@@ -297,6 +297,41 @@ def equal_results(spark, sf):
     return a.join(b, "c_nationkey").select("c_nationkey", (F.abs(F.col("v") - F.col("w")) < 0.02).alias("equal"))
 
 
+# Identifiers and prices
+
+
+def identifiers(spark, sf):
+    """Keys made from records: of documents, scopes, calls and effects."""
+    k, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    scope = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("team-"), k)).otherwise(name)
+    call = F.to_json(F.map_from_entries(F.sort_array(F.map_entries(F.create_map(F.lit("order"), k, F.lit("amount"), F.lit("5"))))))
+    cut = lambda c, n: F.substring(F.sha2(c, 256), 1, n)
+    return table(spark, sf, "customer").select(
+        "c_custkey", cut(F.concat_ws("||", F.lit("file"), name), 16).alias("document"), scope.alias("scope"), call.alias("arguments"),
+        cut(F.concat_ws("|", name, F.lit("refund"), call), 32).alias("effect"), F.concat(F.lit("LAP-"), F.upper(cut(name, 10))).alias("device"),
+        F.round(F.conv(cut(F.concat_ws("||", F.lit("fail"), k), 12), 16, 10).cast("long") / F.lit(float(16**12)), 9).alias("unit"))
+
+
+PRICES = [("view", 0.15, 0.6), ("click", 2.5, 10.0), ("purchase", 0.02, 0.0)]
+
+
+def call_costs(spark, sf):
+    """Costs by kind of call: kinds without a price are free in one account and take the dearest price in another."""
+    prices = spark.createDataFrame(PRICES, "event_type string, input double, output double")
+    used = events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).cast("long").alias("tokens"))
+    both = used.join(F.broadcast(prices), "event_type", "left")
+    cost = lambda i, o: F.round(F.col("tokens") / 1e6 * F.coalesce("input", F.lit(i)) + F.col("n") / 1e6 * F.coalesce("output", F.lit(o)), 8)
+    return both.select("event_type", "tokens", cost(0.0, 0.0).alias("cost"), cost(2.5, 10.0).alias("with_fallback"), F.col("input").isNotNull().alias("known"))
+
+
+def page_media(spark, sf):
+    """Pages by the kind of file that their path names."""
+    path = F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit(""))
+    suffix = F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
+    kind = F.when(suffix.isin(".html", ".htm", ""), "html").when(suffix.isin(".txt", ".md"), "text").when(suffix == ".pdf", "pdf").when(suffix.isin(".png", ".jpg", ".jpeg", ".webp"), "image").otherwise("other")
+    return table(spark, sf, "pages").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 CHUNKS = "WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents), s AS (SELECT doc_id, n, unnest(CASE WHEN n = 0 THEN [] ELSE list_filter(range(0, greatest(0, n - 41) + 1, 140), lambda s: s = 0 OR n - s - 40 >= 12) END) AS s FROM w), ch AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, CASE WHEN s = max(s) OVER (PARTITION BY doc_id) THEN n - s ELSE 180 END AS k FROM s) WHERE k >= 6 GROUP BY 1)"
 QUERIES = {
     "order_lookups": (order_lookups, "SELECT c_custkey, c_custkey * 7 AS o_orderkey, o_orderstatus, o_orderstatus IS NOT NULL AS found FROM customer LEFT JOIN orders ON o_orderkey = c_custkey * 7"),
@@ -332,5 +367,8 @@ QUERIES = {
     "regressions": (regressions, "SELECT CASE WHEN was AND now IS NULL THEN 'vanished' WHEN was AND NOT now THEN 'broken' WHEN NOT was AND now THEN 'mended' WHEN was IS NULL THEN 'new' ELSE 'same' END AS change, count(*) AS n FROM (SELECT doc_id, quality = 1 AS was FROM labels) b FULL JOIN (SELECT doc_id, doc_id % 2 = 0 AS now FROM documents WHERE doc_id % 3 <> 0) a USING (doc_id) GROUP BY 1"),
     "chosen_owners": (chosen_owners, "WITH s AS (SELECT user_id, round(sum(value), 3) AS score FROM events GROUP BY 1) SELECT user_id, score FROM s WHERE score >= greatest(0.15::DOUBLE * (SELECT max(score) FROM s), 2.5) ORDER BY score DESC, user_id LIMIT 12"),
     "equivalents": (equivalents, "SELECT DISTINCT lower(a.n_name) AS word, lower(b.n_name) AS other FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_name <> b.n_name"),
+    "identifiers": (identifiers, "SELECT c_custkey, substr(sha256('file||' || c_name), 1, 16) AS document, CASE WHEN c_custkey % 3 = 0 THEN 'team-' || c_custkey ELSE c_name END AS scope, a AS arguments, substr(sha256(c_name || '|refund|' || a), 1, 32) AS effect, 'LAP-' || upper(substr(sha256(c_name), 1, 10)) AS device, round(('0x' || substr(sha256('fail||' || c_custkey), 1, 12))::BIGINT / 281474976710656.0::DOUBLE, 9) AS unit FROM (SELECT *, '{\"amount\":\"5\",\"order\":\"' || c_custkey || '\"}' AS a FROM customer)"),
+    "call_costs": (call_costs, f"WITH p(event_type, i, o) AS (VALUES {', '.join(map(str, PRICES))}), u AS (SELECT event_type, count(*) AS n, sum(floor(value))::BIGINT AS tokens FROM events GROUP BY 1) SELECT event_type, tokens, round(tokens / 1e6 * coalesce(i, 0)::DOUBLE + n / 1e6 * coalesce(o, 0)::DOUBLE, 8) AS cost, round(tokens / 1e6 * coalesce(i, 2.5)::DOUBLE + n / 1e6 * coalesce(o, 10)::DOUBLE, 8) AS with_fallback, i IS NOT NULL AS known FROM u LEFT JOIN p USING (event_type)"),
+    "page_media": (page_media, r"SELECT CASE WHEN s IN ('.html', '.htm', '') THEN 'html' WHEN s IN ('.txt', '.md') THEN 'text' WHEN s = '.pdf' THEN 'pdf' WHEN s IN ('.png', '.jpg', '.jpeg', '.webp') THEN 'image' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT lower(regexp_extract(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '(\.[A-Za-z0-9]+)$', 1)) AS s FROM pages) GROUP BY 1"),
     "equal_results": (equal_results, "SELECT c_nationkey, c_nationkey % 5 <> 0 AS equal FROM customer GROUP BY 1"),
 }
