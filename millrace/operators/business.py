@@ -228,13 +228,13 @@ def line_items(docs: DataFrame, id_col: str, text_col: str, most: int = 200) ->
 # Issues
 
 
-def issues(docs: DataFrame, id_col: str, text_col: str, kind: str, today: str, tolerance: float = 0.02, tax_tolerance: float = 0.05, least: float = 0.7, ahead_days: int = 30, old_days: int = 1825) -> DataFrame:
-    """id, code, field, severity: what is wrong with the documents of a type, one row for each issue.
+def issues(docs: DataFrame, id_col: str, text_col: str, kind: str, today: str, tolerance: float = 0.02, tax_tolerance: float = 0.05, least: float = 0.7, ahead_days: int = 30, old_days: int = 1825, fields: DataFrame | None = None) -> DataFrame:
+    """id, code, field, severity: what is wrong with the documents of a type, one row for each issue. fields: those of extracted_fields(), if they are at hand.
 
     Each check is a condition over a document's row of fields and sums, so documents are grouped once and
     never joined with one another.
     """
-    fields = extracted_fields(docs, id_col, text_col, kind)
+    fields = extracted_fields(docs, id_col, text_col, kind) if fields is None else fields
     wide = fields.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("value", "confidence", "verbatim")))).alias("f"))
     items = line_items(docs, id_col, text_col)
     wrong = F.filter(F.collect_list(F.struct("item_no", (F.abs(F.round(F.col("quantity") * F.col("unit_price"), 2) - F.col("total")) > tolerance + 1e-9).alias("off"))), lambda x: x["off"])

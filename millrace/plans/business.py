@@ -77,17 +77,22 @@ def issue_order(spark, sf):
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def judged_invoices(spark, sf):
+    """Invoices, their fields and issues. The pages and fields are read several times, and kept meanwhile."""
+    docs = invoices(spark, sf).persist()
+    fields = B.extracted_fields(docs, "doc_id", "text", "invoice").persist()
+    return docs, fields, B.issues(docs, "doc_id", "text", "invoice", TODAY, fields=fields).persist()
+
+
 def invoice_decisions(spark, sf):
-    docs = invoices(spark, sf)
-    fields, found = B.extracted_fields(docs, "doc_id", "text", "invoice"), B.issues(docs, "doc_id", "text", "invoice", TODAY)
+    docs, fields, found = judged_invoices(spark, sf)
     types = docs.select(F.col("doc_id").alias("id"), B.type_confidence(B.classified(F.col("text"))).alias("type_confidence"))
     out = B.decisions(fields, B.confidence_reports(fields, found, types, "invoice"), "invoice")
     return out.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
 def confidence_reports(spark, sf):
-    docs = invoices(spark, sf)
-    fields, found = B.extracted_fields(docs, "doc_id", "text", "invoice"), B.issues(docs, "doc_id", "text", "invoice", TODAY)
+    docs, fields, found = judged_invoices(spark, sf)
     types = docs.select(F.col("doc_id").alias("id"), B.type_confidence(B.classified(F.col("text"))).alias("type_confidence"))
     out = B.confidence_reports(fields, found, types, "invoice")
     return out.groupBy("weakest", "type_confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"), F.sum(F.coalesce("warnings", F.lit(0))).alias("warnings"), F.round(F.sum("warning_penalty"), 2).alias("penalties"))
