@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, decontamination, exact_dedup, lbl_model, licenses, mixing, ngram_join, sharding, token_codec, warc
+from . import alignment, crf_language, decontamination, exact_dedup, lbl_model, licenses, mixing, ngram_join, prefix_trie, secret_scan, sharding, token_codec, warc
 from .shared import scratch, table
 
 
@@ -110,5 +110,54 @@ SELECT doc_id, size, source_size, target,
 FROM judged
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op4_lbl_scores": op4_lbl_scores, "op5_huffman_tokens": op5_huffman_tokens, "op6_cgk_decontamination": op6_cgk_decontamination, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op9_ngram_join": op9_ngram_join, "op10_mix_sources": op10_mix_sources}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL}
+def op11_secret_scan(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"), public_tokenizers.path(ranks), public_tokenizers.PATTERN)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(a), public_tokenizers.path(b))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH crc AS (
+  -- The remainders of all bytes, and from them crc32 of the decimal identifier, byte by byte.
+  SELECT list(r ORDER BY i) AS of FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) t(i))),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY p) AS turns FROM turns GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, turns, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295, [ascii(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')]),
+                         lambda c, b: xor(c >> 8, crc.of[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM own, crc),
+paths AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+  FROM hashed a LEFT JOIN own b ON b.conv_id = a.base),
+members AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM paths),
+nodes AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+valued AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(n.path[depth].t) END AS saved
+  FROM nodes n LEFT JOIN children c ON c.path = n.path),
+above AS (SELECT path, n_children, saved, unnest(range(depth + 1)) AS up FROM valued),
+sums AS (SELECT path[1:up] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY 1)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s ON s.path = v.path LEFT JOIN nodes p ON v.depth > 0 AND p.path = v.path[1:v.depth - 1]
+"""
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_kd_shards": op2_kd_shards, "op3_crf_language": op3_crf_language, "op4_lbl_scores": op4_lbl_scores, "op5_huffman_tokens": op5_huffman_tokens, "op6_cgk_decontamination": op6_cgk_decontamination, "op7_license_scan": op7_license_scan, "op8_warc_index": op8_warc_index, "op9_ngram_join": op9_ngram_join, "op10_mix_sources": op10_mix_sources, "op11_secret_scan": op11_secret_scan, "op12_token_alignment": op12_token_alignment, "op13_prefix_trie": op13_prefix_trie}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": OP10_SQL, "op13_prefix_trie": OP13_SQL}
