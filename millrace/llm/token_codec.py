@@ -165,7 +165,8 @@ class Words(dict):
         ids = self.old.get(word)
         if ids is None:
             plain = core(word)
-            if plain == word:
+            # Special tokens are looked for in texts as they stand: what lower-casing would make one of stays as it is.
+            if plain == word or any(special in plain for special in self.coder.special):
                 ids = self.coder.word(word)
             else:
                 ids = self[plain] + self[word[-1]] if len(plain) < len(word) else self[plain]
@@ -212,6 +213,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(end_id + 1, self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4")
         self.pack = struct.Struct("<H" if self.dtype.itemsize == 2 else "<I").pack
         self.end = self.pack(end_id)
+        self.special = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.whole, self.words = whole_texts or not cuts_at_blanks(self.tokenizer), Words(self, {})
 
     def word(self, word: str) -> bytes:

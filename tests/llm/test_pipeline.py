@@ -41,8 +41,23 @@ def test_pipeline_keeps_clean_rows_and_drops_planted_ones(spark):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name_of in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM read_parquet('{SF}/{name_of}.parquet')")
     found = con.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
     got = queries.QUERIES[name](spark, SF).select(*columns)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_pipeline_keeps_columns_whatever_their_names(spark, tmp_path):
+    """Columns named like those that stages use on their way keep their values."""
+    names = ["_lang", "_lang_score", "label", "score", "key", "__key", "once", "__once", "row", "shard_no", "size", "times", "node", "id", "copy"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    wide = docs.select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*wide.columns, "_shard_no"]
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n} of {r['doc_id']}" for r in rows for n in names)
+    assert {r["_shard_no"] for r in rows} <= set(range(8))

@@ -303,3 +303,17 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     documents(spark, [(1, "a", "en", "a")]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "an item of words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_special_tokens_in_any_case_are_encoded_as_in_whole_texts():
+    import public_tokenizers as tokenizers
+
+    rng = random.Random(23)
+    path = tokenizers.path("word_bpe_49k.json")
+    fast, whole = token_codec.Encoder(path, 2), token_codec.Encoder(path, 2, whole_texts=True)
+    assert not fast.whole and fast.special
+    cased = lambda t: "".join(rng.choice((c.lower(), c.upper(), c)) for c in t)
+    names = [*fast.special, "<|endoftext|", "endoftext|>", "<|>"]
+    texts = [" ".join(rng.choice(["", "a", "Word.", ",", "x"]) + cased(rng.choice(names)) + rng.choice(["", ".", ",", "b", "!"]) for _ in range(rng.randrange(1, 5))) for _ in range(600)]
+    texts += [*fast.special, *map(str.upper, fast.special), "<|EndOfText|>", "a <|ENDOFTEXT|> b", "<|endoftext|>.", "<|EndOfText|>,"]
+    assert fast.encode(texts) == whole.encode(texts)
