@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import released, remove, scratch, written
+from .shared import released, remove, scratch, unused, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: One document in SAMPLE shows which n-grams are frequent: those in two or more of the trial's documents.
@@ -270,10 +270,16 @@ class NgramJoin:
         links = self._verified(ties, "ties")
         comps = components(links)
         more = self._verified(self._products(comps), "products")
-        remove(self.spark, f"{self.path}/entries")
+        self._drop("entries")
         known = written(links.select("a", "b").unionByName(more.select("a", "b")), f"{self.path}/known")
         self.links = written(known.unionByName(self._clusters(components(known))), f"{self.path}/links")
         self.node_comps = components(self.links)
+        self._drop("known", "columns", "clustered", "placed", "cluster-links", "clusters-sets", *(f"{name}{end}" for name in ("ties", "products") for end in ("", "-links")))
+
+    def _drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in names:
+            remove(self.spark, f"{self.path}/{name}")
 
     def _rows(self) -> None:
         trial = self.docs.filter(F.pmod(F.xxhash64("id", F.lit("trial")), F.lit(SAMPLE)) == 0).select("text")
@@ -290,6 +296,7 @@ class NgramJoin:
         shared = self.spark.sparkContext.broadcast(frequent)
         rows = self.docs.mapInArrow(kept_rows(shared, self.n, self.num, self.den), ROWS)
         self.rows = written(rows, f"{self.path}/rows")
+        self._drop("seen")
         last = F.struct((F.col("frequent") > 0).alias("f"), F.element_at("kept", -1).bitwiseXOR(F.lit(TOP_BIT)).alias("h"))
         some = self.rows.filter("n > 0").select("node", "id", "key", "n", F.size("kept").alias("p"), last.alias("last"), "sketch", "kept", "frequent")
         least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("least")
@@ -297,7 +304,7 @@ class NgramJoin:
         same = [F.first(c).alias(c) for c in ("n", "p", "last", "sketch", "kept", "frequent")]
         self.nodes = written(some.groupBy("node").agg(least, F.min("key").alias("key"), *same), f"{self.path}/nodes")
         self.rows = written(self.rows.select("id", "key", "node", "n"), f"{self.path}/narrow")
-        remove(self.spark, f"{self.path}/rows")
+        self._drop("rows")
 
     def _columns(self) -> None:
         """Entries of columns with two rows or more, each tied to the first row of its run."""
@@ -388,7 +395,9 @@ class NgramJoin:
         wanted = written(nodes.join(self.nodes, "node").select("node", "key"), f"{self.path}/{name}-wanted")
         # Rows with equal keys have the same text and are brought together before they meet the rows of the matrix.
         texts = marked(self.docs, wanted).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
-        return written(texts.select("node", "text").mapInArrow(packed_sets(self.n), "node long, packed binary"), f"{self.path}/{name}-sets")
+        sets = written(texts.select("node", "text").mapInArrow(packed_sets(self.n), "node long, packed binary"), f"{self.path}/{name}-sets")
+        self._drop(f"{name}-wanted")
+        return sets
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """a, b, overlap, na, nb of the pairs that reach the threshold, on whole sets."""
@@ -397,7 +406,7 @@ class NgramJoin:
         side = lambda x: sets.select(F.col("node").alias(x), F.col("packed").alias(f"s{x}"))
         found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(overlaps, "a long, b long, overlap long")
         found = written(found.join(pairs, ["a", "b"]).filter(enough(F.col("overlap"), F.col("na"), F.col("nb"), self.num, self.den)), f"{self.path}/{name}-links")
-        remove(self.spark, f"{self.path}/{name}-sets")
+        self._drop(f"{name}-sets")
         return found
 
     def labelled(self) -> DataFrame:
@@ -425,10 +434,11 @@ def marked(docs: DataFrame, wanted: DataFrame, max_bits: int = 1 << 28) -> DataF
 def one_of_each(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component, with its least identifier. Rows without words, or without an identifier, stay."""
     key = locator(F.col(id_col).cast("long"), F.col(text_col))
+    k, o = unused("key", docs.columns), unused("once", docs.columns)
     # Of rows with words that are equal in identifier and text, one stands for the others.
     once = (F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)
-    kept = labelled.filter("stands and id is not null").groupBy(F.col("key").alias("__key")).agg(once.alias("__once"))
-    left = docs.withColumn("__key", key).join(kept, "__key")
-    if not kept.filter("__once").isEmpty():
-        left = left.filter(~F.col("__once")).unionByName(left.filter("__once").dropDuplicates(["__key"]))
+    kept = labelled.filter("stands and id is not null").groupBy(F.col("key").alias(k)).agg(once.alias(o))
+    left = docs.withColumn(k, key).join(kept, k)
+    if not kept.filter(F.col(o)).isEmpty():
+        left = left.filter(~F.col(o)).unionByName(left.filter(F.col(o)).dropDuplicates([k]))
     return left.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -168,8 +168,9 @@ def refine(labelled: DataFrame, tree: Tree, state: dict[int, dict], boxes: int,
 
 def shard_documents(
     docs: DataFrame, target_bytes: int | None = None, leaves: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: Sequence[Column] | None = None,
+    name: str = "shard_no",
 ) -> DataFrame:
-    """docs with shard_no, from 0; a column of that name is replaced.
+    """docs with a column name, from 0; one that is there is replaced.
 
     Give the number of leaves, or target_bytes, from which it follows. The dimensions are expressions
     over docs, by default those of text_dimensions.
@@ -183,9 +184,9 @@ def shard_documents(
         raise ValueError(f"{leaves} shards; the tree is held on the driver, for {MAX_LEAVES} at most")
     tree = grow(rows, leaves, len(dims))
     remove(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c != "shard_no"]
+    kept = [c for c in docs.columns if c != name]
     placed = docs.select(F.struct(*kept).alias("row"), *coordinates(id_col, text_col, dims))
-    return placed.select("row", tree.shard(len(dims)).alias("shard_no")).select("row.*", "shard_no")
+    return placed.select("row", tree.shard(len(dims)).alias("shard")).select("row.*", F.col("shard").alias(name))
 
 
 def numbered(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
