@@ -9,10 +9,10 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from millrace.llm import alignment, prefix_trie, queries, secret_scan
-from millrace.llm.shared import scratch, written
 
 A, B = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,48 +61,61 @@ def plain_alignment(texts):
     return out
 
 
-@pytest.fixture
-def small(monkeypatch):
-    """So few rows a chunk, words in the cache and characters a portion that all of them are crossed."""
-    monkeypatch.setattr(alignment, "CHUNK_BYTES", 2000)
-    monkeypatch.setattr(alignment, "TASK_BYTES", 5000)
-
-
 def texts_of(seed, n):
     rng = random.Random(seed)
     words = [w for t in ODD for w in t.split(" ")] + ["the", "of", "Haus", "Häuser,", "été", "secret=abc", "\n", "\n\n", "", "\t", "x y", "…", "“quoted”", "é"]
     return [*ODD, None, *("".join(rng.choice(words) + rng.choice(["", " ", " ", " ", "  ", "\n"]) for _ in range(rng.randrange(1, 60))) for _ in range(n))]
 
 
-def test_alignment_against_whole_texts_byte_by_byte(spark, small):
+@pytest.mark.parametrize("limits", [(2_000_000, 400_000, 1 << 20), (50, 400_000, 300), (10**9, 20, 300)], ids=["as it is", "many runs", "words forgotten"])
+def test_alignment_against_whole_texts_byte_by_byte(spark, limits):
+    """In one run and in many, with words kept and forgotten; workers run in this session's processes, so limits are set in them."""
     texts = texts_of(5, 150)
     rows = [(None if k % 17 == 0 else k // 2, t, 1, "c") for k, t in enumerate(texts)]
-    docs = written(spark.createDataFrame(rows, "doc_id long, text string, pair int, _metadata string").repartition(5), scratch(spark, "docs"))
-    got = collections.Counter(tuple(r) for r in alignment.align(docs, A, B).collect())
     want = collections.Counter((i, *x) for (i, *_), x in zip(rows, plain_alignment(texts), strict=True))
-    assert got == want
-    assert collections.Counter(tuple(r) for r in alignment.align(docs, A, B, whole_texts=True).collect()) == want
-
-
-def test_alignment_forgets_words_between_portions(spark, small, monkeypatch):
-    monkeypatch.setattr(alignment, "KEPT_WORDS", 20)
-    monkeypatch.setattr(alignment, "PORTION", 300)
-    texts = texts_of(6, 80)
-    pairs, n = collections.Counter(), 0
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([k // 30 for k in range(len(texts))]), pa.array(texts)], names=["chunk", "text"])
-    alignment.aligner.cache_clear()
-    for out in alignment.count_links(A, B, False)(iter([batch])):
-        for c, p, m in zip(*(x.to_pylist() for x in out.columns), strict=True):
-            pairs[c, p] += m
-            n += m
-    assert n == sum(r[3] for r in plain_alignment(texts))
-    alignment.aligner.cache_clear()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pair int, run string").repartition(5)
+    if limits[0] == 2_000_000:
+        assert collections.Counter(tuple(r) for r in alignment.align(docs, A, B).collect()) == want
+        assert collections.Counter(tuple(r) for r in alignment.align(docs, A, B, whole_texts=True).collect()) == want
+        return
+    # The same by hand, so that limits hold: the runs, sums over them, and what goes back.
+    got, counts, packed = [], collections.Counter(), []
+    known = alignment.Aligner(A, B)
+    run = alignment.Run(known)
+    for a, b in alignment.portions(texts):
+        run.add([i for i, *_ in rows[a:b]], texts[a:b])
+        if run.size >= limits[0] or len(known.number) > limits[1]:
+            packed.append(run.packed())
+            if len(known.number) > limits[1]:
+                known.clear()
+            run = alignment.Run(known)
+    packed.append(run.packed())
+    assert len(packed) > 1
+    for pairs, n, _ in packed:
+        counts.update(dict(zip(pairs.tolist(), n.tolist(), strict=True)))
+    most = collections.Counter()
+    for p, n in counts.items():
+        most[p & 0xFFFFFFFF] = max(most[p & 0xFFFFFFFF], n)
+    for k, (pairs, _, rest) in enumerate(packed):
+        n = [counts[p] for p in pairs.tolist()]
+        best = [int(counts[p] == most[p & 0xFFFFFFFF]) for p in pairs.tolist()]
+        columns = [pa.array([k] * (len(n) + 1)), pa.array([*range(len(n)), None], pa.int32()), pa.array([*n, None], pa.int64()), pa.array([*best, None], pa.int64()), pa.array([None] * len(n) + [rest], pa.binary())]
+        whole = pa.RecordBatch.from_arrays(columns, names=["run", "place", "n", "best", "rest"])
+        cut = whole.num_rows // 2
+        for out in alignment.summed_runs(iter([whole.slice(0, cut), whole.slice(cut)])):
+            got += [tuple(r.values()) for r in out.to_pylist()]
+    assert collections.Counter(got) == want
+
+
+def test_words_are_cut_where_the_tokenizers_allow_it():
+    fast, other = alignment.Aligner(A, B), alignment.Aligner(public_tokenizers.path("word_bpe_49k.json"), B)
+    assert not fast.whole and fast.ranks and other.whole and not other.ranks
+    for text in [*ODD, *secrets_texts()[:50]]:
+        assert fast.ids_a([" " + (text or "")])[0] == fast.a.encode(" " + (text or ""), add_special_tokens=False).ids
 
 
 def test_alignment_of_an_empty_table(spark):
-    docs = written(spark.createDataFrame([], "doc_id long, text string"), scratch(spark, "docs"))
+    docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(docs, A, B).collect() == []
 
 
