@@ -171,3 +171,15 @@ def redacted(text: Column) -> Column:
     out = once(out, lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(CARD), 0)), t, card))
     out = F.regexp_replace(out, PHONE, "[PHONE_REDACTED]")
     return F.regexp_replace(F.replace(out, F.lit("\u0004"), F.lit("")), "\u0001(\\w+)\u0002(\\d+)\u0003", "$1-$2")
+
+
+def least_window(occurrences: Column, n_terms: Column) -> Column:
+    """Words of the shortest stretch that holds every term, from structs (at, term) in order of place; terms are numbered from 0."""
+    start = F.struct(F.array_repeat(F.lit(-1).cast("int"), n_terms).alias("last"), F.lit(None).cast("int").alias("best"))
+
+    def step(state: Column, x: Column) -> Column:
+        last = F.transform(state["last"], lambda v, i: F.when(i == x["term"], x["at"]).otherwise(v))
+        of = lambda v: F.struct(v.alias("last"), F.least(state["best"], F.when(F.array_min(v) >= 0, x["at"] - F.array_min(v) + 1)).alias("best"))
+        return once(last, of)
+
+    return F.aggregate(occurrences, start, step)["best"]

@@ -40,3 +40,32 @@ def first_effects(effects: DataFrame, key: str, order: str) -> DataFrame:
 
 def next_positions(log: DataFrame, conv: str, order: str) -> DataFrame:
     return log.withColumn("position", F.row_number().over(Window.partitionBy(conv).orderBy(order)) - 1)
+
+
+def summary_lines(turns: DataFrame, conv: str, pos: str, role: str, text: str, names: str, most: int = 160) -> DataFrame:
+    """conv, pos, line: what is kept of each message without a model: the user's words, replies that name something, and what tools looked up. names is a pattern of what must not get lost."""
+    said = F.trim(F.col(text), F.lit(" \n\t"))
+    head = F.left(said, F.lit(most))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(names), F.lit(0)), lambda x: F.upper(x)))
+    line = (
+        F.when(F.col(role) == "user", F.concat(F.lit("Customer asked: "), head))
+        .when((F.col(role) == "assistant") & F.col(text).rlike(names), F.concat(F.lit("Agent said: "), head))
+        .when((F.col(role) == "tool") & (F.size(found) > 0), F.concat(F.lit("Looked up: "), F.array_join(found, ", ")))
+    )
+    return turns.select(conv, pos, F.when(said != "", line).alias("line")).filter("line is not null")
+
+
+def summaries(lines: DataFrame, conv: str, most: int = 12) -> DataFrame:
+    """conv, summary, lines: the last `most` lines in order. Of a long conversation no more than these ever meet."""
+    pos = next(c for c in lines.columns if c not in (conv, "line"))
+    back = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(pos)))
+    kept = lines.withColumn("back", back).filter(F.col("back") <= most)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(pos, "line"))), lambda x: x["line"])
+    return kept.groupBy(conv).agg(F.array_join(ordered, "\n").alias("summary"), F.count(F.lit(1)).alias("lines"))
+
+
+def missing_names(turns: DataFrame, kept: DataFrame, conv: str, text: str, names: str) -> DataFrame:
+    """conv, missing: names of a conversation's messages that its summary (conv, summary) doesn't hold, in any case."""
+    said = turns.select(conv, F.explode(F.regexp_extract_all(text, F.lit(names), F.lit(0))).alias("name")).select(conv, F.upper("name").alias("name")).distinct()
+    lost = said.join(kept.select(conv, F.upper("summary").alias("said")), conv).filter(~F.contains("said", "name"))
+    return lost.groupBy(conv).agg(F.sort_array(F.collect_list("name")).alias("missing"))

@@ -122,3 +122,80 @@ def rates(k: int) -> dict[str, Column]:
         "reciprocal_rank": F.coalesce(F.try_divide(F.lit(1.0), "first"), F.lit(0.0)),
         "ndcg": F.when(wanted == 0, 1.0).otherwise(F.col("gain") / best),
     }
+
+
+#: What both rankings' having a document adds to its evidence, what a heading that covers the question does, and the part that stays without the rarest term.
+AGREEMENT, HEADING, WITHOUT_RAREST = 0.08, 0.1, 0.5
+
+
+def covered(has: str) -> Column:
+    """The part of the weight of a query's terms that a passage holds (column has), halved where the rarest is missing; of equally heavy terms the least counts as the rarest."""
+    rarest = F.min(F.struct((-F.col("weight")).alias("w"), "term", F.col(has).alias("here")))["here"]
+    held = F.sum(F.when(F.col(has), F.col("weight")).otherwise(0.0))
+    return F.round(F.try_divide(held, F.sum("weight")) * F.when(rarest, 1.0).otherwise(WITHOUT_RAREST), 9)
+
+
+def reranked(found: DataFrame, docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """query_id, id, score, coverage, window of a shortlist (query_id, id, lists), judged by what its documents (id, text) hold of the query (query_id, term, weight).
+
+    The score is absolute: it stays low where even the best says little. What else speaks for a document multiplies
+    it and can't stand in for it: two rankings that have it (lists), and a first line with the query's terms. window is
+    the number of words of the shortest stretch with all of the query's terms that the document has. Only documents of
+    shortlists are read for their places.
+    """
+    texts = docs.join(found.select("id").distinct(), "id", "left_semi")
+    places = texts.select("id", F.posexplode(T.words(F.col("text"))).alias("place", "term"), F.size(T.words(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))).alias("head"))
+    at = found.join(weights, "query_id").join(places, ["id", "term"]).groupBy("query_id", "id", "term").agg(F.array_sort(F.collect_list("place")).alias("places"), (F.min("place") < F.first("head")).alias("above"))
+    whole = found.join(weights, "query_id").join(at, ["query_id", "id", "term"], "left").withColumn("here", F.col("places").isNotNull()).withColumn("above", F.coalesce("above", F.lit(False)))
+    by = whole.groupBy("query_id", "id", "lists").agg(covered("here").alias("coverage"), covered("above").alias("heading"), F.collect_list("places").alias("places"))
+    occurrences = F.array_sort(F.flatten(F.transform("places", lambda p, k: F.transform(p, lambda x: F.struct(x.alias("at"), k.alias("term"))))))
+    raised = F.col("coverage") * (1 + F.when(F.col("lists") > 1, AGREEMENT).otherwise(0.0) + HEADING * F.col("heading"))
+    return by.select("query_id", "id", F.round(F.least(F.lit(1.0), raised), 4).alias("score"), F.round("coverage", 6).alias("coverage"), T.least_window(occurrences, F.size("places")).alias("window"))
+
+
+def forms(asked: DataFrame, others: DataFrame) -> DataFrame:
+    """query_id, form, term: the queries (query_id, term) as asked (0), and with other words (term, other) for their terms (1). Nothing is taken away."""
+    more = asked.join(others, "term").select("query_id", F.col("other").alias("term")).unionByName(asked)
+    return asked.withColumn("form", F.lit(0)).unionByName(more.withColumn("form", F.lit(1))).select("query_id", "form", "term").distinct()
+
+
+def search_forms(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame, stop_words: Sequence[str] = (), top: int = 10) -> DataFrame:
+    """query_id, id, best, n_forms, rank: what any form of a query (query_id, form, term) finds, by its best rank, then by the forms that find it.
+
+    All forms are scored in one pass over the documents' postings.
+    """
+    keyed = asked.select(F.struct("query_id", "form").alias("query_id"), "term")
+    found = top_by(bm25_scores(docs, id_col, text_col, keyed, stop_words), ["query_id"], "score", "id", top)
+    merged = found.groupBy(F.col("query_id.query_id").alias("query_id"), "id").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n_forms"))
+    order = Window.partitionBy("query_id").orderBy("best", F.desc("n_forms"), "id")
+    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+#: Words of a quote that a text must share for the two to be compared.
+GRAM = 5
+
+
+def quoting(docs: DataFrame, id_col: str, text_col: str, quotes: DataFrame) -> DataFrame:
+    """id_col, quote_id: documents whose text contains a quote (id, text) as it stands.
+
+    A text that contains a quote has the quote's GRAM words behind its first one, all of them whole, or what inner words
+    it has. Texts become the distinct hashes of their runs of so many words, in time by their length; what shares
+    a hash is compared. Quotes without inner words are a set that is compared with all texts, in blocks. Rows that repeat
+    an identifier count once.
+    """
+    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    hashed = lambda w, at, n: F.xxhash64(F.lit(n), *[F.get(w, at + k) for k in range(n)])
+    items = quotes.filter("text is not null").select(F.col("id").alias("quote_id"), F.col("text").alias("quote"), words(F.col("text")).alias("w"))
+    items = items.withColumn("n", F.least(F.lit(GRAM), F.size("w") - 2))
+    sizes = [r["n"] for r in items.filter("n > 0").select("n").distinct().collect()]  # GRAM values at most
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    short = items.filter("n <= 0").select(F.col("quote_id").alias("query_id"), "quote")
+    found = with_queries(texts, short).filter(F.contains("text", "quote")).select("id", F.col("query_id").alias("quote_id"))
+    if sizes:
+        key = F.coalesce(*[F.when(F.col("n") == n, hashed(F.col("w"), F.lit(1), n)) for n in sizes])
+        keyed = items.filter("n > 0").select("quote_id", "quote", key.alias("gram"))
+        runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: hashed(F.col("w"), i, n))).otherwise(F.array().cast("array<bigint>"))
+        each = texts.select("id", words(F.col("text")).alias("w")).select("id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("gram"))
+        pairs = each.join(keyed, "gram").select("id", "quote_id", "quote").distinct()
+        found = found.unionByName(pairs.join(texts, "id").filter(F.contains("text", "quote")).select("id", "quote_id"))
+    return found.distinct().withColumnRenamed("id", id_col)

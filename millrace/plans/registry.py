@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import assistant, business, logs, stores, texts, warehouse
+from . import answers, assistant, business, logs, records, stores, texts, warehouse
 
-ALL = {**logs.QUERIES, **warehouse.QUERIES, **texts.QUERIES, **business.QUERIES, **assistant.QUERIES, **stores.QUERIES}
+ALL = {**logs.QUERIES, **warehouse.QUERIES, **texts.QUERIES, **business.QUERIES, **assistant.QUERIES, **stores.QUERIES, **records.QUERIES, **answers.QUERIES}
 QUERIES = {name: run for name, (run, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -10,7 +10,6 @@ from ..session import table
 
 #: Words that say little: those of one's own choice, given to every operator as a parameter.
 STOP = ("the", "of", "and", "to", "in", "a", "is", "it", "for", "on")
-GRAM = 5
 INTENTS = [
     ("the", [("the", 2), ("that", 1)]),
     ("and", [("and", 2), ("for", 1)]),
@@ -105,25 +104,9 @@ def retrieval_measures(spark, sf):
 
 
 def items_in_documents(spark, sf):
-    """Quotes that a document contains word for word.
-
-    Candidates share the item's GRAM words behind its first one, which stand whole in any text that
-    contains it; shorter items share what inner words they have, and those without any are compared with all.
-    """
-    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    items = items.withColumn("n", F.least(F.lit(GRAM), F.size("w") - 2)).filter("item is not null")
-    keyed = items.filter("n > 0").select("item_id", "item", "n", F.array_join(F.slice("w", 2, F.col("n")), " ").alias("gram"))
-    docs = documents(spark, sf).select("doc_id", "text")
-    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # GRAM values at most
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("gram")))
-    found = None
-    if sizes:
-        each = docs.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("g")).select("doc_id", "g.*")
-        pairs = each.join(keyed, ["n", "gram"]).select("doc_id", "item_id", "item").distinct()
-        found = pairs.join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
-    short = docs.join(items.filter("n <= 0").select("item_id", "item"), F.contains("text", "item")).select("doc_id", "item_id")
-    return short if found is None else found.unionByName(short).distinct()
+    """Quotes that a document contains word for word."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return retrieval.quoting(documents(spark, sf), "doc_id", "text", items).select("doc_id", F.col("quote_id").alias("item_id"))
 
 
 def page_titles(spark, sf):
