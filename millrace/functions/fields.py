@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -109,16 +108,26 @@ def date_within(text: Column) -> Column:
     return F.try_element_at(F.filter(found, lambda d: d.isNotNull()), F.lit(1))
 
 
+def literally(phrase: str) -> str:
+    """A pattern of the phrase itself."""
+    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in phrase)
+
+
 def label_shape(label: str) -> str:
-    """A pattern of a label in any case, between word boundaries where it begins or ends with a letter or digit."""
-    return "(?i)" + (r"\b" if label[0].isalnum() else "") + re.sub(r"([^\w\s])", r"\\\1", label) + (r"\b" if label[-1].isalnum() else "")
+    """A pattern of a label in any case, not within a longer word."""
+    return rf"(?i)(?:(?<!\w)|(?!\w)){literally(label)}(?:(?<!\w)|(?!\w))"
+
+
+def behind(line: Column, shape: Column) -> Column:
+    """What stands behind the first place of a shape (of label_shape), without the separators; a hyphen at digits stays."""
+    rest = F.call_function("regexp_extract", line, F.concat(F.lit("(?s)^.*?"), shape, F.lit("(.*)$")), F.lit(1))
+    return F.regexp_replace(rest, r"^(?:\s|[:=.–—]|-(?=\s|$))+", "")
 
 
 def after_label(line: Column, label: str) -> Column:
-    """What stands behind a label without the separators; a hyphen at digits stays; null where the label doesn't stand."""
+    """What stands behind a label; null where the label doesn't stand."""
     shape = label_shape(label)
-    rest = F.regexp_extract(line, f"(?s)^.*?{shape}(.*)$", 1)
-    return F.when(line.rlike(shape), F.regexp_replace(rest, r"^(?:\s|[:=.–—]|-(?=\s|$))+", ""))
+    return F.when(line.rlike(shape), behind(line, F.lit(shape)))
 
 
 def to_column_gap(value: Column) -> Column:

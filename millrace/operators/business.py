@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -116,20 +117,30 @@ def type_confidence(verdict: Column) -> Column:
 # Fields
 
 
-def line_after(lines: Column, at: Column) -> Column:
-    """The next line that isn't blank, trimmed; null without one."""
-    return F.try_element_at(F.filter(F.transform(F.slice(lines, at + 2, F.size(lines)), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1))
+def labelled_lines(docs: DataFrame, id_col: str, text_col: str, specs: list[Spec]) -> DataFrame:
+    """id, stated, name, kind, label, at, rest, line, below: a row for each place of a field's label; one at least for each document, its name null.
 
-
-def candidates(lines: Column, spec: Spec) -> Column:
-    """at, line, rest of the lines with a label: by label, then by line."""
-
-    def of(label: str) -> Column:
-        rest = lambda x: F.when(~P.excluded(x, spec.avoid), P.after_label(x, label))
-        each = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"), rest(x).alias("rest")))
-        return F.filter(each, lambda c: c["rest"].isNotNull())
-
-    return F.concat(*map(of, spec.labels))
+    Lines that aren't blank are rows, each with the one below it. One pattern tells which hold any label; only on
+    those labels are looked for one by one. The first line stands for what is in the letterhead.
+    """
+    bare = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    whole = docs.select(F.col(id_col).alias("id"), P.currency(F.col(text_col)).alias("stated"), bare.alias("lines"))
+    pairs = F.arrays_zip(F.col("lines").alias("line"), F.slice("lines", F.lit(2), F.size("lines")).alias("below"))
+    each = whole.select("id", "stated", F.posexplode_outer(pairs).alias("at", "x")).select("id", "stated", "at", "x.line", "x.below")
+    low = F.lower("line")
+    labels = sorted({label for s in specs for label in s.labels})
+    # A row is kept for each document: its first line, or none.
+    each = each.withColumn("low", low).filter((F.coalesce("at", F.lit(0)) == 0) | F.col("low").rlike("|".join(P.literally(label) for label in labels)))
+    known = lambda s, n, label: F.struct(F.lit(s.name).alias("name"), F.lit(s.kind).alias("kind"), F.lit(n).alias("label"), F.lit(label).alias("phrase"), F.lit(P.label_shape(label)).alias("shape"), F.array(*map(F.lit, s.avoid or ("\n",))).alias("avoid"))
+    every = F.array(*[known(s, n, label) for s in specs for n, label in enumerate(s.labels)])
+    some = F.filter(every, lambda c: F.contains(F.col("low"), c["phrase"]) & ~F.exists(c["avoid"], lambda a: F.contains(F.col("low"), a)))
+    top = F.array(*[F.struct(F.lit(s.name).alias("name"), F.lit(s.kind).alias("kind"), F.lit(0).alias("label"), F.lit("").alias("phrase"), F.lit("").alias("shape"), F.array(F.lit("")).alias("avoid")) for s in specs if s.kind == "letterhead"])
+    if any(s.kind == "letterhead" for s in specs):
+        some = F.when(F.col("at") == 0, F.concat(top, some)).otherwise(some)
+    found = each.select("id", "stated", "at", "line", "below", F.explode_outer(some).alias("c")).select("id", "stated", "at", "line", "below", "c.*")
+    stands = (F.col("kind") == "letterhead") | F.rlike("line", F.col("shape"))
+    rest = F.when(F.col("kind") == "letterhead", F.col("line")).otherwise(P.behind(F.col("line"), F.col("shape")))
+    return found.select("id", "stated", "at", "line", "below", F.when(stands, F.col("name")).alias("name"), "kind", "label", F.when(stands, rest).alias("rest"))
 
 
 def made(value: Column, raw: Column, confidence: Column | float, line: Column) -> Column:
@@ -171,22 +182,14 @@ def stated_currency(stated: Column, vat: Column, iban: Column) -> Column:
 
 def extracted_fields(docs: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
     """id, name, value, raw, confidence, evidence, verbatim: a row for each field of the type, its value null where it isn't found."""
-    lines, first = F.split(text_col, "\n"), F.lit(1)
-    top = F.try_element_at(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), first)
-
-    def of(spec: Spec) -> Column:
-        if spec.kind == "letterhead":
-            return F.filter(F.array(F.struct(F.lit(spec.name).alias("name"), F.lit(spec.kind).alias("kind"), top.alias("rest"), top.alias("line"), top.alias("below"))), lambda c: c["line"].isNotNull())
-        named = lambda c: F.struct(F.lit(spec.name).alias("name"), F.lit(spec.kind).alias("kind"), c["rest"].alias("rest"), c["line"].alias("line"), line_after(lines, c["at"]).alias("below"))
-        return F.transform(candidates(lines, spec), named)
-
-    # Every place of a label is a row that is read once; a document's rows lie together and are combined before the shuffle.
-    each = docs.select(F.col(id_col).alias("id"), P.currency(F.col(text_col)).alias("stated"), F.posexplode_outer(F.concat(*map(of, SPECS[kind]))).alias("ord", "c"))
-    each = each.select("id", "stated", "ord", "c.name", read(F.col("c.kind"), F.col("c.rest"), F.col("c.line"), F.col("c.below")).alias("r"))
-    chosen = [(F.max_by if s.last else F.min_by)("r", F.when((F.col("name") == s.name) & F.col("r").isNotNull(), F.col("ord"))).alias(s.name) for s in SPECS[kind]]
+    specs = SPECS[kind]
+    places = labelled_lines(docs, id_col, text_col, specs)
+    each = places.select("id", "stated", "name", F.struct("label", "at").alias("place"), read(F.col("kind"), F.col("rest"), F.col("line"), F.col("below")).alias("r"))
+    # A document's places lie together and are combined before the shuffle.
+    chosen = [(F.max_by if s.last else F.min_by)("r", F.when((F.col("name") == s.name) & F.col("r").isNotNull(), F.col("place"))).alias(s.name) for s in specs]
     wide = each.groupBy("id").agg(F.first("stated").alias("stated"), *chosen)
     none = F.lit(None).cast("struct<value:string>")
-    at = {s.name: F.col(s.name) for s in SPECS[kind]}
+    at = {s.name: F.col(s.name) for s in specs}
     wide = wide.withColumn("currency", stated_currency(F.col("stated"), at.get("supplier_vat", none), at.get("iban", none)))
     fields = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("f")) for n in (*at, "currency")])).alias("x")
     return wide.select("id", fields).select("id", "x.name", *[F.col("x.f")[c].alias(c) for c in ("value", "raw", "confidence", "evidence", "verbatim")])
@@ -195,34 +198,47 @@ def extracted_fields(docs: DataFrame, id_col: str, text_col: str, kind: str) ->
 # Line items
 
 
-def columnar_row(line: Column) -> Column:
-    """description, quantity, unit_price, total: the last three numbers of a line whose text is two blanks or more ahead of them."""
-    parts = rf"^(.*?\S)(\s{{2,}})({P.NUMBER})((?:(?!{P.NUMBER}).)*)({P.NUMBER})((?:(?!{P.NUMBER}).)*)({P.NUMBER})(?:(?!{P.NUMBER}).)*$"
-    part = lambda k: P.number(F.regexp_extract(line, parts, k))["value"]
-    row = F.struct(F.trim(F.regexp_extract(line, parts, 1)).alias("description"), part(3).alias("quantity"), F.round(part(5), 2).alias("unit_price"), F.round(part(7), 2).alias("total"))
-    return F.when(line.rlike(parts) & row["quantity"].isNotNull() & row["unit_price"].isNotNull() & row["total"].isNotNull(), row)
+#: Parts of a row are put together with this sign, so that a pattern runs once for all of them.
+CUT = "\x01"
+
+
+def parts_of(line: Column, pattern: str, groups: Sequence[int]) -> Column:
+    """The groups of a pattern that fits the whole line; one part where it doesn't."""
+    return F.split(F.regexp_replace(F.replace(line, F.lit(CUT), F.lit(" ")), pattern, CUT.join(f"${g}" for g in groups)), CUT)
+
+
+#: Rows of tables: a text, two blanks or more, and three numbers with no other behind the first of them.
+COLUMNAR = rf"^(.*?\S)\s{{2,}}({P.NUMBER})(?:(?!{P.NUMBER}).)*({P.NUMBER})(?:(?!{P.NUMBER}).)*({P.NUMBER})(?:(?!{P.NUMBER}).)*$"
+#: Rows of receipts: a count, a cross, a text, two blanks or more, and a number.
+COUNTED = r"^\s*(\d+)\s*[xX]\s+(.+?)\s{2,}([\d.,]+)\s*$"
 
 
-def receipt_row(line: Column) -> Column:
-    """The same of "2 x Flat white    6.40"."""
-    parts = r"^\s*(\d+)\s*[xX]\s+(.+?)\s{2,}([\d.,]+)\s*$"
-    quantity, total = F.regexp_extract(line, parts, 1).try_cast("double"), P.number(F.regexp_extract(line, parts, 3))["value"]
-    row = F.struct(F.trim(F.regexp_extract(line, parts, 2)).alias("description"), quantity.alias("quantity"), F.round(F.try_divide(total, quantity), 2).alias("unit_price"), F.round(total, 2).alias("total"))
-    return F.when(line.rlike(parts) & (quantity > 0) & total.isNotNull(), row)
+def item_rows(lines: DataFrame) -> DataFrame:
+    """lines (line, ...) with description, quantity, unit_price, total: the last three numbers of a line behind its text, or "2 x Flat white    6.40". Other lines go."""
+    cut = lines.withColumn("c", parts_of(F.col("line"), COLUMNAR, (1, 2, 3, 4))).withColumn("r", F.when(F.size("c") < 4, parts_of(F.col("line"), COUNTED, (2, 1, 3))))
+    parts = cut.withColumn("p", F.when(F.size("c") == 4, F.col("c")).when(F.size("r") == 3, F.col("r"))).filter("p is not null")
+    # A count is digits alone, which read as any number.
+    values = parts.withColumn("v", F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: P.number(x)["value"]))
+    total, quantity = F.element_at("v", -1), F.get("v", F.lit(0))
+    price = F.when(F.size("v") == 3, F.get("v", F.lit(1))).when(quantity > 0, F.try_divide(total, quantity))
+    rows = values.select(*lines.columns, F.trim(F.get("p", F.lit(0))).alias("description"), quantity.alias("quantity"), F.round(price, 2).alias("unit_price"), F.round(total, 2).alias("total"))
+    return rows.filter("quantity is not null and unit_price is not null and total is not null")
 
 
-def line_items(docs: DataFrame, id_col: str, text_col: str, most: int = 200) -> DataFrame:
-    """id, item_no, description, quantity, unit_price, total: rows between the first and last rule; without two rules, those of receipts. The first `most` of a document."""
+def line_items(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, item_no, description, quantity, unit_price, total: all rows between the first and last rule; without two rules, those of receipts."""
     lines = F.split(text_col, "\n")
-    rules = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(P.RULE), i)), lambda i: i.isNotNull())
-    inside = F.when(F.size(rules) >= 2, F.slice(lines, F.array_min(rules) + 2, F.greatest(F.lit(0), F.array_max(rules) - F.array_min(rules) - 1)))
-    table = F.filter(inside, lambda x: ~x.rlike(P.RULE) & (F.trim(x) != ""))
-    row = lambda x: F.coalesce(columnar_row(x), receipt_row(x))
-    fits = lambda r: r.isNotNull() & ~P.is_summary(r["description"])
-    ruled = F.filter(F.transform(table, row), lambda r: fits(r) & ~P.is_header(r["description"]))
-    free = F.filter(F.transform(lines, receipt_row), fits)
-    items = F.slice(F.when(inside.isNotNull(), ruled).otherwise(free), 1, most)
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(items).alias("item_no", "i")).select("id", "item_no", "i.*")
+    rules = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(P.RULE), i)), lambda i: i.isNotNull())
+    cut = docs.select(F.col(id_col).alias("id"), lines.alias("lines")).withColumn("rules", rules)
+    ruled = F.size("rules") >= 2
+    inside = F.slice("lines", F.array_min("rules") + 2, F.greatest(F.lit(0), F.array_max("rules") - F.array_min("rules") - 1))
+    each = cut.select("id", ruled.alias("ruled"), F.posexplode(F.when(ruled, inside).otherwise(F.col("lines"))).alias("at", "line"))
+    # Without rules a row of a table is no item, so only what looks like one of a receipt is.
+    each = each.filter(F.when(F.col("ruled"), ~F.col("line").rlike(P.RULE)).otherwise(F.col("line").rlike(COUNTED)) & F.col("line").rlike(r"\d"))
+    items = item_rows(each.withColumn("line", F.when(F.col("ruled"), F.col("line")).otherwise(F.regexp_replace("line", r"^\s+", ""))))
+    items = items.filter(~P.is_summary(F.col("description")) & ~(F.col("ruled") & P.is_header(F.col("description"))))
+    numbered = items.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "description", "quantity", "unit_price", "total"))).alias("all"))
+    return numbered.select("id", F.posexplode("all").alias("item_no", "i")).select("id", "item_no", "i.description", "i.quantity", "i.unit_price", "i.total")
 
 
 # Issues

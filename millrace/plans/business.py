@@ -11,6 +11,7 @@ from ..functions import fields as P
 from ..functions import text as T
 from ..operators import business as B
 from ..session import table
+from ..storage import remove, scratch, written
 
 TODAY = "2000-01-01"
 GOOD_IBAN, BAD_IBAN = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 99"
@@ -77,25 +78,33 @@ def issue_order(spark, sf):
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def judged_invoices(spark, sf):
-    """Invoices, their fields and issues. The pages and fields are read several times, and kept meanwhile."""
-    docs = invoices(spark, sf).persist()
-    fields = B.extracted_fields(docs, "doc_id", "text", "invoice").persist()
-    return docs, fields, B.issues(docs, "doc_id", "text", "invoice", TODAY, fields=fields).persist()
+def judged_invoices(spark, sf, path):
+    """Fields, issues and confidence reports of the invoices, whose pages are printed and read once."""
+    docs = written(invoices(spark, sf), f"{path}/pages")
+    fields = written(B.extracted_fields(docs, "doc_id", "text", "invoice"), f"{path}/fields")
+    found = written(B.issues(docs, "doc_id", "text", "invoice", TODAY, fields=fields), f"{path}/issues")
+    types = docs.select(F.col("doc_id").alias("id"), B.type_confidence(B.classified(F.col("text"))).alias("type_confidence"))
+    return fields, B.confidence_reports(fields, found, types, "invoice")
+
+
+def kept(spark, out, path):
+    """out as a table of its own, without those that it was made of."""
+    result = written(out, f"{path}-result")
+    remove(spark, path)
+    return result
 
 
 def invoice_decisions(spark, sf):
-    docs, fields, found = judged_invoices(spark, sf)
-    types = docs.select(F.col("doc_id").alias("id"), B.type_confidence(B.classified(F.col("text"))).alias("type_confidence"))
-    out = B.decisions(fields, B.confidence_reports(fields, found, types, "invoice"), "invoice")
-    return out.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
+    path = scratch(spark, "invoices")
+    fields, reports = judged_invoices(spark, sf, path)
+    out = B.decisions(fields, reports, "invoice")
+    return kept(spark, out.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount")), path)
 
 
 def confidence_reports(spark, sf):
-    docs, fields, found = judged_invoices(spark, sf)
-    types = docs.select(F.col("doc_id").alias("id"), B.type_confidence(B.classified(F.col("text"))).alias("type_confidence"))
-    out = B.confidence_reports(fields, found, types, "invoice")
-    return out.groupBy("weakest", "type_confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"), F.sum(F.coalesce("warnings", F.lit(0))).alias("warnings"), F.round(F.sum("warning_penalty"), 2).alias("penalties"))
+    path = scratch(spark, "invoices")
+    _, out = judged_invoices(spark, sf, path)
+    return kept(spark, out.groupBy("weakest", "type_confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"), F.sum(F.coalesce("warnings", F.lit(0))).alias("warnings"), F.round(F.sum("warning_penalty"), 2).alias("penalties")), path)
 
 
 def invoice_corrections(spark, sf):
