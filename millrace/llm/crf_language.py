@@ -265,7 +265,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     picked, draw = F.lit(False), F.pmod(F.xxhash64("id", F.lit("crf")), F.lit(1 << 30))
     for r in counts:
         picked |= (F.col("label") == r["label"]) & (draw < F.lit(int(min(1.0, docs_a_label / r["n"]) * (1 << 30))))
-    windows = rows.filter(picked).select("text", "label").mapInArrow(window_rows, "label string, words array<string>").collect()
+    windows = rows.filter(picked).select("text", "label").mapInArrow(released(window_rows), "label string, words array<string>").collect()
     return trained(sorted((r["label"], r["words"]) for r in windows))
 
 

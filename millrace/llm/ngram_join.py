@@ -315,13 +315,13 @@ class NgramJoin:
         # Rows with much in common come first in the same columns: such ties are few, and their number tells.
         first = F.xxhash64("node", F.pmod("h", F.lit(ORDERS)))
         dealt = entries.select("h", salt.alias("salt"), "node").repartition("h", "salt").sortWithinPartitions("h", "salt", first)
-        self.columns = written(dealt.mapInArrow(runs, "h long, salt long, node long, pivot long, large boolean"), f"{self.path}/columns")
+        self.columns = written(dealt.mapInArrow(released(runs), "h long, salt long, node long, pivot long, large boolean"), f"{self.path}/columns")
 
     def _ties(self) -> DataFrame:
         ties = self.columns.filter("large and node <> pivot").select("node", "pivot").unionByName(self._heads()).distinct()
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
         ties = ties.join(side("node"), "node").join(side("pivot"), "pivot").filter(sizes_allow(F.col("n_node"), F.col("n_pivot"), self.num, self.den))
-        judged = ties.select("node", "pivot", "s_node", "s_pivot").mapInArrow(alike, "node long, pivot long, alike double").filter(F.col("alike") >= TIE)
+        judged = ties.select("node", "pivot", "s_node", "s_pivot").mapInArrow(released(alike), "node long, pivot long, alike double").filter(F.col("alike") >= TIE)
         # A row has a tie for each of its kept n-grams at most.
         best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("alike"), "pivot"))
         chosen = judged.withColumn("best", best).filter(F.col("best") <= TIES)
@@ -404,7 +404,7 @@ class NgramJoin:
         pairs = written(pairs.select("a", "b", "na", "nb"), f"{self.path}/{name}")
         sets = self._sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), name)
         side = lambda x: sets.select(F.col("node").alias(x), F.col("packed").alias(f"s{x}"))
-        found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(overlaps, "a long, b long, overlap long")
+        found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(released(overlaps), "a long, b long, overlap long")
         found = written(found.join(pairs, ["a", "b"]).filter(enough(F.col("overlap"), F.col("na"), F.col("nb"), self.num, self.den)), f"{self.path}/{name}-links")
         self._drop(f"{name}-sets")
         return found
