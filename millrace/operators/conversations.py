@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stretches
+
 
 def recent_and_old(turns: DataFrame, conv: str, pos: str, role: str, recent: int) -> DataFrame:
     """turns with is_recent: the last `recent` user turns of a conversation and all that follows them."""
@@ -39,7 +41,9 @@ def first_effects(effects: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def next_positions(log: DataFrame, conv: str, order: str) -> DataFrame:
-    return log.withColumn("position", F.row_number().over(Window.partitionBy(conv).orderBy(order)) - 1)
+    """log with position, from 0 in each conversation, which may span any number of tasks."""
+    rows = stretches.folded(log, [conv], [order], sums={"position": F.lit(1)})
+    return rows.withColumn("position", F.coalesce("position", F.lit(0)))
 
 
 def summary_lines(turns: DataFrame, conv: str, pos: str, role: str, text: str, names: str, most: int = 160) -> DataFrame:

@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import scratch, written
 
 
-def in_stretches(rows: DataFrame, key: str, order: list[str], path: str) -> DataFrame:
-    """rows with the column stretch, as a table at path. The order must tell a key's rows apart."""
+def ordered(order: list[str]) -> list[Column]:
+    """Names as columns to sort by; "-" before all of them turns the order around."""
+    return [F.desc_nulls_last(n[1:]) if n.startswith("-") else F.asc_nulls_first(n) for n in order]
+
+
+def in_stretches(rows: DataFrame, key: str, order: list[str], path: str | None = None) -> DataFrame:
+    """rows with the column stretch, as a table at path or a fresh one. The order must tell a key's rows apart."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(rows.repartitionByRange(parts, key, *order).withColumn("stretch", F.spark_partition_id()), path)
+    return written(rows.repartitionByRange(parts, key, *ordered(order)).withColumn("stretch", F.spark_partition_id()), path or scratch(rows.sparkSession, "stretches"))
 
 
 def before(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
@@ -25,10 +30,11 @@ def before(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column]
     A sum over no rows is null, as is a last value that no earlier row has.
     """
     sums, lasts = sums or {}, lasts or {}
-    earlier = Window.partitionBy(key, "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key, "stretch").orderBy(*ordered(order)).rowsBetween(Window.unboundedPreceding, -1)
     here = rows.select("*", *[F.sum(c).over(earlier).alias(f"{n}_here") for n, c in sums.items()], *[F.last(c, ignorenulls=True).over(earlier).alias(f"{n}_here") for n, c in lasts.items()])
-    at = F.struct(*order)
-    totals = rows.groupBy(key, "stretch").agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.max_by(c, F.when(c.isNotNull(), at)).alias(n) for n, c in lasts.items()])
+    at, back = F.struct(*[n.removeprefix("-") for n in order]), order[0].startswith("-")
+    final = lambda c: (F.min_by if back else F.max_by)(c, F.when(c.isNotNull(), at))
+    totals = rows.groupBy(key, "stretch").agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[final(c).alias(n) for n, c in lasts.items()])
     names = [*sums, *lasts]
     all_ = F.array_sort(F.collect_list(F.struct("stretch", *names)))
     crossing = totals.groupBy(key).agg(F.count(F.lit(1)).alias("stretches"), all_.alias("all")).filter("stretches > 1")
@@ -41,7 +47,18 @@ def before(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column]
     return joined.select(*rows.columns, *[both(n).alias(n) for n in sums], *[F.coalesce(f"{n}_here", f"{n}_carried").alias(n) for n in lasts])
 
 
-def last_different(rows: DataFrame, key: str, order: list[str], value: str, trusted: Column, path: str) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """rows with sums and last values over the rows of their keys that come before, in any number of tasks. Other columns stay as they are.
+
+    Expressions read a row's columns through the struct _row.
+    """
+    kept = rows.select(F.struct(*rows.columns).alias("_row"), F.struct(*keys).alias("_keys"), *sorted({n.removeprefix("-") for n in order}))
+    cut = in_stretches(kept, "_keys", order)
+    out = before(cut, "_keys", order, sums, lasts)
+    return out.select("_row.*", *(sums or {}), *(lasts or {}))
+
+
+def last_different(rows: DataFrame, key: str, order: list[str], value: str, trusted: Column, path: str | None = None) -> DataFrame:
     """Rows whose key has an earlier trusted row with another value: key, order, value, expected (a struct of the last such row's value and
     order), and since_last, whether that row was the last trusted one at all.
 

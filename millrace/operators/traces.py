@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import nearest_rank
 from ..session import seconds
+from . import stretches
 
 
 def totals(log: DataFrame, value: str, conditions: dict[str, Column]) -> DataFrame:
@@ -34,15 +35,16 @@ def daily_spend(log: DataFrame, owner: str, at: str, value: str) -> DataFrame:
 
 
 def over_budget(log: DataFrame, owner: str, at: str, value: str, order: str, daily: float) -> DataFrame:
-    """Rows that come after their owner's day has spent daily or more."""
-    before = F.sum(value).over(Window.partitionBy(owner, F.to_date(at)).orderBy(at, order).rowsBetween(Window.unboundedPreceding, -1))
-    return log.withColumn("spent_before", F.coalesce(before, F.lit(0.0))).filter(F.col("spent_before") >= daily)
+    """Rows that come after their owner's day has spent daily or more. An owner's day may span any number of tasks."""
+    days = log.withColumn("_day", F.to_date(at))
+    spent = stretches.folded(days, [owner, "_day"], [at, order], sums={"spent_before": F.col(f"_row.{value}")}).drop("_day")
+    return spent.withColumn("spent_before", F.coalesce("spent_before", F.lit(0.0))).filter(F.col("spent_before") >= daily)
 
 
 def fallbacks(log: DataFrame, owner: str, at: str, order: str, kind: str) -> DataFrame:
     """Rows whose owner's row before was of another kind, with that kind."""
-    last = F.lag(kind).over(Window.partitionBy(owner).orderBy(at, order))
-    return log.withColumn("before", last).filter(F.col("before").isNotNull() & (F.col("before") != F.col(kind)))
+    rows = stretches.folded(log, [owner], [at, order], lasts={"_last": F.struct(F.col(f"_row.{kind}").alias("kind"))})
+    return rows.withColumn("before", F.col("_last.kind")).drop("_last").filter(F.col("before").isNotNull() & (F.col("before") != F.col(kind)))
 
 
 def token_bucket(log: DataFrame, owner: str, at: str, order: str, capacity: float, a_second: float) -> DataFrame:
@@ -72,7 +74,7 @@ def token_bucket(log: DataFrame, owner: str, at: str, order: str, capacity: floa
 
 
 def cache_hits(log: DataFrame, key: list[str], at: str, order: str, ttl_seconds: float) -> DataFrame:
-    """Rows whose key was last seen within ttl_seconds: exact cache hits, if each request stores its answer anew."""
-    w = Window.partitionBy(*key).orderBy(at, order)
-    age = seconds(F.col(at)) - seconds(F.lag(at).over(w))
-    return log.withColumn("hit", F.coalesce(age <= ttl_seconds, F.lit(False)))
+    """Rows whose key was last seen within ttl_seconds: exact cache hits, if each request stores its answer anew. A key may span any number of tasks."""
+    rows = stretches.folded(log, key, [at, order], lasts={"_seen": F.col(f"_row.{at}")})
+    age = seconds(F.col(at)) - seconds(F.col("_seen"))
+    return rows.withColumn("hit", F.coalesce(age <= ttl_seconds, F.lit(False))).drop("_seen")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import seconds
+from . import stretches
 
 
 def state_of(events: DataFrame, run: str, order: str, kind: str, terminal: list[str]) -> DataFrame:
@@ -22,19 +23,30 @@ def first_decisions(events: DataFrame, key: list[str], order: str, decision: str
 
 
 def attempts(events: DataFrame, run: str, order: str, kind: str, failure: str, most: int) -> DataFrame:
-    """Failures with their number in the run, and whether another attempt follows, with its back-off in seconds."""
-    number = F.row_number().over(Window.partitionBy(run).orderBy(order))
-    failed = events.filter(F.col(kind) == failure).withColumn("attempt", number)
+    """Failures with their number in the run, and whether another attempt follows, with its back-off in seconds. A run may span any number of tasks."""
+    failed = stretches.folded(events.filter(F.col(kind) == failure), [run], [order], sums={"attempt": F.lit(1)})
+    failed = failed.withColumn("attempt", F.coalesce("attempt", F.lit(0)) + 1)
     delay = F.least(F.lit(60.0), F.pow(F.lit(2.0), F.col("attempt") - 1))
     return failed.withColumn("retried", F.col("attempt") < most).withColumn("delay", F.when(F.col("attempt") < most, delay))
 
 
 def compensations(effects: DataFrame, run: str, order: str) -> DataFrame:
-    """Effects in the order in which they are undone."""
-    return effects.withColumn("undo_no", F.row_number().over(Window.partitionBy(run).orderBy(F.desc(order))))
+    """Effects in the order in which they are undone, the last first."""
+    rows = stretches.folded(effects, [run], [f"-{order}"], sums={"undo_no": F.lit(1)})
+    return rows.withColumn("undo_no", F.coalesce("undo_no", F.lit(0)) + 1)
 
 
 def expired_leases(steps: DataFrame, run: str, at: str, order: str, lease_seconds: float) -> DataFrame:
     """Steps after which nothing of their run happened within the lease, though something came later."""
-    following = F.lead(at).over(Window.partitionBy(run).orderBy(at, order))
-    return steps.withColumn("idle", seconds(following) - seconds(F.col(at))).filter(F.col("idle") > lease_seconds)
+    rows = stretches.folded(steps, [run], [f"-{at}", f"-{order}"], lasts={"_next": F.col(f"_row.{at}")})
+    return rows.withColumn("idle", seconds(F.col("_next")) - seconds(F.col(at))).drop("_next").filter(F.col("idle") > lease_seconds)
+
+
+def steps_in_order(events: DataFrame, run: str, order: str, kind: str, done: str) -> DataFrame:
+    """events with position (from 0) and state: done up to the run's last event of the kind `done`, the one behind it ready, the rest blocked."""
+    last = events.filter(F.col(kind) == done).groupBy(F.col(run).alias("_run")).agg(F.max(order).alias("_done"))
+    rows = stretches.folded(events, [run], [order], sums={"position": F.lit(1)}, lasts={"_before": F.col(f"_row.{order}")})
+    both = rows.join(last, F.col(run) == F.col("_run"), "left").drop("_run")
+    is_done = lambda c: F.coalesce(F.col(c) <= F.col("_done"), F.lit(False))
+    state = F.when(is_done(order), "done").when(F.col("_before").isNull() | is_done("_before"), "ready").otherwise("blocked")
+    return both.withColumn("state", state).withColumn("position", F.coalesce("position", F.lit(0))).drop("_before", "_done")

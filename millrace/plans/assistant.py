@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import claims as C
 from ..functions import stats
 from ..functions import text as T
-from ..operators import retrieval
+from ..operators import retrieval, stretches
 from ..session import table
 from .logs import ARMS, experiment_arms
 from .texts import BM25, STOP, documents, item_queries
@@ -115,7 +115,8 @@ def evidence_scores(spark, sf):
 def evidence_numbers(spark, sf):
     """Dense numbers of sources in order of conversation and length, at their first appearance only."""
     first = conversations(spark, sf).groupBy("role", F.md5("text").alias("source")).agg(F.min(F.struct("conv_id", (-F.length("text")).alias("by"), "turn")).alias("at"))
-    return first.select("role", "source", F.row_number().over(Window.partitionBy("role").orderBy("at", "source")).cast("long").alias("number"))
+    numbered = stretches.folded(first, ["role"], ["at", "source"], sums={"number": F.lit(1)})
+    return numbered.select("role", "source", (F.coalesce("number", F.lit(0)) + 1).alias("number"))
 
 
 def experiment_comparison(spark, sf):

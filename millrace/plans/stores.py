@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ingest
+from ..operators import ingest, workflow
 from ..session import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -116,12 +116,8 @@ def foreign_keys(spark, sf):
 
 def run_steps(spark, sf):
     """Steps of each run in order: the first is ready, those behind it are blocked until it is done."""
-    n = F.row_number().over(by_owner("event_id"))
-    done = F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(Window.partitionBy("user_id"))
-    rows = events(spark, sf).select("user_id", "event_id", "event_type", n.alias("n"), done.alias("done"))
-    open_ = F.min(F.when(F.col("done").isNull() | (F.col("event_id") > F.col("done")), F.col("n"))).over(Window.partitionBy("user_id"))
-    state = F.when(F.col("event_id") <= F.col("done"), "done").when(F.col("n") == F.col("next"), "ready").otherwise("blocked")
-    return rows.withColumn("next", open_).select("user_id", "event_id", (F.col("n") - 1).cast("long").alias("position"), state.alias("state"))
+    rows = workflow.steps_in_order(events(spark, sf).select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", "purchase")
+    return rows.select("user_id", "event_id", "position", "state")
 
 
 def next_steps(spark, sf):

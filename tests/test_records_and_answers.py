@@ -44,6 +44,26 @@ def test_sums_and_last_values_before_each_row(spark):
         seen[key] = (i, s) if ok else seen.get(key)
 
 
+def test_folds_both_ways_keep_all_columns(spark):
+    """Keys of several columns, null ones too, and the order turned around."""
+    rows = [(k, a, b, at, v, f"r{k}") for k, (a, at, _, v, b, _) in enumerate(ordered_rows(4, 300))]
+    data = spark.createDataFrame(rows, "id long, a string, b string, at long, v long, _keys string")
+    ahead = stretches.folded(data, ["a", "b"], ["at", "id"], sums={"n": F.lit(1)}, lasts={"last": F.struct("_row.id")})
+    back = stretches.folded(data, ["a", "b"], ["-at", "-id"], sums={"n": F.lit(1), "total": F.col("_row.v")}, lasts={"next": F.col("_row.id")})
+    groups = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        groups[r[1], r[2]].append(r)
+    for r in ahead.collect():
+        group = groups[r["a"], r["b"]]
+        at = next(k for k, x in enumerate(group) if x[0] == r["id"])
+        assert (r["n"] or 0, r["last"] and r["last"]["id"]) == (at, group[at - 1][0] if at else None) and r["_keys"] == f"r{r['id']}"
+    for r in back.collect():
+        group = groups[r["a"], r["b"]]
+        at = next(k for k, x in enumerate(group) if x[0] == r["id"])
+        later = [x[4] for x in group[at + 1 :] if x[4] is not None]
+        assert (r["n"] or 0, r["next"], r["total"]) == (len(group) - at - 1, group[at + 1][0] if at + 1 < len(group) else None, sum(later) if later else None)
+
+
 def test_last_different_against_a_loop(spark):
     rows = ordered_rows(2, 600)
     data = spark.createDataFrame(rows, "key string, at long, id long, v long, s string, ok boolean")
