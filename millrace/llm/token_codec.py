@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -166,7 +167,7 @@ class Words(dict):
         if ids is None:
             plain = core(word)
             # Special tokens are looked for in texts as they stand: what lower-casing would make one of stays as it is.
-            if plain == word or any(special in plain for special in self.coder.special):
+            if plain == word or self.coder.special(plain):
                 ids = self.coder.word(word)
             else:
                 ids = self[plain] + self[word[-1]] if len(plain) < len(word) else self[plain]
@@ -213,7 +214,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(end_id + 1, self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4")
         self.pack = struct.Struct("<H" if self.dtype.itemsize == 2 else "<I").pack
         self.end = self.pack(end_id)
-        self.special = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        # Finds nothing where there are no special tokens.
+        self.special = re.compile("|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
         self.whole, self.words = whole_texts or not cuts_at_blanks(self.tokenizer), Words(self, {})
 
     def word(self, word: str) -> bytes:
