@@ -161,16 +161,18 @@ PROTECTED = r"(?i)\b(ORD|CUST|REF|TICK)-(\d+)\b"
 def redacted(text: Column) -> Column:
     """Text with e-mail addresses, IBANs, Luhn-valid cards (last four digits stay) and phones replaced; own identifiers stay.
 
-    Identifiers are hidden behind letters while the patterns run, and shown again.
+    Identifiers are hidden behind letters while the patterns run, and shown again. Texts without digits and without @ hold nothing of the kind.
     """
     hidden = F.regexp_replace(text, PROTECTED, "\u0001$1\u0002$2\u0003")
     hidden = F.regexp_replace(hidden, "(?<=\u0002[0-9]{0,30})([0-9])", "\u0004$1")
     out = F.regexp_replace(hidden, EMAIL, "[EMAIL_REDACTED]")
     out = F.regexp_replace(out, IBAN, "[IBAN_REDACTED]")
-    card = lambda acc, c: F.when(luhn_valid(F.trim(c)), F.replace(acc, F.rtrim(c), F.concat(F.lit("[CARD_ENDING_"), F.right(F.regexp_replace(c, r"\D", ""), F.lit(4)), F.lit("]")))).otherwise(acc)
-    out = once(out, lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(CARD), 0)), t, card))
+    card = lambda acc, c: F.replace(acc, F.rtrim(c), F.concat(F.lit("[CARD_ENDING_"), F.right(F.regexp_replace(c, r"\D", ""), F.lit(4)), F.lit("]")))
+    cards = lambda t: F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(CARD), 0)), lambda c: luhn_valid(F.trim(c)))
+    out = once(out, lambda t: F.aggregate(cards(t), t, card))
     out = F.regexp_replace(out, PHONE, "[PHONE_REDACTED]")
-    return F.regexp_replace(F.replace(out, F.lit("\u0004"), F.lit("")), "\u0001(\\w+)\u0002(\\d+)\u0003", "$1-$2")
+    shown = F.regexp_replace(F.replace(out, F.lit("\u0004"), F.lit("")), "\u0001(\\w+)\u0002(\\d+)\u0003", "$1-$2")
+    return F.when(text.rlike("[0-9@]"), shown).otherwise(text)
 
 
 def least_window(occurrences: Column, n_terms: Column) -> Column:

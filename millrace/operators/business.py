@@ -214,8 +214,10 @@ COUNTED = r"^\s*(\d+)\s*[xX]\s+(.+?)\s{2,}([\d.,]+)\s*$"
 
 
 def item_rows(lines: DataFrame) -> DataFrame:
-    """lines (line, ...) with description, quantity, unit_price, total: the last three numbers of a line behind its text, or "2 x Flat white    6.40". Other lines go."""
-    cut = lines.withColumn("c", parts_of(F.col("line"), COLUMNAR, (1, 2, 3, 4))).withColumn("r", F.when(F.size("c") < 4, parts_of(F.col("line"), COUNTED, (2, 1, 3))))
+    """lines (line, ruled, ...) with description, quantity, unit_price, total: in a table (ruled) the last three numbers of a line behind its text,
+    or "2 x Flat white    6.40" anywhere. Other lines go."""
+    cut = lines.withColumn("c", F.when(F.col("ruled"), parts_of(F.col("line"), COLUMNAR, (1, 2, 3, 4))).otherwise(F.array(F.col("line"))))
+    cut = cut.withColumn("r", F.when(F.size("c") < 4, parts_of(F.col("line"), COUNTED, (2, 1, 3))).otherwise(F.array(F.col("line"))))
     parts = cut.withColumn("p", F.when(F.size("c") == 4, F.col("c")).when(F.size("r") == 3, F.col("r"))).filter("p is not null")
     # A count is digits alone, which read as any number.
     values = parts.withColumn("v", F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: P.number(x)["value"]))

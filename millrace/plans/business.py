@@ -30,7 +30,7 @@ def invoice_rows(spark, sf):
     off = F.when((F.col("l_orderkey") % 7 == 1) & (F.col("l_linenumber") == F.col("first")), 100).otherwise(0)
     lines = lines.withColumn("t", F.col("q") * F.col("u") + off)
     row = F.concat(F.rpad(F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" rack")), 30, " "), F.lpad(F.col("q").cast("string"), 6, " "), F.lpad(cents("u"), 14, " "), F.lpad(cents("t"), 16, " "))
-    by = lines.groupBy("l_orderkey").agg(F.sum(F.col("q") * F.col("u")).alias("plain"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "q", "u", row.alias("row")))).alias("rows"))
+    by = lines.groupBy("l_orderkey").agg(F.sum(F.col("q") * F.col("u")).alias("plain"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "q", "u", "t", row.alias("row")))).alias("rows"))
     rows = table(spark, sf, "orders").join(by, k == F.col("l_orderkey")).join(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.withColumn("s", F.col("plain") + F.when(k % 11 == 2, 500).otherwise(0)).withColumn("pct", F.when(k % 13 == 3, 13).otherwise(20))
     rows = rows.withColumn("x", F.expr("(s * pct + 50) div 100")).withColumn("t", F.col("s") + F.col("x") + F.when(k % 17 == 4, 1000).otherwise(0))
@@ -38,10 +38,15 @@ def invoice_rows(spark, sf):
     return rows.select(k.alias("k"), "c_name", "c_mktsegment", "rows", "s", "x", "pct", "t", day.alias("day"), F.date_add(day, F.when(k % 19 == 5, -5).otherwise(30)).alias("due"))
 
 
+def printed_day():
+    """The day in one of four ways, by key."""
+    k, day = F.col("k"), F.col("day")
+    return F.when(k % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(day, "d MMMM yyyy")).when(k % 4 == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "d.M.yyyy"))
+
+
 def invoices(spark, sf, mended: bool = False):
     """doc_id, text of each order's invoice; mended ones have their number and a valid account."""
-    k, day = F.col("k"), F.col("day")
-    date = F.when(k % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(day, "d MMMM yyyy")).when(k % 4 == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "d.M.yyyy"))
+    k, date = F.col("k"), printed_day()
     line = lambda cond, value: F.when(cond, value)
     name = F.concat(F.col("c_mktsegment"), F.lit(" Goods Ltd"))
     parts = [
@@ -132,29 +137,66 @@ def structured_invoices(spark, sf):
     return out.select(F.col("id").alias("doc_id"), F.size(F.json_object_keys("document")).cast("long").alias("n_fields"), F.get_json_object("document", "$.total_amount").alias("total"))
 
 
-# Other types: pages that every customer has one of
+# Other types: a receipt, a purchase order or a contract for each order
 
 
-def pages(spark, sf):
-    """doc_id, kind_no, text: a receipt, a purchase order, a contract, a letter and a mix of two, by customer."""
-    k = F.col("c_custkey")
-    receipt = F.concat(F.lit("CORNER CAFE (Leeds)\nReceipt No: R-"), k.cast("string"), F.lit("\nDate: 07 March 2025     Time: 09:42\nVAT No GB123456789\n\n2 x Flat white       6.40\n1 x Toast, 2 slices      3.10\n3 x VAT extra    1.00\n\nTotal    9.50\nVAT    1.58\nPaid by: card 4539 1488 0343 6467\nThank you"))
-    order = F.concat(F.lit("Fenwick Analytics Ltd\nPurchase Order\nPO Number: PO-"), k.cast("string"), F.lit("\nOrder Date: March 3, 2025\nRequired By: 2025-02-01\n\nSupplier:\n\nRowan Supplies Ltd, of 9 High Road\n\n====================\nSample rack, 50 position     4     12.50    50.00\nPaper     10     1.234     12.34\n====================\nNet total   62.34\nVAT   12.47\nOrder Total -74.81\nAuthorised by: A. Reader\nShip to: Leeds"))
-    contract = F.lit("SERVICES AGREEMENT\nThis agreement is made on 1 April 2025 (\"the date\")\nbetween:\nFenwick Analytics Ltd, of 12 Rowan Street (\"the Client\")\nand:\nBrook Services Ltd (\"the Supplier\")\n\nIt commences on 15 April 2025 and continues until\n 14 April 2025, hereby agreed by the parties.\n3. CHARGES\nThe annual value is 12,500 EUR. The supplier shall be invoiced monthly.\nPayment Terms: 30 days from the date of invoice\nEither of the parties may end it by giving 90 days written notice.\nGoverning law: England and Wales\nSigned for the Client")
-    letter, mix = F.lit("Dear all, the meeting is on Monday."), F.lit("invoice number 7, amount due; receipt no 9")
-    text = F.when(k % 5 == 0, receipt).when(k % 5 == 1, order).when(k % 5 == 2, contract).when(k % 5 == 3, letter).otherwise(mix)
-    return table(spark, sf, "customer").select(k.alias("doc_id"), (k % 5).alias("kind_no"), text.alias("text"))
+def as_pages(rows, parts):
+    return rows.select(F.col("k").alias("doc_id"), F.concat_ws("\n", *parts).alias("text"))
+
+
+def receipts(spark, sf):
+    """Every third order's till receipt: counted items, some without a number or a subtotal, some with the whole card number."""
+    k = F.col("k")
+    item = lambda r: F.concat(r["q"].cast("string"), F.lit(" x Part "), r["l_partkey"].cast("string"), F.lit(" rack      "), F.format_number(r["t"] / 100, 2))
+    return as_pages(invoice_rows(spark, sf).filter(k % 3 == 0), [
+        F.concat(F.col("c_mktsegment"), F.lit(" CAFE (Leeds)")), F.when(k % 23 != 6, F.concat(F.lit("Receipt No: R-"), k.cast("string"))),
+        F.concat(F.lit("Date: "), printed_day(), F.lit("     Time: 09:42")), F.lit("VAT No GB123456789"), F.lit("Till 7"), F.lit(""),
+        F.array_join(F.transform("rows", item), "\n"), F.lit(""), F.when(k % 2 == 0, F.concat(F.lit("Subtotal      "), cents("s"))),
+        F.concat(F.lit("VAT      "), cents("x")), F.concat(F.lit("Total   "), cents("t")),
+        F.concat(F.lit("Paid by: "), F.when(k % 5 == 0, "card 4539 1488 0343 6467").otherwise("cash in full")), F.lit("Thank you")])
+
+
+def purchase_orders(spark, sf):
+    """Every third order as a purchase order: a table between double rules, the supplier on the line below its label, some in a stated currency."""
+    k = F.col("k")
+    return as_pages(invoice_rows(spark, sf).filter(k % 3 == 1), [
+        F.concat(F.col("c_name"), F.lit(", of 3 Low Road")), F.lit("Purchase Order"), F.when(k % 23 != 6, F.concat(F.lit("PO Number: PO-"), k.cast("string"))),
+        F.concat(F.lit("Order Date: "), printed_day()), F.concat(F.lit("Required By: "), F.date_format("due", "MMMM d, yyyy")), F.lit(""), F.lit("Supplier:"), F.lit(""),
+        F.concat(F.col("c_mktsegment"), F.lit(" Goods Ltd, of 9 High Road")), F.lit(""), F.lit("=" * 40), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("=" * 40),
+        F.concat(F.lit("Net total   "), cents("s")), F.concat(F.lit("VAT   "), cents("x")), F.concat(F.lit("Order Total "), cents("t")),
+        F.when(k % 2 == 0, "All sums in GBP"), F.concat(F.lit("Authorised by: Reader "), k.cast("string"))])
+
+
+def contracts(spark, sf):
+    """Every third order as a contract of a year in running text, some of which end before they begin."""
+    k, day = F.col("k"), F.col("day")
+    said = lambda d: F.date_format(d, "d MMMM yyyy")
+    end = F.when(k % 19 == 5, F.date_add(day, 13)).otherwise(F.date_add(day, 365))
+    return as_pages(invoice_rows(spark, sf).filter(k % 3 == 2), [
+        F.lit("SERVICES AGREEMENT"), F.concat(F.lit("This agreement is made on "), said(day), F.lit(' ("the date")')), F.lit("between:"),
+        F.concat(F.col("c_name"), F.lit(', of 12 Rowan Street ("the Client")')), F.lit("and:"), F.concat(F.col("c_mktsegment"), F.lit(' Goods Ltd ("the Supplier")')), F.lit(""),
+        F.concat(F.lit("It commences on "), said(F.date_add(day, 14)), F.lit(" and continues until")), F.concat(F.lit(" "), said(end), F.lit(", hereby agreed by the parties.")),
+        F.lit("3. CHARGES"), F.concat(F.lit("The annual value is "), cents("t"), F.lit(" EUR. The supplier shall be invoiced monthly.")),
+        F.concat(F.lit("Payment Terms: "), (k % 60 + 11).cast("string"), F.lit(" days from the date of invoice")),
+        F.concat(F.lit("Either of the parties may end it by giving "), (k % 90 + 11).cast("string"), F.lit(" days written notice.")),
+        F.lit("Governing law: England and Wales"), F.lit("Signed for the Client")])
+
+
+KINDS = {"receipt": receipts, "purchase_order": purchase_orders, "contract": contracts}
 
 
 def document_types(spark, sf):
-    c = B.classified(F.col("text"))
-    out = pages(spark, sf).select("doc_id", c.alias("c"))
-    return out.select("doc_id", "c.kind", "c.score", "c.sure", B.type_confidence(F.col("c")).alias("confidence"))
+    out = None
+    for printed in KINDS.values():
+        docs = printed(spark, sf)
+        out = docs if out is None else out.unionByName(docs)
+    c = out.select("doc_id", B.classified(F.col("text")).alias("c"))
+    return c.select("doc_id", "c.kind", "c.score", "c.sure", B.type_confidence(F.col("c")).alias("confidence"))
 
 
-def page_fields(kind_no: int, kind: str):
+def page_fields(kind: str):
     def run(spark, sf):
-        found = B.extracted_fields(pages(spark, sf).filter(F.col("kind_no") == kind_no), "doc_id", "text", kind)
+        found = B.extracted_fields(KINDS[kind](spark, sf), "doc_id", "text", kind)
         return found.select(F.col("id").alias("doc_id"), "name", "value", "confidence")
 
     return run
@@ -162,14 +204,14 @@ def page_fields(kind_no: int, kind: str):
 
 def page_issues(spark, sf):
     out = None
-    for kind_no, kind in ((0, "receipt"), (1, "purchase_order"), (2, "contract")):
-        found = B.issues(pages(spark, sf).filter(F.col("kind_no") == kind_no), "doc_id", "text", kind, "2025-06-01")
+    for kind, printed in KINDS.items():
+        found = B.issues(printed(spark, sf), "doc_id", "text", kind, TODAY)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("id").alias("doc_id"), "code", "field", "severity")
 
 
 def page_items(spark, sf):
-    out = B.line_items(pages(spark, sf).filter("kind_no in (0, 1)"), "doc_id", "text")
+    out = B.line_items(receipts(spark, sf).unionByName(purchase_orders(spark, sf)), "doc_id", "text")
     return out.select(F.col("id").alias("doc_id"), F.col("item_no").cast("long").alias("item_no"), "description", "quantity", "unit_price", "total")
 
 
@@ -257,24 +299,41 @@ rep AS (SELECT *, least(0.12::DOUBLE, warnings * 0.03::DOUBLE) AS penalty, round
   CASE WHEN nc < dconf THEN 'invoice_number' WHEN dconf < 0.85 THEN 'invoice_date' ELSE 'supplier_name' END AS weakest FROM conf)"""
 
 
-def page_sql(kind_no: int, fields: list[tuple[str, str, float | None]]) -> str:
-    """Each page of a kind has these fields; key: what stands for the customer's key."""
-    rows = ", ".join(f"('{n}', " + (f"'{v}'" if v is not None else "NULL") + ", " + (f"{c}" if c is not None else "NULL") + ")" for n, v, c in fields)
-    return f"SELECT c_custkey AS doc_id, f.name, replace(f.value, '<key>', c_custkey::VARCHAR) AS value, f.confidence::DOUBLE AS confidence FROM customer, (VALUES {rows}) f(name, value, confidence) WHERE c_custkey % 5 = {kind_no}"
-
-
-RECEIPT = [("receipt_number", "R-<key>", 0.93), ("receipt_date", "2025-03-07", 0.9), ("merchant_name", "CORNER CAFE", 0.85), ("supplier_vat", "GB123456789", 0.93), ("subtotal", None, None), ("tax_amount", "1.58", 0.92), ("total_amount", "9.50", 0.92), ("payment_method", "card 4539 1488 0343 6467", 0.85), ("currency", "GBP", 0.6)]
-ORDER = [("po_number", "PO-<key>", 0.93), ("order_date", "2025-03-03", 0.9), ("required_by_date", "2025-02-01", 0.9), ("buyer_name", "Fenwick Analytics Ltd", 0.85), ("supplier_name", "Rowan Supplies Ltd", 0.88), ("subtotal", "62.34", 0.92), ("tax_amount", "12.47", 0.92), ("total_amount", "-74.81", 0.92), ("authorised_by", "A. Reader", 0.85), ("currency", None, None)]
-CONTRACT = [("agreement_date", "2025-04-01", 0.9), ("party_one", "Fenwick Analytics Ltd", 0.88), ("party_two", "Brook Services Ltd", 0.88), ("start_date", "2025-04-15", 0.9), ("end_date", "2025-04-14", 0.9), ("contract_value", "12500.00", 0.506), ("payment_terms", "30 days from the date of invoice", 0.85), ("notice_period", "Either of the parties may end it by giving 90 days written notice.", 0.85), ("governing_law", "England and Wales", 0.85), ("currency", "EUR", 0.95)]
-PAGE_ISSUES = [(0, "full_card_number_on_document", "payment_method", "warning"), (0, "line_items_do_not_sum_to_total", "total_amount", "error"), (1, "negative_total", "total_amount", "warning"), (1, "subtotal_plus_tax_is_not_total", "total_amount", "error"), (1, "due_before_issue", "required_by_date", "error"), (1, "line_item_does_not_multiply", "line_items[1]", "error"), (2, "term_ends_before_it_starts", "end_date", "error")]
-PAGE_ITEMS = [(0, 0, "Flat white", 2, 3.2, 6.4), (0, 1, "Toast, 2 slices", 1, 3.1, 3.1), (1, 0, "Sample rack, 50 position", 4, 12.5, 50.0), (1, 1, "Paper", 10, 1234.0, 12.34)]
-#: By kind of page: type, score, whether it is sure, and its confidence.
-TYPES = [(0, "receipt", 7.5, True, 0.865), (1, "purchase_order", 16.5, True, 0.97), (2, "contract", 19.5, True, 0.97), (3, "unknown", 0.0, False, 0.0), (4, "receipt", 7.0, False, 0.753)]
+def page_sql(rest: int, fields: list[tuple[str, str, str]]) -> str:
+    """Fields of the pages whose key leaves a remainder by three: name, value, and confidence where there is a value."""
+    rows = ", ".join(f"('{n}', ({v})::VARCHAR, CASE WHEN ({v}) IS NOT NULL THEN {c} END::DOUBLE)" for n, v, c in fields)
+    return f"WITH {INV} SELECT k AS doc_id, f.name, f.value, f.confidence FROM inv, LATERAL (VALUES {rows}) f(name, value, confidence) WHERE k % 3 = {rest}"
+
+
+NUMBERED = "CASE WHEN number IS NOT NULL THEN '{p}-' || k END"
+RECEIPT = [("receipt_number", NUMBERED.format(p="R"), 0.93), ("receipt_date", "day", "dconf"), ("merchant_name", "replace(supplier, ' Goods Ltd', ' CAFE')", 0.85), ("supplier_vat", "'GB123456789'", 0.93), ("subtotal", f"CASE WHEN k % 2 = 0 THEN {TWO('s')} END", 0.92), ("tax_amount", TWO("x"), 0.92), ("total_amount", TWO("t"), 0.92), ("payment_method", "CASE WHEN k % 5 = 0 THEN 'card 4539 1488 0343 6467' ELSE 'cash in full' END", 0.85), ("currency", "'GBP'", 0.6)]
+ORDER = [("po_number", NUMBERED.format(p="PO"), 0.93), ("order_date", "day", "dconf"), ("required_by_date", "due", 0.9), ("buyer_name", "c_name", 0.85), ("supplier_name", "supplier", 0.88), ("subtotal", TWO("s"), 0.92), ("tax_amount", TWO("x"), 0.92), ("total_amount", TWO("t"), 0.92), ("authorised_by", "'Reader ' || k", 0.85), ("currency", "CASE WHEN k % 2 = 0 THEN 'GBP' END", 0.95)]
+ENDS = "(day + CASE WHEN k % 19 = 5 THEN 13 ELSE 365 END::INT)"
+CONTRACT = [("agreement_date", "day", 0.9), ("party_one", "c_name", 0.88), ("party_two", "supplier", 0.88), ("start_date", "day + 14", 0.9), ("end_date", ENDS, 0.9), ("contract_value", TWO("t"), 0.92), ("payment_terms", "(k % 60 + 11) || ' days from the date of invoice'", 0.85), ("notice_period", "'Either of the parties may end it by giving ' || (k % 90 + 11) || ' days written notice.'", 0.85), ("governing_law", "'England and Wales'", 0.85), ("currency", "'EUR'", 0.95)]
+#: Items of receipts have their price from the total and the count; those of purchase orders print it.
+PRINTED = "printed AS (SELECT k, item_no, 'Part ' || p || ' rack' AS description, q::DOUBLE AS quantity, CASE WHEN k % 3 = 0 THEN round(li.t / 100.0::DOUBLE / q, 2) ELSE u / 100.0::DOUBLE END AS unit_price, li.t / 100.0::DOUBLE AS total FROM li JOIN inv USING (k) WHERE k % 3 < 2)"
+DATED = "CASE k % 3 WHEN 0 THEN 'receipt_date' WHEN 1 THEN 'order_date' ELSE 'agreement_date' END"
+#: Subtotals stand on purchase orders and on every other receipt.
+PAGE_ISSUES = f"""
+pi AS (
+  SELECT k, 'required_field_missing' AS code, 'po_number' AS field FROM inv WHERE k % 3 = 1 AND number IS NULL
+  UNION ALL SELECT k, 'low_confidence_required_field', {DATED} FROM inv WHERE k % 3 < 2 AND dconf < 0.7
+  UNION ALL SELECT k, 'line_item_does_not_multiply', 'line_items[' || item_no || ']' FROM printed WHERE abs(round(quantity * unit_price, 2) - total) > 0.02 + 1e-9
+  UNION ALL SELECT k, 'line_items_do_not_sum_to_subtotal', 'subtotal' FROM inv WHERE (k % 3 = 1 OR (k % 3 = 0 AND k % 2 = 0)) AND abs(listed - s) > 2
+  UNION ALL SELECT k, 'subtotal_plus_tax_is_not_total', 'total_amount' FROM inv WHERE (k % 3 = 1 OR (k % 3 = 0 AND k % 2 = 0)) AND abs(s + x - t) > 5
+  UNION ALL SELECT k, 'line_items_do_not_sum_to_total', 'total_amount' FROM inv WHERE k % 3 = 0 AND k % 2 = 1 AND abs(listed + x - t) > 5
+  UNION ALL SELECT k, 'unusual_tax_rate', 'tax_amount' FROM inv WHERE (k % 3 = 1 OR (k % 3 = 0 AND k % 2 = 0)) AND list_min(list_transform({list(B.TAX_RATES)}, lambda r: abs(x * 100.0::DOUBLE / s - r))) > 0.35
+  UNION ALL SELECT k, 'full_card_number_on_document', 'payment_method' FROM inv WHERE k % 3 = 0 AND k % 5 = 0
+  UNION ALL SELECT k, 'document_dated_in_the_future', {DATED} FROM inv WHERE day > DATE '{TODAY}' + 30
+  UNION ALL SELECT k, 'document_very_old', {DATED} FROM inv WHERE DATE '{TODAY}' - day > 1825
+  UNION ALL SELECT k, 'due_before_issue', 'required_by_date' FROM inv WHERE k % 3 = 1 AND due < day
+  UNION ALL SELECT k, 'term_ends_before_it_starts', 'end_date' FROM inv WHERE k % 3 = 2 AND k % 19 = 5)"""
+#: By kind of page: its phrases' weights, less those of the number where there is none.
+TYPED = "SELECT k, CASE k % 3 WHEN 0 THEN 2.0 + CASE WHEN number IS NULL THEN 0 ELSE 7 END WHEN 1 THEN 11.0 + CASE WHEN number IS NULL THEN 0 ELSE 4 END ELSE 19.5 END::DOUBLE AS score, CASE k % 3 WHEN 2 THEN 2.5 ELSE 0 END::DOUBLE AS other FROM inv"
 CARD = "lpad('400000' || lpad(c_custkey::VARCHAR, 9, '0') || c_custkey % 10, 16, '0')"
 LUHN = f"list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 1 THEN substr({CARD}, i + 1, 1)::INT WHEN substr({CARD}, i + 1, 1)::INT > 4 THEN substr({CARD}, i + 1, 1)::INT * 2 - 9 ELSE substr({CARD}, i + 1, 1)::INT * 2 END)) % 10 = 0"
 DIRTY = "chr(10) || chr(13) || chr(10) || replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(7) || ' ' || repeat(chr(10), 4)) || chr(9) || ' ' || chr(10)"
 TIDY = rf"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({DIRTY}, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), chr(160), ' '), '(?m)[ \t]+$', '', 'g'), '\n{{4,}}', repeat(chr(10), 3), 'g'), '^\n+|\n+$', '', 'g')"
-TUPLES = lambda rows: ", ".join(map(str, rows))
 
 QUERIES = {
     "invoice_fields": (invoice_fields, f"WITH {INV} SELECT k AS doc_id, f.name, f.value, f.confidence FROM inv, LATERAL (VALUES ('invoice_number', number, CASE WHEN number IS NULL THEN NULL ELSE 0.93 END::DOUBLE), ('invoice_date', day::VARCHAR, dconf), ('due_date', due::VARCHAR, 0.9), ('supplier_name', supplier, 0.85), ('supplier_vat', CASE WHEN k % 31 = 8 THEN 'GB12345' ELSE 'GB123456789' END, 0.93), ('customer_name', c_name, 0.88), ('subtotal', {TWO('s')}, 0.92), ('tax_amount', {TWO('x')}, 0.92), ('total_amount', {TWO('t')}, 0.92), ('iban', CASE WHEN k % 29 = 7 THEN '{BAD_IBAN}' ELSE '{GOOD_IBAN}' END, 0.93), ('payment_terms', '30 days net', 0.85), ('currency', 'GBP', 0.6)) f(name, value, confidence)"),
@@ -287,14 +346,14 @@ QUERIES = {
     "filled_fields": (filled_fields, f"WITH {INV} SELECT name, taken, count(*) AS n FROM (SELECT 'iban' AS name, false AS taken FROM inv UNION ALL SELECT 'invoice_number', number IS NULL FROM inv) GROUP BY 1, 2"),
     "review_outcomes": (review_outcomes, f"WITH {INV}, {ISSUES} SELECT code, CASE WHEN code IN ('iban_checksum_failed', 'required_field_missing') THEN 'fixed' ELSE 'remaining' END AS outcome, count(*) AS n FROM iss GROUP BY 1, 2"),
     "structured_invoices": (structured_invoices, f"WITH {INV} SELECT k AS doc_id, CASE WHEN number IS NULL THEN 11 ELSE 12 END AS n_fields, {TWO('t')} AS total FROM inv"),
-    "receipt_fields": (page_fields(0, "receipt"), page_sql(0, RECEIPT)),
-    "purchase_order_fields": (page_fields(1, "purchase_order"), page_sql(1, ORDER)),
-    "contract_fields": (page_fields(2, "contract"), page_sql(2, CONTRACT)),
-    "document_types": (document_types, f"SELECT c_custkey AS doc_id, v.kind, v.score::DOUBLE AS score, v.sure, v.confidence::DOUBLE AS confidence FROM customer JOIN (VALUES {TUPLES(TYPES)}) v(kind_no, kind, score, sure, confidence) ON c_custkey % 5 = v.kind_no"),
-    "page_issues": (page_issues, f"SELECT c_custkey AS doc_id, v.code, v.field, v.severity FROM customer JOIN (VALUES {TUPLES(PAGE_ISSUES)}) v(kind_no, code, field, severity) ON c_custkey % 5 = v.kind_no"),
+    "receipt_fields": (page_fields("receipt"), page_sql(0, RECEIPT)),
+    "purchase_order_fields": (page_fields("purchase_order"), page_sql(1, ORDER)),
+    "contract_fields": (page_fields("contract"), page_sql(2, CONTRACT)),
+    "document_types": (document_types, f"WITH {INV}, c AS ({TYPED}) SELECT k AS doc_id, CASE WHEN score < 4 THEN 'unknown' ELSE ['receipt', 'purchase_order', 'contract'][k % 3 + 1] END AS kind, score, score >= 4 AND score - other >= 2 AS sure, CASE WHEN score < 4 THEN 0 ELSE round(least(0.97::DOUBLE, 0.55::DOUBLE + 0.28::DOUBLE * least(1, score / 10) + 0.14::DOUBLE * least(1, (score - other) / 10)), 3) END::DOUBLE AS confidence FROM c"),
+    "page_issues": (page_issues, f"WITH {INV}, {PRINTED}, {PAGE_ISSUES} SELECT k AS doc_id, code, field, CASE WHEN code IN {B.WARNINGS} THEN 'warning' ELSE 'error' END AS severity FROM pi"),
     "identifier_checks": (identifier_checks, f"SELECT c_custkey, c_custkey % 3 <> 0 AS iban, c_custkey % 2 = 1 OR c_custkey % 4 = 0 AS vat, {LUHN} AS card FROM customer"),
     "tidied_pages": (tidied_pages, f"SELECT conv_id, turn, len(t) AS chars, md5(t) AS digest FROM (SELECT conv_id, turn, {TIDY} AS t FROM conversations)"),
-    "page_items": (page_items, f"SELECT c_custkey AS doc_id, i.item_no, i.description, i.quantity::DOUBLE AS quantity, i.unit_price::DOUBLE AS unit_price, i.total::DOUBLE AS total FROM customer JOIN (VALUES {', '.join(map(str, PAGE_ITEMS))}) i(kind_no, item_no, description, quantity, unit_price, total) ON c_custkey % 5 = kind_no"),
+    "page_items": (page_items, f"WITH {INV}, {PRINTED} SELECT k AS doc_id, item_no, description, quantity, unit_price, total FROM printed"),
     "parsed_dates": (parsed_dates, "SELECT o_orderkey, CASE WHEN n < 8 THEN strftime(day, '%Y-%m-%d') END AS day, CASE n WHEN 5 THEN CASE WHEN day(day) > 12 THEN 0.95 ELSE 0.6 END WHEN 6 THEN 0.85 WHEN 7 THEN 0.7 WHEN 8 THEN NULL ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN n < 8 THEN strftime(day, '%Y-%m-%d') END AS within FROM (SELECT o_orderkey, o_orderkey % 9 AS n, o_orderdate::DATE AS day FROM orders)"),
     "parsed_amounts": (parsed_amounts, "SELECT o_orderkey, CASE n WHEN 5 THEN NULL WHEN 4 THEN w // 100 WHEN 3 THEN -((w // 10) / 10.0::DOUBLE) ELSE w / 100.0::DOUBLE END::DOUBLE AS amount, CASE n WHEN 0 THEN 'GBP' WHEN 1 THEN 'EUR' WHEN 3 THEN 'CHF' WHEN 4 THEN 'USD' ELSE '' END AS currency, CASE n WHEN 5 THEN 0.0 WHEN 3 THEN 0.8 WHEN 4 THEN CASE WHEN w >= 100000000 OR w < 100000 THEN 1.0 ELSE 0.55 END ELSE 1.0 END::DOUBLE AS confidence FROM (SELECT o_orderkey, o_orderkey % 6 AS n, round(o_totalprice * 100)::BIGINT AS w FROM orders)"),
     "scanner_repairs": (scanner_repairs, "SELECT o_orderkey, 'Oil no. ' || CASE WHEN regexp_matches(o_orderkey::VARCHAR, '[2-9]') THEN o_orderkey::VARCHAR ELSE translate(o_orderkey::VARCHAR, '01', 'Ol') END || ', lot A1O; 10 ' AS text, 1 + CASE WHEN regexp_matches(o_orderkey::VARCHAR, '[2-9]') AND regexp_matches(o_orderkey::VARCHAR, '[01]') THEN 1 ELSE 0 END AS repairs FROM orders"),

@@ -262,6 +262,15 @@ scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (total - df + 0.5) / (df +
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, doc_id) AS rank2 FROM scored)"""
 DOT = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 NEAREST = f"SELECT q.vec_id AS query_id, e.vec_id, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0"
+SUM_OF = "list_sum(list_transform(range(len(d)), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, len(d) - i, 1)::INT WHEN substr(d, len(d) - i, 1)::INT > 4 THEN substr(d, len(d) - i, 1)::INT * 2 - 9 ELSE substr(d, len(d) - i, 1)::INT * 2 END))"
+#: Patterns of what is looked for stand alone in a text here: no own identifiers, and nothing within a word.
+REDACTED = rf"""
+WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL_REDACTED]', 'g'), '{T.IBAN}', '[IBAN_REDACTED]', 'g') AS t FROM documents),
+c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '{T.CARD}')) AS card FROM a),
+v AS (SELECT doc_id, rtrim(card) AS card FROM (SELECT *, regexp_replace(card, '[^0-9]', '', 'g') AS d FROM c) WHERE len(d) BETWEEN 12 AND 19 AND {SUM_OF} % 10 = 0),
+w AS (SELECT a.doc_id, list_reduce(list_prepend(t, coalesce(cards, [])), lambda acc, x: replace(acc, x, '[CARD_ENDING_]')) AS t FROM a LEFT JOIN (SELECT doc_id, list(card ORDER BY card) AS cards FROM v GROUP BY 1) USING (doc_id))
+SELECT doc_id, len(string_split(t, '[EMAIL_REDACTED]')) - 1 AS emails, len(string_split(t, '[CARD_ENDING_]')) - 1 AS cards, len(string_split(t, '[IBAN_REDACTED]')) - 1 AS ibans,
+       len(regexp_extract_all(t, '(?:^|\W)(?:\+\d{{1,3}}[ -]?)?(?:\(\d{{2,4}}\)[ -]?)?\d[\d -]{{7,}}\d(?:\W|$)')) AS phones FROM w"""
 HTML = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<nav\b.*?</nav\s*>', ' ', 'g'), '(?is)<footer\b.*?</footer\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 HEADING = r"regexp_matches(line, '^#{1,6} \S|^\d+(\.\d+)*\.? [A-Z]') OR (regexp_matches(line, '^[^a-z]*$') AND regexp_matches(line, '[A-Z].*[A-Z].*[A-Z]') AND len(line) <= 70)"
@@ -290,7 +299,7 @@ QUERIES = {
     "chunks": (chunks, f"WITH w AS (SELECT doc_id, len({TOKENS}) AS n FROM documents), s AS (SELECT doc_id, n, unnest(CASE WHEN n = 0 THEN [] ELSE list_filter(range(0, greatest(0, n - 41) + 1, 140), lambda s: s = 0 OR n - s - 40 >= 12) END) AS s FROM w), c AS (SELECT doc_id, CASE WHEN s = max(s) OVER (PARTITION BY doc_id) THEN n - s ELSE 180 END AS k FROM s) SELECT doc_id, count(*) AS n_chunks, sum(k)::BIGINT AS words FROM c WHERE k >= 6 GROUP BY 1"),
     "section_lines": (section_lines, f"SELECT doc_id, n - 1 AS line_no, coalesce(last_value(CASE WHEN {HEADING} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"),
     "emails": (emails, r"SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS n FROM documents) WHERE n > 0"),
-    "redactions": (redactions, None),
+    "redactions": (redactions, REDACTED),
     "numbers_in_texts": (numbers_in_texts, r"SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '-?\d+(?:\.\d+)?')) AS n FROM documents) WHERE n > 0"),
     "similar_to_next": (similar_to_next, f"WITH w AS (SELECT doc_id, list_distinct({WORDS}) AS a FROM documents) SELECT x.doc_id, round(CASE WHEN len(list_distinct(x.a || y.a)) = 0 THEN 1.0 ELSE len(list_intersect(x.a, y.a)) / len(list_distinct(x.a || y.a)) END, 6) AS jaccard, round(CASE WHEN least(len(x.a), len(y.a)) = 0 THEN 0.0 ELSE len(list_intersect(x.a, y.a)) / least(len(x.a), len(y.a)) END, 6) AS containment FROM w x JOIN w y ON y.doc_id = x.doc_id + 1"),
     "content_diff": (content_diff, "WITH d AS (SELECT source, n_chars, max(md5(text)) AS h FROM documents GROUP BY 1, 2) SELECT coalesce(b.n_chars, a.n_chars) AS n_chars, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT * FROM d WHERE source = 'src0') b FULL JOIN (SELECT * FROM d WHERE source = 'src1') a ON a.n_chars = b.n_chars WHERE a.h IS DISTINCT FROM b.h"),
