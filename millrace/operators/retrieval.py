@@ -199,3 +199,15 @@ def quoting(docs: DataFrame, id_col: str, text_col: str, quotes: DataFrame) -> D
         pairs = each.join(keyed, "gram").select("id", "quote_id", "quote").distinct()
         found = found.unionByName(pairs.join(texts, "id").filter(F.contains("text", "quote")).select("id", "quote_id"))
     return found.distinct().withColumnRenamed("id", id_col)
+
+
+def citation_measures(cited: DataFrame, relevant: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """query_id, cited, precision, leaked: how many sources of an answer (query_id, id) are relevant to it (query_id, id), and how many no one may read (id).
+
+    Precision is 0 where nothing is cited or relevant; a source counts once for each citation, and once as leaked.
+    """
+    one = F.lit(True)
+    known = relevant.select("query_id", "id").distinct()
+    judged = cited.join(known.withColumn("hit", one), ["query_id", "id"], "left").join(forbidden.select("id").distinct().withColumn("closed", one), "id", "left")
+    return judged.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("cited"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("precision"), F.count_distinct(F.when(F.col("closed"), F.col("id"))).alias("leaked"))

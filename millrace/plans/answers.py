@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import claims as C
+from ..functions import context
 from ..functions import text as T
 from ..operators import conversations as talk
-from ..operators import evidence, retrieval
+from ..operators import evidence, reports, retrieval
 from ..session import table
 from .assistant import ENDING, KW, NUM, SENTENCES, UNITS, conversations, root_sql
 from .assistant import CLOSE as CLOSE_SQL
@@ -85,6 +86,52 @@ def conversation_summaries(spark, sf):
     return kept.join(lost, "conv_id", "left").select("conv_id", F.md5("summary").alias("digest"), F.col("lines").cast("long").alias("n_lines"), F.coalesce(F.size("missing"), F.lit(0)).cast("long").alias("missing"))
 
 
+def answer_citations(spark, sf):
+    """Answers that cite the three passages found first: how many hold the item itself, and how many are toxic ones, which no one may read."""
+    cited = retrieval.bm25(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP, 3).select("query_id", "id")
+    items = table(spark, sf, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("id"), "text")
+    relevant = retrieval.quoting(documents(spark, sf), "doc_id", "text", items).select(F.col("quote_id").alias("query_id"), F.col("doc_id").alias("id"))
+    forbidden = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return retrieval.citation_measures(cited, relevant, forbidden)
+
+
+def prompt_blocks(spark, sf):
+    """Prompts of five passages and a question, printed and read back: what stands in each block."""
+    found = retrieval.bm25(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP, 5).select("query_id", F.col("id").alias("doc_id"), "rank")
+    text = T.shortened(F.col("text"), 600)
+    passage = F.struct("rank", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "source", text.alias("text"))
+    passages = found.join(documents(spark, sf).select("doc_id", "text", "source"), "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(passage)).alias("passages"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"))
+    prompt = F.concat_ws("\n\n", context.context_blocks(F.col("passages")), F.concat(F.lit("QUESTION: "), F.col("question")))
+    prompts = passages.join(asked, "query_id").select("query_id", prompt.alias("prompt"))
+    blocks = prompts.select("query_id", F.md5(context.question_of(F.col("prompt"))).alias("question"), F.explode(context.parsed_blocks(F.col("prompt"))).alias("b"))
+    return blocks.select("query_id", "question", F.col("b.marker").cast("long").alias("marker"), "b.title", "b.source", F.md5("b.text").alias("digest"))
+
+
+def customer_reports(spark, sf):
+    """id, text of a report on each customer with orders, and its citations: some figures are wrong, some marks invented, some sentences without any."""
+    k = F.col("c_custkey")
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice")).cast("long").alias("total"), F.round(F.max("o_totalprice")).cast("long").alias("most"), F.year(F.max("o_orderdate")).alias("year"))
+    rows = table(spark, sf, "customer").select("c_custkey").join(orders, "c_custkey")
+    s = lambda c: F.col(c).cast("string")
+    claimed = F.when(k % 7 == 3, F.col("most") * 3).otherwise(F.col("most")).cast("string")
+    text = F.concat_ws(
+        " ", F.concat(F.lit("Customer "), s("c_custkey"), F.lit(" placed "), s("n"), F.lit(" orders worth "), s("total"), F.lit(" in all [1].")), F.concat(F.lit("The largest of them came to "), claimed, F.lit(". [2]")),
+        F.when(k % 5 == 1, "This sentence says something without any source."), F.when(k % 4 == 2, "It goes on [9]."), F.concat(F.lit("The last one was placed in "), s("year"), F.lit(" [2].")))
+    marks = F.explode(F.when(k % 11 == 4, F.array()).otherwise(F.array(
+        F.struct(F.lit(1).alias("marker"), F.concat_ws(" ", s("c_custkey"), F.lit("has"), s("n"), F.lit("orders,"), s("total")).alias("quote"), F.lit(None).cast("string").alias("date"), F.lit(0.9).alias("credibility")),
+        F.struct(F.lit(2).alias("marker"), F.concat(F.lit("largest "), s("most")).alias("quote"), s("year").alias("date"), F.lit(0.5).alias("credibility"))))).alias("c")
+    return rows.select(k.alias("id"), text.alias("text")), rows.select(k.alias("id"), marks).select("id", "c.*")
+
+
+def report_checks(spark, sf):
+    """What is wrong with each report, and how far to trust it: coverage and conflicts by key."""
+    found = reports.verified(*customer_reports(spark, sf))
+    trust = reports.trust(F.when(F.col("id") % 3 == 0, 0.5).otherwise(1.0), F.col("id") % 2, F.col("id") % 17 == 0)
+    n = lambda c: F.size(c).cast("long")
+    return found.select(F.col("id").alias("c_custkey"), F.col("sentences").cast("long").alias("sentences"), n("invented").alias("invented"), n("uncited").alias("uncited"), n("unsupported").alias("unsupported"), trust.alias("trust"))
+
+
 TERMS = "list_distinct(list_transform(" + KW.format(t="claim") + f", lambda w: {root_sql('w')}))"
 W = "w AS (SELECT query_id, q.term, round(ln(1 + total / (1 + coalesce(h.n, 0))), 9) AS weight FROM q LEFT JOIN (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(terms) AS term FROM d) GROUP BY 1) h USING (term), sizes)"
 STEM = ENDING.format(w="{w}")
@@ -137,6 +184,15 @@ j AS (SELECT *, list_transform({KW.format(t='sentence')}, lambda w: {ENDING.form
 k AS (SELECT query_id, doc_id, n, sentence, len(list_intersect(question, stems)) AS shared, len(question) AS total FROM j WHERE len(stems) >= 4),
 o AS (SELECT *, round(shared / total + CASE WHEN regexp_matches(sentence, '[0-9]') AND regexp_matches(lower(sentence), '{'|'.join(UNITS)}') THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(lower(sentence), '{'|'.join(C.RESULT_VERBS)}') THEN 0.1 ELSE 0 END::DOUBLE, 9) AS score FROM k WHERE shared > 0)
 SELECT query_id, doc_id, n, md5(sentence) AS digest, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, n) AS rank FROM o QUALIFY rank <= 2"""),
+    "answer_citations": (answer_citations, f"WITH {BM25}, c AS (SELECT query_id, doc_id FROM ranked WHERE rank <= 3), j AS (SELECT query_id, doc_id, contains(d.text, b.text) AS hit, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS closed FROM c JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id) SELECT query_id, count(*) AS cited, round(count(*) FILTER (hit) / count(*), 4) AS precision, count(DISTINCT doc_id) FILTER (closed) AS leaked FROM j GROUP BY 1"),
+    "report_checks": (report_checks, f"""
+WITH o AS (SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice))::BIGINT AS total, round(max(o_totalprice))::BIGINT AS most, year(max(o_orderdate)) AS y FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+f AS (SELECT *, k % 11 = 4 AS bare, [k, n, total, CASE WHEN k % 7 = 3 THEN 3 * most ELSE most END, y]::DOUBLE[] AS said, CASE WHEN k % 11 = 4 THEN []::DOUBLE[] ELSE [k, n, total, most, y]::DOUBLE[] END AS known FROM o),
+c AS (SELECT k, 3 + (k % 5 = 1)::INT + (k % 4 = 2)::INT AS sentences, CASE WHEN bare THEN 2 ELSE 0 END + (k % 4 = 2)::INT AS invented, CASE WHEN NOT bare AND k % 5 = 1 THEN 1 ELSE 0 END AS uncited,
+        len(list_filter(said, lambda p: abs(p) > 10 AND len(list_filter(known, lambda q: {CLOSE_SQL.format(a='p', b='q')})) = 0)) AS unsupported, bare FROM f),
+t AS (SELECT *, 0.25::DOUBLE * CASE WHEN k % 3 = 0 THEN 0.5 ELSE 1 END::DOUBLE + 0.25::DOUBLE * CASE WHEN bare THEN 0 ELSE 0.62 END::DOUBLE + 0.25::DOUBLE * greatest(0, 1 - CASE WHEN invented > 0 THEN 0.4 ELSE 0 END - CASE WHEN unsupported > 0 THEN 0.4 ELSE 0 END - CASE WHEN uncited > 0 THEN 0.2 ELSE 0 END)::DOUBLE + 0.15::DOUBLE * CASE WHEN k % 2 = 1 THEN 0.8 ELSE 1 END::DOUBLE + 0.1::DOUBLE * CASE WHEN k % 17 = 0 THEN 0.6 ELSE 1 END::DOUBLE AS w FROM c)
+SELECT k AS c_custkey, sentences, invented, uncited, unsupported, round(CASE WHEN bare THEN least(w, 0.25) ELSE w END, 4) AS trust FROM t"""),
+    "prompt_blocks": (prompt_blocks, rf"WITH {BM25}, c AS (SELECT query_id, doc_id, rank, source, CASE WHEN len(text) <= 600 THEN text ELSE rtrim(CASE WHEN len(regexp_extract(left(text, 600), '(?s)^(.*) ', 1)) > 40 THEN regexp_extract(left(text, 600), '(?s)^(.*) ', 1) ELSE left(text, 600) END) || '...' END AS t FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5) SELECT query_id, md5(trim(string_split(b.text, chr(10))[1])) AS question, rank AS marker, 'document ' || doc_id AS title, source, md5(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ')) AS digest FROM c JOIN benchmark b ON item_id = query_id"),
     "conversation_summaries": (conversation_summaries, rf"""
 WITH o AS (SELECT * FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS u FROM conversations) WHERE NOT (u < {RECENT} OR (u = {RECENT} AND role = 'user'))),
 l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Customer asked: ' ELSE 'Agent said: ' END || left(trim(text, ' ' || chr(10) || chr(9)), 160) AS line FROM o WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' AND (role = 'user' OR (role = 'assistant' AND regexp_matches(text, '{NAMES}')))),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ingest, workflow
+from ..operators import arguments, ingest, workflow
 from ..session import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -89,8 +89,15 @@ def document_chunk_counts(spark, sf):
 
 
 def table_columns(spark, sf):
-    rows = [(t, f.name, n + 1) for t in TABLES for n, f in enumerate(table(spark, sf, t).schema.fields)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, position long")
+    """Columns of every table in order, with the rows that have none of their value, by one pass over each table."""
+    out = None
+    for t in TABLES:
+        rows = table(spark, sf, t)
+        one = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in rows.columns])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(n + 1).cast("long").alias("position"), F.col(c).alias("n_null")) for n, c in enumerate(rows.columns)])).alias("x")
+        one = one.select(F.lit(t).alias("table_name"), each).select("table_name", "x.*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def table_counts(spark, sf):
@@ -175,11 +182,11 @@ def cache_candidates(spark, sf):
 
 
 def remembered_scores(spark, sf):
-    """Grades that arrive late update their trace: the last grade of each, traces without one stay without."""
-    grades = events(spark, sf).filter("event_type = 'click'").select((F.col("event_id") % 100).alias("request"), F.struct("event_id").alias("o"), F.round("value", 3).alias("score"))
+    """Grades that arrive late update their trace: the last grade of each, traces without one stay without. Clicks grade the trace of their ten events."""
+    grades = events(spark, sf).filter("event_type = 'click'").select((F.col("event_id") - F.col("event_id") % 10).alias("request"), F.struct("event_id").alias("o"), F.round("value", 3).alias("score"))
     last = ingest.last_by(grades, ["request"], "o").select("request", "score")
-    traces = spark.range(0, 120).select(F.col("id").alias("request"))
-    return traces.join(last, "request", "left").select("request", "score")
+    traces = events(spark, sf).filter("event_id % 10 = 0").select(F.col("event_id").alias("request"), "user_id")
+    return traces.join(last, "request", "left").select("request", "user_id", "score")
 
 
 # Permissions, limits, arguments
@@ -196,7 +203,7 @@ def resolved_tags(spark, sf):
 
 def acting_callers(spark, sf):
     """Orders that callers load: staff any, customers their own; missing and forbidden ones look alike, and only forbidden ones leave a note."""
-    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("caller"), (F.col("c_custkey") % 10 == 0).alias("staff"), (F.col("c_custkey") * 11 % 2000).alias("o_orderkey"))
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("caller"), (F.col("c_custkey") % 10 == 0).alias("staff"), (F.col("c_custkey") * 7 + F.col("c_custkey") % 13).alias("o_orderkey"))
     both = asked.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "left")
     own = F.col("staff") | (F.col("o_custkey") == F.col("caller"))
     return both.select("caller", F.when(F.col("o_custkey").isNotNull() & own, "order").otherwise("not found").alias("reply"), F.coalesce(F.col("o_custkey").isNotNull() & ~own, F.lit(False)).alias("noted"))
@@ -216,17 +223,20 @@ def failure_routes(spark, sf):
     return failed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("kind").isin("timeout", "rate_limited")).alias("retried"), F.first(F.col("kind") != "bad_request").alias("falls_back"))
 
 
+REFUND = (arguments.Argument("order_id", required=True), arguments.Argument("amount", "number", required=True), arguments.Argument("quantity", "integer"))
+
+
 def argument_checks(spark, sf):
-    """Arguments of calls against a schema: missing and mistyped ones, and the arguments made clean."""
+    """Calls made of orders against a schema: what is missing or of another kind, and the arguments made clean."""
     k = F.col("o_orderkey")
-    amount = F.when(k % 5 == 0, "true").when(k % 5 == 1, '"12.5"').when(k % 5 == 2, '"much"').otherwise(k.cast("string"))
-    order = F.when(k % 7 == 0, '"  "').when(k % 7 == 1, "null").otherwise(F.concat(F.lit('" ORD-'), k.cast("string"), F.lit(' "')))
-    call = F.concat(F.lit('{"amount": '), amount, F.lit(', "order_id": '), order, F.lit(', "other": 1}'))
-    rows = table(spark, sf, "orders").select("o_orderkey", F.from_json(call, "amount string, order_id string").alias("a"), F.get_json_object(call, "$.amount").alias("raw"), call.alias("call"))
-    quoted = F.col("call").rlike(r'"amount": "')
-    number = F.col("raw").try_cast("double")
-    problem = F.when(F.coalesce(F.trim("a.order_id"), F.lit("")) == "", "missing order_id").when(~quoted & F.col("raw").isin("true", "false") | number.isNull(), "amount must be a number").otherwise("")
-    return rows.select("o_orderkey", problem.alias("problem"), F.trim("a.order_id").alias("order_id"), F.coalesce(number, F.lit(0.0)).alias("amount"))
+    text = k.cast("string")
+    order = F.when(k % 7 == 0, '"order_id": "  "').when(k % 7 == 1, '"order_id": null').when(k % 7 == 2, F.concat(F.lit('"order_id": '), text)).when(k % 7 == 4, '"order_id": [1]').when(k % 7 != 3, F.concat(F.lit('"order_id": " ORD-'), text, F.lit(' "')))
+    amount = F.concat(F.lit('"amount": '), F.when(k % 5 == 0, "true").when(k % 5 == 1, '"12.5"').when(k % 5 == 2, '"much"').otherwise(text))
+    quantity = F.when(k % 11 == 0, '"quantity": 2.5').when(k % 11 == 1, '"quantity": "3"').when(k % 11 == 2, '"quantity": "x"').when(k % 11 == 3, '"quantity": true').when(k % 11 != 4, F.concat(F.lit('"quantity": '), (k % 9).cast("string")))
+    listed = F.when(k % 2 == 0, F.concat_ws(", ", order, amount, quantity, F.lit('"other": {}'))).otherwise(F.concat_ws(", ", F.lit('"other": 1'), quantity, amount, order))
+    calls = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("{"), listed, F.lit("}")).alias("call"))
+    made = calls.select("o_orderkey", arguments.problem(F.col("call"), REFUND).alias("problem"), arguments.cleaned(F.col("call"), REFUND).alias("a"))
+    return made.select("o_orderkey", "problem", "a.*")
 
 
 def escalations(spark, sf):
@@ -329,6 +339,15 @@ def page_media(spark, sf):
 
 
 CHUNKS = "WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents), s AS (SELECT doc_id, n, unnest(CASE WHEN n = 0 THEN [] ELSE list_filter(range(0, greatest(0, n - 41) + 1, 140), lambda s: s = 0 OR n - s - 40 >= 12) END) AS s FROM w), ch AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, CASE WHEN s = max(s) OVER (PARTITION BY doc_id) THEN n - s ELSE 180 END AS k FROM s) WHERE k >= 6 GROUP BY 1)"
+BAD = ["CASE WHEN o % 7 = 4 THEN 'order_id must be text' END", "CASE WHEN o % 5 IN (0, 2) THEN 'amount must be a number' END", "CASE WHEN o % 11 IN (0, 2, 3) THEN 'quantity must be a whole number' END"]
+#: The tables' columns, so that SQL can count each.
+NAMES = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+COLUMN_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {n + 1} AS position, count(*) FILTER ({c} IS NULL) AS n_null FROM {t}" for t in TABLES for n, c in enumerate(NAMES[t].split()))
 QUERIES = {
     "order_lookups": (order_lookups, "SELECT c_custkey, c_custkey * 7 AS o_orderkey, o_orderstatus, o_orderstatus IS NOT NULL AS found FROM customer LEFT JOIN orders ON o_orderkey = c_custkey * 7"),
     "customer_orders": (customer_orders, "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders"),
@@ -339,7 +358,7 @@ QUERIES = {
     "seen_history": (seen_history, "SELECT source, doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 50"),
     "oldest_reviews": (oldest_reviews, "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 0 ORDER BY doc_id LIMIT 100"),
     "document_chunk_counts": (document_chunk_counts, f"{CHUNKS} SELECT doc_id, lang, coalesce(n, 0) AS chunks FROM documents LEFT JOIN ch USING (doc_id) WHERE lang IN ('en', 'fr')"),
-    "table_columns": (table_columns, f"SELECT table_name, column_name, row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) AS position FROM information_schema.columns WHERE table_name IN {TABLES}"),
+    "table_columns": (table_columns, COLUMN_SQL),
     "table_counts": (table_counts, " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES)),
     "foreign_keys": (foreign_keys, " UNION ALL ".join(f"SELECT '{t}.{c}' AS column_name, '{o}.{k}' AS target, count(*) AS lost FROM {t} WHERE NOT EXISTS (SELECT 1 FROM {o} x WHERE x.{k} = {t}.{c})" for t, c, o, k in KEYS)),
     "run_steps": (run_steps, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS d FROM events) SELECT user_id, event_id, n - 1 AS position, CASE WHEN event_id <= d THEN 'done' WHEN n = min(CASE WHEN d IS NULL OR event_id > d THEN n END) OVER (PARTITION BY user_id) THEN 'ready' ELSE 'blocked' END AS state FROM r"),
@@ -350,12 +369,12 @@ QUERIES = {
     "cascade_deletes": (cascade_deletes, f"{CHUNKS} SELECT source, coalesce(toxic = 1, false) AS deleted, count(*) AS documents, coalesce(sum(n), 0)::BIGINT AS chunks FROM documents LEFT JOIN ch USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY 1, 2"),
     "purged_cache": (purged_cache, f"SELECT event_type, count(*) FILTER (old) AS purged, count(*) FILTER (NOT old) AS kept FROM (SELECT event_type, user_id, epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(ts)) > 864000000000 AS old FROM events GROUP BY 1, 2) GROUP BY 1"),
     "cache_candidates": (cache_candidates, "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS place FROM events WHERE ts >= TIMESTAMP '2024-01-15' QUALIFY place <= 5"),
-    "remembered_scores": (remembered_scores, "SELECT request, score FROM range(120) r(request) LEFT JOIN (SELECT event_id % 100 AS request, round(arg_max(value, event_id), 3) AS score FROM events WHERE event_type = 'click' GROUP BY 1) USING (request)"),
+    "remembered_scores": (remembered_scores, "SELECT t.event_id AS request, t.user_id, score FROM events t LEFT JOIN (SELECT event_id - event_id % 10 AS request, round(arg_max(value, event_id), 3) AS score FROM events WHERE event_type = 'click' GROUP BY 1) g ON g.request = t.event_id WHERE t.event_id % 10 = 0"),
     "resolved_tags": (resolved_tags, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'public' ELSE 'internal,public' END WHEN c_custkey % 4 = 1 THEN CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'internal' END ELSE 'public' END AS tags FROM customer"),
-    "acting_callers": (acting_callers, "SELECT c_custkey AS caller, CASE WHEN o_custkey IS NOT NULL AND (c_custkey % 10 = 0 OR o_custkey = c_custkey) THEN 'order' ELSE 'not found' END AS reply, coalesce(o_custkey IS NOT NULL AND NOT (c_custkey % 10 = 0 OR o_custkey = c_custkey), false) AS noted FROM customer LEFT JOIN orders ON o_orderkey = c_custkey * 11 % 2000"),
+    "acting_callers": (acting_callers, "SELECT c_custkey AS caller, CASE WHEN o_custkey IS NOT NULL AND (c_custkey % 10 = 0 OR o_custkey = c_custkey) THEN 'order' ELSE 'not found' END AS reply, coalesce(o_custkey IS NOT NULL AND NOT (c_custkey % 10 = 0 OR o_custkey = c_custkey), false) AS noted FROM customer LEFT JOIN orders ON o_orderkey = c_custkey * 7 + c_custkey % 13"),
     "budget_limits": (budget_limits, "SELECT CASE WHEN e * 30 >= 60 THEN 'seconds' WHEN t >= 850 THEN 'tokens' WHEN c >= 15 THEN 'calls' ELSE 'none' END AS \"limit\", count(*) AS owners FROM (SELECT user_id, count(*) AS c, sum(value) AS t, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1) GROUP BY 1"),
     "failure_routes": (failure_routes, "SELECT kind, count(*) AS n, kind IN ('timeout', 'rate_limited') AS retried, kind <> 'bad_request' AS falls_back FROM (SELECT CASE WHEN value < 10 THEN 'bad_request' WHEN value < 40 THEN 'timeout' WHEN value < 80 THEN 'rate_limited' ELSE 'auth' END AS kind FROM events WHERE event_type = 'error') GROUP BY 1"),
-    "argument_checks": (argument_checks, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 1) THEN 'missing order_id' WHEN o_orderkey % 5 IN (0, 2) THEN 'amount must be a number' ELSE '' END AS problem, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'ORD-' || o_orderkey END AS order_id, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 12.5 WHEN 2 THEN 0 ELSE o_orderkey END::DOUBLE AS amount FROM orders"),
+    "argument_checks": (argument_checks, f"SELECT o_orderkey, CASE WHEN o % 7 IN (0, 1, 3) THEN 'missing: order_id' WHEN o % 2 = 0 THEN coalesce({BAD[0]}, {BAD[1]}, {BAD[2]}, '') ELSE coalesce({BAD[2]}, {BAD[1]}, {BAD[0]}, '') END AS problem, CASE o % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN o::VARCHAR WHEN 3 THEN NULL WHEN 4 THEN '[1]' ELSE 'ORD-' || o END AS order_id, CASE o % 5 WHEN 0 THEN 0 WHEN 1 THEN 12.5 WHEN 2 THEN 0 ELSE o END::DOUBLE AS amount, CASE o % 11 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE o % 9 END::BIGINT AS quantity FROM (SELECT o_orderkey, o_orderkey AS o FROM orders)"),
     "escalations": (escalations, "SELECT CASE WHEN asked THEN 'asked' WHEN turns >= 8 THEN 'turns' WHEN failures >= 3 THEN 'failures' WHEN angry AND (turns >= 3 OR failures >= 1) THEN 'angry' ELSE 'none' END AS reason, count(*) AS n FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS turns, count(*) FILTER (len(text) < 40) AS failures, bool_or(contains(lower(text), 'person')) AS asked, bool_or(contains(text, '!')) AS angry FROM conversations GROUP BY 1) GROUP BY 1"),
     "usage_breakdown": (usage_breakdown, "SELECT event_type, count(*) AS calls, round(sum(value), 3) AS tokens, round(sum(value) / 1e6 * CASE event_type WHEN 'purchase' THEN 0.6 WHEN 'click' THEN 0.15 ELSE 0 END::DOUBLE, 9) AS cost FROM events GROUP BY 1"),
     "metrics_snapshot": (metrics_snapshot, "SELECT count(*) AS requests, round(count(*) FILTER (event_type = 'view') / count(*), 4) AS hit_rate, round(count(*) FILTER (event_type = 'error') / count(*), 4) AS failure_rate, round(avg(value), 4) AS mean FROM events"),

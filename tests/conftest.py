@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from millrace.session import session
 
     shared = tmp_path_factory.mktemp("shared")
-    s = session("tests", **{"spark.master": "local[4]", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": f"file://{shared}"})
+    s = session("tests", **{"spark.master": "local[4]", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": f"file://{shared}", "spark.sql.warehouse.dir": f"file://{shared}/warehouse"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
