@@ -50,3 +50,27 @@ def steps_in_order(events: DataFrame, run: str, order: str, kind: str, done: str
     is_done = lambda c: F.coalesce(F.col(c) <= F.col("_done"), F.lit(False))
     state = F.when(is_done(order), "done").when(F.col("_before").isNull() | is_done("_before"), "ready").otherwise("blocked")
     return both.withColumn("state", state).withColumn("position", F.coalesce("position", F.lit(0))).drop("_before", "_done")
+
+
+def approvals(events: DataFrame, run: str, at: str, order: str, kind: str, asks: str, decisions: dict[str, str], expiry_seconds: float, now: float) -> DataFrame:
+    """run, order, state, waited of every event that asks for approval: approved or rejected by the first decision of its run behind it, if that came in time, else expired or pending.
+
+    decisions gives the state that each kind of event decides on; now is in seconds. A decision answers what its run asks
+    for by then and no later question; waited is seconds until it. A run may span any number of tasks.
+    """
+    some = events.select(run, at, order, kind).filter(F.col(kind).isin(asks, *decisions))
+    state = F.coalesce(*[F.when(F.col(f"_row.{kind}") == k, F.lit(v)) for k, v in decisions.items()])
+    ahead = stretches.folded(some, [run], [f"-{at}", f"-{order}"], lasts={"_next": F.when(state.isNotNull(), F.struct(state.alias("state"), F.col(f"_row.{at}").alias("at")))})
+    asked = ahead.filter(F.col(kind) == asks)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    waited = (micros("_next.at") - micros(at)) / 1e6
+    decided = F.coalesce(waited <= expiry_seconds, F.lit(False))
+    late = seconds(F.col(at)) + expiry_seconds < now
+    return asked.select(run, order, F.when(decided, F.col("_next.state")).when(late, "expired").otherwise("pending").alias("state"), F.when(decided, waited).alias("waited"))
+
+
+def resumed(asked: DataFrame, run: str) -> DataFrame:
+    """run, state, answered, open of approvals(): a run goes on once all that it asked for is approved, ends with a rejection or an expiry, and else waits."""
+    by = asked.groupBy(run).agg(F.count_if(F.col("state").isin("approved", "rejected")).alias("answered"), F.count_if(F.col("state") == "pending").alias("open"), F.max(F.col("state") == "rejected").alias("_no"), F.max(F.col("state") == "expired").alias("_late"))
+    state = F.when(F.col("_no"), "cancelled").when(F.col("_late"), "failed").when(F.col("open") > 0, "waiting").otherwise("running")
+    return by.select(run, state.alias("state"), "answered", "open")
