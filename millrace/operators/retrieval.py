@@ -144,7 +144,9 @@ def reranked(found: DataFrame, docs: DataFrame, weights: DataFrame) -> DataFrame
     shortlists are read for their places.
     """
     texts = docs.join(found.select("id").distinct(), "id", "left_semi")
-    places = texts.select("id", F.posexplode(T.words(F.col("text"))).alias("place", "term"), F.size(T.words(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))).alias("head"))
+    # Before the words become rows, which would each hold the text.
+    cut = texts.select("id", T.words(F.col("text")).alias("words"), F.size(T.words(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))).alias("head"))
+    places = cut.select("id", "head", F.posexplode("words").alias("place", "term"))
     at = found.join(weights, "query_id").join(places, ["id", "term"]).groupBy("query_id", "id", "term").agg(F.array_sort(F.collect_list("place")).alias("places"), (F.min("place") < F.first("head")).alias("above"))
     whole = found.join(weights, "query_id").join(at, ["query_id", "id", "term"], "left").withColumn("here", F.col("places").isNotNull()).withColumn("above", F.coalesce("above", F.lit(False)))
     by = whole.groupBy("query_id", "id", "lists").agg(covered("here").alias("coverage"), covered("above").alias("heading"), F.collect_list("places").alias("places"))

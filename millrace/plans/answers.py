@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import conversations as talk
 from ..operators import evidence, reports, retrieval
 from ..session import table
+from ..storage import remove, scratch, written
 from .assistant import ENDING, KW, NUM, SENTENCES, UNITS, conversations, root_sql
 from .assistant import CLOSE as CLOSE_SQL
 from .texts import BM25, KEY, STOP, documents, item_queries
@@ -35,8 +36,12 @@ def reranked_search(spark, sf):
     scores = retrieval.bm25_scores(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP)
     values = F.posexplode(F.array("score", F.col("matched").cast("double"))).alias("ranking", "value")
     ranked = retrieval.top_by(scores.select("query_id", "id", values), ["query_id", "ranking"], "value", "id", SHORTLIST)
-    found = ranked.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("lists"))
-    rows = retrieval.reranked(found, documents(spark, sf).select(F.col("doc_id").alias("id"), "text"), weighted_terms(spark, sf))
+    path = scratch(spark, "rerank")
+    # Both are a few rows for each query, and read several times.
+    found = written(ranked.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("lists")), f"{path}/found")
+    weights = written(weighted_terms(spark, sf), f"{path}/weights")
+    rows = written(retrieval.reranked(found, documents(spark, sf).select(F.col("doc_id").alias("id"), "text"), weights), f"{path}-result")
+    remove(spark, path)
     return retrieval.top_by(rows, ["query_id"], "score", "id", 5).select("query_id", F.col("id").alias("doc_id"), "score", "coverage", F.col("window").cast("long").alias("window"), F.col("rank").cast("long").alias("rank"))
 
 
