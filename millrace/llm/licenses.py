@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .license_texts import NOTICES
-from .shared import ascii_lower, scratch, written
+from .shared import ascii_lower, remove, scratch, written
 
 #: Words after A-Z are lower-cased.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,27 +70,31 @@ def text_key(id_: Column, text: Column) -> Column:
 
 
 def diagonal_votes(docs: DataFrame, templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Votes by row, template and diagonal: the template's places that voted, with the first and last place in the text.
+    """Votes by row, template and diagonal: the template's places that voted, with the first and last place in the text, and the row's words.
 
-    Rows equal in identifier and text vote for the same places, which count once.
+    Rows equal in identifier and text vote for the same places, which count once. Only words that begin a pair of a
+    template are paired at all. Each row with words has a vote for no template, which carries their number, so that texts are
+    cut into words once.
     """
     words = words_of(F.col(text_col))
     worded = docs.select(F.col(id_col).alias("id"), text_key(F.col(id_col), F.col(text_col)).alias("key"), words.alias("words"))
-    placed = worded.select("id", "key", "words", F.posexplode("words").alias("pos", "w"))
-    pairs = placed.select("id", "key", "pos", F.concat_ws(" ", "w", F.get("words", F.col("pos") + 1)).alias("words_here")).withColumn("h", F.xxhash64("words_here"))
-    votes = pairs.join(F.broadcast(templates), "h").filter(F.col("words_here") == F.col("pair"))
+    placed = worded.select("id", "key", "words", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "w"))
+    # The templates are a bounded parameter, and so are their words.
+    begins = [r["w"] for r in templates.select(F.substring_index("pair", " ", 1).alias("w")).distinct().collect()]
+    some = placed.filter((F.col("pos") == 0) | F.col("w").isin(begins))
+    pairs = some.select("id", "key", "n_words", "pos", F.concat_ws(" ", "w", F.get("words", F.col("pos") + 1)).alias("words_here")).withColumn("h_here", F.xxhash64("words_here"))
+    votes = pairs.join(F.broadcast(templates), (F.col("h_here") == F.col("h")) & (F.col("words_here") == F.col("pair")), "left").filter((F.col("pos") == 0) | F.col("tpl").isNotNull())
     return votes.groupBy("id", "key", "tpl", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"),
-        F.first("label").alias("label"), F.first("is_base").alias("is_base"), F.first("pairs").alias("pairs"))
+        F.collect_set("at").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("label").alias("label"), F.first("is_base").alias("is_base"),
+        F.first("pairs").alias("pairs"), F.max("n_words").cast("long").alias("n_words"))
 
 
-def spans(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, own: Sequence[tuple[str, str]] = OWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified spans: id, key, tpl, label, is_base, start, words (length in the text), cover (0 to 1)."""
-    votes = diagonal_votes(docs, template_places(docs.sparkSession, base, own), id_col, text_col)
+def spans(votes: DataFrame) -> DataFrame:
+    """Verified spans of diagonal_votes(): id, key, tpl, label, is_base, start, words (length in the text), cover (0 to 1)."""
     order = Window.partitionBy("id", "key", "tpl").orderBy("diagonal")
     exact = F.col("pairs") + 1 < LONG
     # Diagonals of a short template are places or nothing, and stay apart.
-    votes = votes.filter(~exact | (F.size("places") == F.col("pairs")))
+    votes = votes.filter(F.col("tpl").isNotNull() & (~exact | (F.size("places") == F.col("pairs"))))
     begins = F.when(exact | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR), 1).otherwise(0)
     grouped = votes.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = grouped.groupBy("id", "key", "tpl", "run").agg(
@@ -106,16 +110,20 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, own: Sequence[
 
     score is the share of a template that the best span covers, 0 without a span.
     """
-    found = spans(docs, base, own, id_col, text_col)
+    spark = docs.sparkSession
+    path = scratch(spark, "licenses")
+    votes = written(diagonal_votes(docs, template_places(spark, base, own), id_col, text_col), f"{path}/votes")
     at_base = F.when(F.col("is_base"), F.col("start"))
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  of a few labels at most
-    by_doc = found.groupBy("id", "key").agg(
+    by_span = spans(votes).groupBy("id", "key").agg(
         F.count(at_base).alias("n_base"), F.min(at_base).cast("long").alias("first_word"), F.max(at_base).cast("long").alias("last_word"),
         listed(F.when(F.col("is_base"), F.col("label"))).alias("base_labels"), listed(F.col("label")).alias("labels"), F.max("cover").alias("score"))
-    by_doc = written(by_doc, scratch(docs.sparkSession, "licenses"))
-    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col(text_col)), F.lit(LICENSE_WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc"), text_key(F.col(id_col), F.col(text_col)).alias("text_key"), n_words.alias("n_words"))
-    rows = rows.join(by_doc, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    lengths = votes.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.max("n_words").alias("n_words"))
+    by_doc = lengths.join(by_span, F.col("of").eqNullSafe(F.col("id")) & (F.col("of_key") == F.col("key")), "left").drop("id", "key")
+    by_doc = written(by_doc, f"{path}-result")
+    remove(spark, path)
+    rows = docs.select(F.col(id_col).alias("doc"), text_key(F.col(id_col), F.col(text_col)).alias("text_key"))
+    rows = rows.join(by_doc, F.col("doc").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
     return rows.select(
-        F.col("doc").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
+        F.col("doc").alias(id_col), F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"), F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
