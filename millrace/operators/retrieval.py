@@ -213,3 +213,24 @@ def citation_measures(cited: DataFrame, relevant: DataFrame, forbidden: DataFram
     judged = cited.join(known.withColumn("hit", one), ["query_id", "id"], "left").join(forbidden.select("id").distinct().withColumn("closed", one), "id", "left")
     return judged.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("cited"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("precision"), F.count_distinct(F.when(F.col("closed"), F.col("id"))).alias("leaked"))
+
+
+#: What a word of the question counts in an item's name, and elsewhere in it.
+IN_NAME, ELSEWHERE = 2.0, 1.0
+
+
+def field_search(items: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """query_id, id, score, rank: items (id, name, body: arrays of terms) by how many of a query's terms (query_id, term) they hold, those of their names counting double.
+
+    Terms count once. A query that no item holds any term of gets the first items by identifier, with 0, so that there is
+    something to go on with.
+    """
+    rows = items.select("id", "name", F.explode(F.array_distinct(F.concat("name", "body"))).alias("term"))
+    gains = rows.select("id", "term", F.when(F.array_contains("name", F.col("term")), IN_NAME).otherwise(ELSEWHERE).alias("gain"))
+    queries = asked.select("query_id", "term").distinct()
+    scored = queries.join(gains, "term").groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
+    found = top_by(scored, ["query_id"], "score", "id", top)
+    # Only the first few items stand for all, so this stays small.
+    first = items.select("id").orderBy("id").limit(top).select("id", F.lit(0.0).alias("score"))
+    lost = queries.select("query_id").distinct().join(found.select("query_id"), "query_id", "left_anti")
+    return found.unionByName(top_by(lost.crossJoin(F.broadcast(first)), ["query_id"], "score", "id", top))

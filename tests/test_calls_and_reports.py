@@ -104,3 +104,19 @@ def test_reports_are_checked_by_their_own_citations(spark):
     assert got[2]["unsupported"] == [] and got[5]["unsupported"] == [] and got[3]["invented"] == [1] and got[3]["uncited"] == [] and got[4]["sentences"] == 0
     assert got[2]["trust"] == round(0.25 + 0.25 * (0.6 * 0.9 + 0.4 / 4) + 0.25 + 0.15 + 0.1, 4) and got[3]["trust"] == got[4]["trust"] == 0.25
     assert got[1]["trust"] == round(0.25 + 0.25 * (0.6 * 0.75 + 0.4 / 2) + 0.25 * 0.4 + 0.15 + 0.1, 4)
+
+
+def test_field_search_counts_names_double(spark):
+    items = spark.createDataFrame([(1, ["a", "b"], ["c", "c"]), (2, ["c"], ["a"]), (3, [], ["z"]), (4, ["a"], [])], "id int, name array<string>, body array<string>")
+    asked = spark.createDataFrame([(7, "a"), (7, "c"), (7, "a"), (8, "nothing"), (9, "z")], "query_id int, term string")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in retrieval.field_search(items, asked, 2).collect()}
+    assert got == {(7, 1): (1, 3.0), (7, 2): (2, 3.0), (8, 1): (1, 0.0), (8, 2): (2, 0.0), (9, 1): (3, 1.0)}
+
+
+def test_tables_as_text(spark):
+    from millrace.functions import tables
+
+    rows = spark.createDataFrame([(1, [("a|b", 1), (None, None), ("x\n y", 3)]), (2, [])], "k int, r array<struct<name:string,n:int>>")
+    got = {r["k"]: r["t"] for r in rows.select("k", tables.markdown(F.col("r"), ("name", "n"), 2).alias("t")).collect()}
+    assert got[1] == "| name | n |\n|---|---|\n| a\\|b | 1 |\n|  |  |\n... 1 more rows" and got[2].startswith("| name | n |\n|---|---|")
+    assert spark.range(1).select(tables.described(F.lit("t"), F.array(F.lit("a"), F.lit("b")), F.lit(3), F.array(F.lit("a = u.x")))).first()[0] == "table t (3 rows)\n  a, b\n  joins a = u.x"
