@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import conversations, ingest, retrieval
-from ..session import table
+from ..session import spread, table
 
 #: Words that say little: those of one's own choice, given to every operator as a parameter.
 STOP = ("the", "of", "and", "to", "in", "a", "is", "it", "for", "on")
@@ -19,7 +19,7 @@ INTENTS = [
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def documents_by_language(spark, sf):
