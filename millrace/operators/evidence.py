@@ -15,6 +15,8 @@ from ..storage import remove, scratch, written
 log = logging.getLogger(__name__)
 #: Similarity from which claims are the same; what independent evidence adds to a score, and at most by one item.
 SAME, BONUS, MOST = 0.6, 0.08, 0.16
+#: Similarity from which claims are about the same.
+UNLIKE = 0.3
 #: What a measured finding and a verb of results add to a sentence's share of the question.
 MEASURED, RESULT = 0.45, 0.1
 
@@ -28,22 +30,52 @@ def rarest_first(items: DataFrame, path: str) -> DataFrame:
     return written(ordered.select("rank", terms.alias("terms"), F.size("by").alias("n")).join(items.select("rank", "numbers"), "rank"), path)
 
 
-def same_claims(items: DataFrame, path: str, same: float = SAME) -> DataFrame:
-    """later, earlier: ranks of items that say the same. items: rank, terms (distinct, not empty), numbers.
+def alike_claims(items: DataFrame, path: str, least: float) -> DataFrame:
+    """later, earlier, similarity, agree, subjects of pairs of items as similar as least. items: rank, terms (distinct, not empty), numbers.
 
     Items that are alike share so many terms that one of the rarest of the smaller stands in the larger; only
-    such pairs are compared, never all.
+    such pairs are compared, never all. agree: the later one's numbers are all close to some of the earlier one's;
+    subjects: common terms that aren't numbers.
     """
-    least = min(2 * same / (1 + same), same / 0.85) - 1e-3
+    part = min(2 * least / (1 + least), least / 0.85) - 1e-3
     ordered = rarest_first(items, f"{path}-ordered")
-    head = F.slice("terms", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
+    head = F.slice("terms", F.lit(1), (F.col("n") - F.ceil(F.col("n") * part) + 1).cast("int"))
     small = ordered.select(F.col("rank").alias("a"), F.col("n").alias("na"), F.explode(head).alias("term"))
     large = ordered.select(F.col("rank").alias("b"), F.col("n").alias("nb"), F.explode("terms").alias("term"))
     pairs = small.join(large, "term").filter("a <> b and na <= nb").select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier")).distinct()
     side = lambda c: ordered.select(F.col("rank").alias(c), F.col("terms").alias(f"terms_{c}"), F.col("numbers").alias(f"numbers_{c}"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
-    alike = F.round(C.wording_similarity(F.col("terms_later"), F.col("terms_earlier")), 4) >= same
-    return both.filter(alike & C.numbers_agree(F.col("numbers_later"), F.col("numbers_earlier"))).select("later", "earlier")
+    similarity = F.round(C.wording_similarity(F.col("terms_later"), F.col("terms_earlier")), 4)
+    shared = F.size(F.filter(F.array_intersect("terms_later", "terms_earlier"), lambda t: ~t.rlike(r"^\d+$")))
+    rows = both.select("later", "earlier", similarity.alias("similarity"), C.numbers_agree(F.col("numbers_later"), F.col("numbers_earlier")).alias("agree"), shared.alias("subjects"))
+    return rows.filter(F.col("similarity") >= least)
+
+
+def same_claims(items: DataFrame, path: str, same: float = SAME) -> DataFrame:
+    """later, earlier: ranks of items that say the same."""
+    return alike_claims(items, path, same).filter("agree").select("later", "earlier")
+
+
+def with_terms(rows: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """rank, terms, numbers of each claim (rank, claim); claims without words share a term of their own."""
+    roots = F.array_distinct(F.transform(T.keywords(F.col("claim"), stop_words), C.root))
+    none = F.array(F.lit("")).cast("array<string>")
+    return rows.select("rank", T.once(roots, lambda r: F.when(F.size(r) == 0, none).otherwise(r)).alias("terms"), T.numbers(F.col("claim")).alias("numbers"))
+
+
+def conflicts(items: DataFrame, stop_words: Sequence[str] = (), least: float = UNLIKE, subjects: int = 2) -> DataFrame:
+    """id, other, similarity: pairs of claims (id, claim) about the same, with figures that disagree, the least identifier first.
+
+    Claims conflict when a figure of the one with the greater identifier has none close to it in the other, and they
+    share words that say what was measured.
+    """
+    spark = items.sparkSession
+    path = scratch(spark, "conflicts")
+    rows = written(with_terms(items.select(F.col("id").alias("rank"), F.coalesce("claim", F.lit("")).alias("claim")), stop_words), f"{path}/items")
+    found = alike_claims(rows, f"{path}/claims", least).filter(~F.col("agree") & (F.col("subjects") >= subjects))
+    result = written(found.select(F.col("earlier").alias("id"), F.col("later").alias("other"), "similarity"), f"{path}-result")
+    remove(spark, path)
+    return result
 
 
 def settled(pairs: DataFrame, path: str) -> tuple[DataFrame, int]:
@@ -75,12 +107,10 @@ def deduplicated(items: DataFrame, stop_words: Sequence[str] = (), same: float =
     """
     spark = items.sparkSession
     path = scratch(spark, "evidence")
-    roots = F.array_distinct(F.transform(T.keywords(F.coalesce("claim", F.lit("")), stop_words), C.root))
     rows = items.select("id", F.coalesce("claim", F.lit("")).alias("claim"), F.col("score").cast("double").alias("score"), "source", F.col("primary").cast("boolean").alias("primary"))
     rows = written(rows.withColumn("rank", F.struct((-F.col("score")).alias("by"), F.col("id"))), f"{path}/rows")
     firsts = rows.groupBy("claim").agg(F.min("rank").alias("rank"))
-    none = F.array(F.lit("")).cast("array<string>")
-    made = firsts.select("rank", T.once(roots, lambda r: F.when(F.size(r) == 0, none).otherwise(r)).alias("terms"), T.numbers(F.col("claim")).alias("numbers"))
+    made = with_terms(firsts, stop_words)
     pairs = written(same_claims(made, f"{path}/claims", same), f"{path}/pairs")
     removed, _ = settled(pairs, f"{path}/rounds")
     by_kept = pairs.join(removed.withColumnRenamed("rank", "earlier"), "earlier", "left_anti").groupBy(F.col("later").alias("first")).agg(F.min("earlier").alias("kept"))

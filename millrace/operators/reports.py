@@ -47,3 +47,22 @@ def trust(coverage: Column, conflicts: Column, exhausted: Column) -> Column:
     parts = (coverage, support, clean, agreement, F.when(exhausted, 0.6).otherwise(1.0))
     whole = sum((w * p for w, p in zip(WEIGHTS, parts, strict=True)), F.lit(0.0))
     return F.round(F.when(F.col("cited") == 0, F.least(whole, F.lit(WITHOUT_SOURCES))).otherwise(whole), 4)
+
+
+def composed(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports (id, text) and what they cite (id, marker, quote, date, credibility, source), written from evidence alone.
+
+    evidence: id, section, sentence, source, score, date, credibility. A report's sections go by name, their sentences by
+    score; a sentence ends in the number of its source, and sources are numbered as they first come up. A sentence that a
+    section has twice stands once, by its best source. Null and blank sentences are left out; a report has a handful of
+    sentences, so each is one group.
+    """
+    rows = evidence.filter(F.trim(F.coalesce("sentence", F.lit(""))) != "").withColumn("sentence", F.trim("sentence")).withColumn("at", F.struct("section", (-F.col("score")).alias("by"), "source", "sentence"))
+    once = rows.groupBy("id", "section", "sentence").agg(F.min_by(F.struct("source", "date", "credibility", "at"), "at").alias("x")).select("id", "section", "sentence", "x.*")
+    first = once.groupBy("id", "source").agg(F.min("at").alias("begun"))
+    numbered = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("begun", "source"))).alias("all")).select("id", F.posexplode("all").alias("k", "s")).select("id", F.col("s.source").alias("source"), (F.col("k") + 1).alias("marker"))
+    marked = once.join(numbered, ["id", "source"])
+    # The number stands before what ends the sentence.
+    said = F.concat(F.regexp_replace("sentence", r"[.!?]+$", ""), F.lit(" ["), F.col("marker").cast("string"), F.lit("]"), F.coalesce(F.nullif(F.regexp_extract("sentence", r"[.!?]+$", 0), F.lit("")), F.lit(".")))
+    text = marked.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", said.alias("said")))), lambda x: x["said"]), " ").alias("text"))
+    return text, marked.select("id", "marker", F.col("sentence").alias("quote"), "date", "credibility", "source")

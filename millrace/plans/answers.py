@@ -69,6 +69,16 @@ def deduplicated_evidence(spark, sf):
     return evidence.deduplicated(claims_made(spark, sf), STOP)
 
 
+def conflicting_claims(spark, sf):
+    """Two sources on orders by segment and year, one of which counts finished ones only: where they disagree."""
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    by = rows.groupBy("c_mktsegment", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    each = by.select("c_mktsegment", "year", F.posexplode(F.array("all", "done")).alias("source", "n"))
+    name = F.concat_ws("-", F.lower("c_mktsegment"), F.col("year").cast("string"), F.col("source").cast("string"))
+    claim = F.concat(F.lower("c_mktsegment"), F.lit(" customers placed "), F.col("n").cast("string"), F.lit(" orders during "), F.col("year").cast("string"))
+    return evidence.conflicts(each.select(name.alias("id"), claim.alias("claim")), STOP)
+
+
 def extracted_sentences(spark, sf):
     """Of the ten passages found for an item, the two sentences each that answer it best."""
     found = retrieval.bm25(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP, 10).select("query_id", "id")
@@ -137,6 +147,27 @@ def report_checks(spark, sf):
     return found.select(F.col("id").alias("c_custkey"), F.col("sentences").cast("long").alias("sentences"), n("invented").alias("invented"), n("uncited").alias("uncited"), n("unsupported").alias("unsupported"), trust.alias("trust"))
 
 
+def found_evidence(spark, sf):
+    """id, section, sentence, source, score, date, credibility: the best two sentences of the ten passages found for each item, a section for each language."""
+    found = retrieval.bm25(documents(spark, sf), "doc_id", "text", item_queries(spark, sf), STOP, 10).select("query_id", "id")
+    asked = table(spark, sf, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.array_distinct(T.stems(F.col("text"), STOP)).alias("question"))
+    texts = documents(spark, sf).select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    best = evidence.best_sentences(found.join(asked, "query_id").join(texts.select("id", "text"), "id"), STOP, UNITS)
+    rows = best.join(texts.select("id", "lang", "source"), "id")
+    return rows.select(F.col("query_id").alias("id"), F.coalesce("lang", F.lit("none")).alias("section"), "sentence", F.concat_ws("/", "source", F.col("id").cast("string")).alias("source"), F.round("score", 6).alias("score"), F.lit(None).cast("string").alias("date"), F.lit(0.8).alias("credibility"))
+
+
+def research_reports(spark, sf):
+    """Reports written from evidence, and held against what they cite: nothing in them may be without a source."""
+    path = scratch(spark, "reports")
+    text, cited = (written(x, f"{path}/{n}") for n, x in zip(("text", "cited"), reports.composed(written(found_evidence(spark, sf), f"{path}/evidence")), strict=True))
+    checked = reports.verified(text, cited)
+    out = checked.select("id", F.md5("text").alias("digest"), F.col("cited").cast("long").alias("cited"), F.size("invented").cast("long").alias("invented"), F.size("unsupported").cast("long").alias("unsupported"), F.size("uncited").cast("long").alias("uncited"))
+    result = written(out, f"{path}-result")
+    remove(spark, path)
+    return result
+
+
 TERMS = "list_distinct(list_transform(" + KW.format(t="claim") + f", lambda w: {root_sql('w')}))"
 W = "w AS (SELECT query_id, q.term, round(ln(1 + total / (1 + coalesce(h.n, 0))), 9) AS weight FROM q LEFT JOIN (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(terms) AS term FROM d) GROUP BY 1) h USING (term), sizes)"
 STEM = ENDING.format(w="{w}")
@@ -182,6 +213,15 @@ f AS (SELECT r.*, list_min(list_intersect(x, kept)) AS dup FROM r JOIN near USIN
 g AS (SELECT a.*, a.prime AND b.prime AND a.source <> b.source AS free, row_number() OVER (PARTITION BY a.dup ORDER BY a.k) AS nth FROM f a JOIN f b ON b.k = a.dup),
 s AS (SELECT dup, count(*) AS n, sum(CASE WHEN free THEN least(0.16::DOUBLE, 0.08::DOUBLE * nth) ELSE 0 END) AS gain FROM g GROUP BY 1)
 SELECT f.id, e.id AS duplicate_of, coalesce(n, 0) AS corroborated_by, round(CASE WHEN gain > 0 THEN least(1.0, f.score + gain) ELSE f.score END, 4) AS score FROM f LEFT JOIN s ON s.dup = f.k LEFT JOIN f e ON e.k = f.dup"""),
+    "conflicting_claims": (conflicting_claims, f"""
+WITH b AS (SELECT lower(c_mktsegment) AS s, year(o_orderdate) AS y, count(*) AS n0, count(*) FILTER (o_orderstatus = 'F') AS n1 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+e AS (SELECT s, y, 0 AS src, n0 AS n FROM b UNION ALL SELECT s, y, 1, n1 FROM b),
+i AS (SELECT s || '-' || y || '-' || src AS id, s || ' customers placed ' || n || ' orders during ' || y AS claim FROM e),
+r AS (SELECT id, {TERMS} AS terms, {NUM.format(t='claim')} AS nums FROM i),
+m AS (SELECT a.id, b.id AS other, len(list_intersect(a.terms, b.terms)) AS common, len(a.terms) AS na, len(b.terms) AS nb, len(list_filter(list_intersect(a.terms, b.terms), lambda t: NOT regexp_matches(t, '^[0-9]+$'))) AS subjects,
+        len(list_filter(b.nums, lambda p: len(list_filter(a.nums, lambda q: {CLOSE_SQL.format(a='p', b='q')})) = 0)) = 0 AS agree FROM r a JOIN r b ON a.id < b.id),
+s AS (SELECT *, round(greatest(common / (na + nb - common), 0.85::DOUBLE * common / least(na, nb)), 4) AS similarity FROM m)
+SELECT id, other, similarity FROM s WHERE similarity >= 0.3 AND NOT agree AND subjects >= 2"""),
     "extracted_sentences": (extracted_sentences, f"""
 WITH {BM25}, a AS (SELECT item_id AS query_id, list_distinct(list_transform({KW.format(t='text')}, lambda w: {ENDING.format(w='w')})) AS question FROM benchmark WHERE item_id % 20 = 0),
 s AS (SELECT query_id, doc_id, question, unnest({SENTENCES.format(t='t.text')}) AS sentence, unnest(range(len({SENTENCES.format(t='t.text')}))) AS n FROM ranked JOIN documents t USING (doc_id) JOIN a USING (query_id) WHERE rank <= 10),
@@ -190,6 +230,17 @@ k AS (SELECT query_id, doc_id, n, sentence, len(list_intersect(question, stems))
 o AS (SELECT *, round(shared / total + CASE WHEN regexp_matches(sentence, '[0-9]') AND regexp_matches(lower(sentence), '{'|'.join(UNITS)}') THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(lower(sentence), '{'|'.join(C.RESULT_VERBS)}') THEN 0.1 ELSE 0 END::DOUBLE, 9) AS score FROM k WHERE shared > 0)
 SELECT query_id, doc_id, n, md5(sentence) AS digest, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, n) AS rank FROM o QUALIFY rank <= 2"""),
     "answer_citations": (answer_citations, f"WITH {BM25}, c AS (SELECT query_id, doc_id FROM ranked WHERE rank <= 3), j AS (SELECT query_id, doc_id, contains(d.text, b.text) AS hit, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS closed FROM c JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id) SELECT query_id, count(*) AS cited, round(count(*) FILTER (hit) / count(*), 4) AS precision, count(DISTINCT doc_id) FILTER (closed) AS leaked FROM j GROUP BY 1"),
+    "research_reports": (research_reports, rf"""
+WITH {BM25}, a AS (SELECT item_id AS query_id, list_distinct(list_transform({KW.format(t='text')}, lambda w: {ENDING.format(w='w')})) AS question FROM benchmark WHERE item_id % 20 = 0),
+s AS (SELECT query_id, doc_id, question, coalesce(lang, 'none') AS section, concat_ws('/', source, doc_id::VARCHAR) AS source, unnest({SENTENCES.format(t='t.text')}) AS sentence, unnest(range(len({SENTENCES.format(t='t.text')}))) AS n FROM ranked JOIN documents t USING (doc_id) JOIN a USING (query_id) WHERE rank <= 10),
+j AS (SELECT *, list_transform({KW.format(t='sentence')}, lambda w: {ENDING.format(w='w')}) AS stems FROM s),
+k AS (SELECT *, len(list_intersect(question, stems)) AS shared, len(question) AS total FROM j WHERE len(stems) >= 4),
+o AS (SELECT *, round(shared / total + CASE WHEN regexp_matches(sentence, '[0-9]') AND regexp_matches(lower(sentence), '{'|'.join(UNITS)}') THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(lower(sentence), '{'|'.join(C.RESULT_VERBS)}') THEN 0.1 ELSE 0 END::DOUBLE, 9) AS score FROM k WHERE shared > 0),
+e AS (SELECT query_id AS id, section, sentence, source, round(score, 6) AS score FROM o QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, n) <= 2),
+u AS (SELECT *, (section, -score, source, sentence) AS place FROM e QUALIFY row_number() OVER (PARTITION BY id, section, sentence ORDER BY -score, source) = 1),
+f AS (SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY min(place)) AS marker FROM u GROUP BY id, source),
+m AS (SELECT u.*, marker, regexp_replace(sentence, '[.!?]+$', '') || ' [' || marker || ']' || CASE WHEN regexp_matches(sentence, '[.!?]+$') THEN regexp_extract(sentence, '[.!?]+$') ELSE '.' END AS said FROM u JOIN f USING (id, source))
+SELECT id, md5(string_agg(said, ' ' ORDER BY place)) AS digest, count(*) AS cited, 0 AS invented, 0 AS unsupported, 0 AS uncited FROM m GROUP BY id"""),
     "report_checks": (report_checks, f"""
 WITH o AS (SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice))::BIGINT AS total, round(max(o_totalprice))::BIGINT AS most, year(max(o_orderdate)) AS y FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
 f AS (SELECT *, k % 11 = 4 AS bare, [k, n, total, CASE WHEN k % 7 = 3 THEN 3 * most ELSE most END, y]::DOUBLE[] AS said, CASE WHEN k % 11 = 4 THEN []::DOUBLE[] ELSE [k, n, total, most, y]::DOUBLE[] END AS known FROM o),

@@ -218,8 +218,9 @@ def review_decisions(spark, sf):
 
 
 def cache_keys(spark, sf):
-    """Messages by the key of an exact cache: the normalised text within its role."""
-    key = F.sha2(F.concat_ws("||", F.lower(T.collapsed(F.col("text"))), "role"), 256)
+    """Messages by the key of an exact cache: the first word of the normalised text within its role."""
+    first = F.try_element_at(F.split(F.lower(T.collapsed(F.col("text"))), " "), F.lit(1))
+    key = F.sha2(F.concat_ws("||", first, "role"), 256)
     return table(spark, sf, "conversations").groupBy(F.substring(key, 1, 32).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
@@ -243,9 +244,9 @@ def supported_replies(spark, sf):
 
 
 def conflicting_labels(spark, sf):
-    """Texts that have labels of different quality: pairs are counted by text, not joined."""
-    d = documents(spark, sf).select("doc_id", F.md5("text").alias("digest")).join(table(spark, sf, "labels"), "doc_id")
-    return d.groupBy("digest").agg(F.min("quality").alias("low"), F.max("quality").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    """Documents of a source that begin with the same letters and have labels of different quality: pairs are counted by beginning, not joined."""
+    d = documents(spark, sf).select("doc_id", "source", F.lower(F.substring("text", 1, 3)).alias("head")).join(table(spark, sf, "labels"), "doc_id")
+    return d.groupBy("source", "head").agg(F.min("quality").alias("low"), F.max("quality").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
 
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -310,9 +311,9 @@ QUERIES = {
     "similarity_sweep": (similarity_sweep, f"WITH p AS (SELECT round({DOT}, 6) AS score, e.label = q.label AS same FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) SELECT threshold, count(*) FILTER (same) AS same, count(*) FILTER (NOT same) AS different FROM p, (SELECT unnest(range(11)) / 10.0::DOUBLE AS threshold) WHERE score >= threshold GROUP BY 1"),
     "tokens_by_role": (tokens_by_role, "SELECT role, count(*) AS n, sum(t)::BIGINT AS tokens, round(sum(t / 1e6 * CASE WHEN role = 'assistant' THEN 0.6::DOUBLE ELSE 0.15::DOUBLE END), 8) AS cost FROM (SELECT role, CASE WHEN len(text) = 0 THEN 0 ELSE greatest(1, len(text) // 4) END AS t FROM conversations) GROUP BY 1"),
     "review_decisions": (review_decisions, "SELECT source, CASE WHEN toxic = 1 THEN 'REJECT' WHEN coalesce(quality, 0) = 0 THEN 'NEEDS_REVIEW' ELSE 'AUTO_APPROVE' END AS decision, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2"),
-    "cache_keys": (cache_keys, r"SELECT substr(sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) || '||' || role), 1, 32) AS key, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1"),
+    "cache_keys": (cache_keys, r"SELECT substr(sha256(string_split(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))), ' ')[1] || '||' || role), 1, 32) AS key, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1"),
     "duplicate_tiers": (duplicate_tiers, "SELECT doc_id, CASE WHEN a < doc_id THEN 1 WHEN b < doc_id THEN 2 WHEN c < doc_id THEN 3 END AS tier FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, text) AS a, min(doc_id) OVER (PARTITION BY text) AS b, min(doc_id) OVER (PARTITION BY source, n_chars, substr(text, 1, 40)) AS c FROM documents) WHERE tier IS NOT NULL"),
     "supported_replies": (supported_replies, f"WITH c AS (SELECT conv_id, role, turn, unnest(list_distinct({WORDS})) AS w FROM conversations), a AS (SELECT DISTINCT conv_id, w FROM c WHERE role = 'user') SELECT c.conv_id, round(count(a.w) / count(*), 6) AS support FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.w = c.w WHERE role = 'assistant' GROUP BY 1"),
-    "conflicting_labels": (conflicting_labels, "SELECT md5(text) AS digest, min(quality) AS low, max(quality) AS high, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING min(quality) <> max(quality)"),
+    "conflicting_labels": (conflicting_labels, "SELECT source, lower(substr(text, 1, 3)) AS head, min(quality) AS low, max(quality) AS high, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2 HAVING min(quality) <> max(quality)"),
     "long_conversations": (long_conversations, "SELECT conv_id, count(*) AS users, len(arg_min(text, turn)) AS first_chars FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 4"),
 }

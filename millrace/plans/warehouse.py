@@ -66,8 +66,9 @@ def order_count(spark, sf):
 
 
 def customers_without_orders(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order since 2000."""
+    urgent = table(spark, sf, "orders").filter("o_orderdate >= '2000-01-01' and o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 def customers_with_returns(spark, sf):
@@ -145,7 +146,7 @@ QUERIES = {
     "average_order_value": (average_order_value, f"SELECT round(avg(v), 4) AS average_order_value, count(*) AS n_orders FROM (SELECT l_orderkey, sum({R}) AS v FROM lineitem GROUP BY 1)"),
     "customers_by_segment": (customers_by_segment, "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean_balance FROM customer GROUP BY 1"),
     "order_count": (order_count, "SELECT count(*) AS n FROM orders"),
-    "customers_without_orders": (customers_without_orders, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "customers_without_orders": (customers_without_orders, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderpriority LIKE '1%')"),
     "customers_with_returns": (customers_with_returns, f"SELECT c_custkey, count(*) AS returned, round(sum({R}), 4) AS lost {SALES} WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) >= 3"),
     "return_rate_by_brand": (return_rate_by_brand, "SELECT p_brand, count(*) AS n, round(count(*) FILTER (l_returnflag = 'R') / count(*), 6) AS rate FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"),
     "pricing_summary": (pricing_summary, f"SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 4) AS sum_base, round(sum({R}), 4) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY 1, 2"),

@@ -120,3 +120,23 @@ def test_tables_as_text(spark):
     got = {r["k"]: r["t"] for r in rows.select("k", tables.markdown(F.col("r"), ("name", "n"), 2).alias("t")).collect()}
     assert got[1] == "| name | n |\n|---|---|\n| a\\|b | 1 |\n|  |  |\n... 1 more rows" and got[2].startswith("| name | n |\n|---|---|")
     assert spark.range(1).select(tables.described(F.lit("t"), F.array(F.lit("a"), F.lit("b")), F.lit(3), F.array(F.lit("a = u.x")))).first()[0] == "table t (3 rows)\n  a, b\n  joins a = u.x"
+
+
+def test_reports_are_composed_of_evidence_alone(spark):
+    rows = [
+        (1, "b", "Second section says so!", "s2", 0.9, None, 0.5), (1, "a", "Low one", "s1", 0.1, None, 1.0), (1, "a", "High one.", "s3", 0.8, "2020", 1.0), (1, "a", "High one.", "s9", 0.2, None, 1.0), (1, "b", "Again from s1.", "s1", 0.3, None, 1.0),
+        (1, "b", " ", "s8", 1.0, None, 1.0), (1, "b", None, "s8", 1.0, None, 1.0), (2, "a", "Alone at 95 percent.", "x", None, None, None),
+    ]
+    text, cited = reports.composed(spark.createDataFrame(rows, "id int, section string, sentence string, source string, score double, date string, credibility double"))
+    assert {r["id"]: r["text"] for r in text.collect()} == {1: "High one [1]. Low one [2]. Second section says so [3]! Again from s1 [2].", 2: "Alone at 95 percent [1]."}
+    assert {(r["id"], r["marker"], r["source"]) for r in cited.collect()} == {(1, 1, "s3"), (1, 2, "s1"), (1, 3, "s2"), (2, 1, "x")}
+    for r in reports.verified(text, cited).collect():
+        assert r["invented"] == [] and r["unsupported"] == [] and r["uncited"] == []
+
+
+def test_conflicts_are_about_the_same_with_other_figures(spark):
+    from millrace.operators import evidence
+
+    claims = [(1, "staff turnover fell by 57 percent"), (2, "staff turnover fell by 12 percent"), (3, "staff turnover fell by 55 percent"), (4, "rain fell on 12 days"), (5, None), (6, "staff turnover")]
+    got = {(r["id"], r["other"]) for r in evidence.conflicts(spark.createDataFrame(claims, "id int, claim string")).collect()}
+    assert got == {(1, 2), (2, 3)}
