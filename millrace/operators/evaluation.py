@@ -43,3 +43,30 @@ def rated(checks: DataFrame, cases: DataFrame) -> DataFrame:
     rows = cases.select("case", "suite").distinct().join(by, "case", "left").select("suite", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ok", F.lit(0)).alias("ok"))
     out = rows.groupBy("suite").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("n") == F.col("ok")).alias("whole"), F.sum("n").alias("checks"), F.sum("ok").alias("passed"))
     return out.withColumn("rate", F.round(F.coalesce(F.try_divide("passed", "checks"), F.lit(1.0)), 4))
+
+
+def answers_judged(answers: DataFrame, expected: DataFrame, cited: DataFrame | None = None, declines=None) -> DataFrame:
+    """case, correct, missing, abstained, precision, leaked of every case that is expected.
+
+    answers: case, text; expected: case, must_contain (array, with alternatives between strokes), should_abstain, relevant,
+    forbidden (arrays of sources); cited: case, source. An answer abstains if it is missing, blank, or says that it has none
+    (declines, a function of the text's column). Where a case should abstain, only that is correct; else the answer must not,
+    and hold every phrase or one of its alternatives, in any case. Precision is the share of citations that are relevant, 0
+    without any; leaked counts different sources that no one may read.
+    """
+    none = F.array().cast("array<string>")
+    rows = expected.join(answers, "case", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    silent = (F.trim("text") == "") | (declines(F.col("text")) if declines else F.lit(False))
+    low = F.lower("text")
+    said = lambda p: F.exists(F.split(p, r"\|"), lambda a: F.contains(low, F.lower(F.trim(a))))
+    missing = F.filter(F.coalesce("must_contain", none), lambda p: ~said(p))
+    if cited is not None:
+        rows = rows.join(cited.groupBy("case").agg(F.collect_list("source").alias("sources")), "case", "left")
+    else:
+        rows = rows.withColumn("sources", none)
+    rows = rows.withColumn("sources", F.coalesce("sources", none)).withColumn("relevant", F.coalesce("relevant", none)).withColumn("forbidden", F.coalesce("forbidden", none))
+    hits = F.size(F.filter("sources", lambda s: F.array_contains("relevant", s)))
+    asked = F.coalesce("should_abstain", F.lit(False))
+    return rows.select(
+        "case", F.when(asked, silent).otherwise(~silent & (F.size(missing) == 0)).alias("correct"), F.when(asked, none).otherwise(missing).alias("missing"), silent.alias("abstained"),
+        F.round(F.coalesce(F.try_divide(hits, F.size("sources")), F.lit(0.0)), 4).alias("precision"), F.size(F.array_intersect("sources", "forbidden")).alias("leaked"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import requests as R
 from ..functions import text as T
 from ..operators import changes, evaluation, workflow
+from ..operators import ledger as ledger_module
 from ..session import table
 from .stores import NOW, events
 from .texts import STOP, documents
@@ -121,6 +122,50 @@ def scenario_rates(spark, sf):
     return evaluation.rated(evaluation.checked(wanted, outcomes), cases)
 
 
+def ledger(spark, sf):
+    """A log of the first fortnight's events, one for each owner, type and day, and later events that are submitted to it, some again."""
+    key = F.concat_ws("/", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "dd"))
+    rows = events(spark, sf).select(key.alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("entry_id"), (F.floor("value") % 3).cast("string").alias("digest"), (F.dayofmonth("ts") <= 14).alias("old"))
+    first = rows.filter("old").groupBy("key").agg(F.min(F.struct("at", "entry_id", "digest")).alias("x"))
+    log = first.select("key", F.col("x.digest").alias("digest"), (F.col("x.entry_id") + 1).alias("entry_no"))
+    submitted = rows.filter("not old or entry_id % 7 = 0").withColumn("key", F.when(F.col("entry_id") % 50 != 0, F.col("key")))
+    return log, submitted.drop("old")
+
+
+def ledger_appends(spark, sf):
+    """What becomes of entries that are submitted to a log: appended with the next number, repeated, or refused."""
+    return ledger_module.appended(*ledger(spark, sf)).select("entry_id", "outcome", "entry_no")
+
+
+def uncompensated_effects(spark, sf):
+    """Purchases of each owner as effects, undone where an error of the same hour says so: what is left to undo, the last one first."""
+    e = events(spark, sf).select(F.col("user_id").alias("run"), "event_id", "event_type", F.date_trunc("hour", "ts").alias("hour"))
+    effects = e.filter("event_type = 'purchase'").select("run", F.col("event_id").alias("effect_no"), F.lit("purchase").alias("kind"), "hour")
+    marks = effects.join(e.filter("event_type = 'error'").select("run", "hour"), ["run", "hour"]).select("run", "effect_no")
+    return ledger_module.outstanding(effects, marks).select(F.col("run").alias("user_id"), "effects", "compensated", "left", F.col("next").alias("next_effect"))
+
+
+def answers_given(spark, sf):
+    """case, text; expectations; citations: each conversation's last reply as an answer to its first question, cut short or declined by key."""
+    c = table(spark, sf, "conversations")
+    k = F.col("conv_id")
+    reply = c.filter("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    text = F.when(k % 6 == 0, "Sorry, I do not know that.").when(k % 6 == 1, "  ").otherwise(F.col("text"))
+    asked = c.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("q"))
+    word = lambda n: F.coalesce(F.try_element_at(T.words(F.col("q")), F.lit(n)), F.lit("none"))
+    expected = asked.select(
+        k.alias("case"), F.array(F.concat_ws("|", word(1), word(2)), word(3)).alias("must_contain"), (k % 4 == 0).alias("should_abstain"),
+        F.array(F.concat(F.lit("s"), (k % 3).cast("string")), F.lit("s1")).alias("relevant"), F.array(F.lit("s2")).alias("forbidden"))
+    cited = c.filter("role = 'assistant'").select(k.alias("case"), F.concat(F.lit("s"), (F.col("turn") % 4).cast("string")).alias("source"))
+    return reply.select(k.alias("case"), text.alias("text")), expected, cited
+
+
+def judged_answers(spark, sf):
+    """Which answers are right, which decline, and what they cite."""
+    out = evaluation.answers_judged(*answers_given(spark, sf), declines=R.declines)
+    return out.select(F.col("case").alias("conv_id"), "correct", F.size("missing").cast("long").alias("missing"), "abstained", "precision", F.col("leaked").cast("long").alias("leaked"))
+
+
 FIRST = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(replace(text, chr(10), ' ')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')[1]"
 KEPT = "list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda w: len(w) >= 2 AND w NOT IN ('" + "', '".join((*STOP, *R.FRAMING)) + "'))"
 PLANS = f"""
@@ -165,8 +210,27 @@ checks AS (
   UNION ALL SELECT conv_id, 'roles', CASE WHEN conv_id % 7 = 0 THEN 'nothing' ELSE 'none_of' END, CASE WHEN conv_id % 7 = 0 THEN false ELSE NOT list_contains(roles, 'system') END, '', CASE WHEN conv_id % 7 <> 0 AND list_contains(roles, 'system') THEN 'system' ELSE '' END FROM r
   UNION ALL SELECT conv_id, 'turns', CASE WHEN conv_id % 2 = 0 THEN 'at_least' ELSE 'at_most' END, CASE WHEN conv_id % 2 = 0 THEN turns >= 6 ELSE turns <= 6 END, '', '' FROM r
   UNION ALL SELECT conv_id, 'words', 'recall', coalesce(hits, 0) >= 2, coalesce(array_to_string(missing, ','), ''), '' FROM r LEFT JOIN w USING (conv_id) LEFT JOIN m USING (conv_id))"""
+LEDGER = """
+WITH e AS (SELECT user_id || '/' || event_type || '/' || strftime(ts, '%d') AS key, epoch_us(ts) AS t, event_id, (floor(value)::BIGINT % 3)::VARCHAR AS digest, day(ts) <= 14 AS old FROM events),
+log AS (SELECT key, digest, event_id + 1 AS entry_no FROM e WHERE old QUALIFY row_number() OVER (PARTITION BY key ORDER BY t, event_id) = 1),
+s AS (SELECT CASE WHEN event_id % 50 <> 0 THEN key END AS key, t, event_id, digest FROM e WHERE NOT old OR event_id % 7 = 0),
+f AS (SELECT key, event_id, digest, (SELECT max(entry_no) FROM log) + row_number() OVER (ORDER BY t, event_id) AS entry_no FROM (SELECT * FROM s WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM log) QUALIFY row_number() OVER (PARTITION BY key ORDER BY t, event_id) = 1)),
+j AS (SELECT s.event_id, CASE WHEN s.key IS NULL THEN 'conflict' WHEN log.key IS NULL AND f.event_id = s.event_id THEN 'appended' WHEN coalesce(log.digest, f.digest) = s.digest THEN 'repeated' ELSE 'conflict' END AS outcome, coalesce(log.entry_no, f.entry_no) AS entry_no FROM s LEFT JOIN log ON log.key = s.key LEFT JOIN f ON f.key = s.key)
+SELECT event_id AS entry_id, outcome, CASE WHEN outcome <> 'conflict' THEN entry_no END AS entry_no FROM j"""
+UNDONE = """
+WITH p AS (SELECT user_id, event_id, EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND date_trunc('hour', x.ts) = date_trunc('hour', e.ts)) AS done FROM events e WHERE event_type = 'purchase')
+SELECT user_id, count(*) AS effects, count(*) FILTER (done) AS compensated, count(*) FILTER (NOT done) AS "left", max(event_id) FILTER (NOT done) AS next_effect FROM p GROUP BY 1"""
+JUDGED = """
+WITH w AS (SELECT conv_id, regexp_extract_all(lower(arg_min(text, turn)), '[a-z0-9]+') AS w FROM conversations WHERE role = 'user' GROUP BY 1),
+r AS (SELECT conv_id, arg_max(text, turn) AS t, list('s' || turn % 4) AS src FROM conversations WHERE role = 'assistant' GROUP BY 1),
+a AS (SELECT w.conv_id, [coalesce(w[1], 'none'), coalesce(w[2], 'none'), coalesce(w[3], 'none')] AS w, coalesce(CASE w.conv_id % 6 WHEN 0 THEN CASE WHEN t IS NOT NULL THEN 'Sorry, I do not know that.' END WHEN 1 THEN '' ELSE t END, '') AS t, coalesce(src, []) AS src FROM w LEFT JOIN r USING (conv_id)),
+m AS (SELECT *, trim(t) = '' OR contains(t, 'I do not know that') AS silent, CASE WHEN conv_id % 4 = 0 THEN 0 ELSE (NOT (contains(lower(t), w[1]) OR contains(lower(t), w[2])))::INT + (NOT contains(lower(t), w[3]))::INT END AS missing FROM a)
+SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN silent ELSE NOT silent AND missing = 0 END AS correct, missing, silent AS abstained, round(CASE WHEN len(src) = 0 THEN 0 ELSE len(list_filter(src, lambda x: x IN ('s' || conv_id % 3, 's1'))) / len(src) END, 4) AS precision, CASE WHEN list_contains(src, 's2') THEN 1 ELSE 0 END AS leaked FROM m"""
 
 QUERIES = {
+    "ledger_appends": (ledger_appends, LEDGER),
+    "uncompensated_effects": (uncompensated_effects, UNDONE),
+    "judged_answers": (judged_answers, JUDGED),
     "question_plans": (question_plans, PLANS),
     "solved_questions": (solved_questions, "SELECT kind, count(*) AS n, count(a) AS answered, sum(a)::BIGINT AS total FROM (SELECT l_partkey % 5 AS kind, CASE l_partkey % 5 WHEN 0 THEN l_quantity * l_partkey WHEN 1 THEN l_quantity * l_partkey - l_linenumber WHEN 2 THEN l_partkey - l_quantity WHEN 3 THEN l_quantity + l_partkey + l_linenumber END AS a FROM lineitem) GROUP BY 1"),
     "intake_requests": (intake_requests, INTAKE),

@@ -97,3 +97,41 @@ def test_approvals_against_a_loop(spark):
     assert got == want and len({s for s, _ in want.values()}) >= 3
     states = {r["run"]: (r["state"], r["answered"]) for r in workflow.resumed(spark.createDataFrame([(1, "approved"), (1, "approved"), (2, "approved"), (2, "pending"), (3, "expired"), (4, "expired"), (4, "rejected")], "run int, state string"), "run").collect()}
     assert states == {1: ("running", 2), 2: ("waiting", 1), 3: ("failed", 0), 4: ("cancelled", 1)}
+
+
+def test_entries_are_appended_once(spark):
+    from millrace.operators import ledger
+
+    rng = random.Random(6)
+    log = [(f"k{n}", str(n % 3), 100 + n) for n in range(20)]
+    entries = [(rng.choice([None, *(f"k{n}" for n in range(60))]), rng.randrange(30), n, str(rng.randrange(3))) for n in range(300)]
+    out = ledger.appended(spark.createDataFrame(log, "key string, digest string, entry_no long"), spark.createDataFrame(entries, "key string, at long, entry_id long, digest string"))
+    got = {r["entry_id"]: (r["outcome"], r["entry_no"]) for r in out.collect()}
+    held, following = {k: (d, n) for k, d, n in log}, 120
+    for key, _, n, digest in sorted(entries, key=lambda e: (e[1], e[2])):
+        if key is None:
+            want = ("conflict", None)
+        elif key not in held:
+            held[key] = (digest, following)
+            want, following = ("appended", following), following + 1
+        else:
+            want = ("repeated", held[key][1]) if held[key][0] == digest else ("conflict", None)
+        assert got[n] == want, (key, n)
+    empty = ledger.appended(spark.createDataFrame([], "key string, digest string, entry_no long"), spark.createDataFrame([("a", 1, 1, None), ("a", 2, 2, None)], "key string, at long, entry_id long, digest string"))
+    assert sorted((r["entry_id"], r["outcome"], r["entry_no"]) for r in empty.collect()) == [(1, "appended", 1), (2, "repeated", 1)]
+
+
+def test_what_is_left_to_undo(spark):
+    from millrace.operators import ledger
+
+    effects = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 4, "d")], "run int, effect_no int, kind string")
+    marks = spark.createDataFrame([(1, 3), (1, 3), (2, 4), (9, 9)], "run int, effect_no int")
+    assert {tuple(r) for r in ledger.outstanding(effects, marks).collect()} == {(1, 3, 1, 2, 2, "b"), (2, 1, 1, 0, None, None)}
+
+
+def test_answers_are_judged(spark):
+    answers = spark.createDataFrame([(1, "The Blue house has 3 rooms"), (2, "I don't know."), (3, "I do not know."), (4, " "), (6, "red")], "case int, text string")
+    expected = spark.createDataFrame([(1, ["red|blue", "rooms"], False, ["a"], ["z"]), (2, ["x"], False, None, None), (3, [], True, [], []), (4, None, True, None, None), (5, ["x"], None, None, None), (6, ["red", "green|grey"], False, ["a"], ["z"])], "case int, must_contain array<string>, should_abstain boolean, relevant array<string>, forbidden array<string>")
+    cited = spark.createDataFrame([(1, "a"), (1, "z"), (1, "z"), (6, "a")], "case int, source string")
+    got = {r["case"]: tuple(r)[1:] for r in evaluation.answers_judged(answers, expected, cited, R.declines).collect()}
+    assert got == {1: (True, [], False, 0.3333, 1), 2: (False, ["x"], True, 0.0, 0), 3: (True, [], True, 0.0, 0), 4: (True, [], True, 0.0, 0), 5: (False, ["x"], True, 0.0, 0), 6: (False, ["green|grey"], False, 1.0, 0)}
