@@ -222,7 +222,8 @@ def item_rows(lines: DataFrame) -> DataFrame:
     # A count is digits alone, which read as any number.
     values = parts.withColumn("v", F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: P.number(x)["value"]))
     total, quantity = F.element_at("v", -1), F.get("v", F.lit(0))
-    price = F.when(F.size("v") == 3, F.get("v", F.lit(1))).when(quantity > 0, F.try_divide(total, quantity))
+    # Whole cents are divided, so that half a cent is exact.
+    price = F.when(F.size("v") == 3, F.get("v", F.lit(1))).when(quantity > 0, F.round(F.try_divide(F.round(total * 100), quantity)) / 100)
     rows = values.select(*lines.columns, F.trim(F.get("p", F.lit(0))).alias("description"), quantity.alias("quantity"), F.round(price, 2).alias("unit_price"), F.round(total, 2).alias("total"))
     return rows.filter("quantity is not null and unit_price is not null and total is not null")
 

@@ -310,8 +310,8 @@ RECEIPT = [("receipt_number", NUMBERED.format(p="R"), 0.93), ("receipt_date", "d
 ORDER = [("po_number", NUMBERED.format(p="PO"), 0.93), ("order_date", "day", "dconf"), ("required_by_date", "due", 0.9), ("buyer_name", "c_name", 0.85), ("supplier_name", "supplier", 0.88), ("subtotal", TWO("s"), 0.92), ("tax_amount", TWO("x"), 0.92), ("total_amount", TWO("t"), 0.92), ("authorised_by", "'Reader ' || k", 0.85), ("currency", "CASE WHEN k % 2 = 0 THEN 'GBP' END", 0.95)]
 ENDS = "(day + CASE WHEN k % 19 = 5 THEN 13 ELSE 365 END::INT)"
 CONTRACT = [("agreement_date", "day", 0.9), ("party_one", "c_name", 0.88), ("party_two", "supplier", 0.88), ("start_date", "day + 14", 0.9), ("end_date", ENDS, 0.9), ("contract_value", TWO("t"), 0.92), ("payment_terms", "(k % 60 + 11) || ' days from the date of invoice'", 0.85), ("notice_period", "'Either of the parties may end it by giving ' || (k % 90 + 11) || ' days written notice.'", 0.85), ("governing_law", "'England and Wales'", 0.85), ("currency", "'EUR'", 0.95)]
-#: Items of receipts have their price from the total and the count; those of purchase orders print it.
-PRINTED = "printed AS (SELECT k, item_no, 'Part ' || p || ' rack' AS description, q::DOUBLE AS quantity, CASE WHEN k % 3 = 0 THEN round(li.t / 100.0::DOUBLE / q, 2) ELSE u / 100.0::DOUBLE END AS unit_price, li.t / 100.0::DOUBLE AS total FROM li JOIN inv USING (k) WHERE k % 3 < 2)"
+#: Items of receipts have their price from the total and the count, rounded half up in cents; those of purchase orders print it.
+PRINTED = "printed AS (SELECT k, item_no, 'Part ' || p || ' rack' AS description, q::DOUBLE AS quantity, CASE WHEN k % 3 = 0 THEN ((2 * li.t + q) // (2 * q)) / 100.0::DOUBLE ELSE u / 100.0::DOUBLE END AS unit_price, li.t / 100.0::DOUBLE AS total FROM li JOIN inv USING (k) WHERE k % 3 < 2)"
 DATED = "CASE k % 3 WHEN 0 THEN 'receipt_date' WHEN 1 THEN 'order_date' ELSE 'agreement_date' END"
 #: Subtotals stand on purchase orders and on every other receipt.
 PAGE_ISSUES = f"""
