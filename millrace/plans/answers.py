@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import claims as C
 from ..functions import context
 from ..functions import text as T
+from ..functions import vector as V
 from ..operators import conversations as talk
 from ..operators import evidence, reports, retrieval
 from ..session import table
@@ -89,6 +90,17 @@ def extracted_sentences(spark, sf):
     return out.select("query_id", F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n"), F.md5("sentence").alias("digest"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def message_overlaps(spark, sf):
+    """Each message against the next of its conversation: the part of its stems that come again, on a scale from nothing to plenty, and the marks in it."""
+    c = conversations(spark, sf)
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    both = c.join(nxt, ["conv_id", "turn"])
+    marked = F.concat("text", F.lit(" [3] and [1][3]"))
+    share = T.overlap_share(T.stems(F.col("text"), STOP), T.stems(F.col("next"), STOP))
+    rows = both.select("conv_id", "turn", F.round(share, 6).alias("share"), F.array_join(T.markers(marked), ",").alias("marks"), F.md5(T.without_markers(marked)).alias("bare"))
+    return rows.withColumn("scaled", F.round(V.rescaled(F.col("share"), 0.1, 0.4), 6))
+
+
 def old_messages(spark, sf):
     return talk.recent_and_old(conversations(spark, sf), "conv_id", "turn", "role", RECENT).filter("not is_recent")
 
@@ -229,6 +241,7 @@ j AS (SELECT *, list_transform({KW.format(t='sentence')}, lambda w: {ENDING.form
 k AS (SELECT query_id, doc_id, n, sentence, len(list_intersect(question, stems)) AS shared, len(question) AS total FROM j WHERE len(stems) >= 4),
 o AS (SELECT *, round(shared / total + CASE WHEN regexp_matches(sentence, '[0-9]') AND regexp_matches(lower(sentence), '{'|'.join(UNITS)}') THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(lower(sentence), '{'|'.join(C.RESULT_VERBS)}') THEN 0.1 ELSE 0 END::DOUBLE, 9) AS score FROM k WHERE shared > 0)
 SELECT query_id, doc_id, n, md5(sentence) AS digest, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, n) AS rank FROM o QUALIFY rank <= 2"""),
+    "message_overlaps": (message_overlaps, rf"WITH c AS (SELECT conv_id, turn, text, list_distinct(list_transform({KW.format(t='text')}, lambda w: {ENDING.format(w='w')})) AS st FROM conversations), m AS (SELECT a.conv_id, a.turn, a.text, round(CASE WHEN len(a.st) = 0 THEN 0 ELSE len(list_intersect(a.st, b.st)) / len(a.st) END, 6) AS share FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, share, '3,1' AS marks, md5(trim(regexp_replace(text || ' and ', '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS bare, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (share - 0.1::DOUBLE) / 0.3::DOUBLE)), 6) AS scaled FROM m"),
     "answer_citations": (answer_citations, f"WITH {BM25}, c AS (SELECT query_id, doc_id FROM ranked WHERE rank <= 3), j AS (SELECT query_id, doc_id, contains(d.text, b.text) AS hit, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS closed FROM c JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id) SELECT query_id, count(*) AS cited, round(count(*) FILTER (hit) / count(*), 4) AS precision, count(DISTINCT doc_id) FILTER (closed) AS leaked FROM j GROUP BY 1"),
     "research_reports": (research_reports, rf"""
 WITH {BM25}, a AS (SELECT item_id AS query_id, list_distinct(list_transform({KW.format(t='text')}, lambda w: {ENDING.format(w='w')})) AS question FROM benchmark WHERE item_id % 20 = 0),

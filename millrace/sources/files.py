@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +36,9 @@ def text_documents(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("document_id", "path", title.alias("title"), F.when(is_html, T.html_text(raw)).otherwise(raw).alias("text"))
 
 
-def json_corpus(spark: SparkSession, path: str, field: str = "documents") -> DataFrame:
-    """The rows of an array in a JSON file."""
-    return spark.read.json(path, multiLine=True).select(F.explode(field).alias("d")).select("d.*")
+def json_corpus(spark: SparkSession, path: str, field: str = "documents", lines: bool = False) -> DataFrame:
+    """The rows of an array in JSON files, each of which is one object, or has one on every line."""
+    return spark.read.json(path, multiLine=not lines).select(F.explode(field).alias("d")).select("d.*")
 
 
 def repository(spark: SparkSession, folder: str, pattern: str = r"\.(py|toml|md|txt|json)$") -> DataFrame:
@@ -47,3 +51,31 @@ def test_outcomes(log_lines: DataFrame, line: str = "value") -> DataFrame:
     shape = r"^(\S+::\S+)\s+(PASSED|FAILED|ERROR)"
     found = log_lines.select(F.regexp_extract(line, shape, 1).alias("test"), F.lower(F.regexp_extract(line, shape, 2)).alias("outcome"))
     return found.filter("test <> ''")
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes a file for each row (name, which may hold folders, and content, bytes) below a folder that all workers reach; returns name and bytes.
+
+    A file is written under a name of its own and moved when whole, so a task that runs again leaves the same files. The
+    result is what was written, so it must be read for the files to be there. Null names and contents make no file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        where = "file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
+        fs, base = pafs.FileSystem.from_uri(where)
+        for batch in batches:
+            done = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{base}/{name}"
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                draft = f"{path}.{uuid.uuid4().hex}.draft"
+                with fs.open_output_stream(draft, compression=None) as out:
+                    out.write(content)
+                fs.move(draft, path)
+                done.append((name, len(content)))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["name", "bytes"])
+
+    some = rows.select(F.col("name").cast("string"), F.col("content").cast("binary")).filter("name is not null and content is not null")
+    return some.mapInArrow(run, "name string, bytes long")

@@ -225,3 +225,14 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w")).groupBy().sum("n").first()[0] == 180  # the last hour is still open
     stream.run_into(stream.first_effects(read(), F.col("user_id").cast("string")), str(tmp_path / "f"), str(tmp_path / "cf"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 5
+
+
+def test_files_are_written_whole_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b/one.txt", b"one"), ("two.html", b"<p>x"), (None, b"lost"), ("none.txt", None), ("empty.md", b"")], "name string, content binary")
+    for _ in range(2):  # A task that runs again leaves the same files.
+        made = {tuple(r) for r in files.write_files(rows, f"file:{tmp_path}/out").collect()}
+        assert made == {("a/b/one.txt", 3), ("two.html", 4), ("empty.md", 0)}
+    found = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith("."))
+    assert found == ["a/b/one.txt", "empty.md", "two.html"]
+    # Spark's reader passes over empty files.
+    assert {r["text"] for r in files.text_documents(spark, f"{tmp_path}/out").collect()} == {"one", "x"}
