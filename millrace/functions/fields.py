@@ -47,28 +47,40 @@ def number(digits: Column) -> Column:
     With both marks the later is the decimal one; a mark that repeats groups; with two digits behind it a
     mark is decimal; with three it groups, at 0.55; any other is decimal, at 0.8.
     """
-    bare = F.regexp_replace(digits, r"^-|\s", "")
-    marks = F.regexp_replace(bare, r"[^.,]", "")
-    last = F.right(marks, F.lit(1))
-    both = F.contains(marks, F.lit(",")) & F.contains(marks, F.lit("."))
-    tail = F.length(F.regexp_extract(bare, r"(\d*)$", 1))
-    decimal = F.replace(F.regexp_replace(bare, F.when(last == ",", r"\.").otherwise(","), F.lit("")), F.lit(","), F.lit("."))
-    grouped = F.regexp_replace(bare, r"[.,]", "")
-    repeats = F.length(marks) > 1
-    plain = F.when(both, decimal).when(repeats | ((marks != "") & (tail == 3)), grouped).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
-    sure = F.when((marks == "") | both | repeats | (tail == 2), 1.0).when(tail == 3, 0.55).otherwise(0.8)
-    value = plain.try_cast("double") * F.when(F.startswith(digits, F.lit("-")), -1.0).otherwise(1.0)
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), sure).otherwise(0.0).alias("confidence"))
+    negative = F.startswith(digits, F.lit("-"))
+
+    def of(bare: Column) -> Column:
+        commas, points = (F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit(""))) for mark in (",", "."))
+        behind_comma = F.substring_index(bare, ",", -1)
+        both, repeats, none = (commas > 0) & (points > 0), commas + points > 1, commas + points == 0
+        tail = F.length(F.substring_index(behind_comma, ".", -1))
+        # The mark that isn't the last one goes; a comma left over is decimal.
+        english, german = F.replace(bare, F.lit(","), F.lit("")), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        decimal = F.when(F.contains(behind_comma, F.lit(".")), english).otherwise(german)
+        grouped = F.translate(bare, ".,", "")
+        plain = F.when(none, bare).when(both, decimal).when(repeats | (tail == 3), grouped).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
+        sure = F.when(none | both | repeats | (tail == 2), 1.0).when(tail == 3, 0.55).otherwise(0.8)
+        value = plain.try_cast("double") * F.when(negative, -1.0).otherwise(1.0)
+        return once(value, lambda v: F.struct(v.alias("value"), F.when(v.isNotNull(), sure).otherwise(0.0).alias("confidence")))
+
+    unsigned = F.when(negative, F.substring(digits, 2, 2**31 - 1)).otherwise(digits)
+    return once(F.translate(unsigned, " \t\n\x0b\f\r", ""), of)
 
 
 def currency(text: Column) -> Column:
     """By symbol, else by code as a word; '' without either."""
-    out = F.lit("")
-    for code in reversed(CURRENCY_CODES):
-        out = F.when(F.upper(text).rlike(rf"\b{code}\b"), code).otherwise(out)
+
+    def coded(upper: Column) -> Column:
+        out = F.lit("")
+        for code in reversed(CURRENCY_CODES):
+            out = F.when(upper.rlike(rf"\b{code}\b"), code).otherwise(out)
+        # One pattern tells texts without any, which are most.
+        return F.when(upper.rlike(r"\b(?:" + "|".join(CURRENCY_CODES) + r")\b"), out).otherwise("")
+
+    signed = F.lit("")
     for symbol, code in reversed(CURRENCY_SYMBOLS.items()):
-        out = F.when(F.contains(text, F.lit(symbol)), code).otherwise(out)
-    return out
+        signed = F.when(F.contains(text, F.lit(symbol)), code).otherwise(signed)
+    return F.when(text.rlike("[" + "".join(CURRENCY_SYMBOLS) + "]"), signed).otherwise(once(F.upper(text), coded))
 
 
 def parsed_money(text: Column) -> Column:
@@ -93,18 +105,22 @@ def with_raw(raw: Column) -> Callable[[Column], Column]:
 
 def parsed_date(text: Column) -> Column:
     """struct(value, confidence): the first of DATE_FORMATS that reads the text; a day above 12 before a stroke settles the order at 0.95."""
-    bare = F.initcap(F.trim(text))
-    out = F.lit(None).cast("struct<value:date,confidence:double>")
-    for shape, pattern, sure in reversed(DATE_FORMATS):
-        value = F.when(bare.rlike(f"^{shape}$"), F.try_to_timestamp(bare, F.lit(pattern)).cast("date"))
-        settled = F.when(F.contains(bare, F.lit("/")) & (F.substring_index(bare, "/", 1).try_cast("int") > 12), 0.95).otherwise(sure) if sure < 1 else F.lit(sure)
-        out = F.coalesce(once(value, at_confidence(settled)), out)
-    return out
+
+    def of(bare: Column) -> Column:
+        out = F.lit(None).cast("struct<value:date,confidence:double>")
+        for shape, pattern, sure in reversed(DATE_FORMATS):
+            value = F.when(bare.rlike(f"^{shape}$"), F.try_to_timestamp(bare, F.lit(pattern)).cast("date"))
+            settled = F.when(F.contains(bare, F.lit("/")) & (F.substring_index(bare, "/", 1).try_cast("int") > 12), 0.95).otherwise(sure) if sure < 1 else F.lit(sure)
+            out = F.coalesce(once(value, at_confidence(settled)), out)
+        return out
+
+    return once(F.initcap(F.trim(text)), of)
 
 
 def date_within(text: Column) -> Column:
     """struct(value, confidence, raw) of the first of DATE_SHAPES that stands in the text and can be read."""
-    found = F.transform(F.array(*[F.trim(F.regexp_extract(text, shape, 0)) for shape in DATE_SHAPES]), lambda raw: once(parsed_date(raw), with_raw(raw)))
+    raws = F.filter(F.array(*[F.trim(F.regexp_extract(text, shape, 0)) for shape in DATE_SHAPES]), lambda raw: raw != "")
+    found = F.transform(raws, lambda raw: once(parsed_date(raw), with_raw(raw)))
     return F.try_element_at(F.filter(found, lambda d: d.isNotNull()), F.lit(1))
 
 

@@ -10,34 +10,38 @@ from pyspark.sql import functions as F
 from ..functions import fields as P
 from ..functions import text as T
 from ..operators import business as B
-from ..session import table
-from ..storage import remove, scratch, written
+from ..session import spread, table
 
 TODAY = "2000-01-01"
 GOOD_IBAN, BAD_IBAN = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 99"
 
 
 def cents(col):
-    return F.format_number(F.col(col) / 100, 2)
+    return F.format_number((F.col(col) if isinstance(col, str) else col) / 100, 2)
 
 
 def invoice_rows(spark, sf):
     """Numbers of each invoice in cents, with the defects that its key gives it."""
     k = F.col("o_orderkey")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long").alias("u"))
-    first = lines.groupBy(F.col("l_orderkey").alias("k0")).agg(F.min("l_linenumber").alias("first"))
-    lines = lines.join(first, F.col("l_orderkey") == F.col("k0"))
-    off = F.when((F.col("l_orderkey") % 7 == 1) & (F.col("l_linenumber") == F.col("first")), 100).otherwise(0)
-    lines = lines.withColumn("t", F.col("q") * F.col("u") + off)
-    row = F.concat(F.rpad(F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" rack")), 30, " "), F.lpad(F.col("q").cast("string"), 6, " "), F.lpad(cents("u"), 14, " "), F.lpad(cents("t"), 16, " "))
-    by = lines.groupBy("l_orderkey").agg(F.sum(F.col("q") * F.col("u")).alias("plain"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "q", "u", "t", row.alias("row")))).alias("rows"))
-    rows = table(spark, sf, "orders").join(by, k == F.col("l_orderkey")).join(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    # Items are gathered as numbers and printed only when they have met their order, so that no text is dealt anew.
+    by = lines.groupBy("l_orderkey").agg(F.sum(F.col("q") * F.col("u")).alias("plain"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "q", "u"))).alias("items"))
+    heads = spread(table(spark, sf, "orders")).select("o_orderkey", "o_custkey", "o_orderdate").join(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = heads.join(by, k == F.col("l_orderkey")).withColumn("first", F.array_min(F.transform("items", lambda r: r["l_linenumber"])))
+    total = lambda r: r["q"] * r["u"] + F.when((k % 7 == 1) & (r["l_linenumber"] == F.col("first")), 100).otherwise(0)
+    rows = rows.withColumn("rows", F.transform("items", lambda r: F.struct(r["l_partkey"].alias("l_partkey"), r["q"].alias("q"), r["u"].alias("u"), total(r).alias("t"))))
     rows = rows.withColumn("s", F.col("plain") + F.when(k % 11 == 2, 500).otherwise(0)).withColumn("pct", F.when(k % 13 == 3, 13).otherwise(20))
     rows = rows.withColumn("x", F.expr("(s * pct + 50) div 100")).withColumn("t", F.col("s") + F.col("x") + F.when(k % 17 == 4, 1000).otherwise(0))
     day = F.to_date("o_orderdate")
     return rows.select(k.alias("k"), "c_name", "c_mktsegment", "rows", "s", "x", "pct", "t", day.alias("day"), F.date_add(day, F.when(k % 19 == 5, -5).otherwise(30)).alias("due"))
 
 
+def printed_row(r):
+    """A row of a table: part, quantity, price and total."""
+    part = F.rpad(F.concat(F.lit("Part "), r["l_partkey"].cast("string"), F.lit(" rack")), 30, " ")
+    return F.concat(part, F.lpad(r["q"].cast("string"), 6, " "), F.lpad(cents(r["u"]), 14, " "), F.lpad(cents(r["t"]), 16, " "))
+
+
 def printed_day():
     """The day in one of four ways, by key."""
     k, day = F.col("k"), F.col("day")
@@ -55,7 +59,7 @@ def invoices(spark, sf, mended: bool = False):
         F.concat(F.lit("Invoice Date: "), date), F.concat(F.lit("Due Date: "), F.date_format("due", "yyyy-MM-dd")),
         F.concat(F.lit("VAT Registration: "), F.when(k % 31 == 8, "GB12345").otherwise("GB123456789")),
         F.lit(""), F.lit("Bill To:"), F.concat(F.lit("  "), F.col("c_name"), F.lit("     ref 7")), F.lit(""),
-        F.lit("Description                   Qty    Unit Price          Amount"), F.lit("-" * 60), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("-" * 60),
+        F.lit("Description                   Qty    Unit Price          Amount"), F.lit("-" * 60), F.array_join(F.transform("rows", printed_row), "\n"), F.lit("-" * 60),
         F.concat(F.lit("Subtotal      "), cents("s")), F.concat(F.lit("VAT "), F.col("pct").cast("string"), F.lit("%     "), cents("x")), F.concat(F.lit("TOTAL   "), cents("t")),
         F.concat(F.lit("IBAN: "), F.when(F.lit(not mended) & (k % 29 == 7), BAD_IBAN).otherwise(GOOD_IBAN)), F.lit("Payment Terms: 30 days net"),
         line(k % 37 == 9, F.lit("DUPLICATE COPY")),
@@ -83,33 +87,20 @@ def issue_order(spark, sf):
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def judged_invoices(spark, sf, path):
-    """Fields, issues and confidence reports of the invoices, whose pages are printed and read once."""
-    docs = written(invoices(spark, sf), f"{path}/pages")
-    fields = written(B.extracted_fields(docs, "doc_id", "text", "invoice"), f"{path}/fields")
-    found = written(B.issues(docs, "doc_id", "text", "invoice", TODAY, fields=fields), f"{path}/issues")
-    types = docs.select(F.col("doc_id").alias("id"), B.type_confidence(B.classified(F.col("text"))).alias("type_confidence"))
-    return fields, B.confidence_reports(fields, found, types, "invoice")
-
-
-def kept(spark, out, path):
-    """out as a table of its own, without those that it was made of."""
-    result = written(out, f"{path}-result")
-    remove(spark, path)
-    return result
+def judged_invoices(spark, sf):
+    """Confidence reports of the invoices, with their fields and issues: each page is printed, read and judged as one row."""
+    pages = B.with_issues(B.read_pages(invoices(spark, sf), "doc_id", "text", "invoice"), "invoice", TODAY)
+    return B.confidence_reports(pages.withColumn("type_confidence", B.type_confidence(B.classified(F.col("text")))), "invoice")
 
 
 def invoice_decisions(spark, sf):
-    path = scratch(spark, "invoices")
-    fields, reports = judged_invoices(spark, sf, path)
-    out = B.decisions(fields, reports, "invoice")
-    return kept(spark, out.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount")), path)
+    out = B.decisions(judged_invoices(spark, sf), "invoice")
+    return out.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
 def confidence_reports(spark, sf):
-    path = scratch(spark, "invoices")
-    _, out = judged_invoices(spark, sf, path)
-    return kept(spark, out.groupBy("weakest", "type_confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"), F.sum(F.coalesce("warnings", F.lit(0))).alias("warnings"), F.round(F.sum("warning_penalty"), 2).alias("penalties")), path)
+    out = judged_invoices(spark, sf)
+    return out.groupBy("weakest", "type_confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"), F.round(F.sum("warning_penalty"), 2).alias("penalties"))
 
 
 def invoice_corrections(spark, sf):
@@ -133,7 +124,7 @@ def review_outcomes(spark, sf):
 
 
 def structured_invoices(spark, sf):
-    out = B.structured(B.extracted_fields(invoices(spark, sf), "doc_id", "text", "invoice"))
+    out = B.structured(B.read_pages(invoices(spark, sf), "doc_id", "text", "invoice"), "invoice")
     return out.select(F.col("id").alias("doc_id"), F.size(F.json_object_keys("document")).cast("long").alias("n_fields"), F.get_json_object("document", "$.total_amount").alias("total"))
 
 
@@ -147,7 +138,7 @@ def as_pages(rows, parts):
 def receipts(spark, sf):
     """Every third order's till receipt: counted items, some without a number or a subtotal, some with the whole card number."""
     k = F.col("k")
-    item = lambda r: F.concat(r["q"].cast("string"), F.lit(" x Part "), r["l_partkey"].cast("string"), F.lit(" rack      "), F.format_number(r["t"] / 100, 2))
+    item = lambda r: F.concat(r["q"].cast("string"), F.lit(" x Part "), r["l_partkey"].cast("string"), F.lit(" rack      "), cents(r["t"]))
     return as_pages(invoice_rows(spark, sf).filter(k % 3 == 0), [
         F.concat(F.col("c_mktsegment"), F.lit(" CAFE (Leeds)")), F.when(k % 23 != 6, F.concat(F.lit("Receipt No: R-"), k.cast("string"))),
         F.concat(F.lit("Date: "), printed_day(), F.lit("     Time: 09:42")), F.lit("VAT No GB123456789"), F.lit("Till 7"), F.lit(""),
@@ -162,7 +153,7 @@ def purchase_orders(spark, sf):
     return as_pages(invoice_rows(spark, sf).filter(k % 3 == 1), [
         F.concat(F.col("c_name"), F.lit(", of 3 Low Road")), F.lit("Purchase Order"), F.when(k % 23 != 6, F.concat(F.lit("PO Number: PO-"), k.cast("string"))),
         F.concat(F.lit("Order Date: "), printed_day()), F.concat(F.lit("Required By: "), F.date_format("due", "MMMM d, yyyy")), F.lit(""), F.lit("Supplier:"), F.lit(""),
-        F.concat(F.col("c_mktsegment"), F.lit(" Goods Ltd, of 9 High Road")), F.lit(""), F.lit("=" * 40), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("=" * 40),
+        F.concat(F.col("c_mktsegment"), F.lit(" Goods Ltd, of 9 High Road")), F.lit(""), F.lit("=" * 40), F.array_join(F.transform("rows", printed_row), "\n"), F.lit("=" * 40),
         F.concat(F.lit("Net total   "), cents("s")), F.concat(F.lit("VAT   "), cents("x")), F.concat(F.lit("Order Total "), cents("t")),
         F.when(k % 2 == 0, "All sums in GBP"), F.concat(F.lit("Authorised by: Reader "), k.cast("string"))])
 

@@ -94,3 +94,9 @@ def test_queries_in_blocks(spark, monkeypatch):
     rows, queries = spark.range(5).withColumnRenamed("id", "x"), spark.range(10).withColumnRenamed("id", "query_id")
     got = retrieval.with_queries(rows, queries).collect()
     assert len(got) == 50 and len(set(map(tuple, got))) == 50
+
+
+def test_pages_are_read_without_grouping_documents(spark):
+    docs = spark.createDataFrame([(1, "Acme Ltd\nInvoice Number: A-1\nTotal 12.00")], "id int, t string")
+    for out in (B.extracted_fields(docs, "id", "t", "invoice"), B.line_items(docs, "id", "t")):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
