@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -39,6 +40,7 @@ IBAN_LENGTHS = {
 }
 TOTALS = ("subtotal", "sub total", "net total", "total", "vat", "tax", "discount", "shipping", "carriage", "balance", "due", "amount payable")
 HEADERS = ("description", "qty", "quantity", "unit price", "amount", "item")
+SUMMARY = r"(?u:\b)(" + "|".join(TOTALS) + r")(?u:\b)"
 
 
 def number(digits: Column) -> Column:
@@ -67,6 +69,23 @@ def number(digits: Column) -> Column:
     return once(F.translate(unsigned, " \t\n\x0b\f\r", ""), of)
 
 
+def plain_number(digits: str) -> float | None:
+    """The value of number(), for a text in Python."""
+    negative = digits.startswith("-")
+    bare = re.sub(r"[ \t\n\x0b\f\r]", "", digits[1:] if negative else digits)
+    commas, points = bare.count(","), bare.count(".")
+    behind_comma = bare.rsplit(",", 1)[-1]
+    if commas and points:
+        bare = bare.replace(",", "") if "." in behind_comma else bare.replace(".", "").replace(",", ".")
+    elif commas + points > 1 or (commas + points and len(behind_comma.rsplit(".", 1)[-1]) == 3):
+        bare = bare.replace(",", "").replace(".", "")
+    try:
+        value = float(bare.replace(",", "."))
+    except ValueError:
+        return None
+    return -value if negative else value
+
+
 def currency(text: Column) -> Column:
     """By symbol, else by code as a word; '' without either."""
 
@@ -194,20 +213,3 @@ def tidied(text: Column) -> Column:
     out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     out = F.regexp_replace(F.replace(out, F.lit(" "), F.lit(" ")), r"(?m)[ \t]+$", "")
     return F.regexp_replace(F.regexp_replace(out, r"\n{4,}", "\n\n\n"), r"^\n+|\n+$", "")
-
-
-def is_summary(text: Column, words: Sequence[str] = TOTALS) -> Column:
-    return F.lower(text).rlike(r"\b(" + "|".join(words) + r")\b")
-
-
-def is_header(text: Column, words: Sequence[str] = HEADERS) -> Column:
-    """Two words of a table's head or more."""
-    low = F.lower(text)
-    return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) >= 2
-
-
-def excluded(line: Column, phrases: Sequence[str]) -> Column:
-    low, out = F.lower(line), F.lit(False)
-    for phrase in phrases:
-        out = out | F.contains(low, F.lit(phrase))
-    return out

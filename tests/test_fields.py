@@ -100,3 +100,15 @@ def test_pages_are_read_without_grouping_documents(spark):
     docs = spark.createDataFrame([(1, "Acme Ltd\nInvoice Number: A-1\nTotal 12.00")], "id int, t string")
     for out in (B.extracted_fields(docs, "id", "t", "invoice"), B.line_items(docs, "id", "t")):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_pages_are_not_walked_by_column_expressions(spark):
+    text = "Acme Ltd\nInvoice Number: A-1\n----------\nBolt  two   2   1,234.50   2,469.00\r\nTotal   1   1.00   1.00\n----------\nVAT No: GB123456789\nVAT 20%  493.80\nTOTAL 2,962.80\n"
+    docs = spark.createDataFrame([(1, text), (2, "2 x Flat white    6.41\nTill"), (3, None)], "id int, t string")
+    items = B.line_items(docs, "id", "t")
+    assert sorted(map(tuple, items.collect())) == [(1, 0, "Bolt  two", 2.0, 1234.5, 2469.0), (2, 0, "Flat white", 2.0, 3.21, 6.41)]
+    fields = B.extracted_fields(docs, "id", "t", "invoice")
+    found = {r["name"]: r["value"] for r in fields.filter("id = 1 and value is not null").collect()}
+    assert found == {"invoice_number": "A-1", "supplier_name": "Acme Ltd", "supplier_vat": "GB123456789", "tax_amount": "493.80", "total_amount": "2962.80", "currency": "GBP"}
+    assert all("ArrowEvalPython" in x._jdf.queryExecution().optimizedPlan().toString() for x in (items, fields))
+    assert [B.half_up(x, 2) for x in (1.005, 2.675, -0.125, 3.0)] == [1.01, 2.68, -0.13, 3.0]
