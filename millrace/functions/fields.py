@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,6 +88,14 @@ def plain_number(digits: str) -> float | None:
     return -value if negative else value
 
 
+def half_up(x: float, places: int) -> float:
+    """As F.round() rounds."""
+    digits = repr(x)
+    if "e" not in digits and len(digits) - digits.find(".") - 1 <= places:
+        return x
+    return float(Decimal(digits).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)) if math.isfinite(x) else x
+
+
 def currency(text: Column) -> Column:
     """By symbol, else by code as a word; '' without either."""
 

@@ -111,4 +111,20 @@ def test_lines_of_pages_are_not_walked_by_column_expressions(spark):
     found = {r["name"]: r["value"] for r in fields.filter("id = 1 and value is not null").collect()}
     assert found == {"invoice_number": "A-1", "supplier_name": "Acme Ltd", "supplier_vat": "GB123456789", "tax_amount": "493.80", "total_amount": "2962.80", "currency": "GBP"}
     assert all("ArrowEvalPython" in x._jdf.queryExecution().optimizedPlan().toString() for x in (items, fields))
-    assert [B.half_up(x, 2) for x in (1.005, 2.675, -0.125, 3.0)] == [1.01, 2.68, -0.13, 3.0]
+    assert [P.half_up(x, 2) for x in (1.005, 2.675, -0.125, 3.0)] == [1.01, 2.68, -0.13, 3.0]
+
+
+def test_vectors_are_multiplied_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTORS_A_BLOCK", 3)
+    rows = [(1, [1.0, 0.0], "a"), (2, [0.6, 0.8], "a"), (3, [0.6, 0.8], "b"), (4, [1.0], "a"), (5, None, None), (6, [-1.0, 0.0], "b"), (7, [0.5, None], "a"), (8, [2.5e-6, 0.0], "a")]
+    v = spark.createDataFrame(rows, "id int, v array<double>, label string")
+    q = v.filter("id in (1, 4)").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"), "label")
+    plain = {1: {1: 1.0, 2: 0.6, 3: 0.6, 4: 0.0, 5: 0.0, 6: -1.0, 7: None, 8: 0.000003}, 4: {1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0, 6: 0.0, 7: 0.0, 8: 0.0}}
+    best = {(k, i, s) for k, by in plain.items() for i, s in sorted(by.items(), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:3]}
+    found = retrieval.vector_search(v, "id", "v", q.drop("label"), top=3)
+    assert {(r["query_id"], r["id"], r["score"]) for r in found.collect()} == best
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    scoped = {(r["query_id"], r["id"], r["rank"]) for r in retrieval.vector_search(v, "id", "v", q, "label", 2, 0.0).collect()}
+    assert scoped == {(1, 1, 1), (1, 2, 2), (4, 4, 1), (4, 1, 2)}
+    swept = {r["threshold"]: (r["same"], r["different"]) for r in retrieval.threshold_counts(v, "id", "v", "label", q, [0.0, 0.000003, 0.6]).collect()}
+    assert swept == {0.0: (7, 3), 0.000003: (2, 1), 0.6: (1, 1)}
