@@ -242,7 +242,7 @@ def identifier_checks(spark, sf):
     iban = F.concat(F.lit("DE"), F.lpad((check + F.when(k % 3 == 0, 1).otherwise(0)).cast("string"), 2, "0"), body)
     vat = F.concat(F.when(k % 2 == 0, "NL").otherwise("DE"), F.lpad(k.cast("string"), 9, "0"), F.when(k % 4 == 0, "B01").otherwise(""))
     card = F.concat(F.lit("400000"), F.lpad(k.cast("string"), 9, "0"), (k % 10).cast("string"))
-    return table(spark, sf, "customer").select("c_custkey", T.iban_valid(iban, P.IBAN_LENGTHS).alias("iban"), P.vat_valid(vat).alias("vat"), T.luhn_valid(card).alias("card"))
+    return spread(table(spark, sf, "customer")).select("c_custkey", T.iban_valid(iban, P.IBAN_LENGTHS).alias("iban"), P.vat_valid(vat).alias("vat"), T.luhn_valid(card).alias("card"))
 
 
 def scanner_repairs(spark, sf):
