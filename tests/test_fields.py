@@ -128,3 +128,21 @@ def test_vectors_are_multiplied_in_blocks(spark, monkeypatch):
     assert scoped == {(1, 1, 1), (1, 2, 2), (4, 4, 1), (4, 1, 2)}
     swept = {r["threshold"]: (r["same"], r["different"]) for r in retrieval.threshold_counts(v, "id", "v", "label", q, [0.0, 0.000003, 0.6]).collect()}
     assert swept == {0.0: (7, 3), 0.000003: (2, 1), 0.6: (1, 1)}
+
+
+def test_items_are_dealt_before_words_become_rows(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ITEMS_A_TASK", 10)
+    items = spark.range(100, numPartitions=1).select("id", F.array(F.lit("rod"), (F.col("id") % 3).cast("string")).alias("name"), F.array(F.lit("steel")).alias("body"))
+    asked = spark.createDataFrame([(1, "rod"), (1, "2"), (2, "steel"), (3, "none")], "query_id long, term string")
+    found = retrieval.field_search(items, asked, 2)
+    assert sorted((r["query_id"], r["id"], r["score"]) for r in found.collect()) == [(1, 2, 4.0), (1, 5, 4.0), (2, 0, 1.0), (2, 1, 1.0), (3, 0, 0.0), (3, 1, 0.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and "hashpartitioning(query_id#" in plan and "BroadcastHashJoin" in plan
+    assert not any("hashpartitioning(term" in line or "hashpartitioning(query_id" in line and ", id#" in line for line in plan.splitlines())
+
+
+def test_accounts_of_one_piece_are_checked_by_all_cores(spark, tmp_path):
+    from millrace.plans import business
+
+    spark.range(50).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert business.identifier_checks(spark, str(tmp_path)).rdd.getNumPartitions() == 4
