@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import claims as C
@@ -21,34 +21,71 @@ UNLIKE = 0.3
 MEASURED, RESULT = 0.45, 0.1
 
 
+#: Items that a term may have before it counts as frequent: frequent terms are looked up in pairs.
+FEW = 20
+#: Terms of an item that go along with each of its keys, to be compared where keys meet; longer items are joined with their terms afterwards.
+CARRIED = 64
+#: Keys whose items a task compares.
+KEYS_A_TASK = 250_000
+
+
 def rarest_first(items: DataFrame, path: str) -> DataFrame:
-    """rank, terms, n, numbers of each item, its terms in order of how few items have them."""
-    each = items.select("rank", F.explode("terms").alias("term"))
-    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(counts, "term").groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("by"))
-    terms = F.transform("by", lambda x: x["term"])
-    return written(ordered.select("rank", terms.alias("terms"), F.size("by").alias("n")).join(items.select("rank", "numbers"), "rank"), path)
+    """rank, terms, n, rare, numbers of each item: numbers for its terms, those of figures below 0, in order of how few items have them; rare: how many FEW items have at most."""
+    each = items.select("rank", "numbers", F.explode("terms").alias("term"))
+    number = F.monotonically_increasing_id()
+    counts = written(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("no", F.when(F.col("term").rlike(r"^\d+$"), -1 - number).otherwise(number)), f"{path}-terms")
+    ordered = each.join(counts, "term").groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("df", "no"))).alias("by"), F.first("numbers").alias("numbers"))
+    rare = F.size(F.filter("by", lambda x: x["df"] <= FEW))
+    return written(ordered.select("rank", F.transform("by", lambda x: x["no"]).alias("terms"), F.size("by").alias("n"), rare.alias("rare"), "numbers"), path)
+
+
+def keys(small: bool, need: Column) -> Column:
+    """Array of struct(x, y): what an item of rarest_first() is looked up by. need: terms that a small item shares with any that is like it.
+
+    The rarest of the shared terms is among the first n - need + 1 of the small item, the next among one more. A large
+    item has keys of all its terms (x twice), and of all pairs of frequent ones; a small one of these first terms alone if they
+    are rare or one is all that it takes, else of pairs with the next.
+    """
+    key = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    first, after = (F.col("n") - need + 1, F.col("n") - need + 2) if small else (F.col("n"), F.col("n"))
+    alone = F.when(need == 1, first).otherwise(F.least(F.col("rare"), first)) if small else F.col("n")
+    paired = F.when(need == 1, F.lit(0)).otherwise(F.greatest(first - F.col("rare"), F.lit(0))) if small else F.col("n") - F.col("rare")
+    singles = F.transform(F.slice("terms", F.lit(1), alone.cast("int")), lambda x: key(x, x))
+    heads = F.slice("terms", F.col("rare") + 1, paired.cast("int"))
+    others = lambda i: F.slice("terms", F.col("rare") + i + 2, F.greatest(after - F.col("rare") - i - 1, F.lit(0)).cast("int"))
+    return F.concat(singles, F.flatten(F.transform(heads, lambda x, i: F.transform(others(i), lambda y: key(x, y)))))
 
 
 def alike_claims(items: DataFrame, path: str, least: float) -> DataFrame:
     """later, earlier, similarity, agree, subjects of pairs of items as similar as least. items: rank, terms (distinct, not empty), numbers.
 
-    Items that are alike share so many terms that one of the rarest of the smaller stands in the larger; only
-    such pairs are compared, never all. agree: the later one's numbers are all close to some of the earlier one's;
-    subjects: common terms that aren't numbers.
+    Items that are alike share so many terms that one of the rarest of the smaller stands in the larger, or two where these
+    are frequent; only such pairs are compared, where their keys meet, and never all. agree: the later one's numbers are all close to some of
+    the earlier one's; subjects: common terms that aren't numbers.
     """
     part = min(2 * least / (1 + least), least / 0.85) - 1e-3
     ordered = rarest_first(items, f"{path}-ordered")
-    head = F.slice("terms", F.lit(1), (F.col("n") - F.ceil(F.col("n") * part) + 1).cast("int"))
+    need = F.ceil(F.col("n") * part).cast("int")
+    side = lambda c: [F.col("rank").alias(c), F.col("n").alias(f"n{c}"), F.col("terms").alias(f"terms_{c}"), F.col("numbers").alias(f"numbers_{c}")]
+    carried = ordered.filter(F.col("n") <= CARRIED)
+    frequent = F.col("n") - F.col("rare")
+    tasks = 1 + (carried.agg(F.sum(F.col("n") + (frequent * (frequent - 1) / 2).cast("long"))).first()[0] or 0) // KEYS_A_TASK
+    # Dealt by number: adaptive execution would join pieces by their compressed size, and terms compress well.
+    keyed = lambda c, small: carried.select(*side(c), F.explode(keys(small, need)).alias("key")).repartition(tasks, "key")
+    met = keyed("a", True).join(keyed("b", False), "key").filter("a <> b and na <= nb").drop("key")
+    head = F.slice("terms", F.lit(1), F.col("n") - need + 1)
     small = ordered.select(F.col("rank").alias("a"), F.col("n").alias("na"), F.explode(head).alias("term"))
-    large = ordered.select(F.col("rank").alias("b"), F.col("n").alias("nb"), F.explode("terms").alias("term"))
-    pairs = small.join(large, "term").filter("a <> b and na <= nb").select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier")).distinct()
-    side = lambda c: ordered.select(F.col("rank").alias(c), F.col("terms").alias(f"terms_{c}"), F.col("numbers").alias(f"numbers_{c}"))
-    both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
-    similarity = F.round(C.wording_similarity(F.col("terms_later"), F.col("terms_earlier")), 4)
-    shared = F.size(F.filter(F.array_intersect("terms_later", "terms_earlier"), lambda t: ~t.rlike(r"^\d+$")))
-    rows = both.select("later", "earlier", similarity.alias("similarity"), C.numbers_agree(F.col("numbers_later"), F.col("numbers_earlier")).alias("agree"), shared.alias("subjects"))
-    return rows.filter(F.col("similarity") >= least)
+    large = ordered.filter(F.col("n") > CARRIED).select(F.col("rank").alias("b"), F.col("n").alias("nb"), F.explode("terms").alias("term"))
+    pairs = small.join(large, "term").filter("a <> b and na <= nb").select("a", "b").distinct()
+    both = met.unionByName(pairs.join(ordered.select(*side("a")), "a").join(ordered.select(*side("b")), "b"))
+    common = F.array_intersect("terms_a", "terms_b")
+    shared = both.filter(F.size(common) >= F.col("na") * part).withColumn("common", F.size(common))
+    jaccard, contained = F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), F.col("common") / F.col("na")
+    later = lambda x, y: F.when(F.col("a") > F.col("b"), F.col(x)).otherwise(F.col(y))
+    rows = shared.select(
+        F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"), F.round(F.greatest(jaccard, 0.85 * contained), 4).alias("similarity"),
+        C.numbers_agree(later("numbers_a", "numbers_b"), later("numbers_b", "numbers_a")).alias("agree"), F.size(F.filter(common, lambda t: t >= 0)).alias("subjects"))
+    return rows.filter(F.col("similarity") >= least).distinct()
 
 
 def same_claims(items: DataFrame, path: str, same: float = SAME) -> DataFrame:
@@ -57,10 +94,10 @@ def same_claims(items: DataFrame, path: str, same: float = SAME) -> DataFrame:
 
 
 def with_terms(rows: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """rank, terms, numbers of each claim (rank, claim); claims without words share a term of their own."""
+    """rows with terms and numbers in place of their claim; claims without words share a term of their own."""
     roots = F.array_distinct(F.transform(T.keywords(F.col("claim"), stop_words), C.root))
     none = F.array(F.lit("")).cast("array<string>")
-    return rows.select("rank", T.once(roots, lambda r: F.when(F.size(r) == 0, none).otherwise(r)).alias("terms"), T.numbers(F.col("claim")).alias("numbers"))
+    return rows.select(*[c for c in rows.columns if c != "claim"], T.once(roots, lambda r: F.when(F.size(r) == 0, none).otherwise(r)).alias("terms"), T.numbers(F.col("claim")).alias("numbers"))
 
 
 def conflicts(items: DataFrame, stop_words: Sequence[str] = (), least: float = UNLIKE, subjects: int = 2) -> DataFrame:
@@ -102,20 +139,24 @@ def deduplicated(items: DataFrame, stop_words: Sequence[str] = (), same: float =
 
     items: id, claim, score, source, primary. The best item of a group stays (ties: the least id), and an
     item goes if it says the same as a kept one that is better; it then counts as corroboration of the best such, and
-    raises its score where both are primary and of different sources. Equal claims share one fate: the first of them stands
-    for all until the end. Claims without words are the same as one another.
+    raises its score where both are primary and of different sources. Claims of the same words and numbers share one fate: the
+    first of them stands for all until the end. Claims without words are the same as one another.
     """
     spark = items.sparkSession
     path = scratch(spark, "evidence")
-    rows = items.select("id", F.coalesce("claim", F.lit("")).alias("claim"), F.col("score").cast("double").alias("score"), "source", F.col("primary").cast("boolean").alias("primary"))
-    rows = written(rows.withColumn("rank", F.struct((-F.col("score")).alias("by"), F.col("id"))), f"{path}/rows")
-    firsts = rows.groupBy("claim").agg(F.min("rank").alias("rank"))
-    made = with_terms(firsts, stop_words)
-    pairs = written(same_claims(made, f"{path}/claims", same), f"{path}/pairs")
+    score = F.col("score").cast("double")
+    rows = items.select(F.struct((-score).alias("by"), F.col("id")).alias("rank"), score.alias("score"), "source", F.col("primary").cast("boolean").alias("primary"), F.coalesce("claim", F.lit("")).alias("claim"))
+    said = [F.array_sort("terms").alias("terms"), F.array_sort(F.array_distinct("numbers")).alias("numbers")]
+    rows = written(with_terms(rows, stop_words).select(F.col("rank.id").alias("id"), "rank", "score", "source", "primary", *said), f"{path}/rows")
+    # Numbered in order, so that a number stands for a rank from here on.
+    firsts = rows.groupBy("terms", "numbers").agg(F.min("rank").alias("first")).orderBy("first").withColumn("rank", F.monotonically_increasing_id())
+    firsts = written(firsts, f"{path}/firsts")
+    pairs = written(same_claims(firsts.select("rank", "terms", "numbers"), f"{path}/claims", same), f"{path}/pairs")
     removed, _ = settled(pairs, f"{path}/rounds")
-    by_kept = pairs.join(removed.withColumnRenamed("rank", "earlier"), "earlier", "left_anti").groupBy(F.col("later").alias("first")).agg(F.min("earlier").alias("kept"))
-    fate = firsts.withColumnRenamed("rank", "first").join(by_kept, "first", "left").select("claim", "first", "kept")
-    fated = rows.join(fate, "claim").withColumn("kept", F.coalesce("kept", F.when(F.col("rank") != F.col("first"), F.col("first"))))
+    by_kept = pairs.join(removed.withColumnRenamed("rank", "earlier"), "earlier", "left_anti").groupBy(F.col("later").alias("rank")).agg(F.min("earlier").alias("place"))
+    by_kept = by_kept.join(firsts.select(F.col("rank").alias("place"), F.col("first").alias("kept")), "place").select("rank", "kept")
+    fate = firsts.join(by_kept, "rank", "left").select("terms", "numbers", "first", "kept")
+    fated = rows.join(fate, ["terms", "numbers"]).withColumn("kept", F.coalesce("kept", F.when(F.col("rank") != F.col("first"), F.col("first"))))
     fated = written(fated.select("id", "rank", "score", "source", "primary", "kept"), f"{path}/fated")
     kept = fated.filter("kept is null").select(F.col("rank").alias("kept"), F.col("source").alias("kept_source"), F.col("primary").alias("kept_primary"))
     others = fated.filter("kept is not null").select("rank", "kept", "source", "primary").join(kept, "kept")

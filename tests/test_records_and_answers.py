@@ -132,6 +132,24 @@ def test_deduplicated_evidence_against_a_loop(spark):
     assert len(kept) < len(items) and any(len(of) and o in of.values() for o in kept)
 
 
+def test_claims_of_frequent_words_meet_by_pairs_of_these(spark):
+    rng = random.Random(8)
+    names = [f"w{k}" for k in range(60)]
+    sets = [tuple(rng.sample(names, rng.choice([1, 2, 3, 4, 5, 6, 8, 8, 8]))) for _ in range(400)]
+    sets += [tuple(f"x{k}" for k in range(90)), tuple(f"x{k}" for k in range(70)), ("x1", "x2", "x3"), (*(f"x{k}" for k in range(80)), "w1")]
+    items = spark.createDataFrame([(k, list(t), []) for k, t in enumerate(sets)], "rank long, terms array<string>, numbers array<double>")
+    path = scratch(spark, "test")
+    got = {(r["later"], r["earlier"]): r["similarity"] for r in evidence.alike_claims(items, f"{path}/a", 0.6).collect()}
+    all_ = {(i, j): plain_similarity(set(sets[i]), set(sets[j])) for i in range(len(sets)) for j in range(i)}
+    assert got == {p: x for p, x in all_.items() if x >= 0.6} and len(got) > 100
+    # By one word alone, nearly every item of eight meets every other.
+    ordered = evidence.rarest_first(items.filter("size(terms) between 6 and 8"), f"{path}/o")
+    met = [ordered.select("rank", F.explode(evidence.keys(small, F.ceil(F.col("n") * 0.7).cast("int"))).alias("key")) for small in (True, False)]
+    pairs = met[0].join(met[1].withColumnRenamed("rank", "other"), "key").filter("rank <> other").select("rank", "other").distinct().count()
+    n = ordered.count()
+    assert pairs < n * n / 4
+
+
 def test_a_chain_is_settled_as_one_by_one(spark):
     pairs = spark.createDataFrame([(k + 1, k) for k in range(9)], "later long, earlier long")
     gone, rounds = evidence.settled(pairs, scratch(spark, "test"))
