@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import catalog, lines, stretches, vector_index
-from ..session import table
+from ..session import spread, table
 from ..storage import remove, scratch, written
 from ..streaming import leases
 from .stores import KEYS, foreign_keys
@@ -115,7 +115,7 @@ def broken_lines(spark, sf):
 
 def quotable_lines(spark, sf):
     """The least stretch of lines around each line that stands once in its document: where it begins and how long it is."""
-    found = lines.unique_blocks(table(spark, sf, "documents"), "doc_id", "text")
+    found = lines.unique_blocks(spread(table(spark, sf, "documents")), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "line_no", "first", "span")
 
 

@@ -335,6 +335,17 @@ def test_unique_blocks_against_a_search(spark):
     assert got == want
 
 
+def test_unique_blocks_deal_no_lines_anew(spark):
+    data = spark.createDataFrame([("a", "x\ny\nx\nx"), ("b", None), ("c", ""), ("d", "x\ny"), ("e", " \n\n\t")], "id string, text string")
+    found = lines.unique_blocks(data, "id", "text")
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 1, 2), ("a", 2, 2, 1), ("a", 3, 2, 2), ("a", 4, 3, 2), ("d", 1, 1, 1), ("d", 2, 2, 1)]
+    # A task's memory must not grow with the table: no exchange, sort or window.
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().executedPlan().toString()) and not re.search("Exchange|Sort|Window|Aggregate", plan)
+    texts = ["\n".join(str(k % m) for k in range(200)) for m in (7, 50, 200)]
+    alone = [tuple(int(x) for x in row[1:]) + (n,) for n, t in enumerate(texts) for row in zip(*lines.least_blocks([t], 12))]
+    assert alone == [tuple(int(x) for x in row[1:]) + (int(row[0]),) for row in zip(*lines.least_blocks(texts, 12))]
+
+
 def test_join_paths_are_the_shortest(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("x", "y")], "a string, b string")
     got = {(r["first"], r["second"]): (r["path"], r["between"]) for r in catalog.join_paths(edges).collect()}
