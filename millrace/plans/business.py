@@ -11,8 +11,11 @@ from ..functions import fields as P
 from ..functions import text as T
 from ..operators import business as B
 from ..session import spread, table
+from ..storage import scratch, written
 
 TODAY = "2000-01-01"
+#: Lines of orders that a task gathers.
+LINES_A_TASK = 250_000
 GOOD_IBAN, BAD_IBAN = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 99"
 
 
@@ -24,8 +27,10 @@ def invoice_rows(spark, sf):
     """Numbers of each invoice in cents, with the defects that its key gives it."""
     k = F.col("o_orderkey")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long").alias("u"))
-    # Items are gathered as numbers and printed only when they have met their order, so that no text is dealt anew.
-    by = lines.groupBy("l_orderkey").agg(F.sum(F.col("q") * F.col("u")).alias("plain"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "q", "u"))).alias("items"))
+    # Items are gathered as numbers and printed only when they have met their order, so that no text is dealt anew. They are dealt by
+    # number: adaptive execution joins pieces by their compressed size, and a task may then spill what it gathers.
+    dealt = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES_A_TASK)), "l_orderkey")
+    by = dealt.groupBy("l_orderkey").agg(F.sum(F.col("q") * F.col("u")).alias("plain"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "q", "u"))).alias("items"))
     heads = spread(table(spark, sf, "orders")).select("o_orderkey", "o_custkey", "o_orderdate").join(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     rows = heads.join(by, k == F.col("l_orderkey")).withColumn("first", F.array_min(F.transform("items", lambda r: r["l_linenumber"])))
     total = lambda r: r["q"] * r["u"] + F.when((k % 7 == 1) & (r["l_linenumber"] == F.col("first")), 100).otherwise(0)
@@ -103,19 +108,24 @@ def confidence_reports(spark, sf):
     return out.groupBy("weakest", "type_confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"), F.round(F.sum("warning_penalty"), 2).alias("penalties"))
 
 
+def slots(spark, sf, *names):
+    """id, name, value, confidence of these fields of the invoices: as a table, so that pages that are read once serve all that follows."""
+    fields = B.extracted_fields(invoices(spark, sf), "doc_id", "text", "invoice", names)
+    return written(fields.select("id", "name", "value", "confidence"), scratch(spark, "slots"))
+
+
 def invoice_corrections(spark, sf):
     """Numbers typed in by a reviewer for invoices without one."""
-    fields = B.extracted_fields(invoices(spark, sf), "doc_id", "text", "invoice")
-    typed = fields.filter("name = 'invoice_number' and value is null").select("id", "name", F.concat(F.lit("INV-"), F.col("id").cast("string")).alias("value"))
-    out = B.corrected(fields, typed).filter("name = 'invoice_number'")
-    return out.select(F.col("id").alias("doc_id"), "value", "confidence", "corrected")
+    fields = slots(spark, sf, "invoice_number")
+    typed = fields.filter("value is null").select("id", "name", F.concat(F.lit("INV-"), F.col("id").cast("string")).alias("value"))
+    return B.corrected(fields, typed).select(F.col("id").alias("doc_id"), "value", "confidence", "corrected")
 
 
 def filled_fields(spark, sf):
     """Slots that the patterns leave empty take another reader's values; others keep theirs."""
-    fields = B.extracted_fields(invoices(spark, sf), "doc_id", "text", "invoice")
-    other = fields.filter("name in ('invoice_number', 'iban')").select("id", "name", F.lit("from elsewhere").alias("value"), F.lit(0.5).alias("confidence"))
-    return B.filled(fields, other).filter("name in ('invoice_number', 'iban')").groupBy("name", (F.col("value") == "from elsewhere").alias("taken")).agg(F.count(F.lit(1)).alias("n"))
+    fields = slots(spark, sf, "invoice_number", "iban")
+    other = fields.select("id", "name", F.lit("from elsewhere").alias("value"), F.lit(0.5).alias("confidence"))
+    return B.filled(fields, other).groupBy("name", (F.col("value") == "from elsewhere").alias("taken")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def review_outcomes(spark, sf):

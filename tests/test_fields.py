@@ -13,6 +13,7 @@ from millrace.functions import stats
 from millrace.functions import text as T
 from millrace.operators import business as B
 from millrace.operators import retrieval
+from millrace.plans import business as plans
 
 
 def values(spark, texts, use):
@@ -146,3 +147,16 @@ def test_accounts_of_one_piece_are_checked_by_all_cores(spark, tmp_path):
 
     spark.range(50).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     assert business.identifier_checks(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_named_fields_are_read_alone_and_pages_once(spark):
+    pages = spark.createDataFrame([(1, "Row Ltd\nInvoice No: A-1\nIBAN: GB82 WEST 1234 5698 7654 32\nTotal 5.00"), (2, "Row Ltd"), (3, None)], "k long, text string")
+    every = B.extracted_fields(pages, "k", "text", "invoice")
+    for names in (("invoice_number",), ("iban", "currency"), ("total_amount", "supplier_name")):
+        named = B.extracted_fields(pages, "k", "text", "invoice", names)
+        assert sorted(map(str, named.collect())) == sorted(map(str, every.filter(F.col("name").isin(*names)).collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for query in (plans.invoice_corrections, plans.filled_fields):
+        assert "ArrowEvalPython" not in plan(query(spark, "/root/testdata/sf0.001"))
+    # Lines are dealt by their number, which adaptive execution leaves as it is.
+    assert "REPARTITION_BY_NUM" in plan(plans.invoice_rows(spark, "/root/testdata/sf0.001"))
