@@ -346,6 +346,22 @@ def test_unique_blocks_deal_no_lines_anew(spark):
     assert alone == [tuple(int(x) for x in row[1:]) + (int(row[0]),) for row in zip(*lines.least_blocks(texts, 12))]
 
 
+def test_postings_are_the_keywords_and_documents_are_read_once(spark):
+    texts = ["The cat, the CAT and a dog", None, "", "\u0130stanbul \u212Aelvin \u00c9t\u00e9 x", "dog9 dog"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    found = retrieval.postings(docs, "doc", "text", ["the", "and"])
+    got = {(r["id"], r["term"]): (r["length"], r["tf"]) for r in found.collect()}
+    plain = {r["doc"]: r["w"] for r in docs.select("doc", T.keywords(F.col("text"), ["the", "and"]).alias("w")).collect()}
+    want = {(k, w): (len(ws), ws.count(w)) for k, ws in plain.items() if ws for w in ws} | {(k, None): (None if ws is None else len(ws), 0) for k, ws in plain.items()}
+    assert got == want
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(found)
+    queries = spark.createDataFrame([(1, "dog"), (1, "cat"), (2, "none")], "query_id long, term string")
+    scores = retrieval.bm25_scores(docs, "doc", "text", queries, ["the", "and"])
+    assert "regexp" not in plan(scores) and "MapInArrow" not in plan(scores)
+    assert {(r["query_id"], r["id"]): r["matched"] for r in scores.collect()} == {(1, 0): 2, (1, 4): 1}
+
+
 def test_join_paths_are_the_shortest(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("x", "y")], "a string, b string")
     got = {(r["first"], r["second"]): (r["path"], r["between"]) for r in catalog.join_paths(edges).collect()}
