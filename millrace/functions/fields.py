@@ -10,7 +10,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import once
+from .text import Phrases, once
 
 #: Shapes of numbers, dates and rules, currencies, separators, and formats of dates with their confidence.
 NUMBER = r"-?\d+(?:[.,\s]\d{3})*(?:[.,]\d{1,2})?(?!\d)"
@@ -73,8 +73,18 @@ def number(digits: Column) -> Column:
 
 def plain_number(digits: str) -> float | None:
     """The value of number(), for a text in Python."""
+    # Most have no marks, or one point before two digits, which is decimal.
+    if digits.isdecimal():
+        return float(digits)
+    if digits[-3:-2] == "." and digits[-2:].isdecimal() and digits.count(".") == 1:
+        try:
+            return float(digits.replace(",", ""))
+        except ValueError:
+            pass
     negative = digits.startswith("-")
-    bare = re.sub(r"[ \t\n\x0b\f\r]", "", digits[1:] if negative else digits)
+    bare = digits[1:] if negative else digits
+    if not bare.isprintable() or " " in bare:
+        bare = re.sub(r"[ \t\n\x0b\f\r]", "", bare)
     commas, points = bare.count(","), bare.count(".")
     behind_comma = bare.rsplit(",", 1)[-1]
     if commas and points:
@@ -96,20 +106,24 @@ def half_up(x: float, places: int) -> float:
     return float(Decimal(digits).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)) if math.isfinite(x) else x
 
 
-def currency(text: Column) -> Column:
-    """By symbol, else by code as a word; '' without either."""
+#: Signs of currencies that texts in capitals may hold.
+SIGNS = Phrases((*CURRENCY_SYMBOLS, *CURRENCY_CODES), upper=True)
+
+
+def currency(text: Column, holds: Callable[[str], Column] | None = None) -> Column:
+    """By symbol, else by code as a word; '' without either. holds tells of each sign whether the text in capitals has it, if that is known."""
 
     def coded(upper: Column) -> Column:
         out = F.lit("")
         for code in reversed(CURRENCY_CODES):
-            out = F.when(upper.rlike(rf"\b{code}\b"), code).otherwise(out)
-        # One pattern tells texts without any, which are most.
-        return F.when(upper.rlike(r"\b(?:" + "|".join(CURRENCY_CODES) + r")\b"), out).otherwise("")
+            # Most texts hold none, which is seen without a pattern.
+            out = F.when((holds(code) if holds else F.contains(upper, F.lit(code))) & upper.rlike(rf"\b{code}\b"), code).otherwise(out)
+        return out
 
-    signed = F.lit("")
+    out = coded(F.upper(text)) if holds else once(F.upper(text), coded)
     for symbol, code in reversed(CURRENCY_SYMBOLS.items()):
-        signed = F.when(F.contains(text, F.lit(symbol)), code).otherwise(signed)
-    return F.when(text.rlike("[" + "".join(CURRENCY_SYMBOLS) + "]"), signed).otherwise(once(F.upper(text), coded))
+        out = F.when(holds(symbol) if holds else F.contains(text, F.lit(symbol)), code).otherwise(out)
+    return out
 
 
 def parsed_money(text: Column) -> Column:

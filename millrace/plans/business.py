@@ -94,7 +94,7 @@ def issue_order(spark, sf):
 
 def judged_invoices(spark, sf):
     """Confidence reports of the invoices, with their fields and issues: each page is printed, read and judged as one row."""
-    pages = B.with_issues(B.read_pages(invoices(spark, sf), "doc_id", "text", "invoice"), "invoice", TODAY)
+    pages = B.with_issues(B.read_pages(invoices(spark, sf), "doc_id", "text", "invoice", checks=True), "invoice", TODAY)
     return B.confidence_reports(pages.withColumn("type_confidence", B.type_confidence(B.classified(F.col("text")))), "invoice")
 
 

@@ -160,3 +160,26 @@ def test_named_fields_are_read_alone_and_pages_once(spark):
         assert "ArrowEvalPython" not in plan(query(spark, "/root/testdata/sf0.001"))
     # Lines are dealt by their number, which adaptive execution leaves as it is.
     assert "REPARTITION_BY_NUM" in plan(plans.invoice_rows(spark, "/root/testdata/sf0.001"))
+
+
+def test_phrases_of_pages_are_found_by_line_in_one_pass(spark):
+    told = T.Phrases(["tax inv", "late fee", "é"])
+    docs = spark.createDataFrame([(1, "TAX INVOICE 12\nTax invoice 13"), (2, "a late\nfee"), (3, "x É late fee 7"), (4, ""), (5, None)], "id int, t string").withColumn("held", told.held_by(F.col("t")))
+    assert dict(docs.select("id", "held").collect()) == {1: 1, 2: 0, 3: 6, 4: 0, 5: None}
+    assert [r[0] for r in docs.select(told.holds(F.col("held"), "late fee")).collect()] == [False, False, True, False, None]
+    plan = plans.judged_invoices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Contains(lower" not in plan and "contains(lower" not in plan.lower()
+
+
+def test_lines_that_differ_in_digits_alone_are_judged_once():
+    specs = (B.Spec("number", "identifier", ("no",)), B.Spec("tax", "money", ("vat",), avoid=("reg",)))
+    likeness, ends = B.label_ends(specs)
+    page = lambda n: f"Note\nNO: {n}7 no 5\nKno {n}\n  VAT Reg no 1\nVat -3"
+    for n in (1, 2, 3):
+        got = B.label_places(page(n), specs, likeness, ends)
+        assert got == [[(f"{n}7 no 5", f"NO: {n}7 no 5", f"Kno {n}"), ("1", "VAT Reg no 1", "Vat -3")], [("-3", "Vat -3", None)]]
+    assert ends.cache_info().misses == 5
+    assert B.label_ends((B.Spec("a", "text", ("a1",)),))[1]("b a1") == [(0, 0, 4)] and B.label_places("B A1: x\nA2 y", (specs[0], B.Spec("a", "text", ("a1",))), *B.label_ends((specs[0], B.Spec("a", "text", ("a1",)))))[1] == [("x", "B A1: x", "A2 y")]
+    B.row_spans.cache_clear()
+    assert [B.page_rows(f"----------\nBolt {n}  two   {n}   1,234.50   2,469.00\n----------") for n in (2, 3)] == [[(f"Bolt {n}  two", float(n), 1234.5, 2469.0)] for n in (2, 3)]
+    assert B.row_spans.cache_info().misses == 1
