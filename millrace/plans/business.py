@@ -53,8 +53,8 @@ def printed_day():
     return F.when(k % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(day, "d MMMM yyyy")).when(k % 4 == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "d.M.yyyy"))
 
 
-def invoices(spark, sf, mended: bool = False):
-    """doc_id, text of each order's invoice; mended ones have their number and a valid account."""
+def invoice_text(mended: bool = False):
+    """The text of an invoice whose items are printed; mended ones have their number and a valid account."""
     k, date = F.col("k"), printed_day()
     line = lambda cond, value: F.when(cond, value)
     name = F.concat(F.col("c_mktsegment"), F.lit(" Goods Ltd"))
@@ -64,12 +64,18 @@ def invoices(spark, sf, mended: bool = False):
         F.concat(F.lit("Invoice Date: "), date), F.concat(F.lit("Due Date: "), F.date_format("due", "yyyy-MM-dd")),
         F.concat(F.lit("VAT Registration: "), F.when(k % 31 == 8, "GB12345").otherwise("GB123456789")),
         F.lit(""), F.lit("Bill To:"), F.concat(F.lit("  "), F.col("c_name"), F.lit("     ref 7")), F.lit(""),
-        F.lit("Description                   Qty    Unit Price          Amount"), F.lit("-" * 60), F.array_join(F.transform("rows", printed_row), "\n"), F.lit("-" * 60),
+        F.lit("Description                   Qty    Unit Price          Amount"), F.lit("-" * 60), F.col("printed"), F.lit("-" * 60),
         F.concat(F.lit("Subtotal      "), cents("s")), F.concat(F.lit("VAT "), F.col("pct").cast("string"), F.lit("%     "), cents("x")), F.concat(F.lit("TOTAL   "), cents("t")),
         F.concat(F.lit("IBAN: "), F.when(F.lit(not mended) & (k % 29 == 7), BAD_IBAN).otherwise(GOOD_IBAN)), F.lit("Payment Terms: 30 days net"),
         line(k % 37 == 9, F.lit("DUPLICATE COPY")),
     ]
-    return invoice_rows(spark, sf).select(k.alias("doc_id"), F.concat_ws("\n", *parts).alias("text"))
+    return F.concat_ws("\n", *parts)
+
+
+def invoices(spark, sf, **others):
+    """doc_id, text of each order's invoice, and others: texts by name. Items are printed once for all of them."""
+    rows = invoice_rows(spark, sf).withColumn("printed", F.array_join(F.transform("rows", printed_row), "\n"))
+    return rows.select(F.col("k").alias("doc_id"), invoice_text().alias("text"), *[text.alias(name) for name, text in others.items()])
 
 
 def invoice_fields(spark, sf):
@@ -129,8 +135,8 @@ def filled_fields(spark, sf):
 
 
 def review_outcomes(spark, sf):
-    before, after = (B.issues(invoices(spark, sf, mended), "doc_id", "text", "invoice", TODAY) for mended in (False, True))
-    return B.review_outcome(before, after).groupBy("code", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    pages = invoices(spark, sf, mended=invoice_text(mended=True))
+    return B.reviewed(pages, "doc_id", "text", "mended", "invoice", TODAY).groupBy("code", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def structured_invoices(spark, sf):

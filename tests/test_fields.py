@@ -183,3 +183,17 @@ def test_lines_that_differ_in_digits_alone_are_judged_once():
     B.row_spans.cache_clear()
     assert [B.page_rows(f"----------\nBolt {n}  two   {n}   1,234.50   2,469.00\n----------") for n in (2, 3)] == [[(f"Bolt {n}  two", float(n), 1234.5, 2469.0)] for n in (2, 3)]
     assert B.row_spans.cache_info().misses == 1
+
+
+def test_documents_that_corrections_leave_as_they_are_are_read_once(spark, monkeypatch):
+    page = lambda total, iban: f"Row Ltd\nInvoice No: A-1\nInvoice Date: 2024-01-01\nIBAN: {iban}\nTotal {total}"
+    good, bad = plans.GOOD_IBAN, plans.BAD_IBAN
+    rows = [(1, page(0, good), page(0, good)), (2, page(0, bad), page(0, good)), (3, page(5, good), page(0, bad)), (4, page(5, good), page(5, good)), (5, None, page(0, bad)), (6, None, None)]
+    docs = spark.createDataFrame(rows, "k int, b string, a string")
+    plain = B.review_outcome(*(B.issues(docs, "k", c, "invoice", "2024-02-01") for c in "ba"))
+    read, issues = [], B.issues
+    monkeypatch.setattr(B, "issues", lambda texts, *a, **limits: read.append(texts.count()) or issues(texts, *a, **limits))
+    got = B.reviewed(docs, "k", "b", "a", "invoice", "2024-02-01")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert {(r["id"], r["code"], r["outcome"]) for r in got.collect()} >= {(1, "zero_total", "remaining"), (2, "iban_checksum_failed", "fixed"), (3, "zero_total", "new"), (5, "required_field_missing", "fixed")}
+    assert read == [9] and "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()
