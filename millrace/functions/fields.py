@@ -29,6 +29,8 @@ DATE_FORMATS = (
     (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy", 0.85),
     (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy", 0.7),
 )
+#: By shape of dates, the formats that may read it.
+FORMATS_OF_SHAPES = (DATE_FORMATS[:1], DATE_FORMATS[1:3], DATE_FORMATS[3:5], DATE_FORMATS[5:])
 VAT_SHAPES = {
     "GB": r"^GB(\d{9}|\d{12}|GD\d{3}|HA\d{3})$", "DE": r"^DE\d{9}$", "FR": r"^FR[A-Z0-9]{2}\d{9}$", "ES": r"^ES[A-Z0-9]\d{7}[A-Z0-9]$", "IT": r"^IT\d{11}$",
     "NL": r"^NL\d{9}B\d{2}$", "IE": r"^IE\d{7}[A-Z]{1,2}$", "PL": r"^PL\d{10}$", "SE": r"^SE\d{12}$", "BE": r"^BE0\d{9}$",
@@ -68,7 +70,9 @@ def number(digits: Column) -> Column:
         return once(value, lambda v: F.struct(v.alias("value"), F.when(v.isNotNull(), sure).otherwise(0.0).alias("confidence")))
 
     unsigned = F.when(negative, F.substring(digits, 2, 2**31 - 1)).otherwise(digits)
-    return once(F.translate(unsigned, " \t\n\x0b\f\r", ""), of)
+    # Most have one point, before two digits, and commas that group: they are read without looking at the marks.
+    english = F.struct(F.replace(digits, F.lit(","), F.lit("")).try_cast("double").alias("value"), F.lit(1.0).alias("confidence"))
+    return F.when(digits.rlike(r"^-?\d+(?:,\d{3})*\.\d\d\z"), english).otherwise(once(F.translate(unsigned, " \t\n\x0b\f\r", ""), of))
 
 
 def plain_number(digits: str) -> float | None:
@@ -129,7 +133,7 @@ def currency(text: Column, holds: Callable[[str], Column] | None = None) -> Colu
 def parsed_money(text: Column) -> Column:
     """struct(amount, currency, confidence) of the first number; amount null without one."""
     of = lambda n: F.struct(n["value"].alias("amount"), currency(text).alias("currency"), n["confidence"].alias("confidence"))
-    return once(number(F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), NUMBER, 0)), of)
+    return once(once(F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), NUMBER, 0), number), of)
 
 
 def money_on_line(text: Column) -> Column:
@@ -146,25 +150,26 @@ def with_raw(raw: Column) -> Callable[[Column], Column]:
     return lambda d: F.when(d.isNotNull(), F.struct(d["value"].alias("value"), d["confidence"].alias("confidence"), raw.alias("raw")))
 
 
-def parsed_date(text: Column) -> Column:
-    """struct(value, confidence): the first of DATE_FORMATS that reads the text; a day above 12 before a stroke settles the order at 0.95."""
+def parsed_date(text: Column, formats: Sequence[tuple[str, str, float]] = DATE_FORMATS) -> Column:
+    """struct(value, confidence): the first of the formats that reads the text; a day above 12 before a stroke settles the order at 0.95."""
 
     def of(bare: Column) -> Column:
         out = F.lit(None).cast("struct<value:date,confidence:double>")
-        for shape, pattern, sure in reversed(DATE_FORMATS):
+        for shape, pattern, sure in reversed(formats):
             value = F.when(bare.rlike(f"^{shape}$"), F.try_to_timestamp(bare, F.lit(pattern)).cast("date"))
             settled = F.when(F.contains(bare, F.lit("/")) & (F.substring_index(bare, "/", 1).try_cast("int") > 12), 0.95).otherwise(sure) if sure < 1 else F.lit(sure)
             out = F.coalesce(once(value, at_confidence(settled)), out)
         return out
 
-    return once(F.initcap(F.trim(text)), of)
+    # Capitals matter to names of months alone.
+    return once(F.initcap(F.trim(text)) if any("MMM" in pattern for _, pattern, _ in formats) else F.trim(text), of)
 
 
 def date_within(text: Column) -> Column:
     """struct(value, confidence, raw) of the first of DATE_SHAPES that stands in the text and can be read."""
-    raws = F.filter(F.array(*[F.trim(F.regexp_extract(text, shape, 0)) for shape in DATE_SHAPES]), lambda raw: raw != "")
-    found = F.transform(raws, lambda raw: once(parsed_date(raw), with_raw(raw)))
-    return F.try_element_at(F.filter(found, lambda d: d.isNotNull()), F.lit(1))
+    read = lambda formats: lambda raw: F.when(raw != "", once(parsed_date(raw, formats), with_raw(raw)))
+    # Shapes are looked for until one can be read, each by the formats that texts of the shape can have.
+    return F.coalesce(*[once(F.trim(F.regexp_extract(text, shape, 0)), read(formats)) for shape, formats in zip(DATE_SHAPES, FORMATS_OF_SHAPES, strict=True)])
 
 
 def literally(phrase: str) -> str:

@@ -197,3 +197,13 @@ def test_documents_that_corrections_leave_as_they_are_are_read_once(spark, monke
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
     assert {(r["id"], r["code"], r["outcome"]) for r in got.collect()} >= {(1, "zero_total", "remaining"), (2, "iban_checksum_failed", "fixed"), (3, "zero_total", "new"), (5, "required_field_missing", "fixed")}
     assert read == [9] and "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dates_are_tried_by_the_formats_of_their_shape(spark):
+    texts = ["due 2000-10-01 or 1.9.2000", "32 May 2000, paid 1.9.2000", "on 5 MAY 2000", "sept 5, 2000", "31/12/1999", "2000-13-01", "1/2.2000", "", None]
+    got = values(spark, texts, P.date_within)
+    assert [v and (str(v["value"]), v["confidence"], v["raw"]) for v in got] == [("2000-10-01", 1.0, "2000-10-01"), ("2000-09-01", 0.85, "1.9.2000"), ("2000-05-05", 1.0, "5 MAY 2000"), None, ("1999-12-31", 0.95, "31/12/1999"), None, None, None, None]
+    # Shapes behind the first that can be read aren't looked for: no array of all of them.
+    assert str(P.date_within(F.col("t"))).startswith("Column<'coalesce(")
+    assert [v["value"] for v in values(spark, ["-1,234.50", "1234,567.89", "1,23.50", "7.50\n", "1.234,50"], P.number)] == [-1234.5, 1234567.89, 123.5, 7.5, 1234.5]
+    assert "RLIKE" in str(P.number(F.col("t"))).upper()
